@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import op10_byte_bpe
 from .mixing import op7_mixing
 from .rule_ledger import op5_quality_rules
+from .toxicity import op4_toxicity
+from .warc import op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_warc": op2_warc,
+        "op4_toxicity": op4_toxicity,
         "op5_quality_rules": op5_quality_rules,
         "op7_mixing": op7_mixing,
         "op10_byte_bpe": op10_byte_bpe,
