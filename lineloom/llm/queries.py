@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op10_byte_bpe
 from .mixing import op7_mixing
+from .ngram_join import op9_ngram_join
 from .rule_ledger import op5_quality_rules
 from .toxicity import op4_toxicity
 from .warc import op2_warc
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_quality_rules": op5_quality_rules,
         "op7_mixing": op7_mixing,
+        "op9_ngram_join": op9_ngram_join,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
