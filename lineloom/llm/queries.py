@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op10_byte_bpe
+from .lattice_lm import op1_lattice_lm
 from .line_dedup import op3_line_dedup
 from .mixing import op7_mixing
 from .ngram_join import op9_ngram_join
@@ -17,6 +18,7 @@ from .warc import op2_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lattice_lm": op1_lattice_lm,
         "op2_warc": op2_warc,
         "op3_line_dedup": op3_line_dedup,
         "op4_toxicity": op4_toxicity,
