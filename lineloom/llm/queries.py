@@ -11,6 +11,7 @@ from .lattice_lm import op1_lattice_lm
 from .line_dedup import op3_line_dedup
 from .mixing import op7_mixing
 from .ngram_join import op9_ngram_join
+from .nn_descent import op8_nn_descent
 from .rule_ledger import op5_quality_rules
 from .toxicity import op4_toxicity
 from .warc import op2_warc
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_quality_rules": op5_quality_rules,
         "op7_mixing": op7_mixing,
+        "op8_nn_descent": op8_nn_descent,
         "op9_ngram_join": op9_ngram_join,
         "op10_byte_bpe": op10_byte_bpe,
     }
