@@ -12,6 +12,7 @@ from .line_dedup import op3_line_dedup
 from .mixing import op7_mixing
 from .ngram_join import op9_ngram_join
 from .nn_descent import op8_nn_descent
+from .pii_boost import op6_pii_boost
 from .rule_ledger import op5_quality_rules
 from .toxicity import op4_toxicity
 from .warc import op2_warc
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_quality_rules": op5_quality_rules,
+        "op6_pii_boost": op6_pii_boost,
         "op7_mixing": op7_mixing,
         "op8_nn_descent": op8_nn_descent,
         "op9_ngram_join": op9_ngram_join,
