@@ -158,13 +158,15 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     return encoded.select(id_col, run(F.col(ids_col)).alias("decoded"))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes each text in one pass and keeps only digests: n_tokens, n_split (tokens that begin inside a
-    character), SHA-256 of the ids as little-endian 32-bit integers and of the decoded bytes."""
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes each text in one pass: n_tokens, n_split (tokens that begin inside a character), SHA-256 of
+    the ids as little-endian 32-bit integers and of the decoded bytes, and with_ids the ids in that form."""
     batch_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model_json(path))
 
-    @F.pandas_udf("n_tokens long, n_split long, ids_sha256 string, decoded_sha256 string")
+    columns = ["n_tokens", "n_split", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+
+    @F.pandas_udf("n_tokens long, n_split long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
     def run(texts: pd.Series) -> pd.DataFrame:
         c = codec(shared, pattern)
         rows = []
@@ -172,8 +174,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             back = c.decode(ids)
             raw = np.frombuffer(back, dtype=np.uint8)
             begins = np.cumsum(c.lengths[ids]) - c.lengths[ids]
-            rows.append((len(ids), int(((raw[begins] & 0xC0) == 0x80).sum()), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "n_split", "ids_sha256", "decoded_sha256"])
+            packed = ids.tobytes()
+            rows.append((len(ids), int(((raw[begins] & 0xC0) == 0x80).sum()), hashlib.sha256(packed).hexdigest(), hashlib.sha256(back).hexdigest()) + (packed,) * with_ids)
+        return pd.DataFrame(rows, columns=columns)
 
     return docs.select(F.col(id_col).alias(id_col), text_or_empty(text_col).alias("_text")).withColumn("_e", run("_text")).select(id_col, "_e.*")
 

@@ -32,8 +32,27 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Scratch folders that this driver has named.
+made: list[str] = []
+
+
+def fresh() -> str:
+    return uuid.uuid4().hex
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/lineloom/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lineloom/{tag}-{fresh()}"
+    made.append(path)
+    return path
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch folders whose readers are done."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        made.remove(path)
+    paths.clear()
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
