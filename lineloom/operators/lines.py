@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from lineloom import vocab
 from lineloom.functions.text import any_of, word_count
 
-DOC = W.partitionBy("doc_id")
-IN_ORDER = DOC.orderBy("line_no")
-SO_FAR = IN_ORDER.rowsBetween(W.unboundedPreceding, 0)
+
+def doc():
+    return W.partitionBy("doc_id")
+
+
+def so_far():
+    """The lines of a document up to the current one."""
+    return doc().orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
 
 
 def explode_lines(docs: DataFrame) -> DataFrame:
@@ -31,9 +36,9 @@ def header_zone(lines: DataFrame, heading: str = r"(?i)^(?:about (?:the )?(?:job
     """The first lines that aren't blank, up to a heading of the description; a long line is skipped, or ends the
     zone once enough lines are in."""
     rows = lines.filter("text <> ''").withColumn("_long", F.length("text") > long)
-    rows = rows.withColumn("_in", F.sum(F.when(F.col("_long"), 0).otherwise(1)).over(SO_FAR))
+    rows = rows.withColumn("_in", F.sum(F.when(F.col("_long"), 0).otherwise(1)).over(so_far()))
     stop = F.col("text").rlike(heading) | (F.col("_long") & (F.col("_in") >= enough))
-    rows = rows.withColumn("_stopped", F.max(stop.cast("int")).over(SO_FAR))
+    rows = rows.withColumn("_stopped", F.max(stop.cast("int")).over(so_far()))
     return rows.filter((F.col("_stopped") == 0) & ~F.col("_long") & (F.col("_in") <= most)).withColumn("header_no", F.col("_in").cast("int")).select("doc_id", "line_no", "header_no", "text")
 
 
@@ -87,7 +92,7 @@ def classify_headings(lines: DataFrame, responsibility=vocab.RESPONSIBILITY_HEAD
 def section_state(lines: DataFrame) -> DataFrame:
     """`state` and `sub_type` of every line: those of the last known heading above it; unknown headings inherit."""
     known = F.when(F.col("heading").isin("responsibility", "requirement", "other", "ignored"), F.col("heading"))
-    rows = lines.withColumn("_last", F.last(known, ignorenulls=True).over(SO_FAR))
+    rows = lines.withColumn("_last", F.last(known, ignorenulls=True).over(so_far()))
     rows = rows.withColumn("state", F.when(F.col("_last") == "ignored", "ignored").otherwise("matchable"))
     rows = rows.withColumn("sub_type", F.when(F.col("_last") == "ignored", None).otherwise(F.col("_last")))
     return rows.withColumn("known_heading", known.isNotNull()).drop("_last")
@@ -96,7 +101,7 @@ def section_state(lines: DataFrame) -> DataFrame:
 def classify_sentences(docs: DataFrame, excludes: Iterable[str] = vocab.ABSOLUTE_EXCLUDES) -> DataFrame:
     """Spans with `matchable` and `sub_type`; a document without known headings is all responsibility."""
     states = section_state(classify_headings(explode_lines(docs)))
-    states = states.withColumn("any_known", F.max("known_heading").over(DOC)).select("doc_id", "line_no", "state", "sub_type", "any_known", "heading")
+    states = states.withColumn("any_known", F.max("known_heading").over(doc())).select("doc_id", "line_no", "state", "sub_type", "any_known", "heading")
     rows = split_spans(docs).join(states, ["doc_id", "line_no"])
     never = F.col("text").rlike(f"(?i){any_of(excludes)}")
     rows = rows.withColumn("matchable", (~F.col("any_known") | (F.col("state") == "matchable")) & ~never)
@@ -123,6 +128,6 @@ def requirement_sections(docs: DataFrame, included=vocab.INCLUDED_WORD_HEADINGS,
     t = F.lower(heading_text("text"))
     shaped = heading_shaped(t)
     kind = F.when(shaped & t.rlike(any_of(included, whole)), "requirement").when(shaped & t.rlike(any_of(ignored, whole)), "ignored")
-    rows = explode_lines(docs).withColumn("_kind", kind).withColumn("_last", F.last("_kind", ignorenulls=True).over(SO_FAR))
+    rows = explode_lines(docs).withColumn("_kind", kind).withColumn("_last", F.last("_kind", ignorenulls=True).over(so_far()))
     rows = rows.filter(F.col("_kind").isNull() & (F.col("text") != ""))
     return rows.select("doc_id", "line_no", "text", F.when(F.col("_last") == "ignored", "ignored").otherwise("included").alias("state"), F.coalesce(F.col("_last") == "requirement", F.lit(False)).alias("requirement"))
