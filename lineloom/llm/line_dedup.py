@@ -83,7 +83,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     gone = repeated_runs(plain, min_words).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_gone"))
     gone = saved(gone.withColumnsRenamed({"doc_id": "_id", "th": "_th2"}), "gone")
-    out = keyed.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_th2")), "left")
+    # gone has no size bound, so it is never broadcast
+    out = keyed.join(gone.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_th2")), "left")
     lines = F.split(text_col, "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.exists("_gone", lambda r: (i >= r["first"]) & (i <= r["last"])))
     removed = F.aggregate(F.coalesce("_gone", F.array().cast("array<struct<first:int,last:int>>")), F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
