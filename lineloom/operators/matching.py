@@ -15,15 +15,14 @@ from lineloom.functions.text import col, escaped, normalize, remove_stopwords, s
 PREFIX, OVERHANG = 5, 2
 
 
-def _ngrams(tokens: str | Column, width: int) -> Column:
-    """All runs of 1 to `width` words, joined by blanks."""
-    t = col(tokens)
+def ngrams(df: DataFrame, tokens: Column, width: int, name: str, *keep: str) -> DataFrame:
+    """A row for each different run of 1 to `width` words. The tokens are a column of their own first: inside a lambda
+    their expression would be evaluated again for every run."""
+    t = F.col("_tokens")
     at = lambda k: F.when(F.size(t) >= k, F.sequence(F.lit(0), F.size(t) - k)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.array(*(F.transform(at(k), _run(t, k)) for k in range(1, width + 1))))
-
-
-def _run(t: Column, k: int):
-    return lambda i: F.array_join(F.slice(t, i + 1, F.lit(k)), " ")
+    run = lambda k: (lambda i: F.array_join(F.slice(t, i + 1, F.lit(k)), " "))
+    runs = F.flatten(F.array(*(F.transform(at(k), run(k)) if k > 1 else t for k in range(1, width + 1))))
+    return df.select(*keep, tokens.alias("_tokens")).select(*keep, F.explode(F.array_distinct(runs)).alias(name))
 
 
 def words_of(c: str | Column) -> Column:
@@ -31,20 +30,21 @@ def words_of(c: str | Column) -> Column:
     return F.filter(F.split(F.lower(col(c)), "[^a-z0-9_]+"), lambda x: x != "")
 
 
-def match_terms(texts: DataFrame, terms: DataFrame, joined: bool = False, width: int = 4) -> DataFrame:
+def match_terms(texts: DataFrame, terms: DataFrame, joined: bool = False, width: int = 3) -> DataFrame:
     """(doc_id, term) of the terms in each text, whole words, case aside; a term with a final * matches any word
     ending. joined also looks at the text with hyphens opened. Phrases of up to `width` words."""
     form = texts.select("doc_id", F.lower("text").alias("t"))
     if joined:
         form = form.unionByName(texts.select("doc_id", F.lower(unhyphenate("text")).alias("t"))).distinct()
-    words = form.select("doc_id", F.explode(F.array_distinct(_ngrams(words_of("t"), width))).alias("w"))
+    words = ngrams(form, words_of("t"), width, "w", "doc_id")
     v = terms.select("term", F.regexp_replace(F.lower("term"), r"\*$", "").alias("base"), F.col("term").endswith("*").alias("wild"))
     v = v.withColumn("w", F.array_join(words_of("base"), " "))
     exact = words.join(v.filter("NOT wild").select("w", "term"), "w").select("doc_id", "term")
-    # beginnings: every stored stem length becomes a key of the word, so this is an equi-join too
+    # beginnings: the stem lengths of the vocabulary, one row, make this an equi-join too
     stems = v.filter("wild").select(F.col("w").alias("s"), "term")
-    prefixes = words.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: F.left(F.col("w"), k))).alias("s"))
-    wild = prefixes.join(stems, "s").select("doc_id", "term")
+    lengths = stems.agg(F.collect_set(F.length("s")).alias("lengths"), F.max(F.size(F.split("s", " "))).alias("most"))
+    begins = words.crossJoin(F.broadcast(lengths)).filter(F.size(F.split("w", " ")) <= F.col("most")).select("doc_id", "w", F.explode(F.filter("lengths", lambda k: k <= F.length("w"))).alias("k")).select("doc_id", F.left(F.col("w"), F.col("k")).alias("s")).distinct()
+    wild = begins.join(stems, "s").select("doc_id", "term")
     return exact.unionByName(wild).distinct()
 
 
@@ -85,7 +85,7 @@ def match_tags(sentences: DataFrame, tags: DataFrame) -> DataFrame:
     met = have.join(pairs, "a").join(need, "b").groupBy("doc_id", "span_no", "tag", "alt").agg(F.count_distinct("b").alias("met"))
     found = met.join(size, "alt").filter("met = size").select("doc_id", "span_no", "tag")
     literal = tags.filter(F.col("phrase").rlike("[0-9]")).select("tag", normalize("phrase").alias("p"))
-    grams = sentences.select("doc_id", "span_no", F.explode(F.array_distinct(_ngrams(F.split(normalize("text"), " "), 4))).alias("p"))
+    grams = ngrams(sentences, F.split(normalize("text"), " "), 4, "p", "doc_id", "span_no")
     return found.unionByName(grams.join(literal, "p").select("doc_id", "span_no", "tag")).distinct()
 
 
@@ -121,7 +121,7 @@ def tools_mentioned(texts: DataFrame, have: DataFrame, absent: DataFrame) -> Dat
 def places_in(texts: DataFrame, gazetteer: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, places), the distinct canonical names in order of the alphabet, by n-gram equi-join; a name inside a
     longer one that matched doesn't count. gazetteer(name, canonical, area)."""
-    grams = texts.select("doc_id", F.explode(F.array_distinct(_ngrams(F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}0-9.']+", " ")), " "), width))).alias("g"))
+    grams = ngrams(texts, F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}0-9.']+", " ")), " "), width, "g", "doc_id")
     found = grams.join(gazetteer.select(F.lower("name").alias("g"), "canonical", F.size(F.split("name", " ")).alias("n")), "g").distinct()
     longer = found.select(F.col("doc_id").alias("d2"), F.col("g").alias("g2"), F.col("n").alias("n2"))
     inside = (F.col("doc_id") == F.col("d2")) & (F.col("n2") > F.col("n")) & F.contains(F.concat(F.lit(" "), F.col("g2"), F.lit(" ")), F.concat(F.lit(" "), F.col("g"), F.lit(" ")))

@@ -104,7 +104,7 @@ def short_adds_nothing(variants: DataFrame, rule: str = "short_adds") -> DataFra
 
 def date_order(df: DataFrame, key: str, start: str, end: str, rule: str = "dates") -> DataFrame:
     """Dates (as text) that aren't dates, or end before they start; an empty end is open."""
-    s, e = F.try_to_date(F.col(start), F.lit("yyyy-MM-dd")), F.try_to_date(F.col(end), F.lit("yyyy-MM-dd"))
+    s, e = F.try_to_date(F.col(start), "yyyy-MM-dd"), F.try_to_date(F.col(end), "yyyy-MM-dd")
     why = F.when(s.isNull(), "bad start").when(F.col(end).isNotNull() & e.isNull(), "bad end").when(e < s, "end before start")
     return violations(df.withColumn("_why", why).filter("_why IS NOT NULL"), rule, key, "_why")
 

@@ -14,7 +14,7 @@ def stream_inbox(spark: SparkSession, path: str) -> DataFrame:
     """K1: whole text files of a drop folder named <date>-<slug>.txt as (path, day, slug, text, hash)."""
     raw = spark.readStream.format("text").option("wholetext", True).load(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("ts"), plain_dashes("value").alias("text"))
     name = F.regexp_extract("path", r"([^/]+)\.txt$", 1)
-    return raw.select("path", "ts", F.try_to_date(F.left(name, F.lit(10)), F.lit("yyyy-MM-dd")).alias("day"), F.regexp_replace(name, r"^[0-9]{4}-[0-9]{2}-[0-9]{2}-", "").alias("slug"), "text", F.sha2("text", 256).alias("hash"))
+    return raw.select("path", "ts", F.try_to_date(F.left(name, F.lit(10)), "yyyy-MM-dd").alias("day"), F.regexp_replace(name, r"^[0-9]{4}-[0-9]{2}-[0-9]{2}-", "").alias("slug"), "text", F.sha2("text", 256).alias("hash"))
 
 
 def drop_repeats(stream: DataFrame, key: str, delay: str = "1 hour") -> DataFrame:
