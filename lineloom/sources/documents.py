@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from lineloom.functions.text import plain_dashes
 
-RULES = T.StructType.fromDDL(
+#: The nested rule file.
+RULES = (
     "version string, fallback string, "
     "profiles array<struct<id:string,label:string,priority:int,title_required:boolean,keywords:map<string,int>,title_keywords:map<string,int>,title_exclude:array<string>,include:array<string>,sections:array<struct<type:string,heading:string>>>>, "
     "groups array<struct<id:string,strength:string,variants:array<struct<id:string,text:string,short:string,tags:array<string>,prefer:array<string>>>>>, "
