@@ -150,10 +150,10 @@ def keyword_table(sources: list[DataFrame], held: DataFrame, output: DataFrame)
 
 
 def months_inclusive(start: str | Column, end: str | Column) -> Column:
-    """Whole months from the first day to the last, the last included."""
-    s, e = col(start), F.date_add(col(end), 1)
+    """Months between the calendar months, and one more where the last day of the month reaches the first's."""
+    s, e = col(start), col(end)
     months = (F.year(e) - F.year(s)) * 12 + F.month(e) - F.month(s)
-    return F.greatest(F.lit(0), months - F.when(F.dayofmonth(e) < F.dayofmonth(s), 1).otherwise(0)).cast("int")
+    return (months + F.when(F.dayofmonth(e) >= F.dayofmonth(s), 1).otherwise(0)).cast("int")
 
 
 def experience_months(employment: DataFrame, as_of: str) -> DataFrame:

@@ -79,7 +79,7 @@ CONSENT = "'(?i)" + V.CONSENT + "'"
 BLOCKS = "blocks AS (SELECT doc_id, line_no::INT AS block_no, text FROM lines)"
 SMOKE = q.gates.SMOKE
 STRENGTHS = "['required', 'core', 'support', 'filler']"
-ITEM = "SELECT l_orderkey AS doc_id, l_linenumber AS block_no, l_quantity::BIGINT AS cost, l_quantity::BIGINT - l_quantity::BIGINT % 7 AS short_cost, l_suppkey % 4 + 1 AS strength_no FROM lineitem"
+ITEM = "SELECT doc_id, block_no, c AS cost, c - c % 7 AS short_cost, s % 4 + 1 AS strength_no FROM (SELECT l_orderkey AS doc_id, l_linenumber AS block_no, sum(l_quantity)::BIGINT AS c, max(l_suppkey) AS s FROM lineitem GROUP BY ALL)"
 
 SQL = {
     "b1_html_to_plain": f"WITH {PLAIN} SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM plain",
@@ -138,8 +138,8 @@ SQL = {
     "g10_outcomes": "SELECT user_id::VARCHAR AS rule_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS n_rejected, max(ts::DATE)::VARCHAR AS latest FROM events GROUP BY user_id",
     "g13_verdicts": """WITH r AS (SELECT p_partkey AS doc_id, p_size > 45 AS b, p_size % 7 AS y, p_size % 3 AS m FROM part)
       SELECT doc_id, CASE WHEN b THEN 'BLOCKED' WHEN y >= 2 OR m >= 2 THEN 'STRETCH' ELSE 'GOOD' END AS verdict, CASE WHEN b THEN '' ELSE concat_ws(',', CASE WHEN y >= 5 THEN 'years_reach' END, CASE WHEN y >= 2 AND y < 5 THEN 'years_stretch' END, CASE WHEN m >= 2 THEN 'tools' END) END AS reasons FROM r""",
-    "g15_months": """WITH s AS (SELECT l_orderkey AS k, max(l_shipdate::DATE) AS e FROM lineitem GROUP BY 1), r AS (SELECT o_custkey AS person_id, o_orderdate::DATE AS s, (coalesce(e, DATE '1999-01-01') + 1)::DATE AS e, o_orderstatus = 'F' AS relevant, o_orderpriority < '4' AS ft FROM orders LEFT JOIN s ON k = o_orderkey),
-      m AS (SELECT *, greatest(0, (year(e) - year(s)) * 12 + month(e) - month(s) - CASE WHEN day(e) < day(s) THEN 1 ELSE 0 END) AS m FROM r)
+    "g15_months": """WITH s AS (SELECT l_orderkey AS k, max(l_shipdate::DATE) AS e FROM lineitem GROUP BY 1), r AS (SELECT o_custkey AS person_id, o_orderdate::DATE AS s, coalesce(e, DATE '1999-01-01') AS e, o_orderstatus = 'F' AS relevant, o_orderpriority < '4' AS ft FROM orders LEFT JOIN s ON k = o_orderkey),
+      m AS (SELECT *, (year(e) - year(s)) * 12 + month(e) - month(s) + CASE WHEN day(e) >= day(s) THEN 1 ELSE 0 END AS m FROM r)
       SELECT person_id, coalesce(sum(m) FILTER (WHERE relevant), 0)::BIGINT AS relevant, coalesce(sum(m) FILTER (WHERE ft), 0)::BIGINT AS professional, coalesce(sum(m) FILTER (WHERE NOT ft AND NOT relevant), 0)::BIGINT AS other FROM m GROUP BY person_id""",
     "h4_dashes": rf"""WITH {LINES}, b AS (SELECT doc_id, line_no, translate(text, '|%', '–—') AS t FROM lines), p AS (SELECT doc_id, line_no, t, unnest(generate_series(1, length(t))) AS k FROM b WHERE regexp_matches(t, '[–—]'))
       SELECT doc_id, count(*) AS n, sum(k - 1)::BIGINT AS at_sum, sum(length(substr(t, greatest(k - 20, 1), k - greatest(k - 20, 1) + 21)))::BIGINT AS n_chars FROM p WHERE substr(t, k, 1) IN ('–', '—') GROUP BY doc_id""",
@@ -163,5 +163,21 @@ SQL = {
     "j16_contacts": r"""WITH f AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9]')) AS v FROM documents UNION SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\+[0-9][0-9 ()-]{7,}[0-9]')) FROM documents) SELECT 'contact' AS rule, doc_id::VARCHAR AS key, v AS detail FROM f""",
     "k2_latest": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, md5(event_id::VARCHAR || '|' || event_type) DESC) AS r FROM events) WHERE r = 1",
     "k3_counts": "SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, event_type AS tag, count(*) AS n FROM events GROUP BY ALL",
+    "d5_tags": rf"""WITH {SPANS}, tw AS (SELECT DISTINCT tag, p, unnest(string_split(p, ' ')) AS w FROM {_values([t for t in q.TAGS if not any(c.isdigit() for c in t[1])], 'tag, p')}), ts AS (SELECT DISTINCT tag, p, {STEM} AS b FROM tw WHERE w NOT IN {V.STOPWORDS}), n AS (SELECT tag, p, count(*) AS n FROM ts GROUP BY ALL),
+      sw AS (SELECT DISTINCT doc_id, span_no, unnest(regexp_split_to_array(lower(text), '[^a-z0-9+%]+')) AS w FROM spans), ss AS (SELECT DISTINCT doc_id, span_no, {STEM} AS a FROM sw WHERE w <> ''),
+      m AS (SELECT doc_id, span_no, tag, p, count(DISTINCT b) AS k FROM ss JOIN ts ON a = b OR (least(length(a), length(b)) >= 5 AND abs(length(a) - length(b)) <= 2 AND (starts_with(a, b) OR starts_with(b, a))) GROUP BY ALL),
+      f AS (SELECT DISTINCT doc_id, span_no, tag FROM m JOIN n USING (tag, p) WHERE k = n UNION SELECT doc_id, span_no, 'number' FROM spans WHERE contains(' ' || trim(regexp_replace(lower(text), '[^a-z0-9+%]+', ' ', 'g')) || ' ', ' 2 0 '))
+      SELECT tag, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs, sum(span_no)::BIGINT AS span_sum FROM f GROUP BY tag""",
+    "g1_clauses": rf"""WITH {SPANS}, c AS (SELECT doc_id, span_no, CASE WHEN len(l) > 0 THEN l ELSE [text] END AS l FROM (SELECT *, list_filter(list_transform(regexp_split_to_array(text, '[,;]'), lambda x: trim(x)), lambda x: x <> '') AS l FROM spans)),
+      e AS (SELECT doc_id, span_no, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM c), k AS (SELECT *, regexp_matches(t, '(?i){'|'.join(V.PREFERRED)}') AS p, regexp_matches(t, '(?i){'|'.join(V.REQUIRED)}') AS r FROM e),
+      x AS (SELECT *, coalesce(lead(p) OVER (PARTITION BY doc_id, span_no ORDER BY i), false) AS nx FROM k)
+      SELECT CASE WHEN p THEN 'preferred' WHEN r THEN 'required' WHEN nx THEN 'preferred' WHEN span_no % 2 = 0 THEN 'required' ELSE 'ambiguous' END AS class, p OR r OR nx AS explicit, count(*) AS n FROM x GROUP BY ALL""",
+    "h3_banned": rf"""WITH {LINES}, f AS (SELECT doc_id, line_no, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g')) || ' ' AS t FROM lines) SELECT doc_id, term AS detail, count(*) AS n, min(line_no)::INT AS first_block FROM f JOIN (SELECT unnest(['idiot', 'password', 'apache license']) AS term) ON contains(t, ' ' || term || ' ') GROUP BY ALL""",
+    "h14_paragraphs": f"""WITH b AS ({ITEM}), o AS (SELECT doc_id, block_no, cost, greatest(0, sum(cost) OVER (PARTITION BY doc_id) - 80) AS over FROM b),
+      s AS (SELECT *, CASE WHEN block_no IN (2, 3) THEN cost ELSE 0 END AS s FROM o), t AS (SELECT *, coalesce(sum(s) OVER (PARTITION BY doc_id ORDER BY CASE WHEN block_no IN (2, 3) THEN 0 ELSE 1 END, block_no DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
+      SELECT doc_id, block_no AS paragraph_no, block_no IN (2, 3) AND s > 0 AND before < over AS dropped FROM t""",
+    "h7_gates": rf"""WITH {LINES}, f AS (SELECT doc_id, 'smoke' AS gate FROM ({' UNION ALL '.join(f"SELECT doc_id FROM lines WHERE regexp_matches(text, '{p}')" for p in SMOKE.values())}) UNION ALL SELECT doc_id, 'required' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM lines WHERE line_no = 2)),
+      g AS (SELECT d.doc_id, p.gate, count(f.gate) AS n FROM documents d CROSS JOIN (SELECT unnest(['smoke', 'required']) AS gate) p LEFT JOIN f ON f.doc_id = d.doc_id AND f.gate = p.gate GROUP BY ALL)
+      SELECT doc_id, gate, n = 0 AS passed, n AS n_findings, bool_and(n = 0) OVER (PARTITION BY doc_id) AS all_passed FROM g""",
     "a4_overlay": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name || '-x' ELSE c_name END AS c_name, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 <> 0 THEN upper(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment FROM customer",
 }

@@ -48,10 +48,9 @@ def g13_verdicts(spark, d):
 
 
 def lines_as_blocks(spark, d):
-    return read(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("block_no"), F.col("l_quantity").cast("long").alias("cost"), (F.col("l_quantity").cast("long") - F.col("l_quantity").cast("long") % 7).alias("short_cost"),
-        F.element_at(F.array(*map(F.lit, scoring.STRENGTHS)), (F.col("l_suppkey") % 4 + 1).cast("int")).alias("strength"), F.lit(1).alias("spacing"),
-    )
+    items = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("block_no")).agg(F.sum("l_quantity").cast("long").alias("cost"), F.max("l_suppkey").alias("s"))
+    strength = F.element_at(F.array(*map(F.lit, scoring.STRENGTHS)), (F.col("s") % 4 + 1).cast("int"))
+    return items.select("doc_id", "block_no", "cost", (F.col("cost") - F.col("cost") % 7).alias("short_cost"), strength.alias("strength"), F.lit(1).alias("spacing"))
 
 
 def h10_budget(spark, d):

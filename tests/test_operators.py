@@ -84,7 +84,7 @@ def test_requirement_findings(spark, ads):
 def test_months(spark):
     d = datetime.date
     e = spark.createDataFrame([(1, d(2024, 1, 15), None, True, True)], "person_id long, start_date date, end_date date, full_time boolean, relevant boolean")
-    assert findings.experience_months(e, "2026-09-30").first()["relevant"] == 32
+    assert findings.experience_months(e, "2026-09-30").first()["relevant"] == 33
 
 
 def test_highlight_joins_back(spark):
