@@ -6,11 +6,15 @@ tokens that are neighbours in both prefixes (see prefix_length). These neighbour
 tokens they hardly ever meet in unrelated texts, so no count of all shingles is needed for a rarest-first order.
 
 1. Documents with the same set form a class, classes with the same size and prefix a group; one row of each goes on.
-2. Groups with a common key are chained by a window over the key: a key with k groups gives k-1 rows, not k squared.
+2. Groups with a common key, in order of size in a window over the key, each meet the first of them, or the one before
+   where the first is out of reach of the threshold: a key with k groups gives k-1 rows at most, not k squared; where
+   the one before is out of reach too, the row is left out.
 3. Chains, and members of a group, connect to candidate clusters. Every link lies inside one cluster.
-4. Clusters are expanded to their classes and dealt in blocks of bounded size; every pair of blocks of a cluster is
-   verified exactly, on whole sets, in one task, which returns only the links of a spanning forest.
-5. Links connect to components.
+4. Clusters are dealt in blocks of bounded size, and every pair of blocks of a cluster meets in one task, which filters
+   the pairs by parities of the sets, about a bit a token: they differ in no more bits than the sets in tokens, so no
+   link is lost. What passes splits the clusters further.
+5. The rest is dealt in smaller blocks with the whole sets and verified exactly; links connect to components.
+Tasks of 4 and 5 return only a spanning forest of the pairs that pass.
 
 Defined results: null text is an empty set, which links with nothing; texts with fewer words than a shingle have the
 whole sequence as their one shingle; rows with a null id take no part and get a null component; repeated rows are
@@ -32,8 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import batch_rows, parallelism, saved, table, text_or_empty
 
-#: Classes in a block.
-BLOCK = 200
+#: Classes in a block of whole sets, and of parities.
+BLOCK = 500
+FILTER_BLOCK = 1000
+MOST_PARITY_BITS = 1 << 16
 #: Word hashes that a worker keeps.
 KEPT_WORDS = 500_000
 
@@ -94,11 +100,23 @@ def prefix_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
     return _mixed(p[:-1] * np.uint64(0x9E3779B97F4A7C15) + p[1:])
 
 
+def parities(tokens: np.ndarray) -> bytes:
+    """Per bit, whether an odd number of tokens falls on it; about a bit a token, a power of two in all."""
+    size = min(MOST_PARITY_BITS, max(64, 1 << (len(tokens) - 1).bit_length()))
+    bit = ((tokens >> np.uint64(20)) % np.uint64(size)).astype(np.int64)
+    return np.packbits(np.bincount(bit, minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(parity: bytes, words: int) -> np.ndarray:
+    """A parity in fewer bits, as 64-bit words: bits that are equal modulo the new size meet."""
+    return np.bitwise_xor.reduce(np.frombuffer(parity, np.uint64).reshape(-1, words), axis=0)
+
+
 def _signer(width: int, percent: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            n, set_key, prefix_key, keys = [], [], [], []
+            n, set_key, prefix_key, keys, parity = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingles(text, width, words)
                 k = prefix_keys(tokens, percent)
@@ -106,9 +124,10 @@ def _signer(width: int, percent: int):
                 set_key.append(hashlib.md5(tokens.tobytes()).digest())
                 prefix_key.append(hashlib.md5(k.tobytes()).digest() if len(k) else set_key[-1])
                 keys.append(k.view(np.int64))
+                parity.append(parities(tokens))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             at = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(set_key, pa.binary()), pa.array(prefix_key, pa.binary()), pa.ListArray.from_arrays(at, flat)], ["id", "n", "set_key", "prefix_key", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(set_key, pa.binary()), pa.array(prefix_key, pa.binary()), pa.ListArray.from_arrays(at, flat), pa.array(parity, pa.binary())], ["id", "n", "set_key", "prefix_key", "keys", "parity"])
 
     return sign
 
@@ -117,8 +136,9 @@ def _set_maker(width: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            sets = [shingles(t, width, words).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "tokens"])
+            sets = [shingles(t, width, words) for t in batch.column(1).to_pylist()]
+            data = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), batch.column(2), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(data, ["id", "n", "data", "root", "size"])
 
     return make
 
@@ -147,46 +167,84 @@ def links(sets: list[np.ndarray], percent: int, left: np.ndarray) -> list[tuple[
         part[owner[cuts[k] : cuts[k + 1]], column[cuts[k] : cuts[k + 1]] - k * step] = 1
         common += part @ part.T
     both = common.astype(np.int64)
-    ok = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    return forest(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), left)
+
+
+def forest(ok: np.ndarray, left: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that are ok, between blocks or, if all are of the first, among all."""
     if not left.all():
-        ok &= left[:, None] != left[None, :]
-    root = list(range(m))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    out = []
-    for a, b in zip(*np.nonzero(np.triu(ok, 1))):
-        ra, rb = find(int(a)), find(int(b))
-        if ra != rb:
-            root[max(ra, rb)] = min(ra, rb)
-            out.append((int(a), int(b)))
+        ok = ok & (left[:, None] != left[None, :])
+    label, out = np.arange(len(ok)), []
+    for i in range(len(ok)):
+        near = np.flatnonzero(ok[i, i + 1 :]) + i + 1
+        for other, at in zip(*np.unique(label[near], return_index=True)):
+            if other != label[i]:
+                label[label == other] = label[i]
+                out.append((i, int(near[at])))
     return out
 
 
-def _verifier(percent: int):
-    def close(group: list) -> list[tuple[int, int]]:
-        ids = [g[0] for g in group]
-        sets = [np.frombuffer(g[1], dtype=np.uint64) for g in group]
-        return [(ids[a], ids[b]) for a, b in links(sets, percent, np.array([g[2] for g in group]))]
+def likely(parity: list[bytes], n: np.ndarray, left: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sizes and parities don't rule out a link."""
+    total = n[:, None] + n[None, :]
+    most = total - 2 * (-(-percent * total // (100 + percent)))  # tokens in which linked sets may differ
+    ok = abs(n[:, None] - n[None, :]) <= most
+    words = np.array([len(p) // 8 for p in parity])
+    for w in np.unique(words):  # a pair is compared in the smaller of its two sizes
+        own, large = np.flatnonzero(words == w), np.flatnonzero(words >= w)
+        bits = np.array([folded(parity[k], int(w)) for k in large])
+        mine = bits[np.searchsorted(large, own)]
+        for at, row in zip(own, mine):
+            near = np.flatnonzero(ok[at, large])
+            differ = np.bitwise_count(bits[near] ^ row).sum(axis=1, dtype=np.int64)
+            ok[at, large[near]] = ok[large[near], at] = differ <= most[at, large[near]]
+    return forest(ok, left)
+
+
+def _closer(percent: int, whole: bool):
+    """Runs over rows (root, i, j, id, n, data, own), sorted by the first three: each group is a pair of blocks."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def close(group: list) -> list[tuple[int, int]]:
+        left = np.array([g[3] for g in group])
+        if whole:
+            found = links([np.frombuffer(g[2], np.uint64) for g in group], percent, left)
+        else:
+            found = likely([g[2] for g in group], np.array([g[1] for g in group]), left, percent)
+        return [(group[a][0], group[b][0]) for a, b in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group, found = None, [], []
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(6)]
-            for cluster, i, j, ident, tokens, own in zip(*columns):
-                if (cluster, i, j) != now:
+            for root, i, j, ident, n, data, own in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                if (root, i, j) != now:
                     if len(group) > 1:
                         found += close(group)
-                    now, group = (cluster, i, j), []
-                group.append((ident, tokens, i == j or own == i))
+                    now, group = (root, i, j), []
+                group.append((ident, n, data, i == j or own == i))
         if len(group) > 1:
             found += close(group)
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    return verify
+    return run
+
+
+def _in_blocks(members: DataFrame, block: int, percent: int, whole: bool) -> DataFrame:
+    """members(root, id, n, data, size) -> pairs that pass, from all pairs of blocks of each root."""
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "data", "own")
+    dealt = dealt.repartition(parallelism(members.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return dealt.mapInArrow(_closer(percent, whole), "a long, b long")
+
+
+def _clusters(edges: DataFrame) -> DataFrame:
+    """(id, root, size) of all nodes of the edges."""
+    stars = connected(edges)
+    nodes = saved(stars.select(F.col("node").alias("id"), "root").unionByName(stars.select(F.col("root").alias("id"), "root").distinct()), "clusters")
+    sizes = saved(nodes.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "cluster-sizes")
+    # a root may have a large share of the nodes: merged, so that Spark can split it
+    return saved(nodes.join(sizes.withColumnRenamed("root", "r").hint("merge"), F.col("root") == F.col("r")).select("id", "root", "size"), "clusters")
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -205,7 +263,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("u2"), F.least("w", "u").alias("w"))
-        large = both.join(least, F.col("u") == F.col("u2")).filter("v > u").select(F.col("v").alias("u"), F.col("w").alias("v")).distinct()
+        large = both.join(least, F.col("u") == F.col("u2")).filter("v > u").select(F.col("v").alias("u"), F.col("w").alias("v"))
         large = saved(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("u2"), "w")
         small = large.join(least, F.col("u") == F.col("u2"))
@@ -218,28 +276,24 @@ def components(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str =
     spark = docs.sparkSession
     batch_rows(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    signed = saved(rows.mapInArrow(_signer(width, percent), "id long, n long, set_key binary, prefix_key binary, keys array<long>"), "signed")
+    signed = saved(rows.mapInArrow(_signer(width, percent), "id long, n long, set_key binary, prefix_key binary, keys array<long>, parity binary"), "signed")
     own = signed.filter("id IS NOT NULL AND n > 0")
-    classes = saved(own.groupBy("set_key").agg(F.min("id").alias("class"), F.min("n").alias("n"), F.min("prefix_key").alias("prefix_key")), "classes")
+    classes = saved(own.groupBy("set_key").agg(F.min("id").alias("class"), F.min("n").alias("n"), F.min("prefix_key").alias("prefix_key"), F.min("parity").alias("parity")), "classes")
     groups = saved(classes.groupBy("n", "prefix_key").agg(F.min("class").alias("grp")), "groups")
     grouped = classes.join(groups, ["n", "prefix_key"]).select("class", "grp")
-    # ids of groups are ids of rows; a repeated id would only add equal or more keys
-    keys = own.filter(F.size("keys") > 0).join(groups.select(F.col("grp").alias("id")), "id").select("id", F.explode("keys").alias("key"))
-    chain = keys.select("id", F.lag("id").over(W.partitionBy("key").orderBy("id")).alias("before")).filter("before IS NOT NULL AND before <> id")
-    candidate = chain.select(F.col("id").alias("a"), F.col("before").alias("b")).unionByName(grouped.filter("class <> grp").select(F.col("class").alias("a"), F.col("grp").alias("b"))).distinct()
-    cluster = saved(_with_roots(connected(candidate)), "clusters")  # node, root
-    counted = cluster.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    member = saved(cluster.join(counted.select(F.col("root").alias("r"), blocks.alias("blocks")), F.col("root") == F.col("r")).select("node", "root", "blocks"), "members")
-    # whole sets of the rows in clusters, from their whole texts; of rows with the same id the first class counts once
-    chosen = own.join(member.select(F.col("node").alias("id")), "id", "left_semi").join(classes.select("set_key", F.col("class").alias("id")), ["set_key", "id"], "left_semi").select("id").distinct()
-    texts = rows.join(chosen, "id", "left_semi")
-    sets = texts.mapInArrow(_set_maker(width), "id long, tokens binary").dropDuplicates(["id", "tokens"])
-    dealt = sets.join(member, F.col("id") == F.col("node")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "tokens", "own")
-    dealt = dealt.repartition(parallelism(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    linked = connected(dealt.mapInArrow(_verifier(percent), "a long, b long"))
+    # ids of groups are ids of rows; a repeated id would only add keys
+    keys = own.filter(F.size("keys") > 0).join(groups.select(F.col("grp").alias("id")), "id").select("id", "n", F.explode("keys").alias("key"))
+    chain = W.partitionBy("key").orderBy("n", "id")
+    pairs = keys.select("id", "n", *(f(c).over(chain).alias(c + k) for k, f in (("0", F.lag), ("1", F.first)) for c in ("id", "n")))
+    first = f"100 * n1 >= {percent} * n"
+    pairs = pairs.filter(f"id0 IS NOT NULL AND id1 <> id AND 100 * n0 >= {percent} * n").select("id", F.expr(f"CASE WHEN {first} THEN id1 ELSE id0 END").alias("id0")).filter("id0 <> id")
+    edges = pairs.select(F.col("id").alias("a"), F.col("id0").alias("b")).unionByName(grouped.filter("class <> grp").select(F.col("class").alias("a"), F.col("grp").alias("b"))).distinct()
+    light = _clusters(edges).join(classes.select(F.col("class").alias("id"), "n", F.col("parity").alias("data")), "id")
+    likely_ones = _clusters(_in_blocks(light, FILTER_BLOCK, percent, False))
+    # whole sets, from the whole texts, of one row a class; the ids have no size bound, so they are never broadcast
+    chosen = likely_ones.select("id", "root", "size").hint("merge")
+    sets = rows.join(chosen, "id").select("id", "text", "root", "size").mapInArrow(_set_maker(width), "id long, n long, data binary, root long, size long")
+    linked = connected(_in_blocks(sets, BLOCK, percent, True))
     # class -> component, then document -> class; both sides are plain tables, so Spark can split a class with many rows
     of_class = classes.select("set_key", "class").join(linked, F.col("class") == F.col("node"), "left").select("set_key", F.coalesce("root", "class").alias("component"))
     of_class = saved(of_class, "components")
@@ -248,9 +302,5 @@ def components(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str =
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _with_roots(stars: DataFrame) -> DataFrame:
-    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()).distinct()
-
-
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
