@@ -31,11 +31,11 @@ DEGREE, REVERSE, FINDS = 30, 15, 4
 #: Cuts of the start; vectors wanted and at most in a cell; neighbours taken from a cell.
 TREES, CELL, MOST_IN_CELL, CELL_LINKS = 16, 768, 1536, 8
 #: Rounds of the descent at most; they end when fewer neighbours than this share change.
-ROUNDS, ENOUGH = 3, 0.02
+ROUNDS, ENOUGH = 4, 0.02
 #: Vectors that the planes are drawn from.
 SAMPLE = 4000
 #: Candidates a query keeps; those it expands in a round; rounds.
-BEAM, EXPAND, SEARCH_ROUNDS = 60, 15, 3
+BEAM, EXPAND, SEARCH_ROUNDS = 160, 25, 6
 
 GRAPH = "node long, near long, sim float"
 
