@@ -110,10 +110,10 @@ def qualification_demands(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("demands"))
 
 
-def tools_mentioned(texts: DataFrame, have: DataFrame, absent: DataFrame) -> DataFrame:
+def tools_mentioned(texts: DataFrame, have: DataFrame, absent: DataFrame, width: int = 3) -> DataFrame:
     """`have` and `confirmed_missing`; words of neither list aren't reported."""
     v = have.select("term", F.lit(True).alias("held")).unionByName(absent.select("term", F.lit(False).alias("held")))
-    found = match_terms(texts, v).join(v, "term")
+    found = match_terms(texts, v, width=width).join(v, "term")
     pick = lambda held: F.array_sort(F.collect_set(F.when(F.col("held") == held, F.col("term"))))
     return found.groupBy("doc_id").agg(pick(True).alias("have"), pick(False).alias("confirmed_missing"))
 

@@ -129,7 +129,7 @@ def c6_requirement_sections(spark, d):
 
 
 def d1_terms(spark, d):
-    found = matching.match_terms(docs_of(spark, d), rule_rows(spark, [(t,) for t in TERMS], "term string"))
+    found = matching.match_terms(docs_of(spark, d), rule_rows(spark, [(t,) for t in TERMS], "term string"), width=2)
     return found.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("doc_id").alias("id_sum"))
 
 
@@ -154,7 +154,7 @@ def d5_tags(spark, d):
 def hits_of(spark, d) -> DataFrame:
     """Document-level hits by whole words, for the scoring queries."""
     v = rule_rows(spark, [(w,) for _, p in TAGS for w in p.split()], "term string").distinct()
-    found = matching.match_terms(docs_of(spark, d), v)
+    found = matching.match_terms(docs_of(spark, d), v, width=1)
     words = rule_rows(spark, [(t, w) for t, p in TAGS for w in p.split()], "tag string, term string").distinct()
     size = words.groupBy("tag").agg(F.count(F.lit(1)).alias("size"))
     met = found.join(words, "term").groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("met"))
