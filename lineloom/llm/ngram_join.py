@@ -40,6 +40,8 @@ from .common import batch_rows, parallelism, saved, table, text_or_empty
 BLOCK = 500
 FILTER_BLOCK = 1000
 MOST_PARITY_BITS = 1 << 16
+#: Edges in a file of a round of connected().
+EDGES_IN_FILE = 200_000
 #: Word hashes that a worker keeps.
 KEPT_WORDS = 500_000
 
@@ -261,14 +263,16 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == state or now[0] == 0:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
+        # as many files as the edges need, so that rounds over few edges are a few tasks
+        files = min(parallelism(e.sparkSession), 1 + now[0] // EDGES_IN_FILE)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("u2"), F.least("w", "u").alias("w"))
         large = both.join(least, F.col("u") == F.col("u2")).filter("v > u").select(F.col("v").alias("u"), F.col("w").alias("v"))
-        large = saved(large, "large-star")
+        large = saved(large.coalesce(files), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("u2"), "w")
         small = large.join(least, F.col("u") == F.col("u2"))
         small = small.filter("v <> w").select(F.col("v").alias("u"), F.col("w").alias("v"))
-        e = saved(small.unionByName(least.select(F.col("u2").alias("u"), F.col("w").alias("v"))).distinct(), "small-star")
+        e = saved(small.unionByName(least.select(F.col("u2").alias("u"), F.col("w").alias("v"))).distinct().coalesce(files), "small-star")
 
 
 def components(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
