@@ -96,7 +96,7 @@ def prefix_length(n: int, percent: int) -> int:
 def prefix_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
     """Keys of the neighbours in the prefix. Sets so small that only equal ones can link have none."""
     n = len(tokens)
-    if n * percent > (n - 1) * 100:  # one token more or less is too much already
+    if n * 100 < percent * (n + 1):  # one token more is too much already, and so one less is
         return np.zeros(0, dtype=np.uint64)
     p = tokens[: prefix_length(n, percent)]
     return _mixed(p[:-1] * np.uint64(0x9E3779B97F4A7C15) + p[1:])

@@ -182,6 +182,29 @@ def test_prefix_keys_never_miss_a_link():
             assert len(np.intersect1d(ngram_join.prefix_keys(x, percent), ngram_join.prefix_keys(y, percent)))
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_prefix_keys_of_small_sets(percent):
+    r = np.random.default_rng(6)
+    for n in range(1, 31):
+        for m in (n - 1, n, n + 1):
+            for _ in range(20):
+                large = np.unique(r.integers(0, 1 << 62, max(n, m), dtype=np.uint64))
+                small = np.sort(r.permutation(large)[: min(n, m)])
+                if n == m:  # one token is another
+                    small = np.unique(np.concatenate([small[1:], r.integers(0, 1 << 62, 1, dtype=np.uint64)]))
+                common = len(np.intersect1d(small, large))
+                if 100 * common >= percent * (n + m - common):
+                    assert len(np.intersect1d(ngram_join.prefix_keys(small, percent), ngram_join.prefix_keys(large, percent)))
+
+
+@pytest.mark.parametrize("width, percent, n_words", [(3, 90, 11), (5, 80, 8)])
+def test_ngram_join_of_one_word_more(spark, width, percent, n_words):
+    words = [f"w{k}" for k in range(n_words + 1)]
+    rows = [(1, " ".join(words[:-1])), (2, " ".join(words)), (3, "other " * 12), (4, " ".join(f"v{k}" for k in range(n_words)))]
+    got = by_id(ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string"), width, percent))
+    assert {i: r["component_id"] for i, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_lattice(docs, texts, empty):
     vocabulary = lattice_lm.pieces(PATH)
     first = np.array([p[:1] == b" " for p in vocabulary])
