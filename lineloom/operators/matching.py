@@ -15,14 +15,15 @@ from lineloom.functions.text import col, escaped, normalize, remove_stopwords, s
 PREFIX, OVERHANG = 5, 2
 
 
-def ngrams(df: DataFrame, tokens: Column, width: int, name: str, *keep: str) -> DataFrame:
-    """A row for each different run of 1 to `width` words. The tokens are a column of their own first: inside a lambda
-    their expression would be evaluated again for every run."""
+def ngrams(df: DataFrame, tokens: Column, phrases: DataFrame, name: str, *keep: str) -> DataFrame:
+    """A row for each different run of as many words as one of phrases(n) has. The lengths are one row; the tokens are a
+    column of their own first: inside a lambda their expression would be evaluated again for every run."""
     t = F.col("_tokens")
     at = lambda k: F.when(F.size(t) >= k, F.sequence(F.lit(0), F.size(t) - k)).otherwise(F.array().cast("array<int>"))
-    run = lambda k: (lambda i: F.array_join(F.slice(t, i + 1, F.lit(k)), " "))
-    runs = F.flatten(F.array(*(F.transform(at(k), run(k)) if k > 1 else t for k in range(1, width + 1))))
-    return df.select(*keep, tokens.alias("_tokens")).select(*keep, F.explode(F.array_distinct(runs)).alias(name))
+    run = lambda k: F.when(k == 1, t).otherwise(F.transform(at(k), lambda i: F.array_join(F.slice(t, i + 1, k), " ")))
+    lengths = phrases.filter("n > 0").agg(F.collect_set("n").alias("_lengths"))
+    rows = df.select(*keep, tokens.alias("_tokens")).crossJoin(F.broadcast(lengths))
+    return rows.select(*keep, F.explode(F.array_distinct(F.flatten(F.transform("_lengths", run)))).alias(name))
 
 
 def words_of(c: str | Column) -> Column:
@@ -30,15 +31,15 @@ def words_of(c: str | Column) -> Column:
     return F.filter(F.split(F.lower(col(c)), "[^a-z0-9_]+"), lambda x: x != "")
 
 
-def match_terms(texts: DataFrame, terms: DataFrame, joined: bool = False, width: int = 3) -> DataFrame:
+def match_terms(texts: DataFrame, terms: DataFrame, joined: bool = False) -> DataFrame:
     """(doc_id, term) of the terms in each text, whole words, case aside; a term with a final * matches any word
-    ending. joined also looks at the text with hyphens opened. Phrases of up to `width` words."""
+    ending. joined also looks at the text with hyphens opened. Phrases of any number of words."""
     form = texts.select("doc_id", F.lower("text").alias("t"))
     if joined:
         form = form.unionByName(texts.select("doc_id", F.lower(unhyphenate("text")).alias("t"))).distinct()
-    words = ngrams(form, words_of("t"), width, "w", "doc_id")
     v = terms.select("term", F.regexp_replace(F.lower("term"), r"\*$", "").alias("base"), F.col("term").endswith("*").alias("wild"))
     v = v.withColumn("w", F.array_join(words_of("base"), " "))
+    words = ngrams(form, words_of("t"), v.select(F.size(F.split("w", " ")).alias("n")), "w", "doc_id")
     exact = words.join(v.filter("NOT wild").select("w", "term"), "w").select("doc_id", "term")
     # beginnings: the stem lengths of the vocabulary, one row, make this an equi-join too
     stems = v.filter("wild").select(F.col("w").alias("s"), "term")
@@ -85,7 +86,7 @@ def match_tags(sentences: DataFrame, tags: DataFrame) -> DataFrame:
     met = have.join(pairs, "a").join(need, "b").groupBy("doc_id", "span_no", "tag", "alt").agg(F.count_distinct("b").alias("met"))
     found = met.join(size, "alt").filter("met = size").select("doc_id", "span_no", "tag")
     literal = tags.filter(F.col("phrase").rlike("[0-9]")).select("tag", normalize("phrase").alias("p"))
-    grams = ngrams(sentences, F.split(normalize("text"), " "), 4, "p", "doc_id", "span_no")
+    grams = ngrams(sentences, F.split(normalize("text"), " "), literal.select(F.size(F.split("p", " ")).alias("n")), "p", "doc_id", "span_no")
     return found.unionByName(grams.join(literal, "p").select("doc_id", "span_no", "tag")).distinct()
 
 
@@ -110,19 +111,20 @@ def qualification_demands(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("demands"))
 
 
-def tools_mentioned(texts: DataFrame, have: DataFrame, absent: DataFrame, width: int = 3) -> DataFrame:
+def tools_mentioned(texts: DataFrame, have: DataFrame, absent: DataFrame) -> DataFrame:
     """`have` and `confirmed_missing`; words of neither list aren't reported."""
     v = have.select("term", F.lit(True).alias("held")).unionByName(absent.select("term", F.lit(False).alias("held")))
-    found = match_terms(texts, v, width=width).join(v, "term")
+    found = match_terms(texts, v).join(v, "term")
     pick = lambda held: F.array_sort(F.collect_set(F.when(F.col("held") == held, F.col("term"))))
     return found.groupBy("doc_id").agg(pick(True).alias("have"), pick(False).alias("confirmed_missing"))
 
 
-def places_in(texts: DataFrame, gazetteer: DataFrame, width: int = 3) -> DataFrame:
+def places_in(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """(doc_id, places), the distinct canonical names in order of the alphabet, by n-gram equi-join; a name inside a
     longer one that matched doesn't count. gazetteer(name, canonical, area)."""
-    grams = ngrams(texts, F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}0-9.']+", " ")), " "), width, "g", "doc_id")
-    found = grams.join(gazetteer.select(F.lower("name").alias("g"), "canonical", F.size(F.split("name", " ")).alias("n")), "g").distinct()
+    names = gazetteer.select(F.lower("name").alias("g"), "canonical", F.size(F.split("name", " ")).alias("n"))
+    grams = ngrams(texts, F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}0-9.']+", " ")), " "), names.select("n"), "g", "doc_id")
+    found = grams.join(names, "g").distinct()
     longer = found.select(F.col("doc_id").alias("d2"), F.col("g").alias("g2"), F.col("n").alias("n2"))
     inside = (F.col("doc_id") == F.col("d2")) & (F.col("n2") > F.col("n")) & F.contains(F.concat(F.lit(" "), F.col("g2"), F.lit(" ")), F.concat(F.lit(" "), F.col("g"), F.lit(" ")))
     return found.join(longer, inside, "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_set("canonical")).alias("places"))

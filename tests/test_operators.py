@@ -158,3 +158,20 @@ def test_inbox(spark, tmp_path):
     q.awaitTermination(60)
     row = spark.read.parquet(f"file://{tmp_path}/out/version=0").first()
     assert (row["slug"], str(row["day"]), row["text"]) == ("acme", "2024-05-01", "A - b")
+
+
+def test_phrases_of_any_length(spark):
+    text = "We are a fast paced young team of 24 7 365 on call people in the town of Newcastle upon Tyne today"
+    docs = spark.createDataFrame([(1, text), (2, "a fast paced young"), (3, "")], "doc_id long, text string")
+    terms = lambda *t: spark.createDataFrame([(x,) for x in t], "term string")
+    got = matching.match_terms(docs, terms("a fast paced young team", "are a fast paced you*", "fast", "upon tyne today and more"))
+    assert {(r["doc_id"], r["term"]) for r in got.collect()} == {(1, "a fast paced young team"), (1, "are a fast paced you*"), (1, "fast"), (2, "fast")}
+    assert matching.match_terms(docs, terms("fast").limit(0)).count() == 0
+    blocks = docs.select("doc_id", F.lit(0).alias("block_no"), F.lit("fixed").alias("type"), "text")
+    assert gates.banned_terms(blocks, terms("a fast paced young team")).count() == 1
+    strings = docs.select(F.col("doc_id").cast("string").alias("path"), "text")
+    assert one(changes.collision_test(terms("a fast paced young team"), [strings]), "path") == ["1"]
+    tags = spark.createDataFrame([("shift", "24 7 365 on call")], "tag string, phrase string")
+    assert one(matching.match_tags(docs.withColumn("span_no", F.lit(0)), tags), "tag") == ["shift"]
+    gazetteer = spark.createDataFrame([("town of newcastle upon tyne", "Newcastle", "ne"), ("newcastle", "Other", "x")], "name string, canonical string, area string")
+    assert one(matching.places_in(docs, gazetteer), "places") == [["Newcastle"]]
