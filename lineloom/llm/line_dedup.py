@@ -81,7 +81,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     """All rows and columns of docs with later copies cut from the text, and `_n_lines`, `_n_removed`."""
     keyed = docs.withColumn("_th", F.xxhash64(text_col))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    gone = repeated_runs(plain, min_words).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_gone"))
+    # rows that agree in both are one document; the join back serves all of them
+    gone = repeated_runs(plain.dropDuplicates(["doc_id", "th"]), min_words).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_gone"))
     gone = saved(gone.withColumnsRenamed({"doc_id": "_id", "th": "_th2"}), "gone")
     # gone has no size bound, so it is never broadcast
     out = keyed.join(gone.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_th2")), "left")

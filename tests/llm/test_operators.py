@@ -146,6 +146,14 @@ def test_line_dedup(docs, texts, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_repeated_rows(spark):
+    passage = "\n".join(" ".join(f"l{k}w{j}" for j in range(10)) for k in range(4))
+    rows = [(1, "head one\n" + passage), (1, "head one\n" + passage), (2, passage + "\ntail two"), (None, passage), (None, passage), (4, None), (4, None)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, rows[0][1], 0), (1, rows[0][1], 0), (2, "tail two", 4), (4, None, 0), (4, None, 0), (None, "", 4), (None, "", 4)]
+    assert sorted(((r["doc_id"], r["text"], r["_n_removed"]) for r in got), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
 def test_ngram_join(docs, texts, empty, width, percent):
     sets = {}
