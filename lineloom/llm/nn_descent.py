@@ -4,7 +4,7 @@ Equal vectors are one node with its smallest ids. The graph starts from small ce
 times over, in which all pairs are compared. A round of NN-descent joins every node's neighbours and reverse neighbours
 with their vectors, compares the neighbours of a node with each other, and keeps each node's nearest; rounds end when few
 neighbours change. A query starts at its own node's neighbours and, round by round, expands its nearest candidates in
-the graph; candidates are scored in double precision on the original vectors.
+the graph until none that it keeps is left to expand; candidates are scored in double precision on the original vectors.
 
 Cells and reverse lists are bounded, so no task holds more than a bounded group; bounds cost only recall, which is
 measured against brute force in the tests.
@@ -30,12 +30,12 @@ from .common import batch_rows, parallelism, saved, table
 DEGREE, REVERSE, FINDS = 30, 15, 4
 #: Cuts of the start; vectors wanted and at most in a cell; neighbours taken from a cell.
 TREES, CELL, MOST_IN_CELL, CELL_LINKS = 16, 768, 1536, 8
-#: Rounds of the descent at most; they end when fewer neighbours than this share change.
-ROUNDS, ENOUGH = 4, 0.02
+#: The descent ends when fewer neighbours than this share change in a round.
+ENOUGH = 0.02
 #: Vectors that the planes are drawn from.
 SAMPLE = 4000
-#: Candidates a query keeps; those it expands in a round; rounds.
-BEAM, EXPAND, SEARCH_ROUNDS = 160, 25, 6
+#: Candidates a query keeps; those it expands in a round.
+BEAM, EXPAND = 160, 25
 
 GRAPH = "node long, near long, sim float"
 
@@ -139,7 +139,7 @@ def _nearest(edges: DataFrame, k: int, key: str = "node", other: str = "near") -
     return edges.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
 
 
-def graph(units: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, trees: int = TREES, seed: int = 7) -> DataFrame:
+def graph(units: DataFrame, degree: int = DEGREE, trees: int = TREES, seed: int = 7) -> DataFrame:
     """units(node, u) -> (node, near, sim): about the `degree` nearest of every node."""
     spark = units.sparkSession
     n = units.count()
@@ -163,7 +163,7 @@ def graph(units: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, trees: i
     dealt = cells.join(parts, ["tree", "cell"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
     dealt = dealt.select("tree", "cell", "part", "node", "u").repartition(parallelism(spark), "tree", "cell", "part").sortWithinPartitions("tree", "cell", "part")
     g = saved(_nearest(dealt.mapInArrow(_compare_cells, GRAPH).groupBy("node", "near").agg(F.max("sim").alias("sim")), degree), "nn-graph")
-    for _ in range(rounds):
+    while True:  # neighbours only ever get nearer, so it ends
         worst = g.groupBy("node").agg(F.when(F.count(F.lit(1)) < degree, F.lit(-2.0)).otherwise(F.min("sim")).cast("float").alias("worst"))
         back = _nearest(g.select(F.col("near").alias("node"), F.col("node").alias("near"), "sim"), REVERSE)
         around = g.unionByName(back).select("node", "near").distinct()
@@ -174,8 +174,7 @@ def graph(units: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, trees: i
         changed = new.join(g.select("node", "near"), ["node", "near"], "left_anti").count()
         g = new
         if changed <= ENOUGH * n * degree:
-            break
-    return g
+            return g
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,13 +208,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         return full.mapInArrow(_score, "q long, c long, sim float")
 
     found = saved(scored(start.select("q", F.col("q").alias("c"))).withColumn("open", F.lit(True)), "nn-found")
-    for _ in range(SEARCH_ROUNDS):
+    back = saved(_nearest(g, REVERSE, "near", "node").select(F.col("near").alias("node"), F.col("node").alias("c")), "nn-back")
+    # a candidate that has left the beam can't come back, as the beam only gets nearer: each is expanded once
+    while not found.filter("open").isEmpty():
         rank = F.row_number().over(W.partitionBy("q", "open").orderBy(F.desc("sim"), "c"))
         ranked = found.withColumn("go", F.col("open") & (rank <= EXPAND))
         front = ranked.filter("go").select("q", F.col("c").alias("node"))
         # out and back along the edges of the graph
         forth = front.join(g, "node").select("q", F.col("near").alias("c"))
-        out = forth.unionByName(front.join(_nearest(g, REVERSE, "near", "node").select(F.col("near").alias("node"), F.col("node").alias("c")), "node").select("q", "c"))
+        out = forth.unionByName(front.join(back, "node").select("q", "c"))
         new = out.distinct().join(found.select("q", "c"), ["q", "c"], "left_anti")
         both = ranked.select("q", "c", "sim", (F.col("open") & ~F.col("go")).alias("open")).unionByName(scored(new).withColumn("open", F.lit(True)))
         found = saved(_nearest(both, BEAM, "q", "c"), "nn-found")

@@ -324,6 +324,25 @@ def test_nn_descent(spark):
     assert [(r["query_id"], r["vec_id"]) for r in nn_descent.search(few, F.col("vec_id") == 0).collect()] == [(0, 1)]
 
 
+def test_nn_descent_goes_on_until_nothing_is_open(spark, monkeypatch):
+    # a candidate a round: six rounds leave open ones in a beam of 12
+    monkeypatch.setattr(nn_descent, "EXPAND", 1)
+    monkeypatch.setattr(nn_descent, "BEAM", 12)
+    found, plain = [], nn_descent.saved
+
+    def saved(df, tag):
+        out = plain(df, tag)
+        if tag == "nn-found":
+            found.append(out)
+        return out
+
+    monkeypatch.setattr(nn_descent, "saved", saved)
+    v = np.random.default_rng(2).normal(size=(200, 12)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    assert nn_descent.search(df, F.col("vec_id") % 30 == 0).count() == 7 * 5
+    assert found[-1].count() == 7 * 12 and found[-1].filter("open").count() == 0
+
+
 def test_without_rows(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nn_descent.search(none, F.col("vec_id") % 20 == 0).count() == 0
