@@ -1,19 +1,26 @@
 """Line dedup: later copies of repeated line runs are deleted. DataFrame operations only.
 
-The lines with a word form one sequence a document; a line's id is a 128-bit hash. Prefix doubling names the runs of
-1, 2, 4, ... lines at every position from two names of half the length; any run is named by the two longest such runs
-that cover it. Names stand for ranks: suffixes that begin with equal runs, an interval of the suffix array whose longest
-common prefix is at least that run, have equal names, and nothing here needs the order of the intervals.
-
-A repeated run counts if it has min_words words or more. In the tree of intervals that cut lies, for the suffix at a
-position, at its shortest run with so many words: suffixes that share it are one interval, its member at the smallest
-(doc_id, line) is the first copy and the others are later ones. Every maximal repeated run of that weight is the union
-of such shortest runs, taken from the front and from the back of each of its lines, so deleting these deletes exactly
-the later copies of all maximal repeated runs. A shortest run has at most min_words lines, which bounds the doubling.
-
-Defined results: a null text has no lines and stays null; lines without a word are never deleted; null ids come last in
-the order; rows that agree in id and text are the same document and get the same result; runs at the same line of rows
-that share an id count as one copy; other columns are ignored; an empty table gives an empty result.
+The lines with a word form one sequence a document; a line's id is a 128-bit hash, and the order of the ids is the order
+of the alphabet. Prefix doubling sorts all suffixes of all sequences: level k holds, for every suffix that shares its
+first 2^k lines with another one, the place of these lines in the order of all such beginnings. A level comes from the
+one below by pairing each suffix's place with that of the suffix 2^k lines on: the different pairs that occur twice or
+more are range-sorted and numbered over all partitions, and the numbers go back by a join. Suffixes that stand alone
+drop out, and so do those whose beginnings are longer than any run asked for. A level is a written table.
+
+A repeated run counts if it has min_words words or more. In the tree of longest-common-prefix intervals that cut lies,
+for the suffix at a position, at its shortest run with so many words: of L lines, 2^k <= L < 2^(k+1), it is the interval
+of suffixes with the same place at level k both at its start and 2^k lines before its end. The interval's member at the
+smallest (doc_id, line) is the first copy and the others are later ones. Every maximal repeated run of that weight is
+the union of such shortest runs, taken from the front and from the back of each of its lines, so deleting these deletes
+exactly the later copies of all maximal repeated runs, and no level beyond the longest of them is made.
+
+Places, pairs and intervals are grouped with partial sums and joined by sort and merge, so that a line or passage that
+stands in a third of all documents meets in no single task; windows only run inside one document.
+
+Defined results: a null text has no lines and stays null; lines without a word are never deleted unless they stand inside
+a deleted run; null ids come last in the order; rows that agree in id and text are the same document and get the same
+result; runs at the same line of rows that share an id count as one copy; other columns stay as they are, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,75 +29,107 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, saved, table
+from .common import WORD, fresh, parallelism, saved, table
 
 MIN_WORDS = 25
 
 
-def _pair(x: Column, y: Column) -> Column:
-    return F.struct(F.xxhash64(x["a"], y["a"]).alias("a"), F.xxhash64(y["b"], x["b"], F.lit(1)).alias("b"))
-
-
-def _doubled(below: Column, half: int) -> Column:
-    """Names of runs of twice `half` lines from those of `half`."""
-    at = F.when(F.size(below) > half, F.sequence(F.lit(0), F.size(below) - half - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: _pair(F.get(below, i), F.get(below, i + half)))
+def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows, each with its own keys, and its place in their order: ranges of keys are numbered apart and then moved on by
+    the rows before them, one count a partition."""
+    parts = rows.repartitionByRange(parallelism(rows.sparkSession), *keys).withColumn("_part", F.spark_partition_id())
+    parts = parts.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(*keys)))
+    parts = saved(parts, "order")
+    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    # a row a partition
+    counts = counts.select(F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
+    return parts.join(F.broadcast(counts), F.col("_part") == F.col("_p")).select(*keys, (F.col("_at") + F.col("_before")).alias(name))
+
+
+def sequences(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, th, text) -> (d, doc_id, th) of the different documents, and their lines with words: their places,
+    ids, and the shortest runs of min_words words that begin and that end there."""
+    ids = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), F.regexp_count(x, F.lit(WORD)).alias("w")))
+    own = docs.filter("text IS NOT NULL").select("doc_id", "th", F.filter(ids, lambda x: x["w"] > 0).alias("ls")).dropDuplicates(["doc_id", "th"])
+    lines = saved(own.withColumn("d", F.monotonically_increasing_id()), "sequences")
+    of = lines.select("d", "doc_id", "th")
+    lines = lines.select("d", "doc_id", F.posexplode("ls").alias("seq", "x")).select("d", "doc_id", "seq", "x.*")
+    doc = W.partitionBy("d")
+    in_order = doc.orderBy("seq")
+    lines = lines.withColumn("after", F.sum("w").over(in_order.rowsBetween(W.unboundedPreceding, 0))).withColumn("before", F.col("after") - F.col("w"))
+    ahead, back = doc.orderBy("before").rangeBetween(0, min_words - 1), doc.orderBy("after").rangeBetween(1 - min_words, 0)
+    lines = lines.withColumn("_s", F.max(F.struct("seq", "line", "after")).over(ahead)).withColumn("_b", F.min(F.struct("seq", "line", "before")).over(back))
+    front = F.when(F.col("_s.after") - F.col("before") >= min_words, F.struct(F.col("_s.seq").alias("seq"), F.col("_s.line").alias("line")))
+    rear = F.when(F.col("after") - F.col("_b.before") >= min_words, F.struct(F.col("_b.seq").alias("seq"), F.col("_b.line").alias("line")))
+    # lines from here to the first beyond which no run asked for can reach
+    most = F.coalesce(F.lead(F.col("_s.seq")).over(in_order), F.col("seq")) - F.col("seq") + 1
+    return of, lines.select("d", "doc_id", "seq", "line", "a", "b", front.alias("front"), rear.alias("rear"), most.alias("most"))
+
+
+def levels(lines: DataFrame) -> DataFrame:
+    """(level, d, seq, place) of all suffixes that share their first 2^level lines with another one."""
+    ids = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    now = lines.select("d", "seq", "most", "a", "b").join(numbered(ids.select("a", "b"), ["a", "b"], "place").hint("merge"), ["a", "b"])
+    now = saved(now.select("d", "seq", "most", "place"), "level")
+    every, k = now.select(F.lit(0).alias("level"), "d", "seq", "place"), 0
+    while True:
+        far = F.max("place").over(W.partitionBy("d").orderBy("seq").rangeBetween(2**k, 2**k))
+        pairs = saved(now.withColumn("place2", far).filter((F.col("most") >= 2 ** (k + 1)) & F.col("place2").isNotNull()), "pairs")
+        if pairs.isEmpty():
+            return every
+        more = pairs.groupBy("place", "place2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        order = numbered(more.select("place", "place2"), ["place", "place2"], "next")
+        now = saved(pairs.join(order.hint("merge"), ["place", "place2"]).select("d", "seq", "most", F.col("next").alias("place")), "level")
+        k += 1
+        every = every.unionByName(now.select(F.lit(k).alias("level"), "d", "seq", "place"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs(doc_id, th, text) -> (doc_id, th, first, last): the lines of later copies, ranges of a document not overlapping."""
-    lines = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line", "x"))
-    lines = lines.select("doc_id", "th", "line", F.xxhash64("x").alias("a"), F.xxhash64(F.lit(1), "x").alias("b"), F.regexp_count("x", F.lit(WORD)).alias("w")).filter("w > 0")
-    doc = W.partitionBy("doc_id", "th")
-    in_order = doc.orderBy("line")
-    lines = lines.withColumn("seq", F.row_number().over(in_order) - 1).withColumn("after", F.sum("w").over(in_order.rowsBetween(W.unboundedPreceding, 0))).withColumn("before", F.col("after") - F.col("w"))
-    ahead, back = doc.orderBy("before").rangeBetween(0, min_words - 1), doc.orderBy("after").rangeBetween(1 - min_words, 0)
-    lines = lines.withColumn("ahead", F.when(F.max("after").over(ahead) - F.col("before") >= min_words, F.max("seq").over(ahead) - F.col("seq") + 1).otherwise(0))
-    lines = lines.withColumn("back", F.when(F.col("after") - F.min("before").over(back) >= min_words, F.col("seq") - F.min("seq").over(back) + 1).otherwise(0))
-    arrays = lines.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("seq", "line", "a", "b", "ahead", "back"))).alias("ls")).filter(F.exists("ls", lambda x: x["ahead"] > 0))
-    arrays = arrays.withColumn("n0", F.transform("ls", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
-    levels = min_words.bit_length()  # names of the runs of 2^k lines, each level doubled from the one below
-    for k in range(1, levels):
-        arrays = arrays.withColumn(f"n{k}", _doubled(F.col(f"n{k - 1}"), 2 ** (k - 1)))
-
-    def run(start: Column, length: Column) -> Column:
-        """Lines and name of a run: the names of the longest powers of two at its front and its back."""
-        name = None
-        for k in reversed(range(levels)):
-            level = F.col(f"n{k}")
-            both = _pair(F.get(level, start), F.get(level, start + length - 2**k))
-            name = both if name is None else F.when(length < 2 ** (k + 1), both).otherwise(name)
-        return F.struct(F.get(F.col("ls"), start)["line"].alias("first"), F.get(F.col("ls"), start + length - 1)["line"].alias("last"), length.alias("len"), name.alias("name"))
-
-    fronts = F.transform(F.filter("ls", lambda x: x["ahead"] > 0), lambda x: run(x["seq"], x["ahead"]))
-    # a run that is shortest from both ends is there already
-    backs = F.filter("ls", lambda x: (x["back"] > 0) & (F.get(F.col("ls"), x["seq"] - x["back"] + 1)["ahead"] != x["back"]))
-    runs = arrays.select("doc_id", "th", F.explode(F.concat(fronts, F.transform(backs, lambda x: run(x["seq"] - x["back"] + 1, x["back"])))).alias("r"))
-    place = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)")) * F.lit(2**31).cast("decimal(10,0)") + F.col("r.first")
-    runs = saved(runs.select("doc_id", "th", "r.first", "r.last", F.col("r.len").alias("len"), "r.name.a", "r.name.b", place.cast("decimal(38,0)").alias("place")), "runs")
-    first = saved(runs.groupBy("a", "b", "len").agg(F.min("place").alias("place0"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b", "len", "place0"), "first-copies")
-    later = runs.join(first, ["a", "b", "len"]).filter("place > place0").select("doc_id", "th", "first", "last").distinct()
+    of, lines = sequences(docs, min_words)
+    lines = saved(lines, "lines")
+    place = levels(lines)
+    run = lambda start, first, end, last: F.struct(start.alias("start"), first.alias("first"), end.alias("end"), last.alias("last"))
+    front = F.when(F.col("front").isNotNull(), run(F.col("seq"), F.col("line"), F.col("front.seq"), F.col("front.line")))
+    rear = F.when(F.col("rear").isNotNull(), run(F.col("rear.seq"), F.col("rear.line"), F.col("seq"), F.col("line")))
+    runs = lines.select("d", "doc_id", F.explode(F.filter(F.array(front, rear), lambda x: x.isNotNull())).alias("r")).select("d", "doc_id", "r.*")
+    runs = runs.withColumn("len", F.col("end") - F.col("start") + 1).withColumn("level", F.floor(F.log2("len")).cast("int"))
+    for name, at in (("p1", F.col("start")), ("p2", F.expr("`end` - shiftleft(1, level) + 1"))):
+        side = place.select(F.col("level").alias("_l"), F.col("d").alias("_d"), F.col("seq").alias("_s"), F.col("place").alias(name)).hint("merge")
+        runs = runs.withColumn("_at", at).join(side, (F.col("d") == F.col("_d")) & (F.col("_at") == F.col("_s")) & (F.col("level") == F.col("_l"))).drop("_l", "_d", "_s", "_at")
+    number = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)")) * F.lit(2**31).cast("decimal(10,0)") + F.col("first")
+    runs = saved(runs.select("d", "first", "last", "len", "p1", "p2", number.cast("decimal(38,0)").alias("place")), "runs")
+    intervals = runs.groupBy("len", "p1", "p2").agg(F.min("place").alias("place0"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("len", "p1", "p2", "place0")
+    later = runs.join(intervals.hint("merge"), ["len", "p1", "p2"]).filter("place > place0").select("d", "first", "last").distinct()
     # runs that overlap or touch become one
+    doc = W.partitionBy("d")
     reach = F.max("last").over(doc.orderBy("first", "last").rowsBetween(W.unboundedPreceding, -1))
     later = later.withColumn("new", F.when(F.col("first") <= reach + 1, 0).otherwise(1))
     later = later.withColumn("part", F.sum("new").over(doc.orderBy("first", "last").rowsBetween(W.unboundedPreceding, 0)))
-    return later.groupBy("doc_id", "th", "part").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("part")
+    later = later.groupBy("d", "part").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return later.join(of.hint("merge"), "d").select("doc_id", "th", "first", "last")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of docs with later copies cut from the text, and `_n_lines`, `_n_removed`."""
-    keyed = docs.withColumn("_th", F.xxhash64(text_col))
+    """All rows and columns of docs with later copies cut from the text, and `_n_lines`, `_n_removed`; these two names
+    are the result's own, so columns of docs that bear them are replaced."""
+    own = [c for c in docs.columns if c not in ("_n_lines", "_n_removed")]
+    mark = fresh()[:8]  # names that no column of docs has
+    th, d2, th2, gone_col = (f"_{x}_{mark}" for x in ("th", "id", "th2", "gone"))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    # rows that agree in both are one document; the join back serves all of them
-    gone = repeated_runs(plain.dropDuplicates(["doc_id", "th"]), min_words).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_gone"))
-    gone = saved(gone.withColumnsRenamed({"doc_id": "_id", "th": "_th2"}), "gone")
-    # gone has no size bound, so it is never broadcast
-    out = keyed.join(gone.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_th2")), "left")
+    gone = repeated_runs(plain, min_words).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias(gone_col))
+    gone = saved(gone.withColumnsRenamed({"doc_id": d2, "th": th2}), "gone")
+    # gone has no size bound, so it is never broadcast; rows that agree in both are one document
+    out = docs.select(*own).withColumn(th, F.xxhash64(text_col))
+    out = out.join(gone.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col(d2)) & (F.col(th) == F.col(th2)), "left")
     lines = F.split(text_col, "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.exists("_gone", lambda r: (i >= r["first"]) & (i <= r["last"])))
-    removed = F.aggregate(F.coalesce("_gone", F.array().cast("array<struct<first:int,last:int>>")), F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
+    inside = lambda i: F.exists(gone_col, lambda r: (i >= r["first"]) & (i <= r["last"]))
+    kept = F.filter(lines, lambda x, i: ~inside(i))
+    removed = F.aggregate(F.coalesce(gone_col, F.array().cast("array<struct<first:int,last:int>>")), F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
+    text: Column = F.when(F.col(gone_col).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     out = out.withColumn("_n_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("_n_removed", removed)
-    return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns, "_n_lines", "_n_removed")
+    return out.withColumn(text_col, text).select(*own, "_n_lines", "_n_removed")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
