@@ -346,3 +346,72 @@ def test_nn_descent_goes_on_until_nothing_is_open(spark, monkeypatch):
 def test_without_rows(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nn_descent.search(none, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    passage = "\n".join(" ".join(f"l{k}w{j}" for j in range(10)) for k in range(4))
+    names = "doc_id long, text string, th long, _th long, d long, seq int, place int, first int, last int, _gone string, _n_lines int"
+    rows = [(1, "a\n" + passage, *range(8), 0), (2, passage + "\n\nb", *range(8), 0), (3, "c", *range(8), 0)]
+    df = spark.createDataFrame([(*r[:9], "x", 0) for r in rows], names)
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == [c for c in df.columns if c != "_n_lines"] + ["_n_lines", "_n_removed"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert [got[i]["text"] for i in (1, 2, 3)] == [rows[0][1], "\nb", "c"] and got[1]["place"] == 4 and got[2]["_n_removed"] == 4
+
+
+def test_line_dedup_of_many_short_lines(spark):
+    r = random.Random(4)
+    unit = [f"{k} x" for k in range(6)]
+    texts = {i: "\n".join(r.choice(unit) if r.random() < 0.2 else unit[(k + i) % 6] for k in range(r.randint(5, 60))) for i in range(30)}
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    lines = {i: t.split("\n") for i, t in texts.items()}
+    for i, q in lines.items():
+        gone = set()
+        for k in range(len(q)):
+            best = 0
+            for e, s in lines.items():
+                for j in range(len(s)):
+                    n = 0
+                    if (e, j) < (i, k):
+                        while k + n < len(q) and j + n < len(s) and q[k + n] == s[j + n]:
+                            n += 1
+                    best = max(best, n)
+            if 2 * best >= line_dedup.MIN_WORDS:
+                gone |= set(range(k, k + best))
+        assert got[i]["text"] == "\n".join(x for k, x in enumerate(q) if k not in gone)
+
+
+def test_pii_adds_unmarked_forms(spark):
+    r = random.Random(9)
+    words = lambda n: " ".join(r.choice(["rain", "road", "lamp", "tree", "door", "blue"]) for _ in range(n))
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    card = lambda: next(c for c in iter(lambda: digits(16), "") if sum(int(x) if k % 2 else int(x) * 2 - 9 * (int(x) > 4) for k, x in enumerate(c)) % 10 == 0)
+    token = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    plain = [lambda: f"{r.choice('abc')}.{digits(2)}@mail{digits(1)}.example.com", lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), card, lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f'token = "{token()}"']
+    texts = {i: f"{words(8)} {r.choice(plain)()} {words(6)} order {digits(8)} of {digits(4)}-{digits(2)}-{digits(2)} {'tree' * r.randint(5, 9)} {words(3)}" for i in range(900)}
+    typo = lambda c: c[:-1] + str((int(c[-1]) + 1) % 10)
+    unmarked = {1000: ("card", typo(card())), 1001: ("secret", token()), 1002: ("email", "ann.33 (at) mail3.example.com"), 1003: ("phone", f"1 (234) {digits(3)}-{digits(4)}"), 1004: ("ip", "12,200,33,4")}
+    for i, (_, x) in unmarked.items():
+        texts[i] = f"{words(8)} {x} {words(6)}"
+    texts |= {2000: f"{words(9)} order {digits(8)} {words(5)}", 2001: words(30) + " " + "tree" * 9}
+    got = by_id(pii_boost.find_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    seen = {i: [(pii_boost.KINDS[s["kind"]], texts[i][s["start"] : s["end"]]) for s in got[i]["spans"] if not s["base"]] for i in texts}
+    assert sum(unmarked[i] in seen[i] for i in unmarked) >= 4, {i: seen[i] for i in unmarked}
+    assert not seen[2000] and not seen[2001]
+    secrets = [i for i in range(900) if "token" in texts[i]]
+    assert sum(any(k == "secret" for k, _ in seen[i]) for i in secrets) >= 0.95 * len(secrets)
+    assert sum(bool(seen[i]) for i in range(900) if i not in secrets) <= 0.03 * 900
+    red = by_id(pii_boost.redact(spark.createDataFrame(list(texts.items()), "doc_id long, text string").filter("doc_id IN (1001, 2000)")))
+    assert red[2000]["redacted"] == texts[2000]
+
+
+def test_pii_beside_and_thresholds(spark):
+    r = random.Random(2)
+    span = lambda: (lambda a: (r.randint(0, 3), a, a + r.randint(1, 9)))(r.randint(0, 60))
+    base, own = [span() for _ in range(20)], [(*span(), k) for k in range(150)]
+    got = pii_boost.beside(spark.createDataFrame(own, "row long, start int, end int, k int"), spark.createDataFrame(base, "row long, start int, end int"))
+    want = {k for row, s, e, k in own if not any(b == row and x < e and s < y for b, x, y in base)}
+    assert {x["k"] for x in got.collect()} == want and want and len(want) < 150
+    scored = [("a", 1.0, 0.99)] * 3 + [("a", 0.0, 0.97)] + [("a", 1.0, 0.9)] * 60 + [("a", 0.0, 0.5)] * 5 + [("b", 1.0, 0.9)] * 9 + [("c", 0.0, 0.9)] * 9
+    cuts = {x["kind"]: x["cut"] for x in pii_boost.thresholds(spark.createDataFrame(scored, "kind string, label double, score double")).collect()}
+    assert cuts == {"a": 0.9}
