@@ -63,9 +63,15 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes in an Arrow batch.
+BATCH_BYTES = 16 << 20
+
+
 def batch_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows in an Arrow batch: bounds what a Python worker holds when texts are long."""
+    """Rows and bytes in an Arrow batch: bounds what a Python worker holds when texts are long. The options hold for the
+    session, as results are lazy; both only cut batches and change no result."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def parallelism(spark: SparkSession) -> int:

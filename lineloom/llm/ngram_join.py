@@ -36,14 +36,14 @@ from pyspark.sql import functions as F
 
 from .common import batch_rows, parallelism, saved, table, text_or_empty
 
-#: Classes in a block of whole sets, and of parities.
-BLOCK = 500
+#: Classes and tokens in a block of whole sets; classes in a block of parities, which are bounded.
+BLOCK, BLOCK_TOKENS = 500, 1 << 19
 FILTER_BLOCK = 1000
 MOST_PARITY_BITS = 1 << 16
 #: Edges in a file of a round of connected().
 EDGES_IN_FILE = 200_000
 #: Word hashes that a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 
 class _Words(dict):
@@ -140,7 +140,7 @@ def _set_maker(width: int):
         for batch in batches:
             sets = [shingles(t, width, words) for t in batch.column(1).to_pylist()]
             data = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), batch.column(2), batch.column(3)]
-            yield pa.RecordBatch.from_arrays(data, ["id", "n", "data", "root", "size"])
+            yield pa.RecordBatch.from_arrays(data, ["id", "n", "data", "root", "blocks"])
 
     return make
 
@@ -230,23 +230,27 @@ def _closer(percent: int, whole: bool):
     return run
 
 
-def _in_blocks(members: DataFrame, block: int, percent: int, whole: bool) -> DataFrame:
-    """members(root, id, n, data, size) -> pairs that pass, from all pairs of blocks of each root."""
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
+def _in_blocks(members: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """members(root, id, n, data, blocks) -> pairs that pass, from all pairs of blocks of each root. Members are dealt by
+    a hash, so a block holds about its share of the classes and tokens."""
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "data", "own")
     dealt = dealt.repartition(parallelism(members.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j")
     return dealt.mapInArrow(_closer(percent, whole), "a long, b long")
 
 
-def _clusters(edges: DataFrame) -> DataFrame:
-    """(id, root, size) of all nodes of the edges."""
+def _clusters(edges: DataFrame, classes: DataFrame, block: int, block_tokens: int | None = None) -> DataFrame:
+    """(id, root, blocks, n, parity) of all nodes of the edges; blocks: how many a cluster needs for its classes and tokens."""
     stars = connected(edges)
-    nodes = saved(stars.select(F.col("node").alias("id"), "root").unionByName(stars.select(F.col("root").alias("id"), "root").distinct()), "clusters")
-    sizes = saved(nodes.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "cluster-sizes")
+    nodes = stars.select(F.col("node").alias("id"), "root").unionByName(stars.select(F.col("root").alias("id"), "root").distinct())
+    nodes = saved(nodes.join(classes.select(F.col("class").alias("id"), "n", "parity"), "id"), "clusters")
+    needed = F.ceil(F.count(F.lit(1)) / block)
+    if block_tokens:
+        needed = F.greatest(needed, F.ceil(F.sum("n") / block_tokens))
+    sizes = saved(nodes.groupBy(F.col("root").alias("r")).agg(needed.cast("int").alias("blocks")), "cluster-sizes")
     # a root may have a large share of the nodes: merged, so that Spark can split it
-    return saved(nodes.join(sizes.withColumnRenamed("root", "r").hint("merge"), F.col("root") == F.col("r")).select("id", "root", "size"), "clusters")
+    return nodes.join(sizes.hint("merge"), F.col("root") == F.col("r")).drop("r")
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -292,12 +296,12 @@ def components(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str =
     first = f"100 * n1 >= {percent} * n"
     pairs = pairs.filter(f"id0 IS NOT NULL AND id1 <> id AND 100 * n0 >= {percent} * n").select("id", F.expr(f"CASE WHEN {first} THEN id1 ELSE id0 END").alias("id0")).filter("id0 <> id")
     edges = pairs.select(F.col("id").alias("a"), F.col("id0").alias("b")).unionByName(grouped.filter("class <> grp").select(F.col("class").alias("a"), F.col("grp").alias("b"))).distinct()
-    light = _clusters(edges).join(classes.select(F.col("class").alias("id"), "n", F.col("parity").alias("data")), "id")
-    likely_ones = _clusters(_in_blocks(light, FILTER_BLOCK, percent, False))
+    light = _clusters(edges, classes, FILTER_BLOCK).withColumnRenamed("parity", "data")
+    likely_ones = _clusters(_in_blocks(light, percent, False), classes, BLOCK, BLOCK_TOKENS)
     # whole sets, from the whole texts, of one row a class; the ids have no size bound, so they are never broadcast
-    chosen = likely_ones.select("id", "root", "size").hint("merge")
-    sets = rows.join(chosen, "id").select("id", "text", "root", "size").mapInArrow(_set_maker(width), "id long, n long, data binary, root long, size long")
-    linked = connected(_in_blocks(sets, BLOCK, percent, True))
+    chosen = likely_ones.select("id", "root", "blocks").hint("merge")
+    sets = rows.join(chosen, "id").select("id", "text", "root", "blocks").mapInArrow(_set_maker(width), "id long, n long, data binary, root long, blocks int")
+    linked = connected(_in_blocks(sets, percent, True))
     # class -> component, then document -> class; both sides are plain tables, so Spark can split a class with many rows
     of_class = classes.select("set_key", "class").join(linked, F.col("class") == F.col("node"), "left").select("set_key", F.coalesce("root", "class").alias("component"))
     of_class = saved(of_class, "components")
