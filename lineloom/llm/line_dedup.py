@@ -100,7 +100,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         runs = runs.withColumn("_at", at).join(side, (F.col("d") == F.col("_d")) & (F.col("_at") == F.col("_s")) & (F.col("level") == F.col("_l"))).drop("_l", "_d", "_s", "_at")
     number = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)")) * F.lit(2**31).cast("decimal(10,0)") + F.col("first")
     runs = saved(runs.select("d", "first", "last", "len", "p1", "p2", number.cast("decimal(38,0)").alias("place")), "runs")
-    intervals = runs.groupBy("len", "p1", "p2").agg(F.min("place").alias("place0"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("len", "p1", "p2", "place0")
+    # a table of its own, so that the join below can split the runs of a very common passage
+    intervals = saved(runs.groupBy("len", "p1", "p2").agg(F.min("place").alias("place0"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("len", "p1", "p2", "place0"), "intervals")
     later = runs.join(intervals.hint("merge"), ["len", "p1", "p2"]).filter("place > place0").select("d", "first", "last").distinct()
     # runs that overlap or touch become one
     doc = W.partitionBy("d")
