@@ -46,11 +46,15 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def remove(spark: SparkSession, paths: list[str]) -> None:
     """Deletes scratch folders whose readers are done."""
     for path in paths:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        delete(spark, path)
         made.remove(path)
     paths.clear()
 

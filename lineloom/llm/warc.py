@@ -1,13 +1,15 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are ordered by a 64-bit hash of page, address and payload; equal ranges of that hash are the shards, so the cuts
-are even and follow from the rows alone, whatever the partitions of the input. A task streams the records of its shards
-in order into gzip members, one a record, and starts a new file when the compressed size reaches the bound. Headers and
-digests are made anew from the payload.
+Records are range-sorted by page_id, null last: the span of ids is cut into RANGES equal ranges, their bytes are summed in
+order, and a shard is the ranges in which a multiple of the shard's size begins; a range with more bytes than a shard is cut
+further by a hash of page, address and payload. So the cuts are even and follow from the rows alone, whatever the
+partitions or the cluster. A task a shard streams its records in order of (page_id, hash) into gzip members, one a record,
+and starts a new file when the compressed size reaches the bound. Headers and digests are made anew from the payload.
 
 Commit: files get a temporary name of their own for each attempt of a task; the rows of the attempts that count form a
 manifest; a second job moves the listed files to their final names, which may be repeated after a failure; the manifest
-is written last, and readers open only what it lists.
+is written last, and readers open only what it lists. What lost attempts have left goes with the temporary folder.
+Readers compare bytes, records and SHA-256 of each file with the manifest, and a cut member is an error.
 
 Equal payloads (same SHA-1 and length) are stored once: the record with the largest page_id is the response, the others
 are revisits of it. The choice is made on ids and digests only; it travels to the writers as small rows that sort just
@@ -29,13 +31,17 @@ from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch_rows, parallelism, saved, scratch, table
+from .common import batch_rows, delete, saved, scratch, table
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-SHARD_BYTES = 256 << 20
+#: Payload bytes in a shard, if that doesn't make more than MOST_SHARDS of them; headers of a record; ranges of ids.
+SHARD_BYTES, MOST_SHARDS = 8 << 20, 100_000
+HEADER_BYTES = 600
+RANGES = 1 << 16
 FILE_BYTES = 64 << 20
 LEVEL = 6
 
@@ -94,7 +100,7 @@ class _Roller:
             name = f"shard-{self.shard:08d}-{len(self.files):05d}.warc.gz"
             self.at = f"{self.root}/_temporary/{self.attempt}/{name}"
             self.fs.create_dir(self.at.rpartition("/")[0], recursive=True)
-            self.name, self.out, self.n, self.size, self.sum = name, self.fs.open_output_stream(self.at), 0, 0, hashlib.sha256()
+            self.name, self.out, self.n, self.size, self.sum = name, self.fs.open_output_stream(self.at, compression=None), 0, 0, hashlib.sha256()
         self.out.write(data)
         self.sum.update(data)
         self.n, self.size = self.n + 1, self.size + len(data)
@@ -162,24 +168,33 @@ def write_archives(pages: DataFrame, uri: str, id_col: str = "page_id", url_col:
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
     rows = rows.withColumn("key", F.xxhash64("page", "url", "digest"))
     light = saved(rows.select("page", "key", "digest", "size"), "warc-digests")
-    total = light.agg(F.sum("size")).first()[0] or 0
-    shards = max(4 * parallelism(spark), -(-total // shard_bytes))
+    seen = light.agg(F.sum(F.col("size") + HEADER_BYTES).alias("total"), F.min("page").alias("low"), F.max("page").alias("high")).first()
+    total, low, high = seen["total"] or 0, seen["low"] or 0, seen["high"] or 0
+    shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))
+    part = F.floor((F.col("page").cast("double") - F.lit(float(low))) / F.lit(float(high) - float(low) + 1.0) * RANGES)
+    part = F.coalesce(F.least(part, F.lit(RANGES - 1)), F.lit(RANGES)).cast("int")
+    # a row a range at most
+    ranges = light.groupBy(part.alias("part")).agg(F.sum(F.col("size") + HEADER_BYTES).alias("bytes"))
+    ranges = saved(ranges.withColumn("before", F.sum("bytes").over(W.orderBy("part")) - F.col("bytes")), "warc-ranges")
     # payloads that are there more than once, with the id that keeps them
     kept = saved(
         light.filter(F.col("size") >= min_revisit_bytes).groupBy("digest", "size").agg(F.max("page").alias("refers"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1 AND refers IS NOT NULL").select("digest", "size", "refers"), "warc-kept",
     )
     links = light.join(kept, ["digest", "size"]).filter("page IS NULL OR page <> refers").select("page", "key", "refers").distinct()
-    shard = F.least(F.floor((F.col("key").cast("double") / F.lit(2.0**64) + 0.5) * shards), F.lit(shards - 1)).cast("long")
+    inside = F.when(F.col("bytes") > shard_bytes, (F.col("key").cast("double") / F.lit(2.0**64) + 0.5) * F.col("bytes")).otherwise(0)
+    shard = F.least(F.floor((F.col("before") + inside) / shard_bytes), F.lit(total // shard_bytes)).cast("int")
     both = rows.select("page", "key", "url", "payload", F.lit(None).cast("long").alias("refers"), F.lit(0).alias("link")).unionByName(
         links.select("page", "key", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers", F.lit(1).alias("link"))
     )
     # ids travel as decimal text: pandas would turn longs with nulls into doubles
-    dealt = both.withColumn("shard", shard).repartition(parallelism(spark), "shard").sortWithinPartitions("shard", "key", "page", F.desc("link"))
+    dealt = both.withColumn("part", part).join(F.broadcast(ranges), "part").withColumn("shard", shard)
+    dealt = dealt.repartitionById(total // shard_bytes + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_last("page"), "key", F.desc("link"))
     dealt = dealt.select("shard", "key", F.col("page").cast("string").alias("page"), "url", "payload", F.col("refers").cast("string").alias("refers"), "link")
     made = saved(dealt.mapInPandas(_writer(uri, file_bytes), MANIFEST), "warc-made")
-    moved = made.repartition(parallelism(spark), "name").mapInPandas(_mover(uri), MANIFEST)
+    moved = made.repartition(max(1, min(made.count(), MOST_SHARDS)), "name").mapInPandas(_mover(uri), MANIFEST)
     moved.select("name", "shard", "n_records", "n_bytes", "sha256").write.mode("overwrite").parquet(f"{uri}/manifest")
+    delete(spark, f"{uri}/_temporary")
     return spark.read.parquet(f"{uri}/manifest")
 
 
@@ -194,18 +209,34 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return fields, http, body
 
 
+class _Counted:
+    """A stream that keeps the size and the SHA-256 of what has been read."""
+
+    def __init__(self, stream) -> None:
+        self.stream, self.size, self.sum = stream, 0, hashlib.sha256()
+
+    def read(self, n: int) -> bytes:
+        data = self.stream.read(n)
+        self.size += len(data)
+        self.sum.update(data)
+        return data
+
+
 def members(stream, piece: int = 1 << 20) -> Iterator[bytes]:
     """The records of an archive, read piece by piece."""
-    z, parts = zlib.decompressobj(31), []
+    z, parts, begun = zlib.decompressobj(31), [], False
     data = stream.read(piece)
     while data:
+        begun = True
         parts.append(z.decompress(data))
         if z.eof:
             yield b"".join(parts)
-            data, z, parts = z.unused_data, zlib.decompressobj(31), []
+            data, z, parts, begun = z.unused_data, zlib.decompressobj(31), [], False
             data = data or stream.read(piece)
         else:
             data = stream.read(piece)
+    if begun:
+        raise ValueError("the last member is cut")
 
 
 def _reader(uri: str, with_payload: bool):
@@ -216,9 +247,11 @@ def _reader(uri: str, with_payload: bool):
         columns, rows, size = [x.split()[0] for x in RECORDS.split(", ")], [], 0
         frame = lambda: pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
         for batch in batches:
-            for name in batch["name"]:
-                with fs.open_input_stream(f"{root}/data/{name}") as stream:
+            for name, n_records, n_bytes, digest_of in zip(batch["name"], batch["n_records"], batch["n_bytes"], batch["sha256"]):
+                with fs.open_input_stream(f"{root}/data/{name}", compression=None) as raw:  # the name would have it unpacked
+                    stream, found = _Counted(raw), 0
                     for data in members(stream):
+                        found += 1
                         fields, http, body = parse(data)
                         digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
                         if kind == "response" and sha1(body) != digest:
@@ -230,6 +263,8 @@ def _reader(uri: str, with_payload: bool):
                         if size > 16 << 20:
                             yield frame()
                             rows, size = [], 0
+                    if (found, stream.size, stream.sum.hexdigest()) != (n_records, n_bytes, digest_of):
+                        raise ValueError(f"{name} isn't what the manifest lists")
         if rows:
             yield frame()
 
@@ -237,9 +272,9 @@ def _reader(uri: str, with_payload: bool):
 
 
 def read_archives(spark: SparkSession, uri: str, with_payload: bool = True) -> DataFrame:
-    """All records that the manifest under `uri` lists, digests checked."""
-    names = spark.read.parquet(f"{uri}/manifest").select("name")
-    return names.repartition(parallelism(spark), "name").mapInPandas(_reader(uri, with_payload), RECORDS)
+    """All records that the manifest under `uri` lists, files and digests checked."""
+    names = spark.read.parquet(f"{uri}/manifest").select("name", "n_records", "n_bytes", "sha256")
+    return names.repartition(max(1, min(names.count(), MOST_SHARDS)), "name").mapInPandas(_reader(uri, with_payload), RECORDS)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,6 +258,38 @@ def test_warc(spark):
     assert warc.read_archives(spark, none).count() == 0
 
 
+def test_warc_shards_follow_from_the_rows(spark):
+    rows = [(i, f"u{i}", f"<p>{i % 40}</p>" + "x" * 200) for i in range(300)] + [(7, f"hot{i}", "y" * 900) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    made = []
+    for n in (3, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        made.append(warc.write_archives(pages.repartition(n), scratch(spark, "warc-test"), shard_bytes=50_000, file_bytes=4_000))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    a, b = ({(r["name"], r["sha256"]) for r in m.collect()} for m in made)
+    assert a == b and len({n.split("-")[1] for n, _ in a}) > 8
+    by_shard = made[0].groupBy("shard").agg(F.sum("n_records").alias("n"))
+    assert by_shard.agg(F.sum("n")).first()[0] == 600 and by_shard.agg(F.max("n")).first()[0] < 130
+
+
+def test_warc_reader_refuses_cut_files(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>") for i in range(20)], "page_id long, url string, html string")
+    uri = f"file://{tmp_path}/a"
+    warc.write_archives(pages, uri)
+    (path,) = (tmp_path / "a/data").glob("*.gz")
+    whole = path.read_bytes()
+    import gzip
+
+    assert gzip.decompress(whole).startswith(b"WARC/1.1") and gzip.decompress(whole).count(b"WARC/1.1\r\n") == 20
+    ends = [k for k in range(len(whole) - 1) if whole[k : k + 3] == b"\x1f\x8b\x08"]
+    for data in (whole[:-5], whole[: ends[-1]]):
+        path.write_bytes(data)
+        with pytest.raises(Exception, match="cut|manifest"):
+            warc.read_archives(spark, uri).collect()
+    assert not (tmp_path / "a/_temporary").exists()
+
+
 def test_toxicity(spark):
     r = random.Random(1)
     plain = lambda: " ".join(r.choice(["good", "day", "rain", "road", "lamp", "tree"]) for _ in range(20))
@@ -320,6 +352,9 @@ def test_nn_descent(spark):
         if 100 <= q < 400:
             assert [a for a, _ in got[q]] == [i for i in range(100, 107) if i != q][:5]
     assert hits / (75 * 5) >= 0.9
+    big = spark.createDataFrame([(0, [1e60, 1.0], 1), (1, [1e60, 2.0], 1), (1, [1.0, 1e60], 1), (2, [0.1 + 0.2, 0.0], 1)], "vec_id long, embedding array<double>, node int")
+    got = [(r["vec_id"], r["score"]) for r in nn_descent.search(big, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert [a for a, _ in got] == [1, 2, 1][: len(got)] or [a for a, _ in got] == [1, 2]
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["vec_id"]) for r in nn_descent.search(few, F.col("vec_id") == 0).collect()] == [(0, 1)]
 
