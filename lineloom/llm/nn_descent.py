@@ -42,7 +42,7 @@ GRAPH = "node long, near long, sim float"
 
 def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v, h) of the vectors that take part."""
-    v = F.col(vec_col).cast("array<float>")
+    v = F.col(vec_col).cast("array<double>")  # exact for floats
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL").filter(finite & F.exists(v, lambda x: x != 0))
     size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
