@@ -10,7 +10,7 @@ from lineloom import vocab
 from lineloom.functions.text import col, normalize
 from lineloom.operators.extract import number_candidates, outside_region, states_salary
 from lineloom.operators.lines import split_clauses
-from lineloom.operators.matching import first_accepted_match, match_tags
+from lineloom.operators.matching import bounded, first_accepted_match, match_tags
 
 CLASS_RANK = {"ambiguous": 0, "preferred": 1, "required": 2}
 
@@ -53,7 +53,7 @@ def requirement_findings(docs: DataFrame, spans: DataFrame, items: DataFrame) ->
     wanted = items.filter("held <> 'held'")
     keyed = clauses.select(F.struct("doc_id", "span_no", "clause_no").alias("doc_id"), F.lit(0).alias("span_no"), F.col("clause").alias("text"))
     hits = match_tags(keyed, wanted.select(F.col("item_id").alias("tag"), "phrase")).select("doc_id.*", F.col("tag").alias("item_id"))
-    rows = hits.join(clauses, ["doc_id", "span_no", "clause_no"]).join(F.broadcast(wanted.select("item_id", "held", "qualification").distinct()), "item_id")  # a rule table
+    rows = hits.join(clauses, ["doc_id", "span_no", "clause_no"]).join(bounded(wanted.select("item_id", "held", "qualification").distinct()), "item_id")
     rows = rows.join(regulatory_upgrade(docs), "doc_id")
     raised = F.col("upgraded") & F.col("qualification") & (F.col("class") == "ambiguous")
     rows = rows.withColumn("class", F.when(raised, "required").otherwise(F.col("class")))
@@ -89,11 +89,14 @@ def eligibility(docs: DataFrame, findings: list[DataFrame]) -> DataFrame:
 
 
 def warning_findings(sentences: DataFrame, rules: list[dict], years_ok: DataFrame | None = None) -> DataFrame:
-    """The first accepted match of each rule(id, pattern, severity, needs_years)."""
-    found = first_accepted_match(sentences, [(r["id"], r["pattern"]) for r in rules])
-    if years_ok is not None and (strict := [r["id"] for r in rules if r.get("needs_years")]):
-        ok = years_ok.filter("valid").select("doc_id", "quote").distinct()
-        found = found.filter(~F.col("rule_id").isin(strict)).unionByName(found.filter(F.col("rule_id").isin(strict)).join(ok, ["doc_id", "quote"], "left_semi"))
+    """The first accepted match of each rule(id, pattern, severity, needs_years). A rule that needs years passes over
+    sentences without a valid figure of years_ok(doc_id, quote, valid)."""
+    strict = tuple(r["id"] for r in rules if r.get("needs_years"))
+    accepted = None
+    if years_ok is not None and strict:
+        ok = years_ok.filter("valid").select("doc_id", F.col("quote").alias("text"), F.lit(True).alias("_figure")).distinct()
+        sentences, accepted = sentences.join(ok, ["doc_id", "text"], "left"), F.col("_figure")
+    found = first_accepted_match(sentences, [(r["id"], r["pattern"]) for r in rules], accepted, strict)
     severity = F.create_map(*(F.lit(x) for r in rules for x in (r["id"], r["severity"])))
     return found.withColumn("severity", F.element_at(severity, F.col("rule_id")))
 
@@ -194,6 +197,6 @@ def form_answers(docs: DataFrame, fixed: dict[str, str], buckets: DataFrame, reg
     profile, or the regional one outside the home regions. docs(doc_id, text, profile_id, city), buckets(bucket, salary),
     a bucket a profile."""
     rows = docs.withColumn("bucket", F.when(outside_region("city"), regional).otherwise(F.col("profile_id")))
-    rows = rows.join(F.broadcast(buckets), "bucket", "left")  # a rule table
+    rows = rows.join(bounded(buckets), "bucket", "left")
     salary = F.when(states_salary("text"), "the advertised range").when(F.col("bucket").isNull(), "no profile").otherwise(F.coalesce("salary", F.lit("not saved")))
     return rows.select("doc_id", *(F.lit(v).alias(k) for k, v in fixed.items()), salary.alias("salary_answer"))

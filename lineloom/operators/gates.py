@@ -115,26 +115,30 @@ def shorten(blocks: DataFrame, overflow: DataFrame) -> DataFrame:
     return rows.withColumn("saved", F.when(F.col("shortened"), F.col("saving")).otherwise(0)).drop("saving", "overflow")
 
 
-def drop_blocks(blocks: DataFrame, budget: int, most: int = 200) -> DataFrame:
+def drop_blocks(blocks: DataFrame, budget: int | None = None, most: int = 200) -> DataFrame:
     """(doc_id, block_no, dropped): filler, then support, the last first; a group left without bullets goes with
-    its heading. Each drop depends on those before, so a document's few blocks are one pandas group."""
+    its heading. What must go is what the cost has over the budget, or, without one, the blocks' own `left`. Each drop
+    depends on those before, so a document's few blocks are one pandas group."""
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("block_no").reset_index(drop=True)
-        gone, used = set(), int(df["cost"].sum())
-        order = [i for s in ("filler", "support") for i in reversed(range(len(df))) if df.at[i, "strength"] == s]
+        over = int(df["left"].iloc[0])
+        gone: set[int] = set()
+        order = [i for s in ("filler", "support") for i in reversed(range(len(df))) if df.at[i, "strength"] == s and df.at[i, "type"] == "bullet"]
         for i in order[:most]:
-            if used <= budget:
+            if over <= 0:
                 break
             if i in gone:
                 continue
-            group = [j for j in range(len(df)) if df.at[j, "group_id"] == df.at[i, "group_id"] and j not in gone and df.at[j, "type"] == "bullet"]
-            out = [i] if len(group) > 1 else [j for j in range(len(df)) if df.at[j, "group_id"] == df.at[i, "group_id"] and j not in gone]
+            mates = [j for j in range(len(df)) if df.at[j, "group_id"] == df.at[i, "group_id"] and j not in gone]
+            out = [i] if sum(df.at[j, "type"] == "bullet" for j in mates) > 1 else mates
             gone.update(out)
-            used -= int(df.loc[out, "cost"].sum())
-        return pd.DataFrame({"doc_id": df["doc_id"], "block_no": df["block_no"], "dropped": [i in gone for i in range(len(df))]})
+            over -= int(df.loc[out, "cost"].sum())
+        return pd.DataFrame({"doc_id": df["doc_id"], "block_no": df["block_no"], "dropped": [i in gone for i in range(len(df))], "over": max(0, over)})
 
-    return blocks.select("doc_id", "block_no", "type", "group_id", "strength", "cost").groupBy("doc_id").applyInPandas(run, "doc_id long, block_no int, dropped boolean")
+    left = F.col("left") if budget is None else F.sum("cost").over(W.partitionBy("doc_id")) - budget
+    rows = blocks.select("doc_id", "block_no", "type", "group_id", "strength", "cost", left.cast("long").alias("left"))
+    return rows.groupBy("doc_id").applyInPandas(run, "doc_id long, block_no int, dropped boolean, over long")
 
 
 def _while_over(rows: DataFrame, eligible: Column, saving: Column, order: list[Column], name: str) -> DataFrame:
@@ -149,8 +153,8 @@ def _while_over(rows: DataFrame, eligible: Column, saving: Column, order: list[C
 
 def trim_to_budget(blocks: DataFrame, budget: int) -> DataFrame:
     """The fixed order of steps: highlights that cost a line, short forms, droppable paragraphs, added terms (soft
-    first, from the bottom), dropped bullets. blocks have cost, bold_cost, short_cost, strength, droppable, added, soft.
-    """
+    first, from the bottom), dropped bullets with H12's rule of headings, at the cost that is left of them. blocks have type,
+    group_id, cost, bold_cost, short_cost, strength, droppable, added, soft."""
     rows = blocks.withColumn("left", F.greatest(F.lit(0), F.sum("cost").over(W.partitionBy("doc_id")) - budget))
     bottom = F.desc("block_no")
     rows = _while_over(rows, F.coalesce("bold_cost", F.lit(0)) > 0, F.col("bold_cost"), [bottom], "unbold")
@@ -158,8 +162,13 @@ def trim_to_budget(blocks: DataFrame, budget: int) -> DataFrame:
     rows = _while_over(rows, short > 0, short, [F.desc(strength_rank("strength")), F.desc("cost"), bottom], "shortened")
     rows = _while_over(rows, F.coalesce("droppable", F.lit(False)), F.col("cost"), [bottom], "para_dropped")
     rows = _while_over(rows, F.coalesce("added", F.lit(False)), F.col("cost"), [F.desc(F.coalesce("soft", F.lit(False))), bottom], "term_dropped")
-    rows = _while_over(rows, F.col("strength").isin("filler", "support") & (F.col("type") == "bullet") & ~F.col("shortened"), F.col("cost"), [F.desc(strength_rank("strength")), bottom], "bullet_dropped")
-    return rows.select("doc_id", "block_no", "unbold", "shortened", "para_dropped", "term_dropped", "bullet_dropped", F.col("left").alias("overflow_left"))
+    gone = F.col("para_dropped") | F.col("term_dropped")
+    now = F.col("cost") - F.when(F.col("unbold"), F.col("bold_cost")).otherwise(0)
+    now = F.when(F.col("shortened"), F.least(now, F.col("short_cost"))).otherwise(now)
+    bullets = drop_blocks(rows.filter(~gone).select("doc_id", "block_no", "type", "group_id", "strength", now.alias("cost"), "left"))
+    rows = rows.join(bullets, ["doc_id", "block_no"], "left")
+    over = F.coalesce(F.max("over").over(W.partitionBy("doc_id")), F.col("left"))
+    return rows.select("doc_id", "block_no", "unbold", "shortened", "para_dropped", "term_dropped", F.coalesce("dropped", F.lit(False)).alias("bullet_dropped"), over.cast("long").alias("overflow_left"))
 
 
 def drop_optional_paragraphs(letters: DataFrame, budget: int) -> DataFrame:

@@ -32,12 +32,13 @@ def drop_junk_lines(lines: DataFrame, junk: Iterable[str] = vocab.JUNK_LINES, co
     return lines.filter(~furniture & ~(F.col("text").rlike(f"(?i){consent}") & (F.length("text") > long)))
 
 
-def header_zone(lines: DataFrame, heading: str = r"(?i)^(?:about (?:the )?(?:job|role|position)|(?:full )?job description|description|overview|summary|the role|responsibilities)\s*:?$", most: int = 40, long: int = 160, enough: int = 3) -> DataFrame:
-    """The first lines that aren't blank, up to a heading of the description; a long line is skipped, or ends the
-    zone once enough lines are in."""
+def header_zone(lines: DataFrame, headings: Iterable[str] = vocab.DESCRIPTION_HEADINGS, most: int = 40, long: int = 160, enough: int = 3) -> DataFrame:
+    """The first lines that aren't blank, up to a heading of the description below the first of them; a long line is
+    skipped, or ends the zone once enough lines are in."""
     rows = lines.filter("text <> ''").withColumn("_long", F.length("text") > long)
     rows = rows.withColumn("_in", F.sum(F.when(F.col("_long"), 0).otherwise(1)).over(so_far()))
-    stop = F.col("text").rlike(heading) | (F.col("_long") & (F.col("_in") >= enough))
+    opens = F.col("text").rlike(rf"(?i)^(?:{'|'.join(headings)})\s*:?$")
+    stop = (opens & ~F.col("_long") & (F.col("_in") > 1)) | (F.col("_long") & (F.col("_in") >= enough))
     rows = rows.withColumn("_stopped", F.max(stop.cast("int")).over(so_far()))
     return rows.filter((F.col("_stopped") == 0) & ~F.col("_long") & (F.col("_in") <= most)).withColumn("header_no", F.col("_in").cast("int")).select("doc_id", "line_no", "header_no", "text")
 

@@ -1,7 +1,8 @@
 """Term matching between texts and vocabularies.
 
-Vocabularies are tables; exact words meet by equi-joins on exploded tokens, inexact ones by equi-joins on a stem's first
-five letters, so no operator compares every text with every term.
+Vocabularies are tables. The words of a text are first cut down to those that a vocabulary's words begin with; only these
+are exploded and joined, by equality, so no operator compares every text with every term. Rule tables are broadcast only
+where a count has shown that they are small.
 """
 
 from __future__ import annotations
@@ -15,44 +16,69 @@ from lineloom.functions.text import col, escaped, normalize, remove_stopwords, s
 PREFIX, OVERHANG = 5, 2
 
 
-def ngrams(df: DataFrame, tokens: Column, phrases: DataFrame, name: str, *keep: str) -> DataFrame:
-    """A row for each different run of as many words as one of phrases(n) has. The lengths are one row; the tokens are a
-    column of their own first: inside a lambda their expression would be evaluated again for every run."""
-    t = F.col("_tokens")
-    at = lambda k: F.when(F.size(t) >= k, F.sequence(F.lit(0), F.size(t) - k)).otherwise(F.array().cast("array<int>"))
-    run = lambda k: F.when(k == 1, t).otherwise(F.transform(at(k), lambda i: F.array_join(F.slice(t, i + 1, k), " ")))
-    lengths = phrases.filter("n > 0").agg(F.collect_set("n").alias("_lengths"))
-    rows = df.select(*keep, tokens.alias("_tokens")).crossJoin(F.broadcast(lengths))
-    return rows.select(*keep, F.explode(F.array_distinct(F.flatten(F.transform("_lengths", run)))).alias(name))
-
-
 def words_of(c: str | Column) -> Column:
     """Lower-case runs of letters, digits and underscores: what a word boundary parts."""
     return F.filter(F.split(F.lower(col(c)), "[^a-z0-9_]+"), lambda x: x != "")
 
 
+#: Rows of a rule table that a join may broadcast; larger tables are shuffled.
+MOST_RULES = 20_000
+
+
+def bounded(rules: DataFrame, most: int = MOST_RULES) -> DataFrame:
+    """The rule table, to be broadcast if its size, which is checked, allows."""
+    return F.broadcast(rules) if rules.limit(most + 1).count() <= most else rules
+
+
+WORD_CHAR = "[A-Za-z0-9_]"
+
+
+def whole(term: Column, wild: Column) -> Column:
+    """A pattern of a lower-cased term between word boundaries: where letters, digits and underscores begin or end."""
+    left = F.when(term.rlike(f"^{WORD_CHAR}"), F.lit(f"(?<!{WORD_CHAR})")).otherwise(F.lit(f"(?<={WORD_CHAR})"))
+    right = F.when(term.rlike(f"{WORD_CHAR}$"), F.lit(f"(?!{WORD_CHAR})")).otherwise(F.lit(f"(?={WORD_CHAR})"))
+    return F.concat(left, escaped(term), F.when(wild, F.lit(rf"(?:{WORD_CHAR}+(?!{WORD_CHAR})|)")).otherwise(F.lit("")), F.when(wild & term.rlike(f"{WORD_CHAR}$"), F.lit("")).otherwise(right))
+
+
+def _vocabulary(terms: DataFrame) -> DataFrame:
+    """(term, first, prefix, plain, pattern) of terms: the first word of each, whether words need only begin with it,
+    and whether finding that word is all there is to do."""
+    v = terms.select("term", F.regexp_replace(F.lower("term"), r"\*$", "").alias("base"), F.col("term").endswith("*").alias("wild"))
+    v = v.withColumn("first", F.regexp_extract("base", f"{WORD_CHAR}+", 0)).filter("first <> ''")
+    one = F.col("first") == F.col("base")
+    begins = F.col("base").endswith(F.col("first")) & (F.length(F.regexp_replace("base", WORD_CHAR, "")) == F.length("base") - F.length("first"))
+    return v.select("term", "first", (F.col("wild") & begins).alias("prefix"), one.alias("plain"), whole(F.col("base"), F.col("wild")).alias("pattern"))
+
+
 def match_terms(texts: DataFrame, terms: DataFrame, joined: bool = False) -> DataFrame:
-    """(doc_id, term) of the terms in each text, whole words, case aside; a term with a final * matches any word
-    ending. joined also looks at the text with hyphens opened. Phrases of any number of words."""
+    """(doc_id, term) of the terms in each text, between word boundaries, case aside; a term with a final *
+    matches any word ending. joined also looks at the text with hyphens opened. Terms of any length and with any marks;
+    a term without a letter or digit matches nothing.
+
+    A text's different words meet the terms' first words before anything is exploded, so rows are as many as words found;
+    terms that are more than that word are then looked for in the text itself.
+    """
     form = texts.select("doc_id", F.lower("text").alias("t"))
     if joined:
-        form = form.unionByName(texts.select("doc_id", F.lower(unhyphenate("text")).alias("t"))).distinct()
-    v = terms.select("term", F.regexp_replace(F.lower("term"), r"\*$", "").alias("base"), F.col("term").endswith("*").alias("wild"))
-    v = v.withColumn("w", F.array_join(words_of("base"), " "))
-    words = ngrams(form, words_of("t"), v.select(F.size(F.split("w", " ")).alias("n")), "w", "doc_id")
-    exact = words.join(v.filter("NOT wild").select("w", "term"), "w").select("doc_id", "term")
-    # beginnings: the stem lengths of the vocabulary, one row, make this an equi-join too
-    stems = v.filter("wild").select(F.col("w").alias("s"), "term")
-    lengths = stems.agg(F.collect_set(F.length("s")).alias("lengths"), F.max(F.size(F.split("s", " "))).alias("most"))
-    begins = words.crossJoin(F.broadcast(lengths)).filter(F.size(F.split("w", " ")) <= F.col("most")).select("doc_id", "w", F.explode(F.filter("lengths", lambda k: k <= F.length("w"))).alias("k")).select("doc_id", F.left(F.col("w"), F.col("k")).alias("s")).distinct()
-    wild = begins.join(stems, "s").select("doc_id", "term")
-    return exact.unionByName(wild).distinct()
+        opened = texts.filter(F.col("text").rlike("[A-Za-z0-9]-[A-Za-z0-9]"))
+        form = form.unionByName(opened.select("doc_id", F.lower(unhyphenate("text")).alias("t")))
+    v = _vocabulary(terms)
+    keys = v.agg(F.collect_set(F.when(~F.col("prefix"), F.col("first"))).alias("_words"), F.collect_set(F.when(F.col("prefix"), F.col("first"))).alias("_stems"), F.collect_set(F.when(F.col("prefix"), F.length("first"))).alias("_lengths"))
+    rows = form.select("doc_id", "t", F.array_distinct(words_of("t")).alias("_w")).crossJoin(F.broadcast(keys))  # one row, as large as the rule table
+    begins = lambda k: F.transform(F.filter("_w", lambda x: F.length(x) >= k), lambda x: F.left(x, k))
+    found = F.concat(
+        F.transform(F.array_intersect("_w", "_words"), lambda x: F.struct(x.alias("first"), F.lit(False).alias("prefix"))),
+        F.transform(F.array_intersect(F.flatten(F.transform("_lengths", begins)), F.col("_stems")), lambda x: F.struct(x.alias("first"), F.lit(True).alias("prefix"))),
+    )
+    rows = rows.select("doc_id", "t", F.explode(found).alias("f")).select("doc_id", "t", "f.*")
+    met = rows.join(bounded(v), ["first", "prefix"])
+    return met.filter(F.col("plain") | F.rlike("t", F.col("pattern"))).select("doc_id", "term").distinct()
 
 
 def count_hits(text: str | Column, term: str | Column) -> Column:
     """D3: occurrences that may overlap, each allowing a word ending."""
     base = F.regexp_replace(F.lower(col(term)), r"\*$", "")
-    return F.regexp_count(F.lower(col(text)), F.concat(F.lit(r"(?=\b"), escaped(base), F.lit(r"\w*\b)")))
+    return F.regexp_count(F.lower(col(text)), F.concat(F.lit(f"(?=(?<!{WORD_CHAR})"), escaped(base), F.lit(f"{WORD_CHAR}*)")))
 
 
 def stem_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -76,18 +102,26 @@ def stems_overlap(a: str | Column, b: str | Column) -> Column:
 
 def match_tags(sentences: DataFrame, tags: DataFrame) -> DataFrame:
     """(doc_id, span_no, tag) where every content stem of one of a tag's phrases overlaps some stem there, in any
-    order. tags(tag, phrase) has a row an alternative; phrases with a digit are matched literally instead."""
+    order. tags(tag, phrase) has a row an alternative; phrases with a digit are matched literally instead.
+
+    Stems that overlap share their first three letters, and so do a word and its stem: only words that share them with a
+    stem of the tags are stemmed and exploded.
+    """
     tags = tags.select("tag", "phrase", F.xxhash64("tag", "phrase").alias("alt"))
     worded = tags.filter(~F.col("phrase").rlike("[0-9]"))
-    need = worded.select("tag", "alt", F.explode(F.array_distinct(F.transform(remove_stopwords(tokenize("phrase")), stem))).alias("b"))
+    head = lambda c: F.left(F.col(c) if isinstance(c, str) else c, F.lit(3))
+    need = worded.select("tag", "alt", F.explode(F.array_distinct(F.transform(remove_stopwords(tokenize("phrase")), stem))).alias("b")).withColumn("h", head("b"))
     size = need.groupBy("alt").agg(F.count(F.lit(1)).alias("size"))
-    have = sentences.select("doc_id", "span_no", F.explode(F.array_distinct(F.transform(tokenize("text"), stem))).alias("a"))
-    pairs = stem_pairs(have.select("a"), need.select("b"))
-    met = have.join(pairs, "a").join(need, "b").groupBy("doc_id", "span_no", "tag", "alt").agg(F.count_distinct("b").alias("met"))
-    found = met.join(size, "alt").filter("met = size").select("doc_id", "span_no", "tag")
-    literal = tags.filter(F.col("phrase").rlike("[0-9]")).select("tag", normalize("phrase").alias("p"))
-    grams = ngrams(sentences, F.split(normalize("text"), " "), literal.select(F.size(F.split("p", " ")).alias("n")), "p", "doc_id", "span_no")
-    return found.unionByName(grams.join(literal, "p").select("doc_id", "span_no", "tag")).distinct()
+    heads = need.agg(F.collect_set("h").alias("_heads"))
+    words = sentences.select("doc_id", "span_no", F.array_distinct(tokenize("text")).alias("_w")).crossJoin(F.broadcast(heads))  # one row, as large as the rule table
+    have = words.select("doc_id", "span_no", F.explode(F.filter("_w", lambda x: F.array_contains("_heads", head(x)))).alias("w"))
+    have = have.select("doc_id", "span_no", stem("w").alias("a")).withColumn("h", head("a"))
+    met = have.join(bounded(need), "h").filter(stems_overlap("a", "b")).groupBy("doc_id", "span_no", "tag", "alt").agg(F.count_distinct("b").alias("met"))
+    found = met.join(bounded(size), "alt").filter("met = size").select("doc_id", "span_no", "tag")
+    literal = tags.filter(F.col("phrase").rlike("[0-9]")).select("tag", normalize("phrase").alias("term")).distinct()
+    here = match_terms(sentences.filter(F.col("text").rlike("[0-9]")).select(F.struct("doc_id", "span_no").alias("doc_id"), F.translate(normalize("text"), "%+", "__").alias("text")), literal.select(F.translate("term", "%+", "__").alias("term")).distinct())
+    literal = literal.withColumn("shown", F.translate("term", "%+", "__")).select("tag", "shown")
+    return found.unionByName(here.join(literal, F.col("term") == F.col("shown")).select("doc_id.doc_id", "doc_id.span_no", "tag")).distinct()
 
 
 def keyword_hits(sentences: DataFrame, tags: DataFrame) -> DataFrame:
@@ -119,22 +153,45 @@ def tools_mentioned(texts: DataFrame, have: DataFrame, absent: DataFrame) -> Dat
     return found.groupBy("doc_id").agg(pick(True).alias("have"), pick(False).alias("confirmed_missing"))
 
 
-def places_in(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """(doc_id, places), the distinct canonical names in order of the alphabet, by n-gram equi-join; a name inside a
-    longer one that matched doesn't count. gazetteer(name, canonical, area)."""
-    names = gazetteer.select(F.lower("name").alias("g"), "canonical", F.size(F.split("name", " ")).alias("n"))
-    grams = ngrams(texts, F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}0-9.']+", " ")), " "), names.select("n"), "g", "doc_id")
-    found = grams.join(names, "g").distinct()
-    longer = found.select(F.col("doc_id").alias("d2"), F.col("g").alias("g2"), F.col("n").alias("n2"))
-    inside = (F.col("doc_id") == F.col("d2")) & (F.col("n2") > F.col("n")) & F.contains(F.concat(F.lit(" "), F.col("g2"), F.lit(" ")), F.concat(F.lit(" "), F.col("g"), F.lit(" ")))
-    return found.join(longer, inside, "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_set("canonical")).alias("places"))
-
-
-def first_accepted_match(sentences: DataFrame, rules: list[tuple[str, str]], accepted: Column | None = None) -> DataFrame:
-    """Per document and rule the first matchable sentence that the rule's pattern finds (and `accepted` holds for)."""
-    flags = F.filter(F.array(*(F.when(F.col("text").rlike(f"(?i){p}"), F.lit(r)) for r, p in rules)), lambda x: x.isNotNull())
-    ok = F.col("matchable") if accepted is None else F.col("matchable") & accepted
-    rows = sentences.filter(ok).select("doc_id", "start", F.col("text").alias("quote"), F.explode(flags).alias("rule_id"))
+# A routing key or a numbered district, and the place that either stands for.
+DISTRICT = r"\bD[0-9]{2}\s?[A-Z0-9]{4}\b|\bDublin\s+[0-9]{1,2}\b"
+DISTRICT_OF = "Dublin"
+
+
+def places_in(texts: DataFrame, gazetteer: DataFrame, district: str = DISTRICT, stands_for: str = DISTRICT_OF) -> DataFrame:
+    """(doc_id, places), the distinct canonical names in order of their first mention, case aside; a name inside a
+    longer one doesn't count, and of names with the same beginning the longest does. A district's mark names its city,
+    before all others where nothing else does. gazetteer(name, canonical, area)."""
+    names = gazetteer.select(F.lower("name").alias("term"), "canonical").distinct()
+    text = texts.select("doc_id", F.lower("text").alias("t"))
+    found = match_terms(texts, names.select("term")).join(bounded(names), "term").join(text, "doc_id")
+    # all places of a name: it begins where each piece between its finds ends
+    before = F.split("t", whole(F.col("term"), F.lit(False)), -1)
+    spans = found.select("doc_id", "canonical", F.length("term").alias("n"), F.posexplode(F.transform(before, lambda x: F.length(x))).alias("k", "piece"), F.size(before).alias("m"))
+    order = W.partitionBy("doc_id", "canonical", "n").orderBy("k")
+    spans = spans.withColumn("at", F.sum("piece").over(order.rowsBetween(W.unboundedPreceding, 0)) + F.col("k") * F.col("n")).filter("k < m - 1")
+    # in order, the longest first at a place; what begins inside the name before it is passed over
+    state = F.struct(F.lit(0).cast("long").alias("reach"), F.array().cast("array<string>").alias("names"))
+
+    def step(a: Column, x: Column) -> Column:
+        taken = F.when(F.array_contains(a["names"], x["canonical"]), a["names"]).otherwise(F.array_append(a["names"], x["canonical"]))
+        return F.when(x["at"] >= a["reach"], F.struct((x["at"] + x["n"]).alias("reach"), taken.alias("names"))).otherwise(a)
+
+    every = F.array_sort(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), (-F.col("n")).alias("longest"), "n", "canonical")))
+    named = spans.groupBy("doc_id").agg(F.aggregate(every, state, step)["names"].alias("names"))
+    marked = texts.filter(F.col("text").rlike(district)).select("doc_id", F.lit(True).alias("marked")).distinct()
+    both = named.join(marked, "doc_id", "full").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    first = F.when(F.col("marked") & ~F.array_contains("names", stands_for), F.array(F.lit(stands_for))).otherwise(F.array().cast("array<string>"))
+    return both.select("doc_id", F.concat(first, "names").alias("places"))
+
+
+def first_accepted_match(sentences: DataFrame, rules: list[tuple[str, str]], accepted: Column | None = None, strict: tuple[str, ...] = ()) -> DataFrame:
+    """Per document and rule the first matchable sentence that the rule's pattern finds; of the rules in `strict` (of
+    all, if it is empty) the first for which `accepted` holds too."""
+    ok = F.coalesce(accepted, F.lit(False)) if accepted is not None else F.lit(True)
+    may = lambda r: ok if accepted is not None and (not strict or r in strict) else F.lit(True)
+    flags = F.filter(F.array(*(F.when(F.col("text").rlike(f"(?i){p}") & may(r), F.lit(r)) for r, p in rules)), lambda x: x.isNotNull())
+    rows = sentences.filter("matchable").select("doc_id", "start", F.col("text").alias("quote"), F.explode(flags).alias("rule_id"))
     first = W.partitionBy("doc_id", "rule_id").orderBy("start")
     return rows.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineloom.functions.text import col
-from lineloom.operators.matching import match_terms
+from lineloom.operators.matching import MOST_RULES, bounded, match_terms
 
 
 def violations(df: DataFrame, rule: str, key: str | Column, detail: str | Column) -> DataFrame:
@@ -83,7 +83,7 @@ def single_word_tags(tags: DataFrame, rule: str = "single_word_tag") -> DataFram
 def figure_guards(strings: DataFrame, guards: DataFrame, rule: str = "figure_guard") -> DataFrame:
     """strings(path, text) that hold a guard's figure without one of its required phrases, or with a forbidden one.
     guards(figure, required, forbidden) is a rule table."""
-    rows = strings.join(F.broadcast(guards), F.contains("text", "figure"))
+    rows = strings.join(bounded(guards), F.contains("text", "figure"))
     t = F.lower("text")
     missing = (F.size("required") > 0) & ~F.exists("required", lambda p: F.contains(t, F.lower(p)))
     present = F.exists("forbidden", lambda p: F.contains(t, F.lower(p)))
@@ -152,21 +152,30 @@ def token_present(df: DataFrame, key: str, column: str, where: Column, token: st
     return violations(df.filter(where & ~F.coalesce(F.contains(F.col(column), F.lit(token)), F.lit(False))), rule, key, F.lit(token))
 
 
+def saves_nothing(variants: DataFrame, rule: str = "saves_nothing") -> DataFrame:
+    """Variants whose short form is as long as the text or longer."""
+    return violations(variants.filter(F.length("short_text") >= F.length("text")), rule, "variant_id", F.length("short_text") - F.length("text"))
+
+
 def coverage_report(variants: DataFrame) -> DataFrame:
-    """How many variants there are, how many have a short form, and which save nothing by it."""
-    nothing = F.col("short_text").isNotNull() & (F.length("short_text") >= F.length("text"))
-    return variants.agg(F.count(F.lit(1)).alias("n"), F.count("short_text").alias("n_short"), F.array_sort(F.collect_list(F.when(nothing, F.col("variant_id")))).alias("saves_nothing"))
+    """How many variants there are, how many have a short form, and how many save nothing by it (saves_nothing)."""
+    nothing = F.length("short_text") >= F.length("text")
+    return variants.agg(F.count(F.lit(1)).alias("n"), F.count("short_text").alias("n_short"), F.count_if(F.coalesce(nothing, F.lit(False))).alias("n_saves_nothing"))
 
 
 def bad_patterns(rules: DataFrame, key: str, column: str, rule: str = "pattern") -> DataFrame:
-    """Patterns of a rule table that don't compile; rule tables are small and read by the driver anyway."""
-    bad = []
-    for r in rules.select(key, column).collect():
+    """Patterns of a rule table that the regular expressions of Spark's functions refuse. Each is tried by itself on
+    the driver, so the table is bounded, and refused beyond that; null is the empty pattern."""
+    rows = rules.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(column), F.lit("")).alias("p")).limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} patterns")
+    spark, bad = rules.sparkSession, []
+    for r in rows:
         try:
-            re.compile(r[column] or "")
-        except re.error as e:
-            bad.append((rule, str(r[key]), str(e)))
-    return rules.sparkSession.createDataFrame(bad, "rule string, key string, detail string")
+            spark.range(1).select(F.lit("").rlike(r["p"])).collect()
+        except PySparkException:
+            bad.append((rule, r["key"], r["p"]))
+    return spark.createDataFrame(bad, "rule string, key string, detail string")
 
 
 def validate(checks: Iterable[DataFrame]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lineloom import vocab
 from lineloom.functions.text import col, fill_template, hash31, quote_form, word_count
-from lineloom.operators.matching import match_terms
+from lineloom.operators.matching import bounded, match_terms
 
 TITLE_CAP = 45
 FALLBACK_LENGTH = 300
@@ -26,7 +26,7 @@ def score_profiles(docs: DataFrame, hits: DataFrame, profile_terms: DataFrame) -
     body = profile_terms.filter("kind = 'body'")
     got = hits.join(body, F.col("tag") == F.col("term")).groupBy("doc_id", "profile_id").agg(F.sum("weight").alias("s"))
     # every document meets every profile: profiles are a rule table, a few rows
-    pairs = docs.select("doc_id").crossJoin(F.broadcast(profile_terms.select("profile_id").distinct()))
+    pairs = docs.select("doc_id").crossJoin(bounded(profile_terms.select("profile_id").distinct()))
     return pairs.join(got, ["doc_id", "profile_id"], "left").select("doc_id", "profile_id", F.coalesce("s", F.lit(0)).cast("long").alias("body_score"))
 
 
@@ -37,7 +37,7 @@ def title_text(role: str | Column, first_line: str | Column, most: int = 120) ->
 def score_titles(titles: DataFrame, profile_terms: DataFrame, cap: int = TITLE_CAP) -> DataFrame:
     """whole-word title terms of titles(doc_id, title), summed and capped; any exclude term gives 0."""
     text = titles.select("doc_id", F.concat(F.lit(" "), F.regexp_replace(F.lower("title"), "[^a-z0-9&+]+", " "), F.lit(" ")).alias("t"))
-    terms = F.broadcast(profile_terms.filter("kind IN ('title', 'title_exclude')"))  # a rule table
+    terms = bounded(profile_terms.filter("kind IN ('title', 'title_exclude')"))
     found = text.join(terms, F.contains("t", F.concat(F.lit(" "), F.lower("term"), F.lit(" "))))
     out = found.groupBy("doc_id", "profile_id").agg(F.sum(F.when(F.col("kind") == "title", F.col("weight")).otherwise(0)).alias("s"), F.max(F.col("kind") == "title_exclude").alias("x"))
     return out.select("doc_id", "profile_id", F.when(F.col("x"), 0).otherwise(F.least("s", F.lit(cap))).cast("long").alias("title_score"))
@@ -45,7 +45,7 @@ def score_titles(titles: DataFrame, profile_terms: DataFrame, cap: int = TITLE_C
 
 def rank_profiles(body: DataFrame, titles: DataFrame, profiles: DataFrame) -> DataFrame:
     """total, 0 where a title is required and none scored; rank by score, then priority, then id."""
-    rows = body.join(titles, ["doc_id", "profile_id"], "left").join(F.broadcast(profiles), "profile_id")
+    rows = body.join(titles, ["doc_id", "profile_id"], "left").join(bounded(profiles), "profile_id")
     title = F.coalesce("title_score", F.lit(0))
     rows = rows.withColumn("score", F.when(F.col("title_required") & (title == 0), 0).otherwise(F.col("body_score") + title))
     order = W.partitionBy("doc_id").orderBy(F.desc("score"), "priority", "profile_id")
@@ -76,18 +76,20 @@ def overlap_score(variant_tags: DataFrame, hits: DataFrame) -> DataFrame:
 def pick_variant(docs: DataFrame, variants: DataFrame, variant_tags: DataFrame, hits: DataFrame, preferred: DataFrame | None = None, explicit: DataFrame | None = None) -> DataFrame:
     """A group's variant for each document: an explicit choice, then one preferred for a tag that was hit, then
     the highest overlap; the first of the file on ties. preferred(variant_id, tag), explicit(doc_id, variant_id)."""
-    rows = docs.select("doc_id").crossJoin(F.broadcast(variants.select("group_id", "variant_id", "variant_no")))  # rule rows
-    rows = rows.join(overlap_score(variant_tags, hits), ["doc_id", "variant_id"], "left")
+    own = bounded(variants.select("group_id", "variant_id", "variant_no"))
+    none = F.lit(0)
+    # only variants that something speaks for meet a document; the first of each group stands for the rest
+    for_it = overlap_score(variant_tags, hits).select("doc_id", "variant_id", none.alias("a"), none.alias("b"), "overlap")
     if preferred is not None:
-        rows = rows.join(preferred.join(hits, "tag").select("doc_id", "variant_id").distinct().withColumn("pref", F.lit(1)), ["doc_id", "variant_id"], "left")
+        for_it = for_it.unionByName(preferred.join(hits, "tag").select("doc_id", "variant_id").distinct().select("doc_id", "variant_id", none.alias("a"), F.lit(1).alias("b"), none.cast("long").alias("overlap")))
     if explicit is not None:
-        rows = rows.join(explicit.select("doc_id", "variant_id").distinct().withColumn("chosen", F.lit(1)), ["doc_id", "variant_id"], "left")
-    key = F.struct(
-        F.coalesce(F.col("chosen"), F.lit(0)).alias("a") if explicit is not None else F.lit(0).alias("a"),
-        F.coalesce(F.col("pref"), F.lit(0)).alias("b") if preferred is not None else F.lit(0).alias("b"),
-        F.coalesce("overlap", F.lit(0)).alias("c"), (-F.col("variant_no")).alias("d"),
-    )
-    return rows.groupBy("doc_id", "group_id").agg(F.max_by("variant_id", key).alias("variant_id"), F.max(F.coalesce("overlap", F.lit(0))).alias("best_overlap"))
+        for_it = for_it.unionByName(explicit.select("doc_id", "variant_id").distinct().select("doc_id", "variant_id", F.lit(1).alias("a"), none.alias("b"), none.cast("long").alias("overlap")))
+    for_it = for_it.groupBy("doc_id", "variant_id").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.max("overlap").alias("c"))
+    first = bounded(variants.groupBy("group_id").agg(F.min_by("variant_id", "variant_no").alias("variant_id"), F.min("variant_no").alias("variant_no")))
+    rows = for_it.join(own, "variant_id").select("doc_id", "group_id", "variant_id", "a", "b", "c", "variant_no")
+    rows = rows.unionByName(docs.select("doc_id").crossJoin(first).select("doc_id", "group_id", "variant_id", none.alias("a"), none.alias("b"), none.cast("long").alias("c"), "variant_no"))  # a row a group
+    key = F.struct("a", "b", "c", (-F.col("variant_no")).alias("d"))
+    return rows.groupBy("doc_id", "group_id").agg(F.max_by("variant_id", key).alias("variant_id"), F.max("c").alias("best_overlap"))
 
 
 def clean_variants(variants: DataFrame, banned: DataFrame) -> DataFrame:
@@ -203,7 +205,7 @@ def requires_tags(variants: DataFrame, required: DataFrame, hits: DataFrame) ->
     """(doc_id, variant) pairs where an entry's required(variant_id, tag) are met by one hit; no demands pass."""
     docs = hits.select("doc_id").distinct()
     met = required.join(hits, "tag").select("doc_id", "variant_id").distinct()
-    open_ = docs.crossJoin(F.broadcast(variants.join(required, "variant_id", "left_anti").select("variant_id")))  # rule rows
+    open_ = docs.crossJoin(bounded(variants.join(required, "variant_id", "left_anti").select("variant_id")))
     return met.join(variants.select("variant_id"), "variant_id").select("doc_id", "variant_id").unionByName(open_)
 
 

@@ -50,44 +50,61 @@ def _values(rows, columns: str) -> str:
 
 
 WORDS = "words AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS w FROM documents) WHERE w <> '')"
-HITS = (
-    f"{WORDS}, tagwords AS (SELECT DISTINCT tag, unnest(string_split(p, ' ')) AS w FROM {_values(q.TAGS, 'tag, p')}), sizes AS (SELECT tag, count(*) AS n FROM tagwords GROUP BY tag), "
-    "hits AS (SELECT doc_id, tag FROM words JOIN tagwords USING (w) JOIN sizes USING (tag) GROUP BY doc_id, tag, n HAVING 2 * count(*) >= n)"
-)
+
+
+
+def tag_hits(source: str) -> str:
+    """CTEs up to tf(doc_id, span_no, tag) of a table of sentences."""
+    worded = _values([t for t in q.TAGS if not any(c.isdigit() for c in t[1])], "tag, p")
+    return rf"""tw AS (SELECT DISTINCT tag, p, unnest(string_split(p, ' ')) AS w FROM {worded}), ts AS (SELECT DISTINCT tag, p, {STEM} AS b FROM tw WHERE w NOT IN {V.STOPWORDS}), tn AS (SELECT tag, p, count(*) AS n FROM ts GROUP BY ALL),
+      sw AS (SELECT DISTINCT doc_id, span_no, unnest(regexp_split_to_array(lower(text), '[^a-z0-9+%]+')) AS w FROM {source}), ss AS (SELECT DISTINCT doc_id, span_no, {STEM} AS a FROM sw WHERE w <> ''),
+      tm AS (SELECT doc_id, span_no, tag, p, count(DISTINCT b) AS k FROM ss JOIN ts ON a = b OR (least(length(a), length(b)) >= 5 AND abs(length(a) - length(b)) <= 2 AND (starts_with(a, b) OR starts_with(b, a))) GROUP BY ALL),
+      tf AS (SELECT DISTINCT doc_id, span_no, tag FROM tm JOIN tn USING (tag, p) WHERE k = n UNION SELECT doc_id, span_no, 'number' FROM {source} WHERE contains(' ' || trim(regexp_replace(lower(text), '[^a-z0-9+%]+', ' ', 'g')) || ' ', ' 2 0 '))"""
+
+
+STEM = r"""CASE WHEN length(w) <= 3 THEN w
+  WHEN w LIKE '%ation' AND length(w) >= 8 THEN left(w, length(w) - 5) WHEN w LIKE '%ing' AND length(w) >= 6 THEN left(w, length(w) - 3)
+  WHEN w LIKE '%ion' AND length(w) >= 6 THEN left(w, length(w) - 3) WHEN w LIKE '%ed' AND length(w) >= 5 THEN left(w, length(w) - 2)
+  WHEN w LIKE '%es' AND length(w) >= 5 THEN left(w, length(w) - 2) WHEN regexp_matches(w, '[^s]s$') AND length(w) >= 4 THEN left(w, length(w) - 1)
+  WHEN w LIKE '%ize' AND length(w) >= 6 THEN left(w, length(w) - 3) || 'is' WHEN w LIKE '%e' AND length(w) >= 4 THEN left(w, length(w) - 1) ELSE w END"""
+HITS = f"{SENTENCES}, ms AS (SELECT * FROM sentences WHERE matchable), {tag_hits('ms')}, hits AS (SELECT DISTINCT doc_id, tag FROM tf)"
 SCORES = (
     f"{HITS}, terms AS (SELECT * FROM {_values(q.PROFILE_TERMS, 'profile_id, kind, term, weight, term_no')}), profiles AS (SELECT * FROM {_values(q.PROFILES, 'profile_id, priority, title_required')}), "
     "body AS (SELECT d.doc_id, p.profile_id, coalesce(sum(weight) FILTER (WHERE h.tag IS NOT NULL), 0)::BIGINT AS body_score FROM documents d CROSS JOIN (SELECT DISTINCT profile_id FROM terms) p "
     "LEFT JOIN terms t ON t.profile_id = p.profile_id AND t.kind = 'body' LEFT JOIN hits h ON h.doc_id = d.doc_id AND h.tag = t.term GROUP BY ALL), "
-    "ttext AS (SELECT doc_id, ' ' || regexp_replace(lower(left(text, 120)), '[^a-z0-9&+]+', ' ', 'g') || ' ' AS t FROM documents), "
+    "ttext AS (SELECT doc_id, ' ' || regexp_replace(lower(source || ' | ' || left(string_split(text, chr(10))[1], 120)), '[^a-z0-9&+]+', ' ', 'g') || ' ' AS t FROM documents), "
     "tscore AS (SELECT doc_id, profile_id, CASE WHEN bool_or(kind = 'title_exclude') THEN 0 ELSE least(sum(CASE WHEN kind = 'title' THEN weight ELSE 0 END), 45) END AS title_score FROM ttext JOIN terms ON kind <> 'body' AND contains(t, ' ' || lower(term) || ' ') GROUP BY ALL), "
     "total AS (SELECT doc_id, profile_id, priority, CASE WHEN title_required AND coalesce(title_score, 0) = 0 THEN 0 ELSE body_score + coalesce(title_score, 0) END::BIGINT AS score FROM body LEFT JOIN tscore USING (doc_id, profile_id) JOIN profiles USING (profile_id)), "
     "ranked AS (SELECT doc_id, profile_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, priority, profile_id) AS rank FROM total)"
 )
-STEM = r"""CASE WHEN length(w) <= 3 THEN w
-  WHEN w LIKE '%ation' AND length(w) >= 8 THEN left(w, length(w) - 5) WHEN w LIKE '%ing' AND length(w) >= 6 THEN left(w, length(w) - 3)
-  WHEN w LIKE '%ion' AND length(w) >= 6 THEN left(w, length(w) - 3) WHEN w LIKE '%ed' AND length(w) >= 5 THEN left(w, length(w) - 2)
-  WHEN w LIKE '%es' AND length(w) >= 5 THEN left(w, length(w) - 2) WHEN regexp_matches(w, '[^s]s$') AND length(w) >= 4 THEN left(w, length(w) - 1)
-  WHEN w LIKE '%ize' AND length(w) >= 6 THEN left(w, length(w) - 3) || 'is' WHEN w LIKE '%e' AND length(w) >= 4 THEN left(w, length(w) - 1) ELSE w END"""
-PLAIN = r"""plain AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-    replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '\r\n?', chr(10), 'g'), '(?is)<(?:script\b.*?</script|style\b.*?</style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'),
-      '(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer)\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'),
-    '(?m)^\s*```.*$', '', 'g'), '[│├└─┌┐┘┤┬┴┼]+', ' ', 'g'), '(?m)^\s*#{1,6}\s*', '', 'g'), '\*\*|__', '', 'g'), '\[([^\]\n]*)\]\([^)\n]*\)', '\1', 'g'),
-  '[ \t\x{00A0}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ') AS t FROM pages)"""
+PLAIN = r"""plain AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '(?i)&nbsp;', ' ', 'g'), '(?i)&amp;', '&', 'g'), '(?i)&quot;', '"', 'g'), '(?i)&(?:#39|apos|rsquo|lsquo);', '''', 'g'), '(?i)&[lr]dquo;', '"', 'g'), '(?i)&ndash;', '–', 'g'), '(?i)&mdash;', '—', 'g'), '(?i)&lt;', '<', 'g'), '(?i)&gt;', '>', 'g'),
+  '\r\n?', chr(10), 'g'), '(?m)^\s*`{3,}.*$', '', 'g'), '[├└│]──\s?|[├└│]', '', 'g'), '(?m)^\s{0,3}#{1,6}\s+', '', 'g'), '\*\*|__', '', 'g'), '\[([^\]\n]+)\]\([^)\s]+\)', '\1', 'g'), '[ \t\x{00A0}]+', ' ', 'g') AS t
+  FROM (SELECT page_id, CASE WHEN regexp_matches(html, '(?i)</?(?:p|div|br|li|ul|ol|span|strong|b|i|em|h\d|section|table|tr|td)\b') THEN regexp_replace(regexp_replace(html, '(?i)<\s*(?:br|/p|/div|/li|/h\d|/tr|li|p|div|h\d)\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g') ELSE html END AS m FROM pages))"""
 JUNK = "'(?i)^(?:" + "|".join(V.JUNK_LINES).replace("'", "''") + r")\s*[»›>]*$'"
 CONSENT = "'(?i)" + V.CONSENT + "'"
+HEADING = "'(?i)^(?:" + "|".join(V.DESCRIPTION_HEADINGS).replace("'", "''") + r")\s*:?$'"
 BLOCKS = "blocks AS (SELECT doc_id, line_no::INT AS block_no, text FROM lines)"
 SMOKE = q.gates.SMOKE
 STRENGTHS = "['required', 'core', 'support', 'filler']"
 ITEM = "SELECT doc_id, block_no, c AS cost, c - c % 7 AS short_cost, s % 4 + 1 AS strength_no FROM (SELECT l_orderkey AS doc_id, l_linenumber AS block_no, sum(l_quantity)::BIGINT AS c, max(l_suppkey) AS s FROM lineitem GROUP BY ALL)"
 
 SQL = {
+    "a5_audit": "SELECT 'v1' AS data_version, to_json({'doc_id': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey, 'n': n})::VARCHAR AS value FROM nation JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey",
+    "a6_stamp": """WITH h AS (SELECT sha256(to_json({'doc_id': doc_id, 'text': text})::VARCHAR) AS h FROM documents), p AS (SELECT count(*) AS n, """ + ", ".join(f"sum(('0x' || substr(h, {15 * k + 1}, 15))::BIGINT::HUGEINT) AS p{k}" for k in range(4)) + """ FROM h) SELECT left(sha256(concat_ws(':', n, p0, p1, p2, p3)), 10) AS stamp FROM p""",
+    "i3_versions": """WITH v AS (SELECT conv_id AS key, turn AS version, text AS b, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM conversations), h AS (SELECT *, len(list_filter(range(1, least(length(a), length(b)) + 1), lambda k: left(a, k::BIGINT) = left(b, k::BIGINT))) AS head FROM v),
+      t AS (SELECT *, substr(a, head + 1) AS ra, substr(b, head + 1) AS rb, greatest(length(a), length(b)) AS longer FROM h), u AS (SELECT *, len(list_filter(range(1, least(length(ra), length(rb)) + 1), lambda k: right(ra, k::BIGINT) = right(rb, k::BIGINT))) AS tail FROM t)
+      SELECT key, version, CASE WHEN a IS NOT NULL THEN round((longer - head - tail) / greatest(longer, 1), 6) END AS changed, coalesce((longer - head - tail) / greatest(longer, 1) > 0.5, true) AS is_new FROM u""",
+    "b15_titles": "SELECT p_partkey, CASE WHEN regexp_matches(upper(p_name), '[A-Z]{4}') THEN array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') ELSE upper(p_name) END AS title, p_brand AS company, 'Title: ' || upper(p_name) || ' (remote)' AS quote FROM part",
+    "b21_highlights": r"""WITH p AS (SELECT conv_id, turn, role, text, list_transform([['1', 'the'], ['2', 'and'], ['3', 'of']], lambda w: CASE WHEN regexp_matches(text, '(?is)(?:^|[^A-Za-z0-9])' || w[2] || '(?:[^A-Za-z0-9]|$)') THEN {'at': length(regexp_extract(text, '(?is)^(|.*?[^A-Za-z0-9])' || w[2] || '(?:[^A-Za-z0-9]|$)', 1)), 'n': length(w[2])} END) AS l FROM conversations)
+      SELECT conv_id, turn, role, coalesce(array_to_string(list_transform(list_sort(list_filter(l, lambda x: x IS NOT NULL)[1:2]), lambda x: substr(text, x['at'] + 1, x['n'])), '|'), '') AS bold, true AS joins_back FROM p""",
+    "d3_hits": "WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z0-9_]+') AS l FROM documents) SELECT doc_id, len(list_filter(l, lambda x: starts_with(x, 'the')))::INT AS n_the, len(list_filter(l, lambda x: starts_with(x, 'on')))::INT AS n_on FROM w",
     "b1_html_to_plain": f"WITH {PLAIN} SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM plain",
     "b2_lines": f"WITH {LINES} SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE text = '') AS n_blank, sum(length(text))::BIGINT AS n_chars, max(line_no) AS last_line FROM lines GROUP BY doc_id",
     "b3_junk_lines": f"""WITH {PLAIN}, l AS (SELECT page_id AS doc_id, trim(regexp_replace(unnest(string_split(t, chr(10))), '^\\s+|\\s+$', '', 'g')) AS text FROM plain)
       SELECT doc_id, count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars FROM l WHERE NOT regexp_matches(text, {JUNK}) AND NOT (regexp_matches(text, {CONSENT}) AND length(text) > 25) GROUP BY doc_id""",
     "b4_header_zone": f"""WITH {LINES}, a AS (SELECT *, length(text) > 160 AS lng, sum(CASE WHEN length(text) > 160 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS n_in FROM lines WHERE text <> ''),
-      b AS (SELECT *, max(CASE WHEN regexp_matches(text, '(?i)^(?:about (?:the )?(?:job|role|position)|(?:full )?job description|description|overview|summary|the role|responsibilities)\\s*:?$') OR (lng AND n_in >= 3) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS stopped FROM a)
+      b AS (SELECT *, max(CASE WHEN (NOT lng AND n_in > 1 AND regexp_matches(text, {HEADING})) OR (lng AND n_in >= 3) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS stopped FROM a)
       SELECT doc_id, count(*) AS n, sum(line_no)::BIGINT AS line_sum, max(n_in)::INT AS last FROM b WHERE stopped = 0 AND NOT lng AND n_in <= 40 GROUP BY doc_id""",
     "b5_spans": f'WITH {SPANS} SELECT doc_id, count(*) AS n, sum("start")::BIGINT AS starts, sum("end")::BIGINT AS ends, sum(line_no)::BIGINT AS line_sum FROM spans GROUP BY doc_id',
     "b6_quote_at": f'WITH {SPANS} SELECT d.doc_id, (length(d.text) // 2)::INT AS at, span_no, length(s.text) AS n_chars FROM documents d JOIN spans s ON d.doc_id = s.doc_id AND length(d.text) // 2 >= s."start" AND length(d.text) // 2 < s."end"',
@@ -105,9 +122,9 @@ SQL = {
     "c6_requirement_sections": f"""WITH {LINES}, {HEADS.replace('{kind}', "CASE WHEN regexp_matches(h, '(?:^|[^a-z0-9_À-ɏ])the(?:[^a-z0-9_À-ɏ]|$)') THEN 'requirement' WHEN regexp_matches(h, '(?:^|[^a-z0-9_À-ɏ])(?:of|und)(?:[^a-z0-9_À-ɏ]|$)') THEN 'ignored' END")},
       s AS (SELECT *, last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l FROM heads)
       SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE l = 'ignored') AS n_ignored, count(*) FILTER (WHERE l = 'requirement') AS n_requirement FROM s WHERE heading IS NULL AND text <> '' GROUP BY doc_id""",
-    "d1_terms": f"""WITH {WORDS}, seq AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '') AS l FROM documents),
+    "d1_terms": rf"""WITH {WORDS},
       m AS (SELECT DISTINCT doc_id, term FROM words JOIN {_values([(t, t.rstrip('*'), t.endswith('*')) for t in q.TERMS if ' ' not in t], 'term, base, wild')} ON w = base OR (wild AND starts_with(w, base))
-      UNION SELECT doc_id, 'of the' FROM seq WHERE contains(' ' || array_to_string(l, ' ') || ' ', ' of the '))
+      UNION SELECT doc_id, 'of the' FROM documents WHERE regexp_matches(text, '(?i)\bof the\b'))
       SELECT term, count(*) AS n_docs, sum(doc_id)::BIGINT AS id_sum FROM m GROUP BY term""",
     "d4_stem_pairs": f"""WITH t AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z0-9+%]+')) AS w FROM benchmark), s AS (SELECT DISTINCT {STEM} AS a FROM t WHERE w <> '')
       SELECT x.a, count(*) AS n, min(y.a) AS "first", max(y.a) AS "last" FROM s x JOIN s y ON x.a = y.a OR (least(length(x.a), length(y.a)) >= 5 AND abs(length(x.a) - length(y.a)) <= 2 AND (starts_with(x.a, y.a) OR starts_with(y.a, x.a))) GROUP BY x.a""",
@@ -116,14 +133,16 @@ SQL = {
     "d11_tools": f"WITH {WORDS} SELECT doc_id, coalesce(string_agg(w, ',' ORDER BY w) FILTER (WHERE w IN ('the', 'der')), '') AS have, coalesce(string_agg(w, ',' ORDER BY w) FILTER (WHERE w IN ('la', 'of')), '') AS missing FROM words WHERE w IN ('the', 'der', 'la', 'of') GROUP BY doc_id",
     "d13_first_matches": f"""WITH {SPANS}, m AS (SELECT doc_id, 'r1' AS rule_id, "start", text FROM spans WHERE regexp_matches(text, '(?i)the [a-z]+ing') UNION ALL SELECT doc_id, 'r2', "start", text FROM spans WHERE regexp_matches(text, '(?i)^d') UNION ALL SELECT doc_id, 'r3', "start", text FROM spans WHERE regexp_matches(text, '[0-9]'))
       SELECT doc_id, rule_id, "start"::INT AS "start", length(text) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY "start") AS r FROM m) WHERE r = 1""",
-    "d14_verbatim": "WITH q AS (SELECT doc_id - doc_id % 3 AS doc_id, substr(text, 5, 30) AS quote FROM documents) SELECT q.doc_id, count(*) AS n, count(*) FILTER (WHERE contains(lower(d.text), lower(quote))) AS n_verbatim FROM q LEFT JOIN documents d USING (doc_id) GROUP BY q.doc_id",
+    "d14_verbatim": "WITH q AS (SELECT lower(r_name) AS quote FROM region UNION ALL VALUES ('the'), ('der')) SELECT l.doc_id, count(*) AS n, count(*) FILTER (WHERE contains(lower(d.text), quote)) AS n_verbatim FROM labels l CROSS JOIN q LEFT JOIN documents d USING (doc_id) GROUP BY l.doc_id",
+    "d12_places": r"""WITH m AS (SELECT doc_id, unnest(l) AS n, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '\b(?:the of|the|und|der|of|la)\b') AS l FROM documents)),
+      f AS (SELECT doc_id, CASE n WHEN 'the of' THEN 'Theof' ELSE upper(left(n, 1)) || substr(n, 2) END AS p, min(i) AS i FROM m GROUP BY ALL) SELECT doc_id, string_agg(p, ',' ORDER BY i) AS places FROM f GROUP BY doc_id""",
     "e1_numbers": rf"""WITH {SPANS}, m AS (SELECT doc_id, span_no, text, regexp_extract_all(text, '{q.UNIT}', 1) AS a, regexp_extract_all(text, '{q.UNIT}', 2) AS b FROM spans), x AS (SELECT doc_id, span_no, text, unnest(a) AS a, unnest(b) AS b, generate_subscripts(a, 1) - 1 AS no FROM m)
       SELECT doc_id, span_no, no, least(try_cast(a AS INT), coalesce(try_cast(b AS INT), try_cast(a AS INT))) AS value, regexp_matches(text, '(?i)version') AS has_context, coalesce(least(try_cast(a AS INT), coalesce(try_cast(b AS INT), try_cast(a AS INT))) <= 15, false) AS valid FROM x""",
     "e2_required": rf"""WITH {SPANS}, m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{q.UNIT}', 1)) AS a, unnest(regexp_extract_all(text, '{q.UNIT}', 2)) AS b FROM spans), v AS (SELECT doc_id, least(try_cast(a AS INT), coalesce(try_cast(b AS INT), try_cast(a AS INT))) AS v FROM m),
       g AS (SELECT doc_id, max(v) FILTER (WHERE v <= 15) AS required, count(*) AS n, count(*) FILTER (WHERE v <= 15) AS k FROM v GROUP BY doc_id) SELECT doc_id, required, coalesce(n, 0) > 0 AND coalesce(k, 0) = 0 AS all_discarded FROM (SELECT doc_id FROM documents) LEFT JOIN g USING (doc_id)""",
     "e3_labels": "SELECT conv_id AS doc_id, turn AS line_no, length(trim(regexp_extract(role || ': ' || replace(text, chr(10), ' '), '(?i)^(?:user)\\s*:\\s*(.+)$', 1))) AS n_chars FROM conversations WHERE regexp_matches(role || ': ' || replace(text, chr(10), ' '), '(?i)^(?:user)\\s*:\\s*(.+)$')",
     "e13_salary": r"""SELECT doc_id, regexp_matches(text, '[€£$]\s?[0-9]') OR regexp_matches(text, '(?i)\bper annum\b|\bp\.a\.') OR regexp_matches(text, '(?i)\b(?:salary|compensation|remuneration|pay)\b[^.\n]{0,40}[0-9]{2}') AS salary,
-      trim(left(text, 12)) <> '' AND NOT contains(lower(left(text, 12)), 'the') AND NOT contains(lower(left(text, 12)), 'der') AS outside FROM documents""",
+      trim(source) <> '' AND NOT contains(source, 'src1') AND NOT contains(source, 'src2') AS outside FROM documents""",
     "f1_scores": f"WITH {SCORES} SELECT doc_id, profile_id, body_score FROM body",
     "f3_ranks": f"WITH {SCORES} SELECT doc_id, profile_id, score, rank::INT AS rank FROM ranked",
     "f4_picks": f"WITH {SCORES} SELECT d.doc_id, CASE WHEN score = 0 AND length(text) >= 300 THEN 'en' WHEN score <> 0 THEN profile_id END AS picked, score = 0 AS no_match, score = 0 AND length(text) >= 300 AS guessed FROM documents d JOIN ranked r ON r.doc_id = d.doc_id AND rank = 1",
@@ -134,7 +153,6 @@ SQL = {
     "f18_strengths": "SELECT lower(p_type) AS tag, min(p_size % 4 + 1)::INT AS strength FROM part GROUP BY 1",
     "f21_close_match": f"WITH {SPANS} SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, '(?i)th')) AS n_hit, count(*) FILTER (WHERE regexp_matches(text, '(?i)th')) * 2 >= count(*) AS close FROM spans GROUP BY doc_id",
     "f24_rotation": "WITH h AS (SELECT c_custkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(lower(c_name), ''), lambda x: ascii(x)::BIGINT)), lambda a, x: (a * 31 + x) % 4294967296) AS hash FROM customer) SELECT c_custkey, hash, ['a', 'b', 'c', 'd', 'e', 'f', 'g'][hash % 7 + 1] AS item FROM h",
-    "g7_eligibility": f"WITH {SPANS}, f AS (SELECT doc_id, 2 AS w FROM spans WHERE regexp_matches(text, '(?i)licensed under') UNION ALL SELECT doc_id, 1 FROM spans WHERE regexp_matches(text, '[$%&]')), g AS (SELECT doc_id, max(w) AS w, count(*) AS n FROM f GROUP BY doc_id) SELECT doc_id, CASE w WHEN 2 THEN 'RED' WHEN 1 THEN 'AMBER' ELSE 'GREEN' END AS verdict, coalesce(n, 0) AS n_findings FROM (SELECT doc_id FROM documents) LEFT JOIN g USING (doc_id)",
     "g10_outcomes": "SELECT user_id::VARCHAR AS rule_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS n_rejected, max(ts::DATE)::VARCHAR AS latest FROM events GROUP BY user_id",
     "g13_verdicts": """WITH r AS (SELECT p_partkey AS doc_id, p_size > 45 AS b, p_size % 7 AS y, p_size % 3 AS m FROM part)
       SELECT doc_id, CASE WHEN b THEN 'BLOCKED' WHEN y >= 2 OR m >= 2 THEN 'STRETCH' ELSE 'GOOD' END AS verdict, CASE WHEN b THEN '' ELSE concat_ws(',', CASE WHEN y >= 5 THEN 'years_reach' END, CASE WHEN y >= 2 AND y < 5 THEN 'years_stretch' END, CASE WHEN m >= 2 THEN 'tools' END) END AS reasons FROM r""",
@@ -147,13 +165,13 @@ SQL = {
     "h10_budget": f"WITH b AS ({ITEM}) SELECT doc_id, sum(cost + 1)::BIGINT AS used, greatest(0, sum(cost + 1) - 95)::BIGINT AS overflow, sum(cost + 1) <= 95 AS fits FROM b GROUP BY doc_id",
     "h11_shorten": f"""WITH b AS ({ITEM}), o AS (SELECT *, greatest(0, sum(cost + 1) OVER (PARTITION BY doc_id) - 95) AS overflow, greatest(0, cost - short_cost) AS saving FROM b), s AS (SELECT *, coalesce(sum(saving) OVER (PARTITION BY doc_id ORDER BY strength_no DESC, cost DESC, block_no DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
       SELECT doc_id, block_no, before < overflow AND saving > 0 AS shortened, CASE WHEN before < overflow AND saving > 0 THEN saving ELSE 0 END::BIGINT AS saved FROM s""",
-    "i2_stale": "WITH m AS (SELECT doc_id AS key, CASE WHEN doc_id % 7 = 0 THEN md5(text) ELSE sha256(text) END AS h FROM documents WHERE doc_id % 5 <> 0), c AS (SELECT doc_id AS key, sha256(text) AS g FROM documents WHERE doc_id % 11 <> 0) SELECT key, CASE WHEN h IS NULL THEN 'missing' WHEN g IS NULL THEN 'extra' ELSE 'stale' END AS state FROM m FULL JOIN c USING (key) WHERE h IS DISTINCT FROM g",
-    "i4_multiset": "WITH x AS (SELECT l_returnflag, l_linestatus, l_quantity::INT AS q FROM lineitem WHERE l_orderkey % 2 = 0 EXCEPT ALL SELECT l_returnflag, l_linestatus, l_quantity::INT FROM lineitem WHERE l_orderkey % 2 = 1) SELECT l_returnflag, l_linestatus, q, count(*) AS n FROM x GROUP BY ALL",
+    "i2_stale": "WITH m AS (SELECT doc_id AS key, CASE WHEN lang = 'fr' THEN md5(text) ELSE sha256(text) END AS h FROM documents WHERE lang <> 'de'), c AS (SELECT doc_id AS key, sha256(text) AS g FROM documents WHERE n_chars < 2000) SELECT key, CASE WHEN h IS NULL THEN 'missing' WHEN g IS NULL THEN 'extra' ELSE 'stale' END AS state FROM m FULL JOIN c USING (key) WHERE h IS DISTINCT FROM g",
+    "i4_multiset": "WITH x AS (SELECT l_returnflag, l_quantity::INT AS q FROM lineitem WHERE l_linestatus = 'O' EXCEPT ALL SELECT l_returnflag, l_quantity::INT FROM lineitem WHERE l_linestatus <> 'O') SELECT l_returnflag, q, count(*) AS n FROM x GROUP BY ALL",
     "i5_baseline": f"WITH {HITS}, t AS (SELECT unnest(['english', 'german', 'french', 'spanish', 'nothing']) AS tag) SELECT tag, count(doc_id) AS n_docs, md5(coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id), '')) AS digest FROM t LEFT JOIN hits USING (tag) GROUP BY tag",
-    "i6_delta": f"WITH {HITS} SELECT tag, count(*) FILTER (WHERE doc_id % 4 <> 0 AND doc_id % 3 = 0)::INT AS n_added, count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 4 = 0)::INT AS n_removed FROM hits WHERE tag IN ('english', 'german', 'french', 'spanish') GROUP BY tag HAVING count(*) FILTER (WHERE (doc_id % 4 <> 0) <> (doc_id % 3 <> 0)) > 0",
+    "i6_delta": f"WITH {HITS} SELECT tag, count(*) FILTER (WHERE n_chars >= 4000)::INT AS n_added, count(*) FILTER (WHERE n_chars <= 400)::INT AS n_removed FROM hits JOIN documents USING (doc_id) WHERE tag IN ('english', 'german', 'french', 'spanish') GROUP BY tag HAVING count(*) FILTER (WHERE n_chars >= 4000 OR n_chars <= 400) > 0",
     "i8_accuracy": "SELECT quality::VARCHAR AS expected, CASE WHEN n_chars > 100 THEN '1' ELSE '0' END AS picked, count(*) AS n, quality::VARCHAR = CASE WHEN n_chars > 100 THEN '1' ELSE '0' END AS \"right\" FROM labels JOIN documents USING (doc_id) GROUP BY ALL",
-    "j1_dangling": "SELECT 'dangling' AS rule, l_orderkey || '-' || l_linenumber AS key, l_suppkey::VARCHAR AS detail FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 9 <> 0)",
-    "j2_coverage": "SELECT 'coverage' AS rule, c_custkey::VARCHAR AS key, count(o_orderkey)::VARCHAR AS detail FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey HAVING count(o_orderkey) < 1 OR count(o_orderkey) > 30",
+    "j1_dangling": "SELECT 'dangling' AS rule, l_orderkey || '-' || l_linenumber AS key, l_suppkey::VARCHAR AS detail FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)",
+    "j2_coverage": "SELECT 'coverage' AS rule, c_custkey::VARCHAR AS key, count(o_orderkey)::VARCHAR AS detail FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey HAVING count(o_orderkey) < 5 OR count(o_orderkey) > 12",
     "j3_domains": "SELECT 'domain' AS rule, o_orderkey::VARCHAR AS key, o_orderstatus AS detail FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT 'too_short', p_partkey::VARCHAR, length(p_name)::VARCHAR FROM part WHERE length(trim(p_name)) < 18",
     "j5_first_words": "WITH d AS (SELECT doc_id, lower(regexp_extract(text, '^\\s*([A-Za-z'']+)', 1)) AS w FROM documents) SELECT 'first_word' AS rule, doc_id::VARCHAR AS key, w AS detail FROM d WHERE w NOT IN (SELECT lower(regexp_extract(text, '^\\s*([A-Za-z'']+)', 1)) FROM benchmark WHERE regexp_extract(text, '^\\s*([A-Za-z'']+)', 1) <> '')",
     "j12_dates": """WITH r AS (SELECT l_orderkey || '-' || l_linenumber AS k, o_orderdate::DATE AS s, l_linenumber AS n, l_shipdate::DATE AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
@@ -179,5 +197,5 @@ SQL = {
     "h7_gates": rf"""WITH {LINES}, f AS (SELECT doc_id, 'smoke' AS gate FROM ({' UNION ALL '.join(f"SELECT doc_id FROM lines WHERE regexp_matches(text, '{p}')" for p in SMOKE.values())}) UNION ALL SELECT doc_id, 'required' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM lines WHERE line_no = 2)),
       g AS (SELECT d.doc_id, p.gate, count(f.gate) AS n FROM documents d CROSS JOIN (SELECT unnest(['smoke', 'required']) AS gate) p LEFT JOIN f ON f.doc_id = d.doc_id AND f.gate = p.gate GROUP BY ALL)
       SELECT doc_id, gate, n = 0 AS passed, n AS n_findings, bool_and(n = 0) OVER (PARTITION BY doc_id) AS all_passed FROM g""",
-    "a4_overlay": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name || '-x' ELSE c_name END AS c_name, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 <> 0 THEN upper(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment FROM customer",
+    "a4_overlay": "SELECT c_custkey, CASE WHEN c_mktsegment < 'F' THEN c_name || '-x' ELSE c_name END AS c_name, CASE WHEN c_mktsegment < 'BUILDING' THEN upper(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment FROM customer",
 }

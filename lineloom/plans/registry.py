@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineloom.plans import oracles, table_queries, text_queries
+from lineloom.plans import oracles, rule_oracles, rule_queries, table_queries, text_queries
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return text_queries.QUERIES | table_queries.QUERIES
+    return text_queries.QUERIES | table_queries.QUERIES | rule_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.SQL)
+    return oracles.SQL | rule_oracles.SQL

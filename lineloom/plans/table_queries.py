@@ -12,13 +12,13 @@ from lineloom.streaming import inbox
 
 def a4_overlay(spark, d):
     base = read(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    other = base.filter("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, "").otherwise(F.upper("c_mktsegment")).alias("c_mktsegment"), F.concat("c_name", F.lit("-x")).alias("c_name"))
+    other = base.filter("c_mktsegment < 'F'").select("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.upper("c_mktsegment")).alias("c_mktsegment"), F.concat("c_name", F.lit("-x")).alias("c_name"))
     return documents.overlay(base, other, "c_custkey")
 
 
 def a5_audit(spark, d):
     rows = read(spark, d, "nation").select(F.lit("v1").alias("data_version"), F.col("n_nationkey").alias("doc_id"), "n_name", "n_regionkey")
-    return documents.audit(rows.join(read(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")), "doc_id", "left"), ("n_name", "n_regionkey", "n"))
+    return documents.audit(rows.join(read(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")), "doc_id"), ("n_name", "n_regionkey", "n"))
 
 
 def a6_stamp(spark, d):
@@ -68,9 +68,9 @@ def h14_paragraphs(spark, d):
 
 
 def i2_stale(spark, d):
-    docs = docs_of(spark, d)
-    old = docs.filter("doc_id % 5 <> 0").select(F.col("doc_id").alias("key"), F.when(F.col("doc_id") % 7 == 0, F.md5("text")).otherwise(changes.content_hash("text")).alias("hash"))
-    return changes.stale_rows(old, docs.filter("doc_id % 11 <> 0").select(F.col("doc_id").alias("key"), changes.content_hash("text").alias("hash")))
+    docs = read(spark, d, "documents")
+    old = docs.filter("lang <> 'de'").select(F.col("doc_id").alias("key"), F.when(F.col("lang") == "fr", F.md5("text")).otherwise(changes.content_hash("text")).alias("hash"))
+    return changes.stale_rows(old, docs.filter("n_chars < 2000").select(F.col("doc_id").alias("key"), changes.content_hash("text").alias("hash")))
 
 
 def i3_versions(spark, d):
@@ -79,8 +79,8 @@ def i3_versions(spark, d):
 
 
 def i4_multiset(spark, d):
-    rows = read(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").alias("q"), "l_orderkey")
-    return changes.multiset_diff(rows.filter("l_orderkey % 2 = 0").drop("l_orderkey"), rows.filter("l_orderkey % 2 = 1").drop("l_orderkey")).groupBy("l_returnflag", "l_linestatus", "q").agg(F.count(F.lit(1)).alias("n"))
+    rows = read(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").cast("int").alias("q"), F.col("l_linestatus").alias("s"))
+    return changes.multiset_diff(rows.filter("s = 'O'").drop("s"), rows.filter("s <> 'O'").drop("s")).groupBy("l_returnflag", "q").agg(F.count(F.lit(1)).alias("n"))
 
 
 def i5_baseline(spark, d):
@@ -90,7 +90,9 @@ def i5_baseline(spark, d):
 
 def i6_delta(spark, d):
     tags, hits = rule_rows(spark, [("english",), ("german",), ("french",), ("spanish",)], "tag string"), hits_of(spark, d)
-    out = changes.baseline_delta(changes.tag_baseline(tags, hits.filter("doc_id % 3 <> 0")), changes.tag_baseline(tags, hits.filter("doc_id % 4 <> 0")))
+    docs = read(spark, d, "documents")
+    of = lambda keep: changes.tag_baseline(tags, hits.join(docs.filter(keep).select("doc_id"), "doc_id", "left_semi"))
+    out = changes.baseline_delta(of("n_chars < 4000"), of("n_chars > 400"))
     return out.select("tag", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"))
 
 
@@ -101,11 +103,11 @@ def i8_accuracy(spark, d):
 
 
 def j1_dangling(spark, d):
-    return quality.dangling(read(spark, d, "lineitem").withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber")), "k", "l_suppkey", read(spark, d, "supplier").filter("s_suppkey % 9 <> 0"), "s_suppkey")
+    return quality.dangling(read(spark, d, "lineitem").withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber")), "k", "l_suppkey", read(spark, d, "supplier").filter("s_acctbal > 0"), "s_suppkey")
 
 
 def j2_coverage(spark, d):
-    return quality.coverage(read(spark, d, "customer"), "c_custkey", read(spark, d, "orders"), "o_custkey", 1, 30)
+    return quality.coverage(read(spark, d, "customer"), "c_custkey", read(spark, d, "orders"), "o_custkey", 5, 12)
 
 
 def j3_domains(spark, d):

@@ -83,7 +83,7 @@ def b13_forms(spark, d):
 
 
 def b15_titles(spark, d):
-    p = read(spark, d, "part").select("p_partkey", F.concat(F.lit("Title: "), F.upper("p_type"), F.lit(" (remote) - "), F.col("p_brand")).alias("raw"), F.concat("p_brand", F.lit(" Ltd. (group)")).alias("company"))
+    p = read(spark, d, "part").select("p_partkey", F.concat(F.lit("Title: "), F.upper("p_name"), F.lit(" (remote)")).alias("raw"), F.concat("p_brand", F.lit(" Ltd. (group)")).alias("company"))
     return p.select("p_partkey", T.tidy_title("raw").alias("title"), T.tidy_name("company").alias("company"), T.quote_form(F.concat(F.lit("1. "), F.col("raw"), F.lit("."))).alias("quote"))
 
 
@@ -152,13 +152,8 @@ def d5_tags(spark, d):
 
 
 def hits_of(spark, d) -> DataFrame:
-    """Document-level hits by whole words, for the scoring queries."""
-    v = rule_rows(spark, [(w,) for _, p in TAGS for w in p.split()], "term string").distinct()
-    found = matching.match_terms(docs_of(spark, d), v)
-    words = rule_rows(spark, [(t, w) for t, p in TAGS for w in p.split()], "tag string, term string").distinct()
-    size = words.groupBy("tag").agg(F.count(F.lit(1)).alias("size"))
-    met = found.join(words, "term").groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("met"))
-    return met.join(size, "tag").filter("met * 2 >= size").select("doc_id", "tag")
+    """D8 for the scoring queries: tags hit by a matchable sentence."""
+    return matching.keyword_hits(lines.classify_sentences(docs_of(spark, d)), rule_rows(spark, TAGS, "tag string, phrase string"))
 
 
 def d9_tag_universe(spark, d):
@@ -186,7 +181,7 @@ def d13_first_matches(spark, d):
 
 def d14_verbatim(spark, d):
     t = docs_of(spark, d)
-    quotes = t.select((F.col("doc_id") - F.col("doc_id") % 3).alias("doc_id"), F.substring("text", 5, 30).alias("quote"))
+    quotes = read(spark, d, "labels").select("doc_id").crossJoin(F.broadcast(read(spark, d, "region").select(F.lower("r_name").alias("quote")).unionByName(rule_rows(spark, [("the",), ("der",)], "quote string"))))  # seven rows
     out = matching.contains_verbatim(t, quotes)
     return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("verbatim").alias("n_verbatim"))
 
@@ -207,12 +202,8 @@ def e3_labels(spark, d):
     return out.select("doc_id", "line_no", F.length("value").alias("n_chars"))
 
 
-def e6_links(spark, d):
-    return read(spark, d, "pages").select("page_id", extract.company_from_link("url", boards=("ththth",)).alias("company"))
-
-
 def e13_salary(spark, d):
-    return docs_of(spark, d).select("doc_id", extract.states_salary("text").alias("salary"), extract.outside_region(F.left("text", F.lit(12)), ("the", "der")).alias("outside"))
+    return read(spark, d, "documents").select("doc_id", extract.states_salary("text").alias("salary"), extract.outside_region("source", ("src1", "src2")).alias("outside"))
 
 
 def f1_scores(spark, d):
@@ -223,7 +214,7 @@ def f1_scores(spark, d):
 def ranked_of(spark, d) -> DataFrame:
     docs = docs_of(spark, d)
     p = rule_rows(spark, PROFILE_TERMS, "profile_id string, kind string, term string, weight int, term_no int")
-    titles = scoring.score_titles(docs.select("doc_id", F.left("text", F.lit(120)).alias("title")), p)
+    titles = scoring.score_titles(read(spark, d, "documents").select("doc_id", scoring.title_text("source", F.substring_index("text", "\n", 1)).alias("title")), p)
     profiles = rule_rows(spark, PROFILES, "profile_id string, priority int, title_required boolean")
     return scoring.rank_profiles(scoring.score_profiles(docs, hits_of(spark, d), p), titles, profiles)
 
@@ -263,13 +254,6 @@ def g1_clauses(spark, d):
     return out.groupBy("class", "explicit").agg(F.count(F.lit(1)).alias("n"))
 
 
-def g7_eligibility(spark, d):
-    s = sentences_of(spark, d)
-    red = s.filter(F.col("text").rlike("(?i)licensed under")).select("doc_id", F.lit("red").alias("severity"))
-    amber = s.filter(F.col("text").rlike(r"[$%&]")).select("doc_id", F.lit("amber").alias("severity"))
-    return findings.eligibility(docs_of(spark, d), [red, amber])
-
-
 def blocks_of(spark, d) -> DataFrame:
     return lines.explode_lines(docs_of(spark, d)).select("doc_id", F.col("line_no").alias("block_no"), F.lit("para").alias("type"), "text")
 

@@ -9,7 +9,7 @@ from lineloom.functions import text as T
 from lineloom.operators import changes, extract, findings, gates, lines, matching, quality, scoring
 from lineloom.sources import documents
 
-AD = "Junior Data Analyst\nAcme Labs Ltd\nLocation: Dublin\n\nAbout the role\nYou will build reports. We work at Acme Labs.\n\nRequirements:\nAt least 2-3 years experience with SQL, ideally Python; a degree is required.\nContact Mary Byrne for details.\n\nBenefits\nFree lunch every day."
+AD = "Junior Data Analyst\nAcme Labs Ltd\nLocation: Dublin\n\nAbout the role\nYou will build reports. We work at Acme Labs.\n\nRequirements:\nAt least 2-3 years experience with SQL, ideally Python; a degree is required.\nPlease contact Mary Byrne for details.\n\nBenefits\nFree lunch every day."
 
 
 @pytest.fixture(scope="module")
@@ -111,8 +111,8 @@ def test_drop_blocks_takes_empty_groups(spark):
 
 
 def test_trim_order(spark):
-    rows = [(1, 0, "para", "core", 10, 2, None, False, False, False), (1, 1, "para", "core", 10, 0, 6, False, False, False), (1, 2, "para", "core", 10, 0, None, True, False, False)]
-    b = spark.createDataFrame(rows, "doc_id long, block_no int, type string, strength string, cost long, bold_cost long, short_cost long, droppable boolean, added boolean, soft boolean")
+    rows = [(1, 0, "para", "g", "core", 10, 2, None, False, False, False), (1, 1, "para", "g", "core", 10, 0, 6, False, False, False), (1, 2, "para", "g", "core", 10, 0, None, True, False, False)]
+    b = spark.createDataFrame(rows, "doc_id long, block_no int, type string, group_id string, strength string, cost long, bold_cost long, short_cost long, droppable boolean, added boolean, soft boolean")
     out = {r["block_no"]: r for r in gates.trim_to_budget(b, 25).collect()}
     assert out[0]["unbold"] and out[1]["shortened"] and not out[2]["para_dropped"] and out[0]["overflow_left"] == 0
 
@@ -175,3 +175,66 @@ def test_phrases_of_any_length(spark):
     assert one(matching.match_tags(docs.withColumn("span_no", F.lit(0)), tags), "tag") == ["shift"]
     gazetteer = spark.createDataFrame([("town of newcastle upon tyne", "Newcastle", "ne"), ("newcastle", "Other", "x")], "name string, canonical string, area string")
     assert one(matching.places_in(docs, gazetteer), "places") == [["Newcastle"]]
+
+
+def test_terms_stand_between_word_boundaries(spark):
+    docs = spark.createDataFrame([(1, "we use c and go"), (2, "c++x and .net, asp.net"), (3, "Data-Science teams, dataset; one, two"), (4, "élan the thé")], "doc_id long, text string")
+    terms = lambda *t: spark.createDataFrame([(x,) for x in t], "term string")
+    got = lambda t, **k: {(r["doc_id"], r["term"]) for r in matching.match_terms(docs, t, **k).collect()}
+    assert got(terms("c++", "c", "go", ".net", "one two", "data*", "data sci*", "th", "lan")) == {(1, "c"), (1, "go"), (2, "c++"), (2, "c"), (2, ".net"), (3, "data*"), (4, "th"), (4, "lan")}
+    assert got(terms("data sci*", "data science"), joined=True) == {(3, "data sci*"), (3, "data science")}
+    assert got(terms("++", "")) == set()
+
+
+def test_places_in_text_order(spark):
+    gazetteer = spark.createDataFrame([("Cork", "Cork", "cork"), ("Dublin", "Dublin", "dublin"), ("Dublin Airport", "Dublin Airport", "dublin"), ("Airport Road", "Road", "x")], "name string, canonical string, area string")
+    docs = spark.createDataFrame([(1, "from cork to Dublin, CORK"), (2, "Dublin Airport Road in Cork"), (3, "Dublin 4 and Cork"), (4, "at D02 H638 near Cork"), (5, "none")], "doc_id long, text string")
+    got = {r["doc_id"]: r["places"] for r in matching.places_in(docs, gazetteer).collect()}
+    assert got == {1: ["Cork", "Dublin"], 2: ["Dublin Airport", "Cork"], 3: ["Dublin", "Cork"], 4: ["Dublin", "Cork"]}
+    places = extract.Places(gazetteer)
+    shown = {r["doc_id"]: r["p"] for r in docs.select("doc_id", places.all("text").alias("p")).collect()}
+    assert shown == got | {5: []}
+
+
+def test_warnings_pass_over_sentences_without_a_figure(spark):
+    docs = spark.createDataFrame([(1, "Years of experience help. You have 3 years experience."), (2, "Years of experience help.")], "doc_id long, text string")
+    s = lines.classify_sentences(docs)
+    rules = [{"id": "y", "pattern": "years", "severity": "block", "needs_years": True}, {"id": "h", "pattern": "help", "severity": "note"}]
+    got = {(r["doc_id"], r["rule_id"]): r["quote"] for r in findings.warning_findings(s, rules, extract.number_candidates(s)).collect()}
+    assert got == {(1, "y"): "You have 3 years experience.", (1, "h"): "Years of experience help.", (2, "h"): "Years of experience help."}
+
+
+def test_patterns_are_those_of_spark(spark):
+    rules = spark.createDataFrame([("a", r"\p{L}+"), ("b", "(?<x"), ("c", None), ("d", "(?P<x>y)")], "id string, p string")
+    assert sorted(one(quality.bad_patterns(rules, "id", "p"), "key")) == ["b", "d"]
+
+
+def test_entities_of_any_code(spark):
+    row = spark.createDataFrame([("<p>a&#8217;b &ldquo;c&rdquo;</p><script>x()</script>\n```js\n# T", ), ("no tags &lt;p", )], "h string")
+    assert one(row.select(T.html_to_plain("h").alias("t")), "t") == ['\na’b "c"\n x() \nT', "no tags <p"]
+    assert "x()" not in one(row.select(T.html_to_plain("h", drop_scripts=True).alias("t")), "t")[0]
+
+
+def test_trim_drops_whole_groups_at_last(spark):
+    rows = [(1, 0, "head", "g", "core", 5, False), (1, 1, "bullet", "g", "filler", 10, False), (1, 2, "bullet", "h", "support", 10, False), (1, 3, "para", "p", "core", 10, True)]
+    b = spark.createDataFrame(rows, "doc_id long, block_no int, type string, group_id string, strength string, cost long, droppable boolean")
+    b = b.selectExpr("*", "0L AS bold_cost", "cost AS short_cost", "false AS added", "false AS soft")
+    gone = lambda n: {(r["block_no"], r["para_dropped"], r["bullet_dropped"]) for r in gates.trim_to_budget(b, n).collect() if r["para_dropped"] or r["bullet_dropped"]}
+    assert gone(25) == {(3, True, False)}
+    assert gone(15) == {(3, True, False), (0, False, True), (1, False, True)}
+    assert gates.trim_to_budget(b, 35).agg(F.max("overflow_left")).first()[0] == 0
+
+
+def test_read_documents_and_rules(spark, tmp_path):
+    import json
+
+    (tmp_path / "a.txt").write_text("one – two\nthree")
+    row = documents.read_documents(spark, f"file://{tmp_path}/a.txt", "text").first()
+    assert row["path"].endswith("a.txt") and row["text"] == "one - two\nthree"
+    rules = {"version": "1", "profiles": [{"id": "p", "priority": 1, "keywords": {"sql": 3}, "title_exclude": ["lead"], "include": ["f1", "f2"], "sections": [{"type": "t", "heading": "H"}]}], "groups": [{"id": "g", "strength": "core", "variants": [{"id": "v", "text": "x", "tags": ["sql"]}]}], "terms": {"never": ["a", "b"]}, "warnings": [{"id": "w", "pattern": "x", "severity": "block"}], "requirements": [{"id": "r", "held": "held", "patterns": ["y", "z"]}]}
+    (tmp_path / "r.json").write_text(json.dumps(rules))
+    got = documents.read_rules(spark, f"file://{tmp_path}/r.json")
+    assert {k: v.count() for k, v in got.items()} == {"profiles": 1, "profile_terms": 2, "profile_includes": 2, "profile_sections": 1, "variants": 1, "variant_tags": 1, "variant_prefers": 0, "term_list": 2, "warning_rules": 1, "requirement_items": 2}
+    (tmp_path / "bad.json").write_text("{")
+    with pytest.raises(Exception):
+        documents.read_rules(spark, f"file://{tmp_path}/bad.json")["term_list"].collect()
