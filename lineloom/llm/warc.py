@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are range-sorted by page_id, null last: the span of ids is cut into RANGES equal ranges, their bytes are summed in
-order, and a shard is the ranges in which a multiple of the shard's size begins; a range with more bytes than a shard is cut
+Records are range-sorted by page_id, null last: the span of ids is cut into equal ranges (RANGES_A_SHARD for each shard that
+the bytes need, MOST_RANGES at most), their bytes are summed in order, and a shard is the ranges in which a multiple of the shard's size begins; a range with more bytes than a shard is cut
 further by a hash of page, address and payload. So the cuts are even and follow from the rows alone, whatever the
 partitions or the cluster. A task a shard streams its records in order of (page_id, hash) into gzip members, one a record,
 and starts a new file when the compressed size reaches the bound. Headers and digests are made anew from the payload.
@@ -41,7 +41,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payload bytes in a shard, if that doesn't make more than MOST_SHARDS of them; headers of a record; ranges of ids.
 SHARD_BYTES, MOST_SHARDS = 8 << 20, 100_000
 HEADER_BYTES = 600
-RANGES = 1 << 16
+RANGES_A_SHARD, MOST_RANGES = 16, 1 << 16
 FILE_BYTES = 64 << 20
 LEVEL = 6
 
@@ -171,8 +171,9 @@ def write_archives(pages: DataFrame, uri: str, id_col: str = "page_id", url_col:
     seen = light.agg(F.sum(F.col("size") + HEADER_BYTES).alias("total"), F.min("page").alias("low"), F.max("page").alias("high")).first()
     total, low, high = seen["total"] or 0, seen["low"] or 0, seen["high"] or 0
     shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))
-    part = F.floor((F.col("page").cast("double") - F.lit(float(low))) / F.lit(float(high) - float(low) + 1.0) * RANGES)
-    part = F.coalesce(F.least(part, F.lit(RANGES - 1)), F.lit(RANGES)).cast("int")
+    n_ranges = min(MOST_RANGES, RANGES_A_SHARD * (total // shard_bytes + 1))
+    part = F.floor((F.col("page").cast("double") - F.lit(float(low))) / F.lit(float(high) - float(low) + 1.0) * n_ranges)
+    part = F.coalesce(F.least(part, F.lit(n_ranges - 1)), F.lit(n_ranges)).cast("int")
     # a row a range at most
     ranges = light.groupBy(part.alias("part")).agg(F.sum(F.col("size") + HEADER_BYTES).alias("bytes"))
     ranges = saved(ranges.withColumn("before", F.sum("bytes").over(W.orderBy("part")) - F.col("bytes")), "warc-ranges")
