@@ -1,13 +1,15 @@
 """Language-model scoring by the lattice of a subword vocabulary.
 
 A text is a row of words and an end. A word, with a blank before it, is spelled by pieces of an existing byte-level
-vocabulary and a stop; its probability sums over all its segmentations, by a forward recursion in log space. The pieces'
-own scores (merge ranks, turned into a Zipf law) are the starting weights; expected piece counts over all training
-words, by forward and backward recursions, re-estimate them. Pieces that begin with a blank can only come first and the
+vocabulary and a stop; its probability sums over all its segmentations, by a forward recursion in log space. The given
+vocabularies hold merge ranks and no probabilities, so a piece's own score is a Zipf law of its rank. rounds=0 scores with
+these alone; by default they are the prior (PRIOR pieces' worth) to which `rounds` rounds of expected piece counts over the
+training words, by forward and backward recursions, are added. Pieces that begin with a blank can only come first and the
 others only later, so each kind's weights sum to one. Pieces for all single bytes give every text a probability.
 
-The lattice of a word has one more arc, the whole word as seen in training, next to its spellings; the share of words
-that take it is estimated with each word's own occurrence left out, so that spellings learn from rare words.
+The lattice of a word has one more arc, the whole word as seen in training: a word seen c times has (c - D) / N, and what
+the discount D leaves, D times the different words by N, goes to the spellings, so all words together have one. D follows
+from the words seen once and twice; spellings are learned from one occurrence of each different word.
 
 A text's probability is a product over its words, so each different word is scored once however often it stands in the
 corpus. Texts are packed into blocks that hold their words once and their tokens as numbers; only the words of a block
@@ -15,7 +17,7 @@ travel to be counted, scored and sent back, never tokens.
 
 Defined results: a null text is the empty text, whose only token is the end; a null id is held out (the empty text's
 remainder is 0); repeated rows are rows of their own; other columns are ignored; an empty table gives an empty result;
-without training rows the starting weights are used.
+without training rows the vocabulary's scores are used. Words of any length have their whole lattice summed.
 """
 
 from __future__ import annotations
@@ -34,10 +36,11 @@ from .common import batch_rows, bucket, saved, table, text_or_empty
 
 #: Tokens in a block.
 BLOCK_TOKENS = 3_000_000
-#: Longest piece in bytes, its blank included.
-LONGEST = 16
 ROUNDS = 3
-FLOOR = 0.1
+#: Occurrences that the vocabulary's own scores stand for.
+PRIOR = 1000.0
+#: Words of more bytes are summed one by one, along a band of the longest piece.
+MANY_BYTES = 200
 LOG10 = np.log(10.0)
 
 
@@ -45,11 +48,16 @@ def pieces(path: str) -> list[bytes]:
     """The pieces of a rank file that can stand in a word after a blank, best rank first, and all single bytes."""
     with open(path, "rb") as lines:
         ranked = sorted((int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, lines))
-    out = [p for _, p in ranked if len(p) <= LONGEST and len((p[1:] if p[:1] == b" " else p).split()) <= 1 and not any(c in b" \t\n\v\f\r" for c in p[1:])]
+    out = [p for _, p in ranked if len((p[1:] if p[:1] == b" " else p).split()) <= 1 and not any(c in b" \t\n\v\f\r" for c in p[1:])]
     seen = set(out)
     return out + [bytes([b]) for b in range(256) if bytes([b]) not in seen]
 
 
+def discount(once: int, twice: int) -> float:
+    """The usual estimate from the numbers of words seen once and twice."""
+    return min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.5
+
+
 def zipf(n: int) -> np.ndarray:
     """Weights that fall with the rank; the last place is the stop of a word."""
     return np.append(1.0 / (np.arange(n) + 10.0), 0.5)
@@ -155,7 +163,7 @@ class Lattice:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         for size in np.unique(sizes):
             every = np.flatnonzero(sizes == size)
-            step = max(1, 2_000_000 // int(size + 1) ** 2) if size < 200 else 1
+            step = max(1, 2_000_000 // int(size + 1) ** 2) if size < MANY_BYTES else 1
             for k in range(0, len(every), step):
                 at = every[k : k + step]
                 raw = b"".join(b" " + words[x] for x in at)
@@ -166,50 +174,62 @@ class Lattice:
         out = np.zeros(len(words))
         for at, codes in self.by_length(words):
             n, length = codes.shape
-            if length <= 200:
+            if length <= MANY_BYTES:
                 out[at] = self.forward(self.spans(codes), n, length, weights)[length]
             else:
-                out[at] = self.long(codes[0], weights)
+                starts, ends, ids = self.edges(codes[0])
+                out[at] = self.band(starts, ends, weights[ids], length)[length]
         return out + weights[-1]
 
-    def long(self, code: np.ndarray, weights: np.ndarray) -> float:
-        """The forward recursion of one long word; keeps only the last positions."""
-        length = len(code)
-        alpha = np.full(length + 1, -np.inf)
-        alpha[0] = 0.0
-        h = np.zeros(length, np.uint64)
+    def edges(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and pieces of all pieces in one word."""
         c = code.astype(np.uint64) + np.uint64(1)
-        found = np.full((self.longest, length), -1, np.int32)
+        at, h, found = np.arange(len(c)), np.zeros(len(c), np.uint64), []
         for k in range(self.longest):
-            h[: length - k] = h[: length - k] * self.STEP + c[k:]
-            found[k, : length - k] = self.find(h[: length - k])
-        cost = np.where(found >= 0, weights[found], -np.inf)
+            inside = at + k < len(c)
+            at, h = at[inside], h[inside]
+            h = h * self.STEP + c[at + k]
+            ids = self.find(h)
+            piece = ids >= 0
+            found.append((at[piece], at[piece] + k + 1, ids[piece]))
+            at, h = at[ids != -1], h[ids != -1]
+            if not len(at):
+                break
+        starts, ends, ids = (np.concatenate(x) for x in zip(*found))
+        return starts, ends, ids
+
+    @staticmethod
+    def band(starts: np.ndarray, ends: np.ndarray, cost: np.ndarray, length: int) -> np.ndarray:
+        """The forward recursion over a word's edges."""
+        order = np.argsort(ends, kind="stable")
+        starts, cost, cuts = starts[order], cost[order], np.searchsorted(ends[order], np.arange(1, length + 2))
+        alpha = np.full(length + 1, -np.inf)
+        alpha[0] = 0.0
         for j in range(1, length + 1):
-            starts = np.arange(max(0, j - self.longest), j)
-            alpha[j] = np.logaddexp.reduce(alpha[starts] + cost[j - starts - 1, starts])
-        return float(alpha[length])
-
-    def expected(self, words: list[bytes], counts: np.ndarray, weights: np.ndarray, whole: float, total: float) -> np.ndarray:
-        """Expected counts of the pieces, of the stop and, last, of words taken whole, over words that stand so often.
-        Words over 200 bytes count by their bytes."""
-        out = np.zeros(len(weights) + 1)
+            own = slice(cuts[j - 1], cuts[j])
+            alpha[j] = np.logaddexp.reduce(alpha[starts[own]] + cost[own])
+        return alpha
+
+    def expected(self, words: list[bytes], weights: np.ndarray) -> np.ndarray:
+        """Expected counts of the pieces and, last, of the stop, over one occurrence of each word."""
+        out = np.zeros(len(weights))
         kinds, amounts = [], []
         for at, codes in self.by_length(words):
             n, length = codes.shape
-            if length > 200:
-                out += counts[at[0]] * np.bincount(np.append(self.find(codes[0].astype(np.uint64) + np.uint64(1)), len(weights) - 1), minlength=len(out))
+            out[-1] += n
+            if length > MANY_BYTES:
+                starts, ends, ids = self.edges(codes[0])
+                cost = weights[ids]
+                alpha = self.band(starts, ends, cost, length)
+                beta = self.band(length - ends, length - starts, cost, length)[::-1]
+                kinds.append(ids)
+                amounts.append(np.exp(alpha[starts] + cost + beta[ends] - alpha[length]))
                 continue
             spans = self.spans(codes)
             alpha, beta = self.forward(spans, n, length, weights), self.backward(spans, n, length, weights)
-            others = whole * (counts[at] - 1) / total
-            taken = np.where(counts[at] > 1, others / (others + (1 - whole) * np.exp(alpha[length] + weights[-1]) + 1e-300), 0.0)
-            spelled = counts[at] * (1 - taken)
             for (i, j), (rows, ids) in spans.items():
-                share = np.exp(alpha[i, rows] + weights[ids] + beta[j, rows] - alpha[length, rows])
                 kinds.append(ids)
-                amounts.append(share * spelled[rows])
-            out[-2] += spelled.sum()
-            out[-1] += (counts[at] * taken).sum()
+                amounts.append(np.exp(alpha[i, rows] + weights[ids] + beta[j, rows] - alpha[length, rows]))
         return out + np.bincount(np.concatenate(kinds), np.concatenate(amounts), minlength=len(out)) if kinds else out
 
 
@@ -278,11 +298,11 @@ def _packer(most: int):
     return pack
 
 
-def _expecter(path: str, shared, weights, whole: float, n: float):
+def _expecter(path: str, shared, weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, total = _lattice(path, shared), np.zeros(len(weights.value) + 1)
+        lattice, total = _lattice(path, shared), np.zeros(len(weights.value))
         for batch in batches:
-            total += lattice.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float), weights.value, whole, n)
+            total += lattice.expected(batch.column(0).to_pylist(), weights.value)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["piece", "n"])
 
@@ -298,20 +318,20 @@ def _word_scorer(path: str, shared, weights):
     return run
 
 
-def train(vocab: DataFrame, path: str, shared, n_words: int, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Log weights of the pieces, the stop last, and the share of whole words, from vocab(word, c). A round sends at
-    most a row a piece to the driver."""
+def train(vocab: DataFrame, path: str, shared, rounds: int = ROUNDS) -> np.ndarray:
+    """Log weights of the pieces, the stop last, from the words of vocab(word, c) with c > 0. A round sends at most a row a
+    piece to the driver."""
     vocabulary = shared.value
     first = np.array([p[:1] == b" " for p in vocabulary])
-    weights, whole = normal(zipf(len(vocabulary)), first), 0.5
-    sc = vocab.sparkSession.sparkContext
-    for _ in range(rounds if n_words else 0):
-        found = vocab.filter("c > 0").mapInArrow(_expecter(path, shared, sc.broadcast(weights), whole, float(n_words)), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-        counts = np.zeros(len(weights) + 1)
+    own = normal(zipf(len(vocabulary)), first)
+    weights, sc = own, vocab.sparkSession.sparkContext
+    for _ in range(rounds):
+        found = vocab.filter("c > 0").select("word").mapInArrow(_expecter(path, shared, sc.broadcast(weights)), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+        counts = np.zeros(len(weights))
         for row in found.collect():
             counts[row["piece"]] = row["n"]
-        weights, whole = normal(counts[:-1] + FLOOR, first), min(max(counts[-1] / n_words, 1e-3), 1 - 1e-3)
-    return weights, whole
+        weights = normal(counts + PRIOR * np.exp(own), first)
+    return weights
 
 
 def score(docs: DataFrame, path: str, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -325,14 +345,16 @@ def score(docs: DataFrame, path: str, held_out: Column | None = None, id_col: st
     own = blocks.select("block", F.posexplode(F.arrays_zip("words", "n_train")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.n_train").alias("n"))
     vocab = saved(own.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
     docs_in = blocks.select(F.explode("held_out").alias("h")).agg(F.count_if(~F.col("h")).alias("d")).first()["d"] or 0
-    seen = vocab.agg(F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v")).first()
-    n, v = (seen["c"] or 0) + docs_in, (seen["v"] or 0) + (docs_in > 0)
+    seen = vocab.agg(F.sum("c").alias("c"), *(F.count_if(x).alias(k) for k, x in (("v", F.col("c") > 0), ("once", F.col("c") == 1), ("twice", F.col("c") == 2)))).first()
+    n_words, v_words = seen["c"] or 0, seen["v"] or 0
+    n, v = n_words + docs_in, v_words + (docs_in > 0)
+    left = discount(seen["once"] or 0, seen["twice"] or 0)
     vocabulary = pieces(path)
     shared = spark.sparkContext.broadcast(vocabulary)  # bounded by the vocabulary file
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")  # words, not texts
-    n_words = n - docs_in
-    weights, whole = train(vocab, path, shared, n_words, rounds)
+    batch_rows(spark, 20_000)  # words, not texts
+    weights = train(vocab, path, shared, rounds if n_words else 0)
     scored = saved(vocab.mapInArrow(_word_scorer(path, shared, spark.sparkContext.broadcast(weights)), "word binary, c long, log_p float"), "lm-scored")
+    batch_rows(spark)
     back = own.select("block", "at", "word").join(scored, "word").select("block", "at", "c", "log_p")
     below = np.log10(n + 0.1 * (v + 1)) if n else 0.0
     p_end = (docs_in + 1.0) / (n + 2.0)
@@ -344,7 +366,8 @@ def score(docs: DataFrame, path: str, held_out: Column | None = None, id_col: st
         c[at], p[at] = words.column("c").to_numpy(), words.column("log_p").to_numpy() / LOG10
         base = np.log10(c + 0.1) - below
         if n_words:
-            p = np.logaddexp(np.log(np.maximum(c, 1e-300) / n_words * whole), p * LOG10 + np.log(1 - whole)) / LOG10
+            seen_as = np.log(np.maximum((c - left) / n_words, 1e-300))
+            p = np.logaddexp(np.where(c > 0, seen_as, -np.inf), p * LOG10 + np.log(left * v_words / n_words)) / LOG10
         p = p + np.log10(1 - p_end)
         for ids, held, lengths, flat in zip(*(block.column(k).to_pylist() for k in ("ids", "held_out", "lengths", "tokens"))):
             tokens = unpacked(flat)
@@ -361,8 +384,8 @@ def score(docs: DataFrame, path: str, held_out: Column | None = None, id_col: st
         return pa.concat_tables(out) if out else pa.table({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    left = blocks.select(F.col("block").alias("b"), "ids", "held_out", "lengths", "tokens")
-    return left.groupBy("b").cogroup(back.groupBy("block")).applyInArrow(total, schema)
+    whole = blocks.select(F.col("block").alias("b"), "ids", "held_out", "lengths", "tokens")
+    return whole.groupBy("b").cogroup(back.groupBy("block")).applyInArrow(total, schema)
 
 
 def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,19 +223,50 @@ def test_lattice(docs, texts, empty):
         x = b" " + word
         alpha = [0.0] + [-math.inf] * len(x)
         for j in range(1, len(x) + 1):
-            terms = [alpha[i] + w[number[x[i:j]]] for i in range(max(0, j - lattice_lm.LONGEST), j) if x[i:j] in number]
+            terms = [alpha[i] + w[number[x[i:j]]] for i in range(max(0, j - lattice.longest), j) if x[i:j] in number]
             alpha[j] = np.logaddexp.reduce(terms)
         assert math.isclose(got, alpha[-1] + w[-1], rel_tol=1e-9)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
     got = by_id(lattice_lm.score(docs, PATH, held, rounds=1))
+    plain = by_id(lattice_lm.score(docs, PATH, held, rounds=0))
     tokens = {i: (t or "").encode().lower().split() + [None] for i, t in texts.items()}
     c = Counter(x for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 10 for x in t)
     n, v = sum(c.values()), len(c)
+    ends, words = c[None], [x for x in c if x is not None]
+
+    def lattice_of(word, w):
+        """Log probability over all segmentations, and the expected count of each piece."""
+        x, cost = b" " + word, lambda y: w[number[y]]
+        near = lambda i: [j for j in range(i + 1, min(len(x), i + lattice.longest) + 1) if x[i:j] in number]
+        alpha, beta = [0.0] + [-math.inf] * len(x), [-math.inf] * len(x) + [0.0]
+        for i in range(len(x)):
+            for j in near(i):
+                alpha[j] = np.logaddexp(alpha[j], alpha[i] + cost(x[i:j]))
+        for i in reversed(range(len(x))):
+            for j in near(i):
+                beta[i] = np.logaddexp(beta[i], beta[j] + cost(x[i:j]))
+        return alpha[-1], [(number[x[i:j]], math.exp(alpha[i] + cost(x[i:j]) + beta[j] - alpha[-1])) for i in range(len(x)) for j in near(i)]
+
+    counts = lattice_lm.PRIOR * np.exp(w)
+    for x in words:
+        counts[-1] += 1
+        for k, share in lattice_of(x, w)[1]:
+            counts[k] += share
+    learned = lattice_lm.normal(counts, first)
+    d = lattice_lm.discount(sum(c[x] == 1 for x in words), sum(c[x] == 2 for x in words))
+    n_words, p_end = n - ends, (ends + 1) / (n + 2)
+    assert abs(sum((c[x] - d) / n_words for x in words) + d * len(words) / n_words - 1) < 1e-9
     for i, t in tokens.items():
         r = got[i]
         base = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t)
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(i).encode()) % 10 == 0, len(t), sum(c[x] > 0 for x in t), n)
-        assert math.isclose(r["base_score"], base, rel_tol=1e-6) and r["score"] < 0
+        assert math.isclose(r["base_score"], base, rel_tol=1e-6)
+        for row, weights in ((r, learned), (plain[i], w)):
+            score = math.log10(p_end)
+            for x in t[:-1]:
+                spelled = math.log(d * len(words) / n_words) + lattice_of(x, weights)[0] + weights[-1]
+                score += (np.logaddexp(math.log((c[x] - d) / n_words) if c[x] else -math.inf, spelled)) / math.log(10) + math.log10(1 - p_end)
+            assert math.isclose(row["score"], score, rel_tol=1e-5), (i, row["score"], score)
     assert lattice_lm.score(empty, PATH, held).count() == 0
 
 
