@@ -1,12 +1,14 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick over folded text.
 
 Folding lower-cases, strips accents, replaces look-alike letters of other scripts and digits or signs that stand for
-letters, and turns everything else into blanks. Lexicon entries are whole words and word beginnings with the log-odds of
-their document frequencies in labelled rows; one automaton finds all of them in one pass. A hit inside an exception
-phrase doesn't count. The weights of a document's hits, each word counted once by its heaviest entry, are normalised by
+letters, and turns everything else into blanks. Lexicon entries are whole words of any length and word beginnings with the
+lower end of the log-odds of their document frequencies in labelled rows; one automaton finds all of them in one pass. A
+hit inside an exception phrase doesn't count: the given ones, and pairs of a lexicon word and its neighbour whose own
+log-odds are below nothing even at their upper end. The weights of a document's hits, each word counted once by its heaviest entry, are normalised by
 length, and a logistic curve fitted on labelled rows that the lexicon hasn't seen turns them into a score.
 
-Fitting reads a bounded sample of the labelled rows (LEXICON_ROWS and CURVE_ROWS, by hash order); scoring reads all rows.
+Fitting reads a bounded sample of the labelled rows (LEXICON_ROWS and CURVE_ROWS, by hash order), which bounds the lexicon
+too; scoring reads all rows.
 
 Defined results: null and empty texts have no hits and get the curve's value for none; rows with a null label aren't
 learned from; without labelled rows the lexicon is empty and every score is the default prior; other columns are
@@ -18,7 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from math import log
 
@@ -27,13 +29,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, bucket, parallelism, table, text_or_empty
+from .common import batch_rows, bucket, table, text_or_empty
 
 LEXICON_ROWS = 12_000
 CURVE_ROWS = 4_000
-ENTRIES = 4_000
 MIN_DOCS = 4
 DOUBTS, LEAST_WEIGHT = 1.5, 0.5
+#: Letters of a word beginning.
 SHORTEST, LONGEST = 4, 12
 THRESHOLD = 0.3
 PRIOR = 0.05
@@ -82,9 +84,8 @@ def entries_of(folded: str) -> set[str]:
     """The whole words of a text, ' word ', and their beginnings, ' wor'."""
     out = set()
     for w in set(folded.split()):
-        if SHORTEST <= len(w) <= 30:
-            out.add(f" {w} ")
-            out.update(f" {w[:k]}" for k in range(SHORTEST, min(len(w), LONGEST + 1)))
+        out.add(f" {w} ")
+        out.update(f" {w[:k]}" for k in range(SHORTEST, min(len(w), LONGEST + 1)))
     return out
 
 
@@ -120,8 +121,15 @@ def features(folded: str, automaton) -> tuple[float, float, float]:
                 safe.append((start, end))
             elif weight > best.get(start, 0.0):
                 best[start] = weight
-    for a, b in safe:
-        best = {k: w for k, w in best.items() if not a <= k < b}
+    if safe and best:
+        # in order of their starts, one sweep over the hits
+        reach, left, kept = -1, sorted(safe, reverse=True), {}
+        for k in sorted(best):
+            while left and left[-1][0] <= k:
+                reach = max(reach, left.pop()[1])
+            if k >= reach:
+                kept[k] = best[k]
+        best = kept
     if not best:
         return 0.0, 0.0, 0.0
     once: dict[str, float] = {}
@@ -155,30 +163,62 @@ def _labelled(docs: DataFrame, labels: DataFrame, folds: list[int], rows: int) -
     return joined.select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, lexicon_rows: int = LEXICON_ROWS, curve_rows: int = CURVE_ROWS, entries: int = ENTRIES) -> Lexicon:
-    """Lexicon from folds 0 and 1 of the labelled rows, curve from fold 3; fold 2 is never read."""
+def phrases_of(folded: str, automaton) -> set[str]:
+    """The pairs of a word with a hit and the word before or after it."""
+    starts = {end - n + 1 for end, (n, weight) in automaton.iter(folded) if weight is not None} if len(automaton) else set()
+    out = set()
+    for k in starts:
+        after = folded.find(" ", k + 1)
+        before = folded.rfind(" ", 0, k)
+        if before >= 0 and k - before > 1:
+            out.add(folded[before : after + 1])
+        if (end := folded.find(" ", after + 1)) > after + 1:
+            out.add(folded[k : end + 1])
+    return out
+
+
+def _odds(counts: DataFrame, side: int) -> DataFrame:
+    """counts(entry, pos, neg), with a row '' for all documents -> (entry, odds), the log-odds moved by DOUBTS deviations;
+    of entries in MIN_DOCS documents of either kind."""
+    # one row
+    every = F.broadcast(counts.filter("entry = ''").select(F.col("pos").alias("_p"), F.col("neg").alias("_n")))
+    odds = F.log((F.col("pos") + 0.2) / (F.col("_p") + 1)) - F.log((F.col("neg") + 0.2) / (F.col("_n") + 1))
+    doubt = F.sqrt(1 / (F.col("pos") + 0.2) + 1 / (F.col("neg") + 1))
+    rows = counts.filter((F.col("entry") != "") & (F.greatest("pos", "neg") >= MIN_DOCS)).crossJoin(every)
+    return rows.select("entry", "pos", "neg", (odds + side * DOUBTS * doubt).alias("odds"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, lexicon_rows: int = LEXICON_ROWS, curve_rows: int = CURVE_ROWS, exceptions: Iterable[str] = EXCEPTIONS) -> Lexicon:
+    """Lexicon and its exceptions from folds 0 and 1 of the labelled rows, curve from fold 3; fold 2 is never read."""
     spark = docs.sparkSession
     batch_rows(spark)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(batch["text"], batch["toxic"]):
-                seen[1 if toxic else 0].update(entries_of(fold(text)))
-            yield pd.DataFrame([(k, n, seen[0][k]) for k, n in seen[1].items()] + [(k, 0, n) for k, n in seen[0].items() if k not in seen[1]], columns=["entry", "pos", "neg"])
-            yield pd.DataFrame([("", sum(map(bool, batch["toxic"])), len(batch) - sum(map(bool, batch["toxic"])))], columns=["entry", "pos", "neg"])
-
-    train = _labelled(docs, labels, [0, 1], lexicon_rows)
-    counts = train.mapInPandas(count, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    counts = counts.filter((F.col("entry") == "") | ((F.col("pos") >= MIN_DOCS) & (F.col("pos") * 2 >= F.col("neg"))))
-    ranked = counts.orderBy(F.col("entry") != "", F.desc(F.col("pos") - F.col("neg") / 4), "entry").limit(entries + 1).collect()  # bounded by `entries`
-    if not ranked or ranked[0]["entry"] != "":
-        return Lexicon()
-    pos, neg = ranked[0]["pos"], ranked[0]["neg"]
-    odds = lambda r: log((r["pos"] + 0.2) / (pos + 1)) - log((r["neg"] + 0.2) / (neg + 1))
-    doubt = lambda r: (1 / (r["pos"] + 0.2) + 1 / (r["neg"] + 1)) ** 0.5
-    # the lower end of the log-odds, so that chance finds among many candidates weigh little or nothing
-    lexicon = Lexicon({r["entry"]: round(w, 4) for r in ranked[1:] if (w := odds(r) - DOUBTS * doubt(r)) > LEAST_WEIGHT})
+    def counted(entries) -> DataFrame:
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            of = entries()
+            for batch in batches:
+                seen: tuple[Counter, Counter] = (Counter(), Counter())
+                for text, toxic in zip(batch["text"], batch["toxic"]):
+                    seen[1 if toxic else 0].update(of(fold(text)))
+                yield pd.DataFrame([(k, n, seen[0][k]) for k, n in seen[1].items()] + [(k, 0, n) for k, n in seen[0].items() if k not in seen[1]], columns=["entry", "pos", "neg"])
+                yield pd.DataFrame([("", sum(map(bool, batch["toxic"])), len(batch) - sum(map(bool, batch["toxic"])))], columns=["entry", "pos", "neg"])
+
+        train = _labelled(docs, labels, [0, 1], lexicon_rows)
+        return train.mapInPandas(count, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+    # the lower end of the log-odds, so that chance finds among many candidates weigh little or nothing; what is collected
+    # is bounded by the sampled rows
+    found = _odds(counted(lambda: entries_of), -1).filter((F.col("pos") >= MIN_DOCS) & (F.col("odds") > LEAST_WEIGHT)).collect()
+    lexicon = Lexicon({r["entry"]: round(r["odds"], 4) for r in sorted(found, key=lambda r: r["entry"])}, tuple(exceptions))
+    if not found:
+        return lexicon
+
+    def phrases():
+        automaton = lexicon.automaton()
+        return lambda folded: phrases_of(folded, automaton)
+
+    harmless = _odds(counted(phrases), 1).filter((F.col("neg") >= MIN_DOCS) & (F.col("odds") < 0)).select("entry").collect()  # bounded likewise
+    lexicon.exceptions += tuple(sorted(r["entry"].strip() for r in harmless))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = lexicon.automaton()

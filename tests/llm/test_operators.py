@@ -481,3 +481,41 @@ def test_pii_beside_and_thresholds(spark):
     scored = [("a", 1.0, 0.99)] * 3 + [("a", 0.0, 0.97)] + [("a", 1.0, 0.9)] * 60 + [("a", 0.0, 0.5)] * 5 + [("b", 1.0, 0.9)] * 9 + [("c", 0.0, 0.9)] * 9
     cuts = {x["kind"]: x["cut"] for x in pii_boost.thresholds(spark.createDataFrame(scored, "kind string, label double, score double")).collect()}
     assert cuts == {"a": 0.9}
+
+
+def test_toxicity_matches_as_a_plain_search_does():
+    r = random.Random(8)
+    words = ["bad", "badly", "ugh", "rot", "rotten", "pie", "of", "a", "x" * 40]
+    lexicon = toxicity.Lexicon({" bad ": 2.0, " bad": 1.5, " rott": 1.0, " ugh ": 0.7, " a ": 0.2}, ("rotten pie", "a bad of", "ugh ugh"))
+    automaton = lexicon.automaton()
+    for _ in range(300):
+        text = " ".join(r.choice(words) for _ in range(r.randint(0, 25)))
+        folded = toxicity.fold(text)
+        safe = {k for p in lexicon.exceptions for a in range(len(folded)) if folded.startswith(f" {p} ", a) for k in range(a, a + len(p) + 1)}
+        once = {}
+        for k in range(len(folded)):
+            hits = [w for e, w in lexicon.weights.items() if folded.startswith(e, k)]
+            if hits and k not in safe:
+                word = folded[k + 1 :].split(" ")[0]
+                once[word] = max([once.get(word, 0.0), *hits])
+        n = len(folded.split())
+        want = (max(once.values()), sum(once.values()) / n**0.5, len(once) / n) if once else (0.0, 0.0, 0.0)
+        assert np.allclose(toxicity.features(folded, automaton), want)
+    long = " ".join(["rotten pie", "bad"] * 50_000)
+    assert toxicity.features(toxicity.fold(long), automaton)[2] == 1 / 150_000
+
+
+def test_toxicity_folds():
+    for shown, want in (("M0R0N", "moron"), ("mоrоn", "moron"), ("mörön", "moron"), ("b@d", "bad"), ("b@", "b"), ("a\u200bb", "ab"), ("ΒΑD", "bad"), ("5h!t", "shit")):
+        assert toxicity.fold(shown).split() == [want], shown
+
+
+def test_toxicity_learns_short_words_and_exceptions(spark):
+    r = random.Random(3)
+    plain = lambda n=15: " ".join(r.choice(["good", "day", "rain", "road", "lamp", "tree"]) for _ in range(n))
+    rows = [(i, plain() + (" you ugh" if i % 4 == 0 else " old ugh boot" if i % 9 == 1 else "")) for i in range(900)]
+    docs = spark.createDataFrame([*rows, (2000, plain() + " old ugh boot"), (2001, plain() + " you ugh")], "doc_id long, text string")
+    lexicon = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(900)], "doc_id long, toxic int"))
+    assert " ugh " in lexicon.weights and {"old ugh", "ugh boot"} & set(lexicon.exceptions)
+    got = by_id(docs.select("doc_id", toxicity.scorer(spark, lexicon)("text").alias("score")))
+    assert got[2000]["score"] < 0.3 <= got[2001]["score"]
