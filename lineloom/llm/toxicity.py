@@ -35,6 +35,8 @@ LEXICON_ROWS = 12_000
 CURVE_ROWS = 4_000
 MIN_DOCS = 4
 DOUBTS, LEAST_WEIGHT = 1.5, 0.5
+#: Toxic documents of an entry to others: rarer ones are words of the language.
+LEAST_SHARE = 0.5
 #: Letters of a word beginning.
 SHORTEST, LONGEST = 4, 12
 THRESHOLD = 0.3
@@ -208,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon_rows: int = LEXICON_ROWS, cu
 
     # the lower end of the log-odds, so that chance finds among many candidates weigh little or nothing; what is collected
     # is bounded by the sampled rows
-    found = _odds(counted(lambda: entries_of), -1).filter((F.col("pos") >= MIN_DOCS) & (F.col("odds") > LEAST_WEIGHT)).collect()
+    found = _odds(counted(lambda: entries_of), -1).filter((F.col("pos") >= MIN_DOCS) & (F.col("pos") >= LEAST_SHARE * F.col("neg")) & (F.col("odds") > LEAST_WEIGHT)).collect()
     lexicon = Lexicon({r["entry"]: round(r["odds"], 4) for r in sorted(found, key=lambda r: r["entry"])}, tuple(exceptions))
     if not found:
         return lexicon
