@@ -46,9 +46,19 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def _place(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, place = _place(spark, path)
+    fs.delete(place, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _place(spark, path)
+    return fs.exists(place)
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
