@@ -66,16 +66,14 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; the one at a source's cut with its first words only."""
-    taken = mixing.mix(docs)
     key = ("doc_id", "source", "text_hash")
-    taken = taken.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("epochs", "cut", "size"))).alias("_takes"))
-    taken = taken.select(*(F.col(k).alias(f"_{k}") for k in key), "_takes").hint("merge")
+    # rows that are alike in all three take one entry each; the entries are numbered, so no list of them is ever made
+    taken = mixing.mix(docs).withColumn("_no", F.row_number().over(W.partitionBy(*key).orderBy("epochs", "cut")))
+    taken = taken.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("_no").alias("_number"), F.struct("epochs", "cut", "size").alias("_take")).hint("merge")
     rows = docs.withColumn("text_hash", F.xxhash64(common.text_or_empty("text")))
+    rows = rows.withColumn("_no", F.row_number().over(W.partitionBy(*key).orderBy(F.lit(1))))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
-    rows = rows.join(taken, same[0] & same[1] & same[2], "left")
-    # rows that are alike in all three take one entry each
-    many = F.when(F.size("_takes") > 1, F.row_number().over(W.partitionBy(*key).orderBy(F.lit(1)))).otherwise(1)
-    rows = rows.withColumn("_take", F.get("_takes", many - 1))
+    rows = rows.join(taken, same[0] & same[1] & same[2] & (F.col("_no") == F.col("_number")), "left")
     cut, size = F.col("_take.cut"), F.col("_take.size")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(RUN), F.lit(0)), 1, F.greatest(cut, F.lit(1)).cast("int")), "")
     last = F.when(cut == 0, F.array().cast("array<string>")).when(cut >= size, F.array("text")).otherwise(F.array(part))
@@ -101,16 +99,21 @@ STAGES = [
     ("byte-level BPE", to_tokens),
 ]
 
-#: The lexicon and the BPE merges can't be said in SQL; tests hold the stages against brute force.
+#: The lexicon and the BPE merges can't be said in SQL; a test holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over the documents of sf_dir. A stage's table is removed once the next one is written. With a folder the
+    tables stay in it, and stages whose tables are complete there are not run again."""
     docs = common.table(spark, sf_dir, "documents")
-    for k, (_, f) in enumerate(STAGES):
-        docs = f(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = f"{common.shared_dir(spark)}/lineloom/pipeline-{common.fresh()}/{k}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    base, before = folder or f"{common.shared_dir(spark)}/lineloom/pipeline-{common.fresh()}", None
+    for k, (_, f) in enumerate(STAGES[:-1]):
+        path = f"{base}/{k}"
+        if folder is None or not common.exists(spark, f"{path}/_SUCCESS"):
+            f(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+        if folder is None and before:
+            common.delete(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
