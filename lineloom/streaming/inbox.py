@@ -28,20 +28,33 @@ def latest_per_key(batch: DataFrame, key: str) -> DataFrame:
     return batch.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("ts", "hash")).alias("r")).select(key, "r.*")
 
 
-def upsert_latest(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """K2: for foreachBatch: keeps the last row of each key in versions of a table; a batch that runs again writes its own
-    version again."""
+def upsert_latest(path: str, key: str, merge_every: int = 20) -> Callable[[DataFrame, int], None]:
+    """K2: for foreachBatch: a batch writes its own last rows only, as a version; read_latest takes the last of all.
+
+    Every merge_every batches the version holds all before it too, and versions that the merge before this one covers are
+    deleted. A batch that runs again, even one that merges, writes the same version again.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = latest_per_key(batch, key)
-        if batch_id:
-            new = latest_per_key(spark.read.parquet(f"{path}/version={batch_id - 1}").unionByName(new), key)
+        spark, new = batch.sparkSession, latest_per_key(batch, key)
+        merges = (batch_id + 1) % merge_every == 0
+        if merges and batch_id:
+            kept = spark.read.parquet(path).filter(F.col("version") < batch_id).drop("version")
+            new = latest_per_key(kept.unionByName(new), key)
         new.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        if merges:
+            for old in range(max(0, batch_id - 2 * merge_every), batch_id - merge_every):
+                place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}")
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
     return run
 
 
+def read_latest(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """K2: the last row of each key over all versions."""
+    return latest_per_key(spark.read.parquet(path).drop("version"), key)
+
+
 def stream_hit_counts(hits: DataFrame, tag: str = "tag", delay: str = "1 hour", width: str = "1 day") -> DataFrame:
     """K3: hits(ts, tag) counted by day; rows later than the delay are dropped. Works on a batch table as well."""
     out = hits.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), tag).agg(F.count(F.lit(1)).alias("n"))

@@ -238,3 +238,21 @@ def test_read_documents_and_rules(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{")
     with pytest.raises(Exception):
         documents.read_rules(spark, f"file://{tmp_path}/bad.json")["term_list"].collect()
+
+
+def test_upserts_merge_and_drop_old_versions(spark, tmp_path):
+    from lineloom.streaming import inbox
+
+    at = f"file://{tmp_path}/t"
+    write = inbox.upsert_latest(at, "k", merge_every=3)
+    want = {}
+    for n in range(10):
+        rows = [(f"k{n % 4}", n, f"v{n}"), ("hot", n, f"h{n}"), ("hot", n - 1, "old")]
+        batch = spark.createDataFrame(rows, "k string, ts int, hash string")
+        for _ in range(2 if n in (5, 8) else 1):  # batches that run again
+            write(batch, n)
+        want |= {f"k{n % 4}": f"v{n}", "hot": f"h{n}"}
+        got = {r["k"]: r["hash"] for r in inbox.read_latest(spark, at, "k").collect()}
+        assert got == want
+    left = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "t").glob("version=*"))
+    assert left == [5, 6, 7, 8, 9]
