@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lineloom.functions.text import col, escaped, normalize, remove_stopwords, stem, tokenize, unhyphenate
+from lineloom.functions.text import any_of, col, escaped, normalize, remove_stopwords, stem, tokenize, unhyphenate, word_count
 
 PREFIX, OVERHANG = 5, 2
 
@@ -156,17 +156,62 @@ def tools_mentioned(texts: DataFrame, have: DataFrame, absent: DataFrame) -> Dat
 # A routing key or a numbered district, and the place that either stands for.
 DISTRICT = r"\bD[0-9]{2}\s?[A-Z0-9]{4}\b|\bDublin\s+[0-9]{1,2}\b"
 DISTRICT_OF = "Dublin"
+#: Names that one pattern may hold.
+MOST_NAMES = 2_000
+
+
+class Places:
+    """A gazetteer(name, canonical, area) as column expressions: one alternation, the longest names first. It is read by the
+    driver up to a bound and refused beyond it (places_in takes gazetteers of any size)."""
+
+    def __init__(self, gazetteer: DataFrame, most: int = MOST_RULES) -> None:
+        rows = gazetteer.select("name", "canonical", "area").limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} places")
+        self.canonical = {r["name"].lower(): r["canonical"] for r in rows}
+        self.area = {r["canonical"]: r["area"] for r in rows}
+        self.list = sorted({r["name"] for r in rows})
+        self.names = any_of(self.list) if rows else "(?!)"
+
+    def _map(self, d: dict) -> Column:
+        return F.create_map(*(F.lit(x) for kv in sorted(d.items()) for x in kv)) if d else F.create_map().cast("map<string,string>")
+
+    def all(self, c: str | Column, any_case: bool = True) -> Column:
+        """The different canonical names in order; a district's mark stands for its city."""
+        found = F.regexp_extract_all(col(c), F.lit(f"{'(?i)' if any_case else ''}(?<!{WORD_CHAR})({self.names})(?!{WORD_CHAR})"), F.lit(1))
+        named = F.array_distinct(F.transform(found, lambda x: F.element_at(self._map(self.canonical), F.lower(x))))
+        marked = col(c).rlike(DISTRICT) & ~F.array_contains(named, DISTRICT_OF)
+        return F.when(marked, F.array_prepend(named, F.lit(DISTRICT_OF))).otherwise(named)
+
+    def any(self, c: str | Column) -> Column:
+        return col(c).rlike(rf"(?i)\b(?:{self.names})\b") | col(c).rlike(DISTRICT)
+
+    def pick(self, places: Column, first: tuple[str, ...] = ("dublin", "cork")) -> Column:
+        """The first place of the preferred areas in turn, else the first."""
+        areas = self._map(self.area)
+        return F.coalesce(*(F.get(F.filter(places, (lambda a: lambda x: F.element_at(areas, x) == a)(a)), F.lit(0)) for a in first), F.get(places, F.lit(0)))
+
+    def is_line(self, c: str | Column) -> Column:
+        """Whether a line is a place: led by one, in at most eight words, without the marks of a sentence."""
+        line = F.regexp_replace(F.regexp_replace(col(c), r"\s+[·|]\s.*$", ""), r"(?i)^(?:Republic of )?Ireland\s*[-–—,:]\s*", "")
+        shape = r"^[A-Za-zÀ-ÿ'’. -]+(?: [0-9]{1,2})?(?:\s*(?:,|/|or|and|\(|-)\s*[A-Za-zÀ-ÿ0-9'’. ()-]{1,60}){0,6}\)?$"
+        return (word_count(line) <= 8) & self.any(F.regexp_extract(line, r"^(.*?)(?:\s*[,(/]\s*|\s+[-–—]\s+|$)", 1)) & line.rlike(shape)
 
 
 def places_in(texts: DataFrame, gazetteer: DataFrame, district: str = DISTRICT, stands_for: str = DISTRICT_OF) -> DataFrame:
     """(doc_id, places), the distinct canonical names in order of their first mention, case aside; a name inside a
     longer one doesn't count, and of names with the same beginning the longest does. A district's mark names its city,
-    before all others where nothing else does. gazetteer(name, canonical, area)."""
+    before all others where nothing else does. gazetteer(name, canonical, area).
+
+    A small gazetteer is one pattern, tried once along each text; names of a large one are found by match_terms first."""
+    if district == DISTRICT and stands_for == DISTRICT_OF and gazetteer.limit(MOST_NAMES + 1).count() <= MOST_NAMES:
+        small = gazetteer if "area" in gazetteer.columns else gazetteer.withColumn("area", F.lit(None).cast("string"))
+        return texts.select("doc_id", Places(small, MOST_NAMES).all("text").alias("places")).filter(F.size("places") > 0)
     names = gazetteer.select(F.lower("name").alias("term"), "canonical").distinct()
     text = texts.select("doc_id", F.lower("text").alias("t"))
-    found = match_terms(texts, names.select("term")).join(bounded(names), "term").join(text, "doc_id")
+    found = match_terms(texts, names.select("term")).join(bounded(names), "term").join(text, "doc_id").withColumn("_b", F.split("t", whole(F.col("term"), F.lit(False)), -1))
     # all places of a name: it begins where each piece between its finds ends
-    before = F.split("t", whole(F.col("term"), F.lit(False)), -1)
+    before = F.col("_b")
     spans = found.select("doc_id", "canonical", F.length("term").alias("n"), F.posexplode(F.transform(before, lambda x: F.length(x))).alias("k", "piece"), F.size(before).alias("m"))
     order = W.partitionBy("doc_id", "canonical", "n").orderBy("k")
     spans = spans.withColumn("at", F.sum("piece").over(order.rowsBetween(W.unboundedPreceding, 0)) + F.col("k") * F.col("n")).filter("k < m - 1")

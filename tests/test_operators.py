@@ -190,8 +190,11 @@ def test_places_in_text_order(spark):
     gazetteer = spark.createDataFrame([("Cork", "Cork", "cork"), ("Dublin", "Dublin", "dublin"), ("Dublin Airport", "Dublin Airport", "dublin"), ("Airport Road", "Road", "x")], "name string, canonical string, area string")
     docs = spark.createDataFrame([(1, "from cork to Dublin, CORK"), (2, "Dublin Airport Road in Cork"), (3, "Dublin 4 and Cork"), (4, "at D02 H638 near Cork"), (5, "none")], "doc_id long, text string")
     got = {r["doc_id"]: r["places"] for r in matching.places_in(docs, gazetteer).collect()}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(matching, "MOST_NAMES", 0)
+        assert {r["doc_id"]: r["places"] for r in matching.places_in(docs, gazetteer).collect()} == got
     assert got == {1: ["Cork", "Dublin"], 2: ["Dublin Airport", "Cork"], 3: ["Dublin", "Cork"], 4: ["Dublin", "Cork"]}
-    places = extract.Places(gazetteer)
+    places = matching.Places(gazetteer)
     shown = {r["doc_id"]: r["p"] for r in docs.select("doc_id", places.all("text").alias("p")).collect()}
     assert shown == got | {5: []}
 
