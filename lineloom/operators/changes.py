@@ -68,20 +68,22 @@ def positional_diff(new: DataFrame, old: DataFrame) -> DataFrame:
     return n.join(o, ["doc_id", "block_no"], "full").filter(~F.col("before").eqNullSafe(F.col("after")))
 
 
+def tag_documents(tags: DataFrame, hits: DataFrame) -> DataFrame:
+    """(tag, doc_id) of the listed tags: the baseline's lists as rows, so that a tag may hit any number of documents."""
+    return tags.select("tag").distinct().join(hits.select("tag", "doc_id").distinct(), "tag")
+
+
 def tag_baseline(tags: DataFrame, hits: DataFrame) -> DataFrame:
-    """Per tag the number of documents and their ids in order; tags without any stay. The list is what the caller
-    asks for: use the number alone where a tag may hit most of a large table."""
-    rows = tags.select("tag").distinct().join(hits.distinct(), "tag", "left")
-    return rows.groupBy("tag").agg(F.count("doc_id").alias("n_docs"), F.array_sort(F.collect_set("doc_id")).alias("docs"))
+    """Per tag the number of documents; tags without any stay."""
+    n = tag_documents(tags, hits).groupBy("tag").agg(F.count(F.lit(1)).alias("n_docs"))
+    return tags.select("tag").distinct().join(n, "tag", "left").select("tag", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
 
 
 def baseline_delta(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Documents added and removed of each tag that changed."""
-    none = F.array().cast("array<bigint>")
-    rows = before.select("tag", F.col("docs").alias("b")).join(after.select("tag", F.col("docs").alias("a")), "tag", "full")
-    a, b = F.coalesce("a", none), F.coalesce("b", none)
-    rows = rows.select("tag", F.array_sort(F.array_except(a, b)).alias("added"), F.array_sort(F.array_except(b, a)).alias("removed"))
-    return rows.filter((F.size("added") > 0) | (F.size("removed") > 0))
+    """(tag, doc_id, change): what two tables of tag_documents don't share, added or removed."""
+    b, a = before.select("tag", "doc_id", F.lit(1).alias("_b")), after.select("tag", "doc_id", F.lit(1).alias("_a"))
+    rows = b.join(a, ["tag", "doc_id"], "full").filter("_a IS NULL OR _b IS NULL")
+    return rows.select("tag", "doc_id", F.when(F.col("_b").isNull(), "added").otherwise("removed").alias("change"))
 
 
 def compare_runs(left: DataFrame, right: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -167,8 +167,9 @@ SQL = {
       SELECT doc_id, block_no, before < overflow AND saving > 0 AS shortened, CASE WHEN before < overflow AND saving > 0 THEN saving ELSE 0 END::BIGINT AS saved FROM s""",
     "i2_stale": "WITH m AS (SELECT doc_id AS key, CASE WHEN lang = 'fr' THEN md5(text) ELSE sha256(text) END AS h FROM documents WHERE lang <> 'de'), c AS (SELECT doc_id AS key, sha256(text) AS g FROM documents WHERE n_chars < 2000) SELECT key, CASE WHEN h IS NULL THEN 'missing' WHEN g IS NULL THEN 'extra' ELSE 'stale' END AS state FROM m FULL JOIN c USING (key) WHERE h IS DISTINCT FROM g",
     "i4_multiset": "WITH x AS (SELECT l_returnflag, l_quantity::INT AS q FROM lineitem WHERE l_linestatus = 'O' EXCEPT ALL SELECT l_returnflag, l_quantity::INT FROM lineitem WHERE l_linestatus <> 'O') SELECT l_returnflag, q, count(*) AS n FROM x GROUP BY ALL",
-    "i5_baseline": f"WITH {HITS}, t AS (SELECT unnest(['english', 'german', 'french', 'spanish', 'nothing']) AS tag) SELECT tag, count(doc_id) AS n_docs, md5(coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id), '')) AS digest FROM t LEFT JOIN hits USING (tag) GROUP BY tag",
-    "i6_delta": f"WITH {HITS} SELECT tag, count(*) FILTER (WHERE n_chars >= 4000)::INT AS n_added, count(*) FILTER (WHERE n_chars <= 400)::INT AS n_removed FROM hits JOIN documents USING (doc_id) WHERE tag IN ('english', 'german', 'french', 'spanish') GROUP BY tag HAVING count(*) FILTER (WHERE n_chars >= 4000 OR n_chars <= 400) > 0",
+    "i5_baseline": f"WITH {HITS}, t AS (SELECT unnest(['english', 'german', 'french', 'spanish', 'nothing']) AS tag) SELECT tag, count(doc_id) AS n_docs FROM t LEFT JOIN hits USING (tag) GROUP BY tag",
+    "i5_documents": f"WITH {HITS} SELECT tag, doc_id FROM hits WHERE tag IN ('english', 'german', 'french', 'spanish', 'nothing')",
+    "i6_delta": f"WITH {HITS} SELECT tag, doc_id, CASE WHEN n_chars >= 4000 THEN 'added' ELSE 'removed' END AS change FROM hits JOIN documents USING (doc_id) WHERE tag IN ('english', 'german', 'french', 'spanish', 'nothing') AND (n_chars >= 4000 OR n_chars <= 400)",
     "i8_accuracy": "SELECT quality::VARCHAR AS expected, CASE WHEN n_chars > 100 THEN '1' ELSE '0' END AS picked, count(*) AS n, quality::VARCHAR = CASE WHEN n_chars > 100 THEN '1' ELSE '0' END AS \"right\" FROM labels JOIN documents USING (doc_id) GROUP BY ALL",
     "j1_dangling": "SELECT 'dangling' AS rule, l_orderkey || '-' || l_linenumber AS key, l_suppkey::VARCHAR AS detail FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)",
     "j2_coverage": "SELECT 'coverage' AS rule, c_custkey::VARCHAR AS key, count(o_orderkey)::VARCHAR AS detail FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey HAVING count(o_orderkey) < 5 OR count(o_orderkey) > 12",

@@ -83,17 +83,21 @@ def i4_multiset(spark, d):
     return changes.multiset_diff(rows.filter("s = 'O'").drop("s"), rows.filter("s <> 'O'").drop("s")).groupBy("l_returnflag", "q").agg(F.count(F.lit(1)).alias("n"))
 
 
+BASELINE_TAGS = ("english", "german", "french", "spanish", "nothing")
+
+
 def i5_baseline(spark, d):
-    tags = rule_rows(spark, [("english",), ("german",), ("french",), ("spanish",), ("nothing",)], "tag string")
-    return changes.tag_baseline(tags, hits_of(spark, d)).select("tag", "n_docs", F.md5(F.array_join(F.transform("docs", lambda x: x.cast("string")), ",")).alias("digest"))
+    return changes.tag_baseline(rule_rows(spark, [(t,) for t in BASELINE_TAGS], "tag string"), hits_of(spark, d))
+
+
+def i5_documents(spark, d):
+    return changes.tag_documents(rule_rows(spark, [(t,) for t in BASELINE_TAGS], "tag string"), hits_of(spark, d))
 
 
 def i6_delta(spark, d):
-    tags, hits = rule_rows(spark, [("english",), ("german",), ("french",), ("spanish",)], "tag string"), hits_of(spark, d)
-    docs = read(spark, d, "documents")
-    of = lambda keep: changes.tag_baseline(tags, hits.join(docs.filter(keep).select("doc_id"), "doc_id", "left_semi"))
-    out = changes.baseline_delta(of("n_chars < 4000"), of("n_chars > 400"))
-    return out.select("tag", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"))
+    rows, docs = i5_documents(spark, d), read(spark, d, "documents")
+    of = lambda keep: rows.join(docs.filter(keep).select("doc_id"), "doc_id", "left_semi")
+    return changes.baseline_delta(of("n_chars < 4000"), of("n_chars > 400"))
 
 
 def i8_accuracy(spark, d):
