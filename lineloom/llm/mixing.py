@@ -4,9 +4,9 @@ Every row gets a hash-random key. Within a source, rows are range-sorted by that
 word counts runs along the order, and the mix takes whole epochs of the source and then cuts the order at the exact
 remaining budget; the row that straddles the cut gives only its first words.
 
-The prefix sum is two-level, so that a source with any share of the rows is spread over many tasks: key ranges of a
-source (more of them the more rows it has) are summed, offsets run over these few sums, and a window inside each key
-range does the rest. Only ids, keys and counts are shuffled, never texts.
+The prefix sum has three levels, so that a source with any share of the rows is spread over many tasks: key ranges of a
+source (more of them the more rows it has) are summed, and so are runs of RUN ranges; offsets run over the sums of a
+source's runs, over the ranges inside each run, and over the rows inside each range. Only ids, keys and counts are shuffled, never texts.
 
 Defined results: null text has size 0; null sources form a source of their own, last in order; a table without words
 takes nothing; rows that agree in id, source and text share a key and are taken in no order that could be told apart;
@@ -24,6 +24,8 @@ from .common import WORD, parallelism, saved, table, text_or_empty
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_EPOCHS = 2
+#: Key ranges that are summed together.
+RUN = 32
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most_epochs: int = MOST_EPOCHS) -> DataFrame:
@@ -87,8 +89,11 @@ def mix(
     # the key's place in the 64-bit range, in equal steps: uniform, as the key is a hash
     place = (F.col("key").cast("double") / F.lit(2.0**64) + 0.5) * F.col("_ranges")
     keyed = keyed.withColumn("_range", F.least(F.floor(place), F.col("_ranges") - 1))
-    sums = keyed.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
-    offsets = sums.withColumn("_before", F.sum("_sum").over(W.partitionBy("source").orderBy("_range")) - F.col("_sum"))
+    sums = saved(keyed.groupBy("source", "_range").agg(F.sum("size").alias("_sum")).withColumn("_part", F.floor(F.col("_range") / RUN)), "mix-sums")
+    parts = sums.groupBy(F.col("source").alias("_s"), F.col("_part").alias("_p")).agg(F.sum("_sum").alias("_total"))
+    parts = parts.withColumn("_ahead", F.sum("_total").over(W.partitionBy("_s").orderBy("_p")) - F.col("_total")).drop("_total")
+    offsets = sums.withColumn("_own", F.sum("_sum").over(W.partitionBy("source", "_part").orderBy("_range")) - F.col("_sum"))
+    offsets = offsets.join(parts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p"))).withColumn("_before", F.col("_own") + F.col("_ahead")).drop("_s")
     offsets = saved(offsets.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), "_before"), "mix-offsets")
     inside = W.partitionBy("source", "_range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     run = keyed.withColumn("_run", F.sum("size").over(inside))
