@@ -241,8 +241,8 @@ def added_spans(texts: DataFrame, proposed: DataFrame, base: DataFrame) -> DataF
     return chain.groupBy("doc_id", "th", "row", "part").agg(surest.alias("kind"), F.min("start").alias("start"), F.max("end").alias("end")).drop("part")
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id and `spans`, an array of (start, kind, end, base) in order; kind is the place in KINDS."""
+def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row: doc_id, th (the hash of its text) and `spans`. Rows that share an id have the spans of their own texts."""
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     texts = saved(keyed.filter(F.col("text").rlike(ANY)).withColumn("row", F.monotonically_increasing_id()), "pii-texts")
     base = saved(base_spans(texts), "pii-base")
@@ -254,14 +254,20 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     grouped = every.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(span)).alias("spans"))
     grouped = grouped.withColumnsRenamed({"doc_id": "id2", "th": "th2"}).hint("merge")
     out = keyed.select("doc_id", "th").join(grouped, F.col("doc_id").eqNullSafe(F.col("id2")) & F.col("th").eqNullSafe(F.col("th2")), "left")
-    return out.select("doc_id", F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean>>")).alias("spans"))
+    return out.select("doc_id", "th", F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean>>")).alias("spans"))
+
+
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id and `spans`, an array of (start, kind, end, base) in order; kind is the place in KINDS."""
+    return _spans(docs, id_col, text_col).select("doc_id", "spans")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and `redacted`: the text with every span replaced by its kind in brackets."""
+    """Per row: doc_id and `redacted`, the text with every span replaced by its kind in brackets. Texts meet their spans by id
+    and hash of the text, so rows that share an id, or have none, are each redacted by their own spans."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
-    spans = find_spans(docs, id_col, text_col).filter(F.size("spans") > 0).select("doc_id", "spans").distinct()
-    both = texts.join(spans.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")), "left")
+    spans = _spans(docs, id_col, text_col).filter(F.size("spans") > 0).withColumnRenamed("th", "_th").distinct()
+    both = texts.join(spans.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & F.col("th").eqNullSafe(F.col("_th")), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     names = F.array(*(F.lit(f"[{k}]") for k in KINDS))
 
