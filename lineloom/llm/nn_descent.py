@@ -11,7 +11,9 @@ measured against brute force in the tests.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose
 length isn't the most common one (the smaller of ties); null ids take no part; a repeated id is one candidate for each
-different vector; a table with one vector has no pairs; other columns are ignored.
+different vector; a table with one vector has no pairs; vectors with components of any size are compared by their
+directions (they are scaled by a power of two first); a query whose search ends with fewer candidates than were asked for is
+compared with all vectors; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ TREES, CELL, MOST_IN_CELL, CELL_LINKS = 16, 768, 1536, 8
 ENOUGH = 0.02
 #: Vectors that the planes are drawn from.
 SAMPLE = 4000
+#: Queries without enough candidates that are compared with all vectors at a time, times 64.
+BLOCK = 8
 #: Candidates a query keeps; those it expands in a round.
 BEAM, EXPAND = 160, 25
 
@@ -184,6 +188,15 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s.astype(np.float32))], ["q", "c", "sim"])
 
 
+def scaled(v: Column) -> Column:
+    """v times the power of two that brings its largest component near 1: exact, so that squares neither vanish nor overflow
+    and a cosine stays the same to the last bit. The smallest doubles are below the reach of one power, and have two."""
+    most = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    power = -F.floor(F.log2(most))
+    first = F.least(power, F.lit(1000))
+    return F.transform(v, lambda x: x * F.pow(F.lit(2.0), first.cast("double")) * F.pow(F.lit(2.0), (power - first).cast("double")))
+
+
 def cosine(a: Column, b: Column, na: Column, nb: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     return dot / (na * nb)
@@ -194,8 +207,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     spark = vectors.sparkSession
     batch_rows(spark, 5000)
     rows = saved(valid(vectors, id_col, vec_col), "nn-rows")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    nodes = saved(rows.groupBy("h", "v").agg(F.min("vec_id").alias("node")).withColumn("norm", norm), "nn-nodes")
+    nodes = rows.groupBy("h", "v").agg(F.min("vec_id").alias("node")).withColumn("w", scaled(F.col("v")))
+    norm = F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x))
+    nodes = saved(nodes.withColumn("norm", norm), "nn-nodes")
     of_row = saved(rows.join(nodes.select("h", F.col("v").alias("v2"), "node"), "h").filter("v = v2").select("vec_id", "node"), "nn-members")
     units = saved(nodes.select("node", "v").mapInArrow(_unit, "node long, u binary"), "nn-units")
     g = graph(units)
@@ -221,13 +235,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         both = ranked.select("q", "c", "sim", (F.col("open") & ~F.col("go")).alias("open")).unionByName(scored(new).withColumn("open", F.lit(True)))
         found = saved(_nearest(both, BEAM, "q", "c"), "nn-found")
     # the best by direction are scored in double precision on the original vectors
-    vec = nodes.select("node", "v", "norm")
+    vec = nodes.select("node", F.col("w").alias("v"), "norm")
     best = found.select("q", "c").join(vec.select(F.col("node").alias("c"), "v", "norm"), "c").join(vec.select(F.col("node").alias("q"), F.col("v").alias("qv"), F.col("norm").alias("qn")), "q")
     best = _nearest(best.select("q", "c", cosine(F.col("qv"), F.col("v"), F.col("qn"), F.col("norm")).alias("sim")), k + 1, "q", "c")
     members = of_row.withColumn("_r", F.row_number().over(W.partitionBy("node").orderBy("vec_id"))).filter(F.col("_r") <= k + 1).select(F.col("node").alias("c"), "vec_id")
     pairs = queries.join(best, F.col("node") == F.col("q")).join(members, "c").filter("vec_id <> query_id").select("query_id", "vec_id", F.col("sim").alias("score"))
-    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    pairs = saved(pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "nn-pairs")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # queries that the graph didn't lead to enough candidates, as a vector that shares no cell with others has no edges
+    enough = min(k, rows.select("vec_id").distinct().limit(k + 1).count() - 1)
+    counts = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough)
+    short = saved(queries.select("query_id", "node").distinct().join(counts, "query_id", "left_anti").withColumn("block", F.floor((F.row_number().over(W.partitionBy(F.pmod(F.xxhash64("query_id"), F.lit(64))).orderBy("query_id")) - 1) / BLOCK)), "nn-short")
+    blocks = (short.agg(F.max("block")).first()[0] if enough else None)
+    for b in range(0 if blocks is None else int(blocks) + 1):
+        # at most 64 * BLOCK queries meet all vectors at a time
+        ask = short.filter(F.col("block") == b).join(vec, "node").select("query_id", F.col("node").alias("q"), F.col("v").alias("qv"), F.col("norm").alias("qn"))
+        every = vec.crossJoin(F.broadcast(ask)).select(F.col("query_id").alias("q"), F.col("node").alias("c"), cosine(F.col("qv"), F.col("v"), F.col("qn"), F.col("norm")).alias("sim"))
+        near = _nearest(every, k + 1, "q", "c").join(members, "c").filter("vec_id <> q").select(F.col("q").alias("query_id"), "vec_id", F.col("sim").alias("score"))
+        pairs = saved(pairs.unionByName(near).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "nn-pairs")
     return pairs.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
