@@ -313,7 +313,7 @@ def _word_scorer(path: str, shared, weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = _lattice(path, shared).log_probs(batch.column(0).to_pylist(), weights.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got.astype(np.float32))], ["word", "c", "log_p"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got.astype(np.float64))], ["word", "c", "log_p"])
 
     return run
 
@@ -353,10 +353,10 @@ def score(docs: DataFrame, path: str, held_out: Column | None = None, id_col: st
     shared = spark.sparkContext.broadcast(vocabulary)  # bounded by the vocabulary file
     batch_rows(spark, 20_000)  # words, not texts
     weights = train(vocab, path, shared, rounds if n_words else 0)
-    scored = saved(vocab.mapInArrow(_word_scorer(path, shared, spark.sparkContext.broadcast(weights)), "word binary, c long, log_p float"), "lm-scored")
+    scored = saved(vocab.mapInArrow(_word_scorer(path, shared, spark.sparkContext.broadcast(weights)), "word binary, c long, log_p double"), "lm-scored")
     batch_rows(spark)
     back = own.select("block", "at", "word").join(scored, "word").select("block", "at", "c", "log_p")
-    below = np.log10(n + 0.1 * (v + 1)) if n else 0.0
+    below = np.log10(n + 0.1 * (v + 1))
     p_end = (docs_in + 1.0) / (n + 2.0)
 
     def total(block: pa.Table, words: pa.Table) -> pa.Table:
