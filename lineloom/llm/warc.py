@@ -1,10 +1,11 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are range-sorted by page_id, null last: the span of ids is cut into equal ranges (RANGES_A_SHARD for each shard that
-the bytes need, MOST_RANGES at most), their bytes are summed in order, and a shard is the ranges in which a multiple of the shard's size begins; a range with more bytes than a shard is cut
-further by a hash of page, address and payload. So the cuts are even and follow from the rows alone, whatever the
-partitions or the cluster. A task a shard streams its records in order of (page_id, hash) into gzip members, one a record,
-and starts a new file when the compressed size reaches the bound. Headers and digests are made anew from the payload.
+Records are range-sorted by (page_id, hash of page, address and payload), null ids last. Ids, hashes and sizes alone are
+sorted first: their bytes are summed along the order by a distributed prefix sum, and a shard begins at the first record that
+begins in the next multiple of the shard's size. The shards' first keys, MOST_SHARDS at most, then tell each record its shard,
+so payloads are shuffled once, shards hold ranges of ids whatever the ids are, and the cuts follow from the rows alone,
+whatever the partitions or the cluster. A task a shard streams its records in order into gzip members, one a record, and
+starts a new file when the compressed size reaches the bound. Headers and digests are made anew from the payload.
 
 Commit: files get a temporary name of their own for each attempt of a task; the rows of the attempts that count form a
 manifest; a second job moves the listed files to their final names, which may be repeated after a failure; the manifest
@@ -29,19 +30,19 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch_rows, delete, saved, scratch, table
+from .common import batch_rows, delete, parallelism, saved, scratch, table
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Payload bytes in a shard, if that doesn't make more than MOST_SHARDS of them; headers of a record; ranges of ids.
+#: Payload bytes in a shard, if that doesn't make more than MOST_SHARDS of them; headers of a record.
 SHARD_BYTES, MOST_SHARDS = 8 << 20, 100_000
 HEADER_BYTES = 600
-RANGES_A_SHARD, MOST_RANGES = 16, 1 << 16
 FILE_BYTES = 64 << 20
 LEVEL = 6
 
@@ -159,6 +160,43 @@ def _mover(uri: str):
     return move
 
 
+def shard_starts(light: DataFrame, shard_bytes: int) -> list[tuple[int, int | None, int]]:
+    """light(page, key, size) -> (shard, page, key) of each shard's first record, in order."""
+    order = [F.asc_nulls_last("page"), F.asc("key")]
+    parts = light.repartitionByRange(parallelism(light.sparkSession), *order).select("page", "key", (F.col("size") + HEADER_BYTES).alias("b"), F.spark_partition_id().alias("part"))
+    parts = saved(parts, "warc-order")
+    # a row a range
+    sums = parts.groupBy("part").agg(F.sum("b").alias("_b"))
+    sums = sums.select(F.col("part").alias("_p"), (F.sum("_b").over(W.orderBy("part")) - F.col("_b")).alias("before"))
+    inside = F.sum("b").over(W.partitionBy("part").orderBy(*order, "b").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("b")
+    at = parts.withColumn("at", inside).join(F.broadcast(sums), F.col("part") == F.col("_p"))
+    at = at.withColumn("shard", F.floor((F.col("at") + F.col("before")) / shard_bytes))
+    first = at.groupBy("shard").agg(F.min(F.struct(F.col("page").isNull().alias("none"), "page", "key")).alias("f"))
+    return sorted((r["shard"], r["f"]["page"], r["f"]["key"]) for r in first.collect())  # MOST_SHARDS rows at most
+
+
+def shard_of(starts: list[tuple[int, int | None, int]]):
+    """A column function (page as text, key) -> shard."""
+    shards = np.array([s for s, _, _ in starts] or [0], np.int64)
+    pages = np.array([p for _, p, _ in starts if p is not None], np.int64)
+    keys = np.array([k for _, _, k in starts], np.int64)
+
+    @F.pandas_udf("long")
+    def shard(page: pd.Series, key: pd.Series) -> pd.Series:
+        null = page.isna().to_numpy()
+        ids, own = np.array([0 if x is None else int(x) for x in page], np.int64), key.to_numpy(np.int64)
+        low, high = np.searchsorted(pages, ids, "left"), np.searchsorted(pages, ids, "right")
+        low[null], high[null] = len(pages), len(keys)
+        at = low.copy()
+        # the few shards that begin inside an id are told apart by their keys
+        for a, b in {(a, b) for a, b in zip(low.tolist(), high.tolist()) if a < b}:
+            here = (low == a) & (high == b)
+            at[here] = a + np.searchsorted(keys[a:b], own[here], "right")
+        return pd.Series(shards[np.maximum(at - 1, 0)])
+
+    return shard
+
+
 def write_archives(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes all rows under `uri` and returns the manifest."""
     spark = pages.sparkSession
@@ -168,28 +206,20 @@ def write_archives(pages: DataFrame, uri: str, id_col: str = "page_id", url_col:
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
     rows = rows.withColumn("key", F.xxhash64("page", "url", "digest"))
     light = saved(rows.select("page", "key", "digest", "size"), "warc-digests")
-    seen = light.agg(F.sum(F.col("size") + HEADER_BYTES).alias("total"), F.min("page").alias("low"), F.max("page").alias("high")).first()
-    total, low, high = seen["total"] or 0, seen["low"] or 0, seen["high"] or 0
+    total = light.agg(F.sum(F.col("size") + HEADER_BYTES)).first()[0] or 0
     shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))
-    n_ranges = min(MOST_RANGES, RANGES_A_SHARD * (total // shard_bytes + 1))
-    part = F.floor((F.col("page").cast("double") - F.lit(float(low))) / F.lit(float(high) - float(low) + 1.0) * n_ranges)
-    part = F.coalesce(F.least(part, F.lit(n_ranges - 1)), F.lit(n_ranges)).cast("int")
-    # a row a range at most
-    ranges = light.groupBy(part.alias("part")).agg(F.sum(F.col("size") + HEADER_BYTES).alias("bytes"))
-    ranges = saved(ranges.withColumn("before", F.sum("bytes").over(W.orderBy("part")) - F.col("bytes")), "warc-ranges")
+    shard = shard_of(shard_starts(light, shard_bytes))
     # payloads that are there more than once, with the id that keeps them
     kept = saved(
         light.filter(F.col("size") >= min_revisit_bytes).groupBy("digest", "size").agg(F.max("page").alias("refers"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1 AND refers IS NOT NULL").select("digest", "size", "refers"), "warc-kept",
     )
     links = light.join(kept, ["digest", "size"]).filter("page IS NULL OR page <> refers").select("page", "key", "refers").distinct()
-    inside = F.when(F.col("bytes") > shard_bytes, (F.col("key").cast("double") / F.lit(2.0**64) + 0.5) * F.col("bytes")).otherwise(0)
-    shard = F.least(F.floor((F.col("before") + inside) / shard_bytes), F.lit(total // shard_bytes)).cast("int")
     both = rows.select("page", "key", "url", "payload", F.lit(None).cast("long").alias("refers"), F.lit(0).alias("link")).unionByName(
         links.select("page", "key", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers", F.lit(1).alias("link"))
     )
     # ids travel as decimal text: pandas would turn longs with nulls into doubles
-    dealt = both.withColumn("part", part).join(F.broadcast(ranges), "part").withColumn("shard", shard)
+    dealt = both.withColumn("shard", shard(F.col("page").cast("string"), "key").cast("int"))
     dealt = dealt.repartitionById(total // shard_bytes + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_last("page"), "key", F.desc("link"))
     dealt = dealt.select("shard", "key", F.col("page").cast("string").alias("page"), "url", "payload", F.col("refers").cast("string").alias("refers"), "link")
     made = saved(dealt.mapInPandas(_writer(uri, file_bytes), MANIFEST), "warc-made")
