@@ -18,8 +18,9 @@ Places, pairs and intervals are grouped with partial sums and joined by sort and
 stands in a third of all documents meets in no single task; windows only run inside one document.
 
 Defined results: a null text has no lines and stays null; lines without a word are never deleted unless they stand inside
-a deleted run; null ids come last in the order; rows that agree in id and text are the same document and get the same
-result; runs at the same line of rows that share an id count as one copy; other columns stay as they are, whatever
+a deleted run; documents are in order of id, null ids last, and rows that share an id, or have none, by the hash of their
+text; rows that agree in id and text are the same document and get the same result; a copy that begins inside the first one
+is a later copy too, so of a line or period that is repeated on the spot one stays; other columns stay as they are, whatever
 their names; an empty table gives an empty result.
 """
 
@@ -47,6 +48,15 @@ def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return parts.join(F.broadcast(counts), F.col("_part") == F.col("_p")).select(*keys, (F.col("_at") + F.col("_before")).alias(name))
 
 
+def place_of() -> Column:
+    """The place of (doc_id, th) in the order of documents as one number: rows that share an id are told apart by the first 30
+    bits of their text's hash, those without one, which come last, by all of it."""
+    big = lambda c, n: c.cast(f"decimal({n},0)")
+    shared = big(F.col("doc_id"), 20) * big(F.lit(2**30), 10) + big(F.shiftrightunsigned("th", 34), 10)
+    alone = big(F.lit(str(2**93)), 29) + big(F.col("th"), 20) + big(F.lit(str(2**63)), 20)
+    return F.when(F.col("doc_id").isNull(), big(alone, 31)).otherwise(big(shared, 31))
+
+
 def sequences(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, th, text) -> (d, doc_id, th) of the different documents, and their lines with words: their places,
     ids, and the shortest runs of min_words words that begin and that end there."""
@@ -54,7 +64,7 @@ def sequences(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     own = docs.filter("text IS NOT NULL").select("doc_id", "th", F.filter(ids, lambda x: x["w"] > 0).alias("ls")).dropDuplicates(["doc_id", "th"])
     lines = saved(own.withColumn("d", F.monotonically_increasing_id()), "sequences")
     of = lines.select("d", "doc_id", "th")
-    lines = lines.select("d", "doc_id", F.posexplode("ls").alias("seq", "x")).select("d", "doc_id", "seq", "x.*")
+    lines = lines.select("d", place_of().alias("no"), F.posexplode("ls").alias("seq", "x")).select("d", "no", "seq", "x.*")
     doc = W.partitionBy("d")
     in_order = doc.orderBy("seq")
     lines = lines.withColumn("after", F.sum("w").over(in_order.rowsBetween(W.unboundedPreceding, 0))).withColumn("before", F.col("after") - F.col("w"))
@@ -64,7 +74,7 @@ def sequences(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     rear = F.when(F.col("after") - F.col("_b.before") >= min_words, F.struct(F.col("_b.seq").alias("seq"), F.col("_b.line").alias("line")))
     # lines from here to the first beyond which no run asked for can reach
     most = F.coalesce(F.lead(F.col("_s.seq")).over(in_order), F.col("seq")) - F.col("seq") + 1
-    return of, lines.select("d", "doc_id", "seq", "line", "a", "b", front.alias("front"), rear.alias("rear"), most.alias("most"))
+    return of, lines.select("d", "no", "seq", "line", "a", "b", front.alias("front"), rear.alias("rear"), most.alias("most"))
 
 
 def levels(lines: DataFrame) -> DataFrame:
@@ -93,12 +103,12 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     run = lambda start, first, end, last: F.struct(start.alias("start"), first.alias("first"), end.alias("end"), last.alias("last"))
     front = F.when(F.col("front").isNotNull(), run(F.col("seq"), F.col("line"), F.col("front.seq"), F.col("front.line")))
     rear = F.when(F.col("rear").isNotNull(), run(F.col("rear.seq"), F.col("rear.line"), F.col("seq"), F.col("line")))
-    runs = lines.select("d", "doc_id", F.explode(F.filter(F.array(front, rear), lambda x: x.isNotNull())).alias("r")).select("d", "doc_id", "r.*")
+    runs = lines.select("d", "no", F.explode(F.filter(F.array(front, rear), lambda x: x.isNotNull())).alias("r")).select("d", "no", "r.*")
     runs = runs.withColumn("len", F.col("end") - F.col("start") + 1).withColumn("level", F.floor(F.log2("len")).cast("int"))
     for name, at in (("p1", F.col("start")), ("p2", F.expr("`end` - shiftleft(1, level) + 1"))):
         side = place.select(F.col("level").alias("_l"), F.col("d").alias("_d"), F.col("seq").alias("_s"), F.col("place").alias(name)).hint("merge")
         runs = runs.withColumn("_at", at).join(side, (F.col("d") == F.col("_d")) & (F.col("_at") == F.col("_s")) & (F.col("level") == F.col("_l"))).drop("_l", "_d", "_s", "_at")
-    number = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)")) * F.lit(2**31).cast("decimal(10,0)") + F.col("first")
+    number = F.col("no") * F.lit(2**31).cast("decimal(10,0)") + F.col("first")
     runs = saved(runs.select("d", "first", "last", "len", "p1", "p2", number.cast("decimal(38,0)").alias("place")), "runs")
     # a table of its own, so that the join below can split the runs of a very common passage
     intervals = saved(runs.groupBy("len", "p1", "p2").agg(F.min("place").alias("place0"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("len", "p1", "p2", "place0"), "intervals")
