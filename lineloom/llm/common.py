@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Scratch folders that this driver has named.
-made: list[str] = []
+#: The scope that scratch folders are named in, if any.
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("lineloom_scope", default=None)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[list[str]]:
+    """The scratch folders that are named inside, by this thread, as a list: remove() deletes them once their readers are
+    done."""
+    own: list[str] = []
+    token = _scope.set(own)
+    try:
+        yield own
+    finally:
+        _scope.reset(token)
 
 
 def fresh() -> str:
@@ -42,7 +58,9 @@ def fresh() -> str:
 
 def scratch(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/lineloom/{tag}-{fresh()}"
-    made.append(path)
+    own = _scope.get()
+    if own is not None:
+        own.append(path)
     return path
 
 
@@ -61,12 +79,31 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(place)
 
 
+def input_mark(df: DataFrame) -> str:
+    """A name for the files that df reads: their paths, sizes and times."""
+    spark, lines = df.sparkSession, []
+    for path in sorted(df.inputFiles()):
+        fs, place = _place(spark, path)
+        status = fs.getFileStatus(place)
+        lines.append(f"{path} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(lines).encode()).hexdigest()[:32]
+
+
+def claim(spark: SparkSession, path: str, prefix: str) -> None:
+    """Makes the empty file `path`; an error if another one of its prefix is there."""
+    fs, place = _place(spark, path)
+    if fs.exists(place):
+        return
+    other = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{prefix}*"))
+    if other is not None and len(other):
+        raise ValueError(f"{prefix} was made from other input")
+    fs.create(place).close()
+
+
 def remove(spark: SparkSession, paths: list[str]) -> None:
     """Deletes scratch folders whose readers are done."""
-    for path in paths:
-        delete(spark, path)
-        made.remove(path)
-    paths.clear()
+    while paths:
+        delete(spark, paths.pop())
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:

@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from lineloom.llm.common import saved
 
@@ -131,3 +133,22 @@ def test_against_brute_force(spark, tmp_path):
     assert Counter(x["decoded_sha256"] for x in rows_out) == Counter(hashlib.sha256(t.encode()).hexdigest() for _, t in of(3)) and codes
     again = corpus_pipeline.run(spark, str(tmp_path), f"{tmp_path}/stages")
     assert Counter(x["ids_sha256"] for x in again.collect()) == Counter(x["ids_sha256"] for x in rows_out)
+
+
+def test_stages_chain_without_writing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one = saved(corpus_pipeline.drop_repeated_lines(spark, docs, SF), "chain-test")
+    want = saved(corpus_pipeline.keep_one_of_each_group(spark, one, SF), "chain-test").collect()
+    got = corpus_pipeline.keep_one_of_each_group(spark, corpus_pipeline.drop_repeated_lines(spark, docs, SF), SF).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_a_folder_is_resumed_for_its_own_input_only(spark, tmp_path):
+    for k in (1, 2):
+        (tmp_path / f"in{k}").mkdir()
+        spark.range(20).selectExpr("id AS doc_id", f"'some words {k}' AS text", "'en' AS lang", "'s' AS source", "12L AS n_chars").write.parquet(f"{tmp_path}/in{k}/documents.parquet")
+        spark.range(2).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/in{k}/labels.parquet")
+    run = lambda k: corpus_pipeline.run(spark, f"file://{tmp_path}/in{k}", f"file://{tmp_path}/out").count()
+    assert run(1) == run(1)
+    with pytest.raises(ValueError):
+        run(2)

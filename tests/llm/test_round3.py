@@ -5,11 +5,13 @@ import random
 import zlib
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-import duckdb
-from lineloom.llm import centroids, fingerprints, merkle, queries
+from lineloom.llm import centroids, fingerprints, lattice_lm, line_dedup, merkle, nn_descent, pii_boost, queries, warc
+from lineloom.llm.common import scratch
 
 from ..conftest import SF
 
@@ -256,3 +258,72 @@ def test_sql(spark, name):
     df = queries.queries()[name](spark, SF)
     rel = con.sql(queries.oracle_sql()[name])
     assert sorted(str(tuple(r[c] for c in rel.columns)) for r in df.collect()) == sorted(map(str, rel.fetchall()))
+
+
+# faults of the operators before
+
+
+def test_redact_by_id_and_text(spark):
+    rows = [(1, "mail x.y@z.org or call"), (1, "a plain line, nothing, in words and x"), (None, "no mark here at all"), (None, "q@w.example.com first"), (None, None)]
+    got = sorted((str(r[0]), str(r[1])) for r in pii_boost.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("1", "mail [email] or call"), ("1", rows[1][1]), ("None", rows[2][1]), ("None", "[email] first"), ("None", "None")])
+
+
+def test_cosine_of_very_small_and_large_vectors(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(40, 8))
+    sizes = [1.0, 1e-200, 1e200, 5e-320, 1e300]
+    rows = [(k, (base[k] * sizes[k % 5]).tolist()) for k in range(40)]
+    got = nn_descent.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 10).collect()
+    assert len(got) == 50
+    truth = base / np.linalg.norm(base, axis=1, keepdims=True)
+    for r in got:
+        # subnormal components have few bits
+        assert abs(r["score"] - truth[r["query_id"]] @ truth[r["vec_id"]]) < (1e-2 if 3 in (r["query_id"] % 5, r["vec_id"] % 5) else 1e-9)
+
+
+def test_queries_that_the_graph_leaves_alone(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(60)]
+    # a graph without the edges of some nodes
+    whole = nn_descent.graph
+    monkeypatch.setattr(nn_descent, "graph", lambda units, **kw: whole(units, **kw).filter("node > 3 AND near > 3"))
+    got = nn_descent.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 6).collect()
+    v = np.array([r[1] for r in rows])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in range(4):
+        s = u @ u[q]
+        s[q] = -2
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == np.argsort(-s)[:5].tolist()
+
+
+def test_lm_without_training_rows(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    docs = spark.createDataFrame([(1, "two words"), (2, None)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in lattice_lm.score(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), F.lit(True)).collect()}
+    assert [out[i]["base_score"] for i in (1, 2)] == [0.0, 0.0] and [out[i]["n_tokens"] for i in (1, 2)] == [3, 1]
+    assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] < 0 for r in out.values())
+
+
+def test_warc_shards_are_ranges_of_uneven_and_null_ids(spark):
+    rows = [(k, f"u{k}", f"page {k} " * 20) for k in range(3000)] + [(9 * 10**18, "far", "x")] + [(None, f"n{k}", "null " * 9) for k in range(50)]
+    uri = scratch(spark, "warc-test")
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7), uri, shard_bytes=100_000)
+    assert manifest.select("shard").distinct().count() > 10
+    shards = {}
+    for r in manifest.collect():
+        one = spark.createDataFrame([r], manifest.schema).select("name", "n_records", "n_bytes", "sha256")
+        shards[r["name"]] = [x["page_id"] for x in one.mapInPandas(warc._reader(uri, False), warc.RECORDS).collect()]
+    order = [p for name in sorted(shards) for p in shards[name]]
+    known = [p for p in order if p is not None]
+    assert len(order) == len(rows) and known == sorted(known) and order[len(known) :] == [None] * 50
+
+
+def test_line_dedup_of_documents_without_ids(spark):
+    passage = "\n".join(" ".join(f"w{i}x{j}" for j in range(15)) for i in range(3))
+    rows = [(None, f"first\n{passage}"), (None, f"other\n{passage}\nend"), (None, f"third\n{passage}"), (7, "alone"), (None, None)]
+    out = [r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sum(passage in (t or "") for t in out) == 1 and len(out) == 5
+    rows = [(3, f"first\n{passage}"), (3, f"other\n{passage}"), (9, passage + "\nz")]
+    out = [r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sum(passage in t for t in out) == 1
