@@ -9,6 +9,8 @@ ids are never near duplicates of anything; columns beyond those of documents are
 
 from __future__ import annotations
 
+import functools
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,17 +23,32 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 RUN = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
-_before: list[str] = []
+
+class _Left(threading.local):
+    """The scratch folders of the stage that this thread has called last."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_left = _Left()
 
 
 def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """f; the scratch tables of the stage before, whose result has been written by now, go first."""
+    """f, which first deletes the scratch folders of the stage that this thread called before if docs is a table of its own:
+    then that stage's result has been written. Folders that docs still reads stay, so stages may be chained unwritten."""
 
+    @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.remove(spark, _before)
-        known = len(common.made)
-        out = f(spark, docs, sf_dir)
-        _before[:] = common.made[known:]
+        if _left.paths:
+            read = docs.inputFiles()
+            if read and not any(f"/{p.rsplit('/', 1)[-1]}/" in x for p in _left.paths for x in read):
+                common.remove(spark, _left.paths)
+            else:
+                _left.paths = []
+        with common.scope() as own:
+            out = f(spark, docs, sf_dir)
+        _left.paths = own
         return out
 
     return run
@@ -39,7 +56,8 @@ def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[
 
 @_stage
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon scores under the threshold."""
+    """Documents that the lexicon scores under the threshold; repeated rows are judged alike and all kept or all dropped. Null
+    and empty texts score as any text without a hit and stay. Without labels nothing is learned and every row stays."""
     lexicon = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
     scored = docs.select(*COLUMNS, toxicity.scorer(spark, lexicon)("text").alias("_score"))
     return scored.filter(F.col("_score") < toxicity.THRESHOLD).select(*COLUMNS)
@@ -47,7 +65,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @_stage
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of line runs; a document of which nothing else was there goes."""
+    """Documents without later copies of line runs; a document of which nothing else was there goes. Null and empty texts, and
+    those of blank lines only, stay as they are; of repeated rows, which are one document, all stay."""
     out = line_dedup.dedup_lines(docs.select(*COLUMNS))
     left = (F.col("_n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.filter(left).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -55,7 +74,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 @_stage
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 0.8 or more over five-word shingles connect, the one with the smallest id."""
+    """Of documents that links of 0.8 or more over five-word shingles connect, the one with the smallest id. Of rows that share
+    an id the one with the smallest text stays; null and empty texts link with nothing and stay; null ids stay."""
     found = ngram_join.components(docs, NEAR_WORDS, NEAR_PERCENT)
     keep = found.filter("doc_id = component_id").select("doc_id").distinct()
     one = docs.join(keep.hint("merge"), "doc_id", "left_semi")
@@ -65,7 +85,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; the one at a source's cut with its first words only."""
+    """Each document as often as the mix takes it; the one at a source's cut with its first words only. Texts without words
+    stay once; null sources are a source of their own; repeated rows are taken one by one."""
     key = ("doc_id", "source", "text_hash")
     # rows that are alike in all three take one entry each; the entries are numbered, so no list of them is ever made
     taken = mixing.mix(docs).withColumn("_no", F.row_number().over(W.partitionBy(*key).orderBy("epochs", "cut")))
@@ -85,7 +106,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document as little-endian 32-bit integers, decoded again to check them."""
+    """Token ids of every document as little-endian 32-bit integers, decoded again to check them. A null text is encoded as the
+    empty one; repeated rows each have a result."""
     import public_tokenizers
 
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
@@ -105,9 +127,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """All stages over the documents of sf_dir. A stage's table is removed once the next one is written. With a folder the
-    tables stay in it, and stages whose tables are complete there are not run again."""
+    tables stay in it, and stages whose tables are complete there are not run again; the folder notes which input files they
+    were made from, and other input is refused."""
     docs = common.table(spark, sf_dir, "documents")
     base, before = folder or f"{common.shared_dir(spark)}/lineloom/pipeline-{common.fresh()}", None
+    if folder is not None:
+        mark = common.input_mark(docs.unionByName(common.table(spark, sf_dir, "labels"), allowMissingColumns=True))
+        common.claim(spark, f"{base}/input-{mark}", f"{base}/input-")
     for k, (_, f) in enumerate(STAGES[:-1]):
         path = f"{base}/{k}"
         if folder is None or not common.exists(spark, f"{path}/_SUCCESS"):
