@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lineloom import vocab
-from lineloom.functions.text import any_of, word_count
+from lineloom.functions.text import any_of, col, let, word_count
 
 
 def doc():
@@ -48,7 +48,7 @@ def split_spans(docs: DataFrame) -> DataFrame:
 
     Tiles that cover every character are exploded, so a running sum of their lengths is the exact offset.
     """
-    tiles = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+[.!?]?|[.!?\n]"), F.lit(0))).alias("tile", "raw"))
+    tiles = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(TILE), F.lit(0))).alias("tile", "raw"))
     order = W.partitionBy("doc_id").orderBy("tile")
     tiles = tiles.withColumn("stop", F.sum(F.length("raw")).over(order.rowsBetween(W.unboundedPreceding, 0)))
     tiles = tiles.withColumn("line_no", F.sum(F.when(F.col("raw") == "\n", 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0)))
@@ -72,8 +72,8 @@ def split_clauses(spans: DataFrame) -> DataFrame:
     return spans.select(*[c for c in spans.columns if c != "text"], F.posexplode(F.when(F.size(parts) > 0, parts).otherwise(F.array("text"))).alias("clause_no", "clause"))
 
 
-def heading_text(c: str) -> Column:
-    return F.trim(F.regexp_replace(F.trim(F.col(c)), r"[:?]+\s*$", ""))
+def heading_text(c: str | Column) -> Column:
+    return F.trim(F.regexp_replace(F.trim(col(c)), r"[:?]+\s*$", ""))
 
 
 def heading_shaped(stripped: Column, most: int = 10) -> Column:
@@ -81,13 +81,66 @@ def heading_shaped(stripped: Column, most: int = 10) -> Column:
     return (stripped != "") & ~stripped.rlike("[.!?]$") & word_count(stripped).between(1, most)
 
 
-def classify_headings(lines: DataFrame, responsibility=vocab.RESPONSIBILITY_HEADINGS, requirement=vocab.REQUIREMENT_HEADINGS, other=vocab.OTHER_HEADINGS, ignored=vocab.IGNORED_HEADINGS, safe=vocab.ABOUT_SAFE_WORDS) -> DataFrame:
-    """Lines with `heading`: null, responsibility, requirement, other, ignored or unknown; the first class that fits."""
-    t = F.lower(heading_text("text"))
-    about = t.rlike(r"^about\b") & ~t.rlike(any_of(safe))
-    kind = F.when(t.rlike(any_of(responsibility)), "responsibility").when(t.rlike(any_of(requirement)), "requirement").when(t.rlike(any_of(other)), "other")
-    kind = kind.when(t.rlike(any_of(ignored)) | about, "ignored").otherwise("unknown")
-    return lines.withColumn("heading", F.when(heading_shaped(t), kind))
+def heading_kind(c: str | Column, responsibility=vocab.RESPONSIBILITY_HEADINGS, requirement=vocab.REQUIREMENT_HEADINGS, other=vocab.OTHER_HEADINGS, ignored=vocab.IGNORED_HEADINGS, safe=vocab.ABOUT_SAFE_WORDS) -> Column:
+    """C1 as a column: null, responsibility, requirement, other, ignored or unknown; the first class that fits."""
+
+    def kind(t: Column) -> Column:
+        about = t.rlike(r"^about\b") & ~t.rlike(any_of(safe))
+        known = F.when(t.rlike(any_of(responsibility)), "responsibility").when(t.rlike(any_of(requirement)), "requirement").when(t.rlike(any_of(other)), "other")
+        return F.when(heading_shaped(t), known.when(t.rlike(any_of(ignored)) | about, "ignored").otherwise("unknown"))
+
+    return let(F.lower(heading_text(c)), kind)
+
+
+def classify_headings(lines: DataFrame, **vocabularies) -> DataFrame:
+    """Lines with `heading`; the vocabularies are those of heading_kind."""
+    return lines.withColumn("heading", heading_kind("text", **vocabularies))
+
+
+#: A run up to an end mark, never over a line end; or a mark alone.
+TILE = r"[^.!?\n]+[.!?]?|[.!?\n]"
+
+
+def lines_in(c: str | Column) -> Column:
+    """B2 within a row: the trimmed lines of a text as an array."""
+    return F.transform(F.split(col(c), "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))
+
+
+def spans_in(c: str | Column) -> Column:
+    """B5 within a row: the texts of the spans in order."""
+    tiles = F.transform(F.regexp_extract_all(col(c), F.lit(TILE), F.lit(0)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.filter(tiles, lambda x: x.rlike(r"[^.!?\s]"))
+
+
+def header_in(lines: Column, junk: Callable[[Column], Column], headings: Iterable[str] = vocab.DESCRIPTION_HEADINGS, most: int = 40, long: int = 160, enough: int = 3) -> Column:
+    """B4 within a row: (line_no, text) of the header zone of an array of lines, without those that `junk` holds for."""
+    opens = lambda x: x.rlike(rf"(?i)^(?:{'|'.join(headings)})\s*:?$")
+    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("stopped"), F.array().cast("array<struct<line_no:int,text:string>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        is_long = F.length(x["text"]) > long
+        n = a["n"] + F.when(is_long, 0).otherwise(1)
+        stop = (opens(x["text"]) & ~is_long & (n > 1)) | (is_long & (n >= enough))
+        keep = ~stop & ~is_long & (n <= most) & ~junk(x["text"])
+        now = F.struct(n.alias("n"), stop.alias("stopped"), F.when(keep, F.array_append(a["out"], x)).otherwise(a["out"]).alias("out"))
+        return F.when(a["stopped"] | (x["text"] == ""), a).otherwise(now)
+
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("line_no"), x.alias("text")))
+    return F.aggregate(numbered, start, step)["out"]
+
+
+def matchable_in(lines: Column, excludes: Iterable[str] = vocab.ABSOLUTE_EXCLUDES) -> Column:
+    """C3 within a row: the spans of matchable lines in order, as an array. A line's state is that of the last known heading
+    up to it; a text without known headings is matchable."""
+    heads = F.transform(lines, lambda x: F.nullif(heading_kind(x), F.lit("unknown")))
+    start = F.struct(F.lit(False).alias("ignored"), F.array().cast("array<boolean>").alias("out"))
+
+    def step(a: Column, h: Column) -> Column:
+        return let(F.coalesce(h == "ignored", a["ignored"]), lambda now: F.struct(now.alias("ignored"), F.array_append(a["out"], ~now).alias("out")))
+
+    open_ = F.aggregate(heads, start, step)["out"]
+    kept = F.transform(F.filter(F.arrays_zip(lines.alias("x"), open_.alias("ok")), lambda z: z["ok"]), lambda z: z["x"])
+    return F.filter(F.flatten(F.transform(kept, spans_in)), lambda s: ~s.rlike(f"(?i){any_of(excludes)}"))
 
 
 def section_state(lines: DataFrame) -> DataFrame:

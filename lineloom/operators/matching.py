@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lineloom.functions.text import any_of, col, escaped, normalize, remove_stopwords, stem, tokenize, unhyphenate, word_count
+from lineloom.functions.text import col, escaped, let, normalize, remove_stopwords, stem, tokenize, unhyphenate, word_count
 
 PREFIX, OVERHANG = 5, 2
 
@@ -63,18 +63,33 @@ def match_terms(texts: DataFrame, terms: DataFrame, joined: bool = False) -> Dat
         opened = texts.filter(F.col("text").rlike("[A-Za-z0-9]-[A-Za-z0-9]"))
         form = form.unionByName(opened.select("doc_id", F.lower(unhyphenate("text")).alias("t")))
     v = _vocabulary(terms)
+    if v.limit(MOST_RULES + 1).count() > MOST_RULES:
+        return _match_many(form, v)
     keys = v.agg(F.collect_set(F.when(~F.col("prefix"), F.col("first"))).alias("_words"), F.collect_set(F.when(F.col("prefix"), F.col("first"))).alias("_stems"), F.collect_set(F.when(F.col("prefix"), F.length("first"))).alias("_lengths"))
-    rows = form.select("doc_id", "t", F.array_distinct(words_of("t")).alias("_w")).crossJoin(F.broadcast(keys))  # one row, as large as the rule table
+    rows = form.select("doc_id", "t", F.array_distinct(words_of("t")).alias("_w")).crossJoin(F.broadcast(keys))  # one row, of MOST_RULES words at most
     begins = lambda k: F.transform(F.filter("_w", lambda x: F.length(x) >= k), lambda x: F.left(x, k))
     found = F.concat(
         F.transform(F.array_intersect("_w", "_words"), lambda x: F.struct(x.alias("first"), F.lit(False).alias("prefix"))),
         F.transform(F.array_intersect(F.flatten(F.transform("_lengths", begins)), F.col("_stems")), lambda x: F.struct(x.alias("first"), F.lit(True).alias("prefix"))),
     )
     rows = rows.select("doc_id", "t", F.explode(found).alias("f")).select("doc_id", "t", "f.*")
-    met = rows.join(bounded(v), ["first", "prefix"])
+    met = rows.join(F.broadcast(v), ["first", "prefix"])
     return met.filter(F.col("plain") | F.rlike("t", F.col("pattern"))).select("doc_id", "term").distinct()
 
 
+def _match_many(form: DataFrame, v: DataFrame) -> DataFrame:
+    """match_terms for vocabularies that aren't broadcast: words and their beginnings meet the terms by a shuffled join, and
+    only documents that met a term of more than one word are read again. The result is the same."""
+    lengths = F.broadcast(v.filter("prefix").agg(F.collect_set(F.length("first")).alias("_lengths")))  # as many as words have lengths
+    words = form.select("doc_id", F.explode(F.array_distinct(words_of("t"))).alias("w")).distinct()
+    heads = words.crossJoin(lengths).select("doc_id", F.explode(F.transform(F.filter("_lengths", lambda k: F.length("w") >= k), lambda k: F.left("w", k))).alias("first")).distinct()
+    keys = words.select("doc_id", F.col("w").alias("first"), F.lit(False).alias("prefix")).unionByName(heads.select("doc_id", "first", F.lit(True).alias("prefix")))
+    met = keys.join(v, ["first", "prefix"])
+    rest = met.filter("NOT plain").select(F.col("doc_id").alias("_d"), "term", "pattern").distinct()
+    read = form.join(rest, F.col("doc_id").eqNullSafe(F.col("_d"))).filter(F.rlike("t", F.col("pattern")))
+    return met.filter("plain").select("doc_id", "term").unionByName(read.select("doc_id", "term")).distinct()
+
+
 def count_hits(text: str | Column, term: str | Column) -> Column:
     """D3: occurrences that may overlap, each allowing a word ending."""
     base = F.regexp_replace(F.lower(col(term)), r"\*$", "")
@@ -156,78 +171,118 @@ def tools_mentioned(texts: DataFrame, have: DataFrame, absent: DataFrame) -> Dat
 # A routing key or a numbered district, and the place that either stands for.
 DISTRICT = r"\bD[0-9]{2}\s?[A-Z0-9]{4}\b|\bDublin\s+[0-9]{1,2}\b"
 DISTRICT_OF = "Dublin"
-#: Names that one pattern may hold.
-MOST_NAMES = 2_000
+# What a line that names a place looks like, beside the names.
+COUNTRY_LEAD = r"(?i)^(?:Republic of )?Ireland\s*[-–—,:]\s*"
+PLACE_SHAPE = r"^[A-Za-zÀ-ÿ'’. -]+(?: [0-9]{1,2})?(?:\s*(?:,|/|or|and|\(|-)\s*[A-Za-zÀ-ÿ0-9'’. ()-]{1,60}){0,6}\)?$"
+PLACE_WORDS = 8
+HOME_AREAS = ("dublin", "cork")
+
+PLACES = "array<struct<length:int,name:string,canonical:string,area:string>>"
+
+
+def gazetteer_names(gazetteer: DataFrame) -> DataFrame:
+    """(name, canonical, area) of gazetteer(name, canonical[, area]) without null and blank names. Spellings that differ in
+    case only are one name: it stands for the smallest of their canonical names, with its smallest area."""
+    area = F.col("area").cast("string") if "area" in gazetteer.columns else F.lit(None).cast("string")
+    rows = gazetteer.select("name", "canonical", area.alias("area")).filter(F.trim("name") != "")
+    order = W.partitionBy(F.lower("name")).orderBy(F.col("canonical").asc_nulls_last(), F.col("area").asc_nulls_last())
+    chosen = F.first(F.struct("canonical", "area")).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return rows.withColumn("_c", chosen).select("name", "_c.canonical", "_c.area").distinct()
+
+
+def with_places(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """texts(doc_id, text, ...) with `places`: the names of the gazetteer that the text holds, the longest first.
+
+    A dictionary join for gazetteers of any size: a name waits under its first word, a text's different words meet the names
+    by equality, and names that the text holds as a string stay. The columns functions below then look for these names only,
+    so their patterns are as small as the text is. Rows that share an id each get their own names."""
+    names = gazetteer_names(gazetteer)
+    # a name without any letter or digit of ASCII waits under its first character
+    words = words_of("name")
+    names = names.withColumn("_key", F.when(F.size(words) > 0, F.get(words, F.lit(0))).otherwise(F.left(F.lower(F.trim("name")), F.lit(1))))
+    others = F.split(F.regexp_replace("text", r"[A-Za-z0-9_\s]+", ""), "")
+    keys = F.array_distinct(F.concat(words_of("text"), F.transform(others, lambda x: F.lower(x))))
+    met = texts.select(F.col("doc_id").alias("_d"), F.explode(keys).alias("_key")).join(bounded(names), "_key")
+    one = F.struct((-F.length("name")).alias("length"), "name", "canonical", "area")
+    own = met.groupBy("_d").agg(F.sort_array(F.collect_set(one)).alias("_met"))
+    out = texts.join(own, F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d")
+    text = F.lower("text")
+    held = let(text, lambda t: F.filter(F.coalesce("_met", F.array().cast(PLACES)), lambda p: F.contains(t, F.lower(p["name"]))))
+    return out.withColumn("places", F.coalesce(held, F.array().cast(PLACES))).drop("_met")
+
+
+def names_pattern(places: str | Column) -> Column:
+    """The names as a pattern, the longest first; one that matches nothing where there are none."""
+    p = col(places)
+    return F.when(F.size(p) > 0, F.array_join(F.transform(p, lambda x: escaped(x["name"])), "|")).otherwise(F.lit("(?!)"))
+
 
+def _named(c: Column, any_case: bool, names: Column) -> Column:
+    pattern = F.concat(F.lit(f"{'(?i)' if any_case else ''}(?<!{WORD_CHAR})("), names, F.lit(f")(?!{WORD_CHAR})"))
+    return F.regexp_extract_all(c, pattern, F.lit(1))
 
-class Places:
-    """A gazetteer(name, canonical, area) as column expressions: one alternation, the longest names first. It is read by the
-    driver up to a bound and refused beyond it (places_in takes gazetteers of any size)."""
 
-    def __init__(self, gazetteer: DataFrame, most: int = MOST_RULES) -> None:
-        rows = gazetteer.select("name", "canonical", "area").limit(most + 1).collect()
-        if len(rows) > most:
-            raise ValueError(f"more than {most} places")
-        self.canonical = {r["name"].lower(): r["canonical"] for r in rows}
-        self.area = {r["canonical"]: r["area"] for r in rows}
-        self.list = sorted({r["name"] for r in rows})
-        self.names = any_of(self.list) if rows else "(?!)"
+def _canonical(places: Column, name: Column, field: str = "canonical") -> Column:
+    return F.get(F.filter(places, lambda p: F.lower(p["name"]) == F.lower(name)), F.lit(0))[field]
 
-    def _map(self, d: dict) -> Column:
-        return F.create_map(*(F.lit(x) for kv in sorted(d.items()) for x in kv)) if d else F.create_map().cast("map<string,string>")
 
-    def all(self, c: str | Column, any_case: bool = True) -> Column:
-        """The different canonical names in order; a district's mark stands for its city."""
-        found = F.regexp_extract_all(col(c), F.lit(f"{'(?i)' if any_case else ''}(?<!{WORD_CHAR})({self.names})(?!{WORD_CHAR})"), F.lit(1))
-        named = F.array_distinct(F.transform(found, lambda x: F.element_at(self._map(self.canonical), F.lower(x))))
-        marked = col(c).rlike(DISTRICT) & ~F.array_contains(named, DISTRICT_OF)
-        return F.when(marked, F.array_prepend(named, F.lit(DISTRICT_OF))).otherwise(named)
+def all_places(c: str | Column, places: str | Column = "places", any_case: bool = True, district: str = DISTRICT, stands_for: str = DISTRICT_OF, names: Column | None = None) -> Column:
+    """D12 as a column: the different canonical names in order of first mention; a name inside a longer one doesn't count, and
+    of names with the same beginning the longest does. A district's mark stands for its city, before all others where nothing
+    else names it."""
+    t, p = col(c), col(places)
+    none = F.array().cast("array<string>")
+    found = F.when(F.size(p) > 0, F.array_distinct(F.transform(_named(t, any_case, names_pattern(p) if names is None else names), lambda x: _canonical(p, x)))).otherwise(none)
+    marked = lambda named: F.when(t.rlike(district) & ~F.array_contains(named, stands_for), F.array_prepend(named, F.lit(stands_for))).otherwise(named)
+    return let(found, marked)
 
-    def any(self, c: str | Column) -> Column:
-        return col(c).rlike(rf"(?i)\b(?:{self.names})\b") | col(c).rlike(DISTRICT)
 
-    def pick(self, places: Column, first: tuple[str, ...] = ("dublin", "cork")) -> Column:
-        """The first place of the preferred areas in turn, else the first."""
-        areas = self._map(self.area)
-        return F.coalesce(*(F.get(F.filter(places, (lambda a: lambda x: F.element_at(areas, x) == a)(a)), F.lit(0)) for a in first), F.get(places, F.lit(0)))
+def names_place(c: str | Column, places: str | Column = "places", names: Column | None = None) -> Column:
+    """Whether a string names a place or a district."""
+    pattern = F.concat(F.lit(r"(?i)\b(?:"), names_pattern(places) if names is None else names, F.lit(r")\b"))
+    return ((F.size(col(places)) > 0) & F.rlike(col(c), pattern)) | col(c).rlike(DISTRICT)
 
-    def is_line(self, c: str | Column) -> Column:
-        """Whether a line is a place: led by one, in at most eight words, without the marks of a sentence."""
-        line = F.regexp_replace(F.regexp_replace(col(c), r"\s+[·|]\s.*$", ""), r"(?i)^(?:Republic of )?Ireland\s*[-–—,:]\s*", "")
-        shape = r"^[A-Za-zÀ-ÿ'’. -]+(?: [0-9]{1,2})?(?:\s*(?:,|/|or|and|\(|-)\s*[A-Za-zÀ-ÿ0-9'’. ()-]{1,60}){0,6}\)?$"
-        return (word_count(line) <= 8) & self.any(F.regexp_extract(line, r"^(.*?)(?:\s*[,(/]\s*|\s+[-–—]\s+|$)", 1)) & line.rlike(shape)
+
+def is_place(c: str | Column, places: str | Column = "places") -> Column:
+    """Whether a string is a place's name and nothing else."""
+    return F.exists(col(places), lambda p: F.lower(p["name"]) == F.lower(col(c)))
+
+
+def is_place_line(c: str | Column, places: str | Column = "places", names: Column | None = None) -> Column:
+    """Whether a line is a place: led by one, in a few words, without the marks of a sentence."""
+    line = F.regexp_replace(F.regexp_replace(col(c), r"\s+[·|]\s.*$", ""), COUNTRY_LEAD, "")
+    lead = lambda x: F.regexp_extract(x, r"^(.*?)(?:\s*[,(/]\s*|\s+[-–—]\s+|$)", 1)
+    return let(line, lambda x: (word_count(x) <= PLACE_WORDS) & x.rlike(PLACE_SHAPE) & let(lead(x), lambda y: names_place(y, places, names)))
+
+
+def area_of(place: Column, places: str | Column = "places") -> Column:
+    """The area of a canonical name among a text's own."""
+    return F.get(F.filter(col(places), lambda p: p["canonical"] == place), F.lit(0))["area"]
+
+
+def pick_place(found: str | Column, places: str | Column = "places", first: tuple[str, ...] = HOME_AREAS) -> Column:
+    """The first place of the preferred areas in turn, else the first."""
+    p = col(found)
+    return F.coalesce(*(F.get(F.filter(p, (lambda a: lambda x: area_of(x, places) == a)(a)), F.lit(0)) for a in first), F.get(p, F.lit(0)))
+
+
+def place_mentions(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """(doc_id, no, start, end, name, canonical) of every mention in order, the longest names first, none inside another.
+    start and end are places in the text."""
+    rows = with_places(texts.select("doc_id", "text"), gazetteer).filter(F.size("places") > 0)
+    pattern = F.concat(F.lit(f"(?i)(?<!{WORD_CHAR})(?:"), names_pattern("places"), F.lit(f")(?!{WORD_CHAR})"))
+    rows = rows.select("doc_id", "places", F.regexp_extract_all("text", pattern, F.lit(0)).alias("_n"), F.transform(F.split(F.col("text"), pattern, -1), lambda x: F.length(x)).alias("_gap"))
+    rows = rows.select("doc_id", "places", "_gap", F.col("_n").alias("_all"), F.posexplode("_n").alias("no", "name"))
+    total = lambda c, k: F.aggregate(F.slice(c, 1, k), F.lit(0), lambda a, x: a + x)
+    start = total(F.col("_gap"), F.col("no") + 1) + total(F.transform("_all", lambda x: F.length(x)), F.col("no"))
+    return rows.select("doc_id", "no", start.alias("start"), (start + F.length("name")).alias("end"), "name", _canonical(F.col("places"), F.col("name")).alias("canonical"))
 
 
 def places_in(texts: DataFrame, gazetteer: DataFrame, district: str = DISTRICT, stands_for: str = DISTRICT_OF) -> DataFrame:
-    """(doc_id, places), the distinct canonical names in order of their first mention, case aside; a name inside a
-    longer one doesn't count, and of names with the same beginning the longest does. A district's mark names its city,
-    before all others where nothing else does. gazetteer(name, canonical, area).
-
-    A small gazetteer is one pattern, tried once along each text; names of a large one are found by match_terms first."""
-    if district == DISTRICT and stands_for == DISTRICT_OF and gazetteer.limit(MOST_NAMES + 1).count() <= MOST_NAMES:
-        small = gazetteer if "area" in gazetteer.columns else gazetteer.withColumn("area", F.lit(None).cast("string"))
-        return texts.select("doc_id", Places(small, MOST_NAMES).all("text").alias("places")).filter(F.size("places") > 0)
-    names = gazetteer.select(F.lower("name").alias("term"), "canonical").distinct()
-    text = texts.select("doc_id", F.lower("text").alias("t"))
-    found = match_terms(texts, names.select("term")).join(bounded(names), "term").join(text, "doc_id").withColumn("_b", F.split("t", whole(F.col("term"), F.lit(False)), -1))
-    # all places of a name: it begins where each piece between its finds ends
-    before = F.col("_b")
-    spans = found.select("doc_id", "canonical", F.length("term").alias("n"), F.posexplode(F.transform(before, lambda x: F.length(x))).alias("k", "piece"), F.size(before).alias("m"))
-    order = W.partitionBy("doc_id", "canonical", "n").orderBy("k")
-    spans = spans.withColumn("at", F.sum("piece").over(order.rowsBetween(W.unboundedPreceding, 0)) + F.col("k") * F.col("n")).filter("k < m - 1")
-    # in order, the longest first at a place; what begins inside the name before it is passed over
-    state = F.struct(F.lit(0).cast("long").alias("reach"), F.array().cast("array<string>").alias("names"))
-
-    def step(a: Column, x: Column) -> Column:
-        taken = F.when(F.array_contains(a["names"], x["canonical"]), a["names"]).otherwise(F.array_append(a["names"], x["canonical"]))
-        return F.when(x["at"] >= a["reach"], F.struct((x["at"] + x["n"]).alias("reach"), taken.alias("names"))).otherwise(a)
-
-    every = F.array_sort(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), (-F.col("n")).alias("longest"), "n", "canonical")))
-    named = spans.groupBy("doc_id").agg(F.aggregate(every, state, step)["names"].alias("names"))
-    marked = texts.filter(F.col("text").rlike(district)).select("doc_id", F.lit(True).alias("marked")).distinct()
-    both = named.join(marked, "doc_id", "full").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
-    first = F.when(F.col("marked") & ~F.array_contains("names", stands_for), F.array(F.lit(stands_for))).otherwise(F.array().cast("array<string>"))
-    return both.select("doc_id", F.concat(first, "names").alias("places"))
+    """(doc_id, places) of the texts that name any, as all_places finds them. gazetteer(name, canonical[, area]) may have
+    any size."""
+    out = with_places(texts.select("doc_id", "text"), gazetteer)
+    return out.select("doc_id", all_places("text", "places", True, district, stands_for).alias("places")).filter(F.size("places") > 0)
 
 
 def first_accepted_match(sentences: DataFrame, rules: list[tuple[str, str]], accepted: Column | None = None, strict: tuple[str, ...] = ()) -> DataFrame:
@@ -247,3 +302,55 @@ def contains_verbatim(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     out = quotes.join(d, "doc_id", "left")
     return out.withColumn("verbatim", F.coalesce(F.contains("_t", F.lower("quote")), F.lit(False))).drop("_t")
 
+
+#: Words in a shingle and shingles in a window of the quote index.
+SHINGLE, WINDOW = 4, 4
+
+
+def _shingles(words: Column, n: int = SHINGLE) -> Column:
+    """Hashes of all runs of n words."""
+    return let(words, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n)))).otherwise(F.array().cast("array<bigint>")))
+
+
+def winnowed(words: Column, n: int = SHINGLE, window: int = WINDOW) -> Column:
+    """The different smallest hashes of every `window` neighbouring shingles: two word sequences that share window + n - 1
+    words share one of them."""
+    least = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (window - 1)), lambda i: F.array_min(F.slice(h, i, window)))
+    return let(_shingles(words, n), lambda h: F.when(F.size(h) >= window, F.array_distinct(least(h))).otherwise(F.array().cast("array<bigint>")))
+
+
+def find_quotes(texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """D14 over all texts: (quote_id, doc_id, at) of every text(doc_id, text) that holds a quote(quote_id, quote) word for
+    word, case aside; at is the first place, from 0. Null quotes are in no text, empty ones in every text.
+
+    Texts are indexed by winnowed word shingles. A quote's first and last word may be parts of words, so its inner words are
+    looked up: by the smallest of their shingles where there are enough for a window, which every text that holds the quote
+    has in its index; by one inner word where there are fewer; a quote of two words by the first one as a word's ending, a
+    quote of one word as a part of a word. What is met is then searched for the quote itself, so each key only has to be
+    necessary. Quotes without any word are compared with all texts, up to a bound on their number."""
+    split = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
+    q = quotes.select("quote_id", F.lower("quote").alias("q")).filter("q IS NOT NULL").distinct().withColumn("w", split(F.col("q")))
+    inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
+    q = q.withColumn("inner", inner).withColumn("kind", F.when(F.size("w") == 0, 4).when(F.size("inner") >= SHINGLE + WINDOW - 1, 0).when(F.size("inner") > 0, 1).when(F.size("w") == 2, 2).otherwise(3))
+    longest = F.array_max(F.transform("inner", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    key = F.when(F.col("kind") == 0, F.array_min(_shingles(F.col("inner")))).when(F.col("kind") == 1, F.xxhash64(longest)).otherwise(F.xxhash64(F.get("w", F.lit(0))))
+    # a quote of two words may begin or end with white space, so its ends are whole words there; the key holds either way
+    q = q.select("quote_id", "q", "kind", key.alias("key"), F.when(F.col("kind").isin(2, 3), F.length(F.get("w", F.lit(0)))).alias("n"))
+    lengths = F.broadcast(q.agg(*(F.collect_set(F.when(F.col("kind") == k, F.col("n"))).alias(f"_n{k}") for k in (2, 3)), *(F.count_if(F.col("kind") == k).alias(f"_c{k}") for k in (0, 1))))  # lengths of words
+    t = texts.select("doc_id", F.lower("text").alias("t")).crossJoin(lengths).withColumn("w", split(F.col("t")))
+    words = F.array_distinct("w")
+    ends = F.flatten(F.transform(words, lambda x: F.transform(F.filter("_n2", lambda n: n <= F.length(x)), lambda n: F.xxhash64(F.right(x, n)))))
+    parts = F.flatten(F.transform(words, lambda x: F.flatten(F.transform(F.filter("_n3", lambda n: n <= F.length(x)), lambda n: F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.xxhash64(F.substring(x, i, n)))))))
+    kinds = ((0, F.when(F.col("_c0") > 0, winnowed(F.col("w")))), (1, F.when(F.col("_c1") > 0, F.transform(words, lambda x: F.xxhash64(x)))), (2, ends), (3, parts))
+    keyed = F.flatten(F.array(*(F.transform(F.array_distinct(F.coalesce(c, F.array().cast("array<bigint>"))), (lambda k: lambda h: F.struct(F.lit(k).alias("kind"), h.alias("key")))(k)) for k, c in kinds)))
+    index = t.select(F.col("doc_id").alias("_d"), F.explode(keyed).alias("x")).select("_d", "x.*")
+    met = index.join(bounded(q.filter("kind < 4").select("quote_id", "q", "kind", "key")), ["kind", "key"]).select("_d", "quote_id", "q").distinct()
+    plain = texts.select("doc_id", F.lower("text").alias("t"))
+    found = plain.join(met, F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d")
+    bare = q.filter("kind = 4").select("quote_id", "q")
+    n_bare = bare.limit(MOST_RULES + 1).count()
+    if n_bare > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} quotes without a word")
+    if n_bare:
+        found = found.unionByName(plain.crossJoin(F.broadcast(bare)))
+    return found.filter(F.contains("t", F.col("q"))).select("quote_id", "doc_id", (F.instr("t", F.col("q")) - 1).alias("at"))

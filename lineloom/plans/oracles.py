@@ -136,6 +136,12 @@ SQL = {
     "d14_verbatim": "WITH q AS (SELECT lower(r_name) AS quote FROM region UNION ALL VALUES ('the'), ('der')) SELECT l.doc_id, count(*) AS n, count(*) FILTER (WHERE contains(lower(d.text), quote)) AS n_verbatim FROM labels l CROSS JOIN q LEFT JOIN documents d USING (doc_id) GROUP BY l.doc_id",
     "d12_places": r"""WITH m AS (SELECT doc_id, unnest(l) AS n, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '\b(?:the of|the|und|der|of|la)\b') AS l FROM documents)),
       f AS (SELECT doc_id, CASE n WHEN 'the of' THEN 'Theof' ELSE upper(left(n, 1)) || substr(n, 2) END AS p, min(i) AS i FROM m GROUP BY ALL) SELECT doc_id, string_agg(p, ',' ORDER BY i) AS places FROM f GROUP BY doc_id""",
+    "d14_quotes": "SELECT item_id AS quote_id, doc_id, strpos(lower(d.text), lower(b.text)) - 1 AS at FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))",
+    "d14_phrases": """WITH s AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), q AS (SELECT item_id * 10 + k AS quote_id, lower(substr(array_to_string(w[1:n], ' '), c)) AS q FROM s, (VALUES (0, 12, 2), (1, 10, 1), (2, 5, 2), (3, 3, 1), (4, 2, 2), (5, 1, 1), (6, 1, 2)) AS v(k, n, c))
+      SELECT quote_id, count(*) AS n_docs, sum(strpos(lower(d.text), q) - 1)::BIGINT AS at_sum FROM q JOIN documents d ON contains(lower(d.text), q) GROUP BY quote_id""",
+    "d12_mentions": r"""WITH m AS (SELECT doc_id, regexp_extract_all(lower(text), '\b(?:the of|the|und|der|of|la)\b') AS l, list_transform(regexp_split_to_array(lower(text), '\b(?:the of|the|und|der|of|la)\b'), lambda x: length(x)) AS g FROM documents),
+      x AS (SELECT doc_id, unnest(range(len(l))) AS no, unnest(l) AS n, l, g FROM m)
+      SELECT doc_id, no::INT AS no, (list_sum(g[1:no + 1]) + coalesce(list_sum(list_transform(l[1:no], lambda y: length(y))), 0))::INT AS start, (list_sum(g[1:no + 1]) + coalesce(list_sum(list_transform(l[1:no], lambda y: length(y))), 0) + length(n))::INT AS "end", CASE n WHEN 'the of' THEN 'Theof' ELSE upper(left(n, 1)) || substr(n, 2) END AS canonical FROM x""",
     "e1_numbers": rf"""WITH {SPANS}, m AS (SELECT doc_id, span_no, text, regexp_extract_all(text, '{q.UNIT}', 1) AS a, regexp_extract_all(text, '{q.UNIT}', 2) AS b FROM spans), x AS (SELECT doc_id, span_no, text, unnest(a) AS a, unnest(b) AS b, generate_subscripts(a, 1) - 1 AS no FROM m)
       SELECT doc_id, span_no, no, least(try_cast(a AS INT), coalesce(try_cast(b AS INT), try_cast(a AS INT))) AS value, regexp_matches(text, '(?i)version') AS has_context, coalesce(least(try_cast(a AS INT), coalesce(try_cast(b AS INT), try_cast(a AS INT))) <= 15, false) AS valid FROM x""",
     "e2_required": rf"""WITH {SPANS}, m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{q.UNIT}', 1)) AS a, unnest(regexp_extract_all(text, '{q.UNIT}', 2)) AS b FROM spans), v AS (SELECT doc_id, least(try_cast(a AS INT), coalesce(try_cast(b AS INT), try_cast(a AS INT))) AS v FROM m),

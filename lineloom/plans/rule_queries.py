@@ -61,6 +61,10 @@ def gazetteer_of(spark, d):
     return read(spark, d, "nation").select(place().alias("name"), F.concat_ws("/", place(), "n_regionkey").alias("canonical"), area.alias("area"))
 
 
+def placed(spark, d):
+    return matching.with_places(ads_of(spark, d), gazetteer_of(spark, d))
+
+
 def a1_documents(spark, d):
     return documents.read_documents(spark, f"{d}/documents.parquet", "parquet").select("doc_id", F.length("text").alias("n"))
 
@@ -76,11 +80,11 @@ def d10_demands(spark, d):
 
 
 def e4_roles(spark, d):
-    return extract.extract_role(ads_of(spark, d), extract.Places(gazetteer_of(spark, d))).select("doc_id", "value", "how")
+    return extract.extract_role(placed(spark, d)).select("doc_id", "value", "how")
 
 
 def e5_companies(spark, d):
-    return extract.extract_company(ads_of(spark, d), places=extract.Places(gazetteer_of(spark, d))).select("doc_id", "value", "how", "score")
+    return extract.extract_company(placed(spark, d)).select("doc_id", "value", "how", "score")
 
 
 def e6_links(spark, d):
@@ -89,25 +93,24 @@ def e6_links(spark, d):
 
 
 def e7_cities(spark, d):
-    ads = ads_of(spark, d)
-    out = extract.extract_city(ads, lines.split_spans(ads), extract.Places(gazetteer_of(spark, d)))
+    out = extract.extract_city(placed(spark, d))
     return out.select("doc_id", "city", "how", "note")
 
 
 def e8_mentions(spark, d):
-    out = extract.cities_mentioned(lines.split_spans(ads_of(spark, d)), extract.Places(gazetteer_of(spark, d)))
+    out = extract.cities_mentioned(placed(spark, d))
     return out.filter("size(places) > 0").select("doc_id", F.array_join("places", ",").alias("places"))
 
 
 def e9_locations(spark, d):
-    areas = {r["canonical"]: r["area"] for r in gazetteer_of(spark, d).filter("area IS NOT NULL").collect()}  # a row a nation
     rows = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    rule = extract.location_rule(F.array(F.lit("TownD/3"), F.concat_ws("/", place(), "n_regionkey")), areas)
-    return rows.select("c_custkey", rule.alias("r")).select("c_custkey", "r.kind", "r.place")
+    rows = matching.with_places(rows.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("TownD, "), place()).alias("text")), gazetteer_of(spark, d))
+    rule = extract.location_rule(matching.all_places("text"))
+    return rows.select(F.col("doc_id").alias("c_custkey"), rule.alias("r")).select("c_custkey", "r.kind", "r.place")
 
 
 def e10_teams(spark, d):
-    return extract.extract_team(lines.classify_sentences(ads_of(spark, d))).select("doc_id", "value", "how")
+    return extract.extract_team(ads_of(spark, d)).select("doc_id", "value", "how")
 
 
 def e11_recipients(spark, d):
@@ -115,8 +118,7 @@ def e11_recipients(spark, d):
 
 
 def e12_fields(spark, d):
-    ads = ads_of(spark, d)
-    out = extract.extract_all(ads, lines.classify_sentences(ads), gazetteer_of(spark, d))
+    out = extract.extract_all(ads_of(spark, d), gazetteer_of(spark, d))
     return out.select("doc_id", *(F.col(f"{k}.value").alias(k) for k in ("role", "company", "city", "team", "recipient")), "note")
 
 

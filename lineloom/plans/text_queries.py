@@ -186,6 +186,27 @@ def d14_verbatim(spark, d):
     return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("verbatim").alias("n_verbatim"))
 
 
+def d12_mentions(spark, d):
+    out = matching.place_mentions(docs_of(spark, d), rule_rows(spark, GAZETTEER, "name string, canonical string, area string"))
+    return out.select("doc_id", "no", "start", "end", "canonical")
+
+
+def d14_quotes(spark, d):
+    b = read(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    return matching.find_quotes(docs_of(spark, d), b)
+
+
+def d14_phrases(spark, d):
+    """Beginnings of the benchmark's texts: some words, few words, a word and a part of a word."""
+    b = read(spark, d, "benchmark")
+    part = lambda n, cut: F.substring(F.substring_index("text", " ", n), cut, 10000)
+    quotes = [b.select((F.col("item_id") * 10 + k).alias("quote_id"), part(n, cut).alias("quote")) for k, (n, cut) in enumerate(((12, 2), (10, 1), (5, 2), (3, 1), (2, 2), (1, 1), (1, 2)))]
+    every = quotes[0]
+    for q in quotes[1:]:
+        every = every.unionByName(q)
+    return matching.find_quotes(docs_of(spark, d), every).groupBy("quote_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("at").alias("at_sum"))
+
+
 def e1_numbers(spark, d):
     out = extract.number_candidates(sentences_of(spark, d), UNIT, "version", 15)
     return out.select("doc_id", "span_no", "no", "value", "has_context", "valid")

@@ -60,8 +60,7 @@ def test_numbers(ads):
 
 def test_fields(spark, ads):
     gazetteer = spark.createDataFrame([("Dublin", "Dublin", "dublin"), ("Cork", "Cork", "cork")], "name string, canonical string, area string")
-    s = lines.classify_sentences(ads)
-    row = extract.extract_all(ads, s, gazetteer).filter("doc_id = 1").first()
+    row = extract.extract_all(ads, gazetteer).filter("doc_id = 1").first()
     assert row["role"]["value"] == "Junior Data Analyst"
     assert row["city"]["value"] == "Dublin"
     assert row["recipient"]["value"] == "Mary Byrne"
@@ -191,14 +190,68 @@ def test_places_in_text_order(spark):
     docs = spark.createDataFrame([(1, "from cork to Dublin, CORK"), (2, "Dublin Airport Road in Cork"), (3, "Dublin 4 and Cork"), (4, "at D02 H638 near Cork"), (5, "none")], "doc_id long, text string")
     got = {r["doc_id"]: r["places"] for r in matching.places_in(docs, gazetteer).collect()}
     with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(matching, "MOST_NAMES", 0)
+        patch.setattr(matching, "MOST_RULES", 0)
         assert {r["doc_id"]: r["places"] for r in matching.places_in(docs, gazetteer).collect()} == got
     assert got == {1: ["Cork", "Dublin"], 2: ["Dublin Airport", "Cork"], 3: ["Dublin", "Cork"], 4: ["Dublin", "Cork"]}
-    places = matching.Places(gazetteer)
-    shown = {r["doc_id"]: r["p"] for r in docs.select("doc_id", places.all("text").alias("p")).collect()}
+    shown = {r["doc_id"]: r["p"] for r in matching.with_places(docs, gazetteer).select("doc_id", matching.all_places("text").alias("p")).collect()}
     assert shown == got | {5: []}
 
 
+def test_gazetteers_of_any_size_agree(spark):
+    """Nulls, blanks, names that differ in case only, names without a letter of ASCII, rows that share an id."""
+    small = [("Cork", "Cork IE", "cork"), ("cork", "Cork US", "us"), (None, "Nowhere", None), (" ", "Blank", None), ("Dún Laoghaire", "DL", "dublin"), ("東京", "Tokyo", "jp"), ("St. John's", "SJ", None), ("New York", "NY", "us"), ("York", "Y", "uk"), ("Łódź", "Lodz", "pl")]
+    rows = [(1, "CORK, 東京タワー and St. John's"), (1, "new york or York in Dún Laoghaire"), (None, "Łódź, Yorkshire, york"), (2, None), (3, "no place")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shape = "name string, canonical string, area string"
+    want = [("1", ["Cork IE", "Tokyo", "SJ"]), ("1", ["NY", "Y", "DL"]), ("None", ["Lodz", "Y"])]
+    big = small + [(f"place{k} of nowhere", f"P{k}", None) for k in range(30_000)]
+    for names in (small, big):
+        got = matching.places_in(docs, spark.createDataFrame(names, shape)).collect()
+        assert sorted((str(r["doc_id"]), r["places"]) for r in got) == sorted(want)
+        for r in matching.place_mentions(docs, spark.createDataFrame(names, shape)).collect():
+            assert r["name"] in [t[r["start"] : r["end"]] for i, t in rows if t and i == r["doc_id"]]
+    assert matching.places_in(docs, spark.createDataFrame([], shape)).count() == 0
+
+
+def test_large_vocabularies_match_as_small_ones(spark, monkeypatch):
+    rows = [(1, "a data-driven team, data sets"), (2, "c++ and go; databases"), (None, "data"), (None, "go"), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = spark.createDataFrame([("data*",), ("data set*",), ("c++",), ("go",), ("team",), ("data driven",)], "term string")
+    for joined in (False, True):
+        few = sorted(map(str, matching.match_terms(docs, terms, joined).collect()))
+        with monkeypatch.context() as patch:
+            patch.setattr(matching, "MOST_RULES", 0)
+            assert sorted(map(str, matching.match_terms(docs, terms, joined).collect())) == few
+
+
+def test_quotes_in_all_texts(spark):
+    import random
+
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gamma", "Delta", "eta,", "theta.", "io", "É"]
+    texts = [(k, " ".join(rng.choices(words, k=rng.choice([0, 1, 3, 20, 80])))) for k in range(60)] + [(None, "alpha beta"), (7, None), (8, "  io\n\tbeta  ")]
+    quotes = [(0, None), (1, ""), (2, " "), (3, "a"), (4, "ta g"), (5, "beta gamma"), (6, "io\n\tbeta"), (7, "ALPHA"), (8, "a beta a"), (9, "not there at all"), (10, "\n")]
+    for k in range(40):
+        t = rng.choice([t for _, t in texts if t])
+        a = rng.randrange(len(t))
+        quotes.append((20 + k, t[a : a + rng.choice([1, 5, 15, 40, 90, 200])]))
+    got = matching.find_quotes(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(quotes, "quote_id long, quote string")).collect()
+    want = [(q, i, t.lower().index(x.lower())) for q, x in quotes if x is not None for i, t in texts if t is not None and x.lower() in t.lower()]
+    assert sorted(map(str, ((r["quote_id"], r["doc_id"], r["at"]) for r in got))) == sorted(map(str, want))
+
+
+def test_fields_within_rows_are_those_of_the_line_operators(spark):
+    rows = [(1, "Title: x\n\nAbout the role\nWe build. We sell!\n\nBenefits\nFree lunch.\nRequirements\nYou know SQL."), (2, None), (3, ""), (4, "One line\n" * 60), (5, "x" * 200 + "\nhead\n" + "y" * 170 + "\nmore")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    of = docs.select("doc_id", lines.lines_in("text").alias("l"), lines.spans_in("text").alias("s")).withColumn("m", lines.matchable_in(F.col("l"))).withColumn("h", lines.header_in(F.col("l"), lambda x: F.lit(False)))
+    got = {r["doc_id"]: r for r in of.collect()}
+    listed = lambda df, c: {i: [r[c] for r in df.filter(F.col("doc_id") == i).orderBy("line_no" if "span_no" not in df.columns else "span_no").collect()] for i in (1, 3, 4, 5)}
+    assert {i: got[i]["l"] for i in (1, 3, 4, 5)} == listed(lines.explode_lines(docs), "text")
+    assert {i: got[i]["s"] for i in (1, 3, 4, 5)} == listed(lines.split_spans(docs), "text")
+    assert {i: got[i]["m"] for i in (1, 3, 4, 5)} == listed(lines.classify_sentences(docs).filter("matchable"), "text")
+    assert {i: [h["text"] for h in got[i]["h"]] for i in (1, 3, 4, 5)} == listed(lines.header_zone(lines.explode_lines(docs)), "text")
+
+
 def test_warnings_pass_over_sentences_without_a_figure(spark):
     docs = spark.createDataFrame([(1, "Years of experience help. You have 3 years experience."), (2, "Years of experience help.")], "doc_id long, text string")
     s = lines.classify_sentences(docs)
