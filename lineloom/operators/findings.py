@@ -131,12 +131,16 @@ def ambiguous_experience(text: str | Column, required: str | Column, pattern: st
 
 
 def fit_verdict(docs: DataFrame, stretch: int = 2, reach: int = 5, missing_tools: int = 2) -> DataFrame:
-    """docs(doc_id, n_block, years_short, n_missing_tools) -> BLOCKED, STRETCH with reasons, or GOOD."""
-    y, m = F.coalesce("years_short", F.lit(0)), F.coalesce("n_missing_tools", F.lit(0))
-    reasons = F.array(F.when(y >= reach, "years_reach"), F.when((y >= stretch) & (y < reach), "years_stretch"), F.when(m >= missing_tools, "tools"))
-    reasons = F.filter(reasons, lambda x: x.isNotNull())
-    verdict = F.when(F.coalesce("n_block", F.lit(0)) > 0, "BLOCKED").when(F.size(reasons) > 0, "STRETCH").otherwise("GOOD")
-    return docs.select("doc_id", verdict.alias("verdict"), F.when(verdict == "BLOCKED", F.array().cast("array<string>")).otherwise(reasons).alias("reasons"))
+    """docs(doc_id, n_block, required, n_missing_tools[, skips, vague, all_discarded]) -> BLOCKED, STRETCH with reasons, or
+    GOOD. The bands are tested on the years required, unless the test of years is skipped (G11). `ambiguous`: no figure, but
+    vague wording (G12) and no skip; `discarded`: there were figures and none was valid. Blocked documents have neither."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in docs.columns else F.lit(False)
+    y, m = F.when(~flag("skips"), F.col("required")), F.coalesce("n_missing_tools", F.lit(0))
+    reasons = F.filter(F.array(F.when(y >= reach, "years_reach"), F.when((y >= stretch) & (y < reach), "years_stretch"), F.when(m >= missing_tools, "tools")), lambda x: x.isNotNull())
+    blocked = F.coalesce("n_block", F.lit(0)) > 0
+    verdict = F.when(blocked, "BLOCKED").when(F.size(reasons) > 0, "STRETCH").otherwise("GOOD")
+    ambiguous = ~blocked & ~flag("skips") & F.col("required").isNull() & flag("vague")
+    return docs.select("doc_id", verdict.alias("verdict"), F.when(blocked, F.array().cast("array<string>")).otherwise(reasons).alias("reasons"), ambiguous.alias("ambiguous"), (~blocked & flag("all_discarded")).alias("discarded"))
 
 
 def keyword_table(sources: list[DataFrame], held: DataFrame, output: DataFrame) -> DataFrame:
@@ -183,13 +187,23 @@ def overall_verdict(docs: DataFrame, findings: list[DataFrame]) -> DataFrame:
     return out.select("doc_id", F.when(F.col("w") == 0, "red").when(F.col("w") == 1, "amber").otherwise("green").alias("verdict"), F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))
 
 
-def fit_check(docs: DataFrame, warnings: DataFrame, required: DataFrame, tools: DataFrame, held_years: int) -> DataFrame:
-    """Years required and short, warnings, missing tools and the verdict in one row a document."""
+def fit_check(docs: DataFrame, warnings: DataFrame, required: DataFrame, tools: DataFrame, held_years: int, profile: str | None = None, keywords: DataFrame | None = None, months: DataFrame | None = None) -> DataFrame:
+    """Years required and short, warnings, missing tools, whether the test of years is skipped, the verdict with its reasons
+    and flags in one row a document; `keywords`, how many of G14's rows are held and how many there are, and `months`, G15's
+    relevant ones, where these are given. docs(doc_id, text[, profile column]), required is E2's result."""
     blocks = warnings.groupBy("doc_id").agg(F.count_if(F.col("severity") == "block").alias("n_block"), F.count(F.lit(1)).alias("n_warnings"))
-    rows = docs.select("doc_id").join(required.select("doc_id", "required"), "doc_id", "left").join(blocks, "doc_id", "left")
+    who = F.col(profile) if profile else F.lit(None).cast("string")
+    rows = docs.select("doc_id", skip_experience(who, "text").alias("skips"), F.col("text").alias("_t")).join(required.select("doc_id", "required", "all_discarded"), "doc_id", "left").join(blocks, "doc_id", "left")
     rows = rows.join(tools.select("doc_id", F.size("confirmed_missing").alias("n_missing_tools")), "doc_id", "left")
+    rows = rows.withColumn("vague", ambiguous_experience("_t", "required")).drop("_t")
     rows = rows.withColumn("years_short", F.greatest(F.lit(0), F.coalesce("required", F.lit(0)) - held_years))
-    return rows.join(fit_verdict(rows), "doc_id").select("doc_id", "required", "years_short", F.coalesce("n_warnings", F.lit(0)).alias("n_warnings"), F.coalesce("n_missing_tools", F.lit(0)).alias("n_missing_tools"), "verdict", "reasons")
+    out = rows.select("doc_id", "required", "years_short", F.coalesce("n_warnings", F.lit(0)).alias("n_warnings"), F.coalesce("n_missing_tools", F.lit(0)).alias("n_missing_tools"), "skips").join(fit_verdict(rows), "doc_id")
+    if keywords is not None:
+        held = keywords.groupBy("doc_id").agg(F.struct(F.count_if(F.col("have") == "yes").alias("held"), F.count(F.lit(1)).alias("asked")).alias("keywords"))
+        out = out.join(held, "doc_id", "left")
+    if months is not None:
+        out = out.join(months.select(F.col("person_id").alias("doc_id"), F.col("relevant").alias("months")), "doc_id", "left")
+    return out
 
 
 def form_answers(docs: DataFrame, fixed: dict[str, str], buckets: DataFrame, regional: str = "regional") -> DataFrame:

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lineloom.functions.text import fill_template
-from lineloom.operators.matching import contains_verbatim, match_terms
+from lineloom.functions.text import fill_template, let
+from lineloom.operators.matching import bounded, contains_verbatim, match_terms
 from lineloom.operators.scoring import strength_rank
 
 FINDING = ("doc_id", "gate", "block_no", "detail")
@@ -61,13 +60,32 @@ def quote_check(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     return _finding(contains_verbatim(docs, quotes).filter("NOT verbatim"), "quote", F.col("quote"))
 
 
-def grounding_check(edited: DataFrame, corpus: DataFrame) -> DataFrame:
-    """H6: figures, and capitalised words inside sentences, of edited(doc_id, block_no, text) that are in neither
-    corpus(doc_id, text) of the document."""
-    p = r"(?<![A-Za-z0-9])([0-9][0-9.,]*[0-9]|[0-9])|(?<=[a-z,;] )([A-Z][A-Za-z]+)"
-    tokens = lambda df: df.select("doc_id", *(["block_no"] if "block_no" in df.columns else []), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0)))).alias("token"))
-    every = corpus.select("doc_id", F.explode(F.array_distinct(F.split("text", r"[^A-Za-z0-9.,]+"))).alias("token")).withColumn("token", F.regexp_replace("token", r"[.,]+$", "")).distinct()
-    return _finding(tokens(edited).join(every, ["doc_id", "token"], "left_anti"), "grounding", F.col("token"))
+# Figures, number words and names that a text claims.
+FIGURE = r"[0-9][0-9.,:]*[0-9]%?|[0-9]%"
+NUMBER_WORDS = r"\b(?:two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|hundred|thousand)\b"
+CAPITALISED = r"\b[A-Z][A-Za-z&]+"
+
+
+def grounding_check(edited: DataFrame, corpus: DataFrame, openings: DataFrame | None = None) -> DataFrame:
+    """H6: figures, number words, and capitalised words but for a sentence's first, of edited(doc_id, block_no, text[, kind])
+    that corpus(doc_id, text) of the document doesn't hold: figures as wholes, words anywhere. Where openings(text) is given,
+    blocks of the kind `profile` must open with the first sentence of one of these approved texts."""
+    sentences = F.split("text", r"(?<=[.!?])\s+")
+    after_first = lambda s: F.array_join(F.slice(F.split(s, r"\s+"), 2, 100000), " ")
+    names = F.flatten(F.transform(sentences, lambda s: F.regexp_extract_all(after_first(s), F.lit(CAPITALISED), F.lit(0))))
+    words = F.concat(F.regexp_extract_all("text", F.lit(f"(?i){NUMBER_WORDS}"), F.lit(0)), F.filter(names, lambda w: w != "I"))
+    claims = edited.select("doc_id", "block_no", F.array_distinct(F.regexp_extract_all("text", F.lit(FIGURE), F.lit(0))).alias("figures"), F.array_distinct(words).alias("words"))
+    hay = corpus.groupBy("doc_id").agg(F.lower(F.concat_ws(" ", F.array_sort(F.collect_list("text")))).alias("hay"))
+    both = claims.join(hay, "doc_id", "left").withColumn("hay", F.coalesce("hay", F.lit("")))
+    known = F.regexp_extract_all("hay", F.lit(FIGURE), F.lit(0))
+    open_ = F.concat(F.array_except("figures", known), F.filter("words", lambda w: ~F.contains("hay", F.lower(w))))
+    found = _finding(both.select("doc_id", "block_no", F.explode(F.array_distinct(open_)).alias("token")), "grounding", F.col("token"))
+    if openings is None:
+        return found
+    first = bounded(openings.select(F.concat(F.substring_index("text", ". ", 1), F.lit(".")).alias("_first")).distinct())
+    profiles = edited.filter("kind = 'profile'").select("doc_id", "block_no", "text")
+    bad = profiles.join(first, F.startswith("text", "_first"), "left_anti")
+    return found.unionByName(_finding(bad, "grounding", F.lit("profile opening")))
 
 
 def run_gates(docs: DataFrame, findings: list[DataFrame], gates: Iterable[str]) -> DataFrame:
@@ -116,29 +134,41 @@ def shorten(blocks: DataFrame, overflow: DataFrame) -> DataFrame:
 
 
 def drop_blocks(blocks: DataFrame, budget: int | None = None, most: int = 200) -> DataFrame:
-    """(doc_id, block_no, dropped): filler, then support, the last first; a group left without bullets goes with
-    its heading. What must go is what the cost has over the budget, or, without one, the blocks' own `left`. Each drop
-    depends on those before, so a document's few blocks are one pandas group."""
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("block_no").reset_index(drop=True)
-        over = int(df["left"].iloc[0])
-        gone: set[int] = set()
-        order = [i for s in ("filler", "support") for i in reversed(range(len(df))) if df.at[i, "strength"] == s and df.at[i, "type"] == "bullet"]
-        for i in order[:most]:
-            if over <= 0:
-                break
-            if i in gone:
-                continue
-            mates = [j for j in range(len(df)) if df.at[j, "group_id"] == df.at[i, "group_id"] and j not in gone]
-            out = [i] if sum(df.at[j, "type"] == "bullet" for j in mates) > 1 else mates
-            gone.update(out)
-            over -= int(df.loc[out, "cost"].sum())
-        return pd.DataFrame({"doc_id": df["doc_id"], "block_no": df["block_no"], "dropped": [i in gone for i in range(len(df))], "over": max(0, over)})
+    """(doc_id, block_no, dropped, over): filler bullets, then support ones, the last first, while the cost is over the
+    budget, or, without one, by the blocks' own `left`. A bullet that leaves its group without bullets waits for all others
+    of its strength; where only such bullets are left, the last one's whole group goes, with its heading. A bullet without a
+    group goes alone. over is what is left to save.
 
+    Each drop depends on those before, so a document's sorted blocks are folded in its row: the state is what is left to
+    save, the blocks gone and the live bullets of each group."""
     left = F.col("left") if budget is None else F.sum("cost").over(W.partitionBy("doc_id")) - budget
-    rows = blocks.select("doc_id", "block_no", "type", "group_id", "strength", "cost", left.cast("long").alias("left"))
-    return rows.groupBy("doc_id").applyInPandas(run, "doc_id long, block_no int, dropped boolean, over long")
+    rows = blocks.select("doc_id", F.struct("block_no", "type", "group_id", "strength", F.col("cost").cast("long").alias("cost")).alias("b"), left.cast("long").alias("left"))
+    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("b")).alias("bs"), F.max("left").alias("left"))
+    groups = F.array_distinct(F.transform(F.filter("bs", lambda b: (b["type"] == "bullet") & b["group_id"].isNotNull()), lambda b: b["group_id"].cast("string")))
+    bullets = lambda g: F.size(F.filter("bs", lambda b: (b["type"] == "bullet") & (b["group_id"].cast("string") == g)))
+    docs = docs.withColumn("live", F.map_from_arrays(groups, F.transform(groups, bullets)))
+    start = F.struct(F.col("left").alias("over"), F.array().cast(blocks.select(F.array("block_no")).schema[0].dataType).alias("gone"), F.col("live").alias("live"))
+
+    def pick(a: Column, strength: str) -> Column:
+        there = F.filter("bs", lambda b: (b["type"] == "bullet") & (b["strength"] == strength) & ~F.array_contains(a["gone"], b["block_no"]))
+        free = lambda c: F.filter(c, lambda b: b["group_id"].isNull() | (F.element_at(a["live"], b["group_id"].cast("string")) > 1))
+        last = lambda c: let(free(c), lambda f: F.when(F.size(f) > 0, F.struct(F.element_at(f, -1).alias("b"), F.lit(False).alias("whole"))).otherwise(F.struct(F.element_at(c, -1).alias("b"), F.lit(True).alias("whole"))))
+        return let(there, lambda c: F.when(F.size(c) > 0, last(c)))
+
+    def drop(a: Column, x: Column) -> Column:
+        group = x["b"]["group_id"].cast("string")
+        out = F.filter("bs", lambda b: F.when(x["whole"], b["group_id"].eqNullSafe(x["b"]["group_id"]) & ~F.array_contains(a["gone"], b["block_no"])).otherwise(b["block_no"] == x["b"]["block_no"]))
+        saved = lambda o: F.aggregate(o, F.lit(0).cast("long"), lambda n, b: n + b["cost"])
+        live = F.transform_values(a["live"], lambda k, n: F.when(k.eqNullSafe(group), F.when(x["whole"], 0).otherwise(n - 1)).otherwise(n))
+        return let(out, lambda o: F.struct((a["over"] - saved(o)).alias("over"), F.concat(a["gone"], F.transform(o, lambda b: b["block_no"])).alias("gone"), live.alias("live")))
+
+    def step(a: Column, _: Column) -> Column:
+        chosen = let(F.coalesce(pick(a, "filler"), pick(a, "support")), lambda x: F.when(x.isNull(), a).otherwise(drop(a, x)))
+        return F.when(a["over"] <= 0, a).otherwise(chosen)
+
+    steps = F.sequence(F.lit(1), F.least(F.lit(most), F.size("bs")))
+    done = docs.select("doc_id", "bs", F.aggregate(steps, start, step).alias("a"))
+    return done.select("doc_id", F.explode("bs").alias("b"), "a").select("doc_id", "b.block_no", F.array_contains("a.gone", F.col("b.block_no")).alias("dropped"), F.greatest(F.lit(0).cast("long"), F.col("a.over")).alias("over"))
 
 
 def _while_over(rows: DataFrame, eligible: Column, saving: Column, order: list[Column], name: str) -> DataFrame:

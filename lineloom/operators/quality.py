@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineloom.functions.text import col
-from lineloom.operators.matching import MOST_RULES, bounded, match_terms
+from lineloom.operators.matching import MOST_RULES, bounded, find_quotes, match_terms
 
 
 def violations(df: DataFrame, rule: str, key: str | Column, detail: str | Column) -> DataFrame:
@@ -81,14 +82,18 @@ def single_word_tags(tags: DataFrame, rule: str = "single_word_tag") -> DataFram
 
 
 def figure_guards(strings: DataFrame, guards: DataFrame, rule: str = "figure_guard") -> DataFrame:
-    """strings(path, text) that hold a guard's figure without one of its required phrases, or with a forbidden one.
-    guards(figure, required, forbidden) is a rule table."""
-    rows = strings.join(bounded(guards), F.contains("text", "figure"))
-    t = F.lower("text")
-    missing = (F.size("required") > 0) & ~F.exists("required", lambda p: F.contains(t, F.lower(p)))
-    present = F.exists("forbidden", lambda p: F.contains(t, F.lower(p)))
-    why = F.when(missing, "required phrase missing").when(present, "forbidden phrase")
-    return violations(rows.withColumn("why", why).filter("why IS NOT NULL"), rule, "path", F.concat_ws(": ", "figure", "why"))
+    """strings(path, text) that hold a guard's figure, in its own case, without one of its required phrases, or with a
+    forbidden one; a row a fault. guards(figure, required, forbidden) may have any size: the figures are looked up in an
+    index of the strings (matching.find_quotes), and only what is met is compared."""
+    g = guards.filter(F.col("figure") != "").select("figure", F.coalesce("required", F.array().cast("array<string>")).alias("required"), F.coalesce("forbidden", F.array().cast("array<string>")).alias("forbidden"))
+    met = find_quotes(strings.select(F.col("path").alias("doc_id"), "text"), g.select(F.col("figure").alias("quote_id"), F.col("figure").alias("quote")).distinct())
+    met = met.select(F.col("doc_id").alias("_path"), F.col("quote_id").alias("figure")).distinct()
+    rows = strings.select("path", "text").join(met, F.col("path").eqNullSafe(F.col("_path"))).join(g, "figure").filter(F.contains("text", F.col("figure")))
+    held = lambda p: F.contains("text", p)
+    missing = F.when((F.size("required") > 0) & ~F.exists("required", held), F.lit("required phrase missing"))
+    present = F.transform(F.filter("forbidden", held), lambda p: F.concat(F.lit("forbidden phrase "), p))
+    faults = F.filter(F.concat(F.array(missing), present), lambda x: x.isNotNull())
+    return violations(rows.withColumn("why", F.explode(faults)), rule, "path", F.concat_ws(": ", "figure", "why"))
 
 
 FACTS = r"(?<![A-Za-z0-9])[0-9][0-9.,%]*|\b[A-Z][A-Za-z]+"
@@ -122,20 +127,34 @@ def template_slots(templates: DataFrame, key: str, column: str, known: Iterable[
     return violations(rows.withColumn("why", why).filter("why IS NOT NULL"), rule, key, F.concat_ws(": ", "why", "slot"))
 
 
-# Shapes of reference numbers.
+# Shapes of reference numbers, of a salary band and of an employee's number, and keys that aren't published.
 REFERENCE_SHAPES = {
-    "national_id": r"\b[0-9]{7}[A-W][A-IW]?\b", "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{4}[0-9]{7,18}\b", "passport": r"\b[A-Z]{1,2}[0-9]{7}\b", "sort_code": r"\b[0-9]{2}-[0-9]{2}-[0-9]{2}\b",
-    "permit": r"\b[A-Z]{3}[0-9]{6,9}\b", "postcode": r"\b[A-Z][0-9]{2}\s?[A-Z0-9]{4}\b", "long_number": r"\b[0-9]{9,}\b", "salary_band": r"[€£$]\s?[0-9]{2,3}[,.]?[0-9]{3}",
-}
+    "trainee": r"\bTCS/[A-Za-z]+/[0-9]+\b",
+    "immigration": r"(?i)\b(?:GNIB|IRP|ISD)[\s/-]?[0-9]{4,}\b",
+    "registration": r"\bOREG[\s/-]?[0-9]{4,}\b",
+    "certificate": r"\b[A-Z][a-z]{2}/[0-9]{2}/[0-9]{2,}\b",
+    "salary_band": r"\b[0-9]{2,3},?[0-9]{3}\s*-\s*[0-9]{2,3},?[0-9]{3}\b",
+    "employee_before": r"(?i)\bEmployee\b[^0-9]{0,30}\b[0-9]{7}\b",
+    "employee_after": r"(?i)\b[0-9]{7}\b[^0-9]{0,30}\bEmployee\b",
+}
+BANNED_TOP_KEYS, BANNED_KEYS = ("salary",), ("certNo",)
 
 
 def pii_scan(df: DataFrame, key: str, column: str, shapes: dict[str, str] | None = None, rule: str = "pii") -> DataFrame:
     """Texts that hold a shape of reference numbers or a salary band, with the finds."""
-    found = F.array(*(F.struct(F.lit(n).alias("shape"), F.regexp_extract_all(column, F.lit(p), F.lit(0)).alias("finds")) for n, p in (shapes or REFERENCE_SHAPES).items()))
+    found = F.array(*(F.struct(F.lit(n).alias("shape"), F.regexp_extract_all(column, F.lit(p), F.lit(0)).alias("finds")) for n, p in (REFERENCE_SHAPES if shapes is None else shapes).items()))
     rows = df.select(key, F.inline(found)).select(key, "shape", F.explode("finds").alias("find"))
     return violations(rows, rule, key, F.concat_ws(": ", "shape", "find"))
 
 
+def banned_keys(df: DataFrame, key: str, column: str, top: Iterable[str] = BANNED_TOP_KEYS, anywhere: Iterable[str] = BANNED_KEYS, rule: str = "pii_key") -> DataFrame:
+    """JSON texts with a key at the top, or anywhere, that isn't to be published."""
+    keys = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))
+    deep = [F.when(F.col(column).rlike('"' + k + r'"\s*:'), F.lit(k)) for k in anywhere]
+    found = F.array_distinct(F.concat(F.array_intersect(keys, F.array(*map(F.lit, top))), F.filter(F.array(*deep), lambda x: x.isNotNull())))
+    return violations(df.select(F.col(key).alias("_key"), F.explode(found).alias("_found")), rule, "_key", "_found")
+
+
 CONTACTS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9]", "phone": r"\+[0-9][0-9 ()-]{7,}[0-9]"}
 
 
@@ -164,16 +183,17 @@ def coverage_report(variants: DataFrame) -> DataFrame:
 
 
 def bad_patterns(rules: DataFrame, key: str, column: str, rule: str = "pattern") -> DataFrame:
-    """Patterns of a rule table that the regular expressions of Spark's functions refuse. Each is tried by itself on
-    the driver, so the table is bounded, and refused beyond that; null is the empty pattern."""
+    """Patterns of a rule table that the regular expressions of Spark's functions refuse. The table is read by the driver
+    in one job, within a bound that is refused beyond, and each pattern is compiled there as Spark's functions would compile
+    it; null is the empty pattern."""
     rows = rules.select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(column), F.lit("")).alias("p")).limit(MOST_RULES + 1).collect()
     if len(rows) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} patterns")
     spark, bad = rules.sparkSession, []
     for r in rows:
         try:
-            spark.range(1).select(F.lit("").rlike(r["p"])).collect()
-        except PySparkException:
+            spark._jvm.java.util.regex.Pattern.compile(r["p"])
+        except (Py4JJavaError, PySparkException):
             bad.append((rule, r["key"], r["p"]))
     return spark.createDataFrame(bad, "rule string, key string, detail string")
 

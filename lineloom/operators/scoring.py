@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lineloom import vocab
-from lineloom.functions.text import col, fill_template, hash31, quote_form, word_count
+from lineloom.functions.text import col, fill_template, hash31, let, quote_form, word_count
 from lineloom.operators.matching import bounded, match_terms
 
 TITLE_CAP = 45
@@ -163,11 +165,14 @@ def tag_strength(variants: DataFrame, variant_tags: DataFrame) -> DataFrame:
     return variants.join(variant_tags, "variant_id").groupBy(F.lower("tag").alias("tag")).agg(F.min(strength_rank("strength")).alias("strength"))
 
 
-def quote_candidates(sentences: DataFrame, hits: DataFrame, strength: DataFrame, banned: DataFrame, phrases: str = r"(?i)\b(?:equal opportunit|apply now|click here)") -> DataFrame:
-    """matchable sentences that aren't fragments, hold no markup, banned term, number of years or banned phrase, and
-    hit a tag; the best strength of their tags; once a quote, strongest first. hits(doc_id, span_no, tag)."""
+def quote_candidates(sentences: DataFrame, hits: DataFrame, strength: DataFrame, banned: DataFrame, phrases: str = r"(?i)\b(?:equal opportunit|apply now|click here)", numbers: DataFrame | None = None, held_years: int | None = None) -> DataFrame:
+    """matchable sentences that aren't fragments, hold no markup, banned term, banned phrase or unmet number of years, and
+    hit a tag; the best strength of their tags; once a quote, strongest first. hits(doc_id, span_no, tag). Of numbers, E1's
+    candidates, the valid ones over held_years are unmet; without held_years none is."""
     fragment = (word_count("text") < 4) | ~F.col("text").rlike("[.!?]$")
-    rows = sentences.filter(F.col("matchable") & ~fragment & ~F.col("text").rlike(r"[<>{}|]") & ~F.col("text").rlike(f"(?i){vocab.YEARS}") & ~F.col("text").rlike(phrases))
+    rows = sentences.filter(F.col("matchable") & ~fragment & ~F.col("text").rlike(r"[<>{}|]") & ~F.col("text").rlike(phrases))
+    if numbers is not None and held_years is not None:
+        rows = rows.join(numbers.filter(F.col("valid") & (F.col("value") > held_years)).select("doc_id", "span_no").distinct(), ["doc_id", "span_no"], "left_anti")
     bad = match_terms(rows.select(F.struct("doc_id", "span_no").alias("doc_id"), "text"), banned, joined=True).select("doc_id.*").distinct()
     rows = rows.join(bad, ["doc_id", "span_no"], "left_anti")
     best = hits.join(strength, F.lower(hits["tag"]) == strength["tag"]).groupBy("doc_id", "span_no").agg(F.min("strength").alias("strength"))
@@ -178,13 +183,28 @@ def quote_candidates(sentences: DataFrame, hits: DataFrame, strength: DataFrame,
     return rows.select("doc_id", "span_no", "quote", "strength", F.row_number().over(order).alias("rank"))
 
 
-def auto_quote(candidates: DataFrame, most_words: int = 22) -> DataFrame:
-    """the candidate with the least 10 * strength + penalty among short ones about duties."""
-    n = word_count("quote")
-    about_self = F.col("quote").rlike(r"(?i)^(?:we|our|the company|at)\b")
-    demands = F.col("quote").rlike(r"(?i)\b(?:must|required|essential|degree|qualification)\b")
-    penalty = F.greatest(n - 12, F.lit(0)) + F.when(F.col("quote").rlike(r"(?i)\b(?:you|your|we|our|us)\b"), 5).otherwise(0) + F.when(F.col("quote").rlike(r"[()/:;]"), 3).otherwise(0)
-    rows = candidates.filter((n <= most_words) & ~about_self & ~demands).withColumn("cost", F.col("strength") * 10 + penalty)
+def is_duty(c: str | Column, verbs: Iterable[str] = vocab.DUTY_VERBS, requirement: str = vocab.DUTY_REQUIREMENT) -> Column:
+    """Whether a line begins with a duty verb, in one of its forms, and asks for nothing."""
+
+    def led(first: Column) -> Column:
+        stem = F.regexp_replace(first, "(?:ing|es|s)$", "")
+        form = lambda v: (first == v) | (stem == v) | (F.concat(stem, F.lit("e")) == v) | (F.startswith(first, v) & (F.length(first) - F.length(v) <= 3))
+        return F.exists(F.array(*map(F.lit, verbs)), form)
+
+    return ~col(c).rlike(f"(?i){requirement}") & let(F.lower(F.regexp_extract(F.trim(col(c)), "^[A-Za-z-]+", 0)), led)
+
+
+def quote_penalty(c: str | Column) -> Column:
+    """What a quote's length, its pronouns and markup take from it."""
+    n = word_count(c)
+    return F.when(n > 30, 3).when(n > 22, 2).when(n < 5, 2).otherwise(0) + F.when(col(c).rlike(f"(?i){vocab.READER_OR_EMPLOYER}"), 2).otherwise(0) + F.when(col(c).rlike("[<>]"), 5).otherwise(0)
+
+
+def auto_quote(candidates: DataFrame, verbs: Iterable[str] = vocab.DUTY_VERBS, most_words: int = 22) -> DataFrame:
+    """the candidate with the least 10 * strength + penalty, the first of ties, among lines of at most 22 words about
+    duties in which the employer doesn't speak of itself and the reader isn't addressed first."""
+    speaks = F.col("quote").rlike(f"(?i){vocab.EMPLOYER_SPEAKS}") | F.col("quote").rlike(vocab.EMPLOYER_US) | F.col("quote").rlike(f"(?i){vocab.READER_LEADS}")
+    rows = candidates.filter((word_count("quote") <= most_words) & ~speaks & is_duty("quote", verbs)).withColumn("cost", F.col("strength") * 10 + quote_penalty("quote"))
     return rows.groupBy("doc_id").agg(F.min_by("quote", F.struct("cost", "span_no")).alias("quote"), F.min("cost").alias("cost"))
 
 

@@ -160,8 +160,9 @@ SQL = {
     "f21_close_match": f"WITH {SPANS} SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, '(?i)th')) AS n_hit, count(*) FILTER (WHERE regexp_matches(text, '(?i)th')) * 2 >= count(*) AS close FROM spans GROUP BY doc_id",
     "f24_rotation": "WITH h AS (SELECT c_custkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(lower(c_name), ''), lambda x: ascii(x)::BIGINT)), lambda a, x: (a * 31 + x) % 4294967296) AS hash FROM customer) SELECT c_custkey, hash, ['a', 'b', 'c', 'd', 'e', 'f', 'g'][hash % 7 + 1] AS item FROM h",
     "g10_outcomes": "SELECT user_id::VARCHAR AS rule_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS n_rejected, max(ts::DATE)::VARCHAR AS latest FROM events GROUP BY user_id",
-    "g13_verdicts": """WITH r AS (SELECT p_partkey AS doc_id, p_size > 45 AS b, p_size % 7 AS y, p_size % 3 AS m FROM part)
-      SELECT doc_id, CASE WHEN b THEN 'BLOCKED' WHEN y >= 2 OR m >= 2 THEN 'STRETCH' ELSE 'GOOD' END AS verdict, CASE WHEN b THEN '' ELSE concat_ws(',', CASE WHEN y >= 5 THEN 'years_reach' END, CASE WHEN y >= 2 AND y < 5 THEN 'years_stretch' END, CASE WHEN m >= 2 THEN 'tools' END) END AS reasons FROM r""",
+    "g13_verdicts": """WITH r AS (SELECT p_partkey AS doc_id, p_size > 45 AS b, CASE WHEN p_size % 8 < 7 THEN p_size % 8 END AS q, p_size % 3 AS m, p_size % 5 = 0 AS skips, p_size % 2 = 0 AS vague, p_size % 8 = 7 AS gone FROM part), v AS (SELECT *, CASE WHEN skips THEN 0 ELSE coalesce(q, 0) END AS y FROM r)
+      SELECT doc_id, CASE WHEN b THEN 'BLOCKED' WHEN y >= 2 OR m >= 2 THEN 'STRETCH' ELSE 'GOOD' END AS verdict, CASE WHEN b THEN '' ELSE concat_ws(',', CASE WHEN y >= 5 THEN 'years_reach' END, CASE WHEN y >= 2 AND y < 5 THEN 'years_stretch' END, CASE WHEN m >= 2 THEN 'tools' END) END AS reasons,
+        NOT b AND NOT skips AND q IS NULL AND vague AS ambiguous, NOT b AND gone AS discarded FROM v""",
     "g15_months": """WITH s AS (SELECT l_orderkey AS k, max(l_shipdate::DATE) AS e FROM lineitem GROUP BY 1), r AS (SELECT o_custkey AS person_id, o_orderdate::DATE AS s, coalesce(e, DATE '1999-01-01') AS e, o_orderstatus = 'F' AS relevant, o_orderpriority < '4' AS ft FROM orders LEFT JOIN s ON k = o_orderkey),
       m AS (SELECT *, (year(e) - year(s)) * 12 + month(e) - month(s) + CASE WHEN day(e) >= day(s) THEN 1 ELSE 0 END AS m FROM r)
       SELECT person_id, coalesce(sum(m) FILTER (WHERE relevant), 0)::BIGINT AS relevant, coalesce(sum(m) FILTER (WHERE ft), 0)::BIGINT AS professional, coalesce(sum(m) FILTER (WHERE NOT ft AND NOT relevant), 0)::BIGINT AS other FROM m GROUP BY person_id""",
@@ -184,7 +185,8 @@ SQL = {
     "j12_dates": """WITH r AS (SELECT l_orderkey || '-' || l_linenumber AS k, o_orderdate::DATE AS s, l_linenumber AS n, l_shipdate::DATE AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
       SELECT 'dates' AS rule, k AS key, CASE WHEN n = 7 THEN 'bad end' ELSE 'end before start' END AS detail FROM r WHERE n = 7 OR (n = 6 AND DATE '1990-01-01' < s) OR (n NOT IN (6, 7) AND e < s)""",
     "j14_slots": "SELECT 'slot' AS rule, c_custkey::VARCHAR AS key, 'malformed: lower' AS detail FROM customer UNION ALL SELECT 'slot', c_custkey::VARCHAR, 'unknown: ' || c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'",
-    "j15_pii": r"""SELECT 'pii' AS rule, doc_id::VARCHAR AS key, 'long_number: ' || unnest(regexp_extract_all(text, '\b[0-9]{9,}\b')) AS detail FROM documents UNION ALL SELECT 'pii', doc_id::VARCHAR, 'permit: ' || unnest(regexp_extract_all(text, '\b[A-Z]{3}[0-9]{6,9}\b')) FROM documents""",
+    "j15_pii": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 8 AS f FROM orders) SELECT 'pii' AS rule, k::VARCHAR AS key, CASE f WHEN 0 THEN 'trainee: TCS/Trainee/' || k WHEN 1 THEN 'immigration: gnib-' || lpad(k::VARCHAR, 5, '0') WHEN 2 THEN 'registration: OREG ' || k WHEN 3 THEN 'certificate: Jan/24/' || lpad(k::VARCHAR, 3, '0')
+      WHEN 4 THEN 'salary_band: 45,000 - 5' || k % 10 || ',500' WHEN 5 THEN 'employee_before: EMPLOYEE no. ' || lpad(k::VARCHAR, 7, '0') ELSE 'employee_after: ' || lpad(k::VARCHAR, 7, '1') || ' is an employee' END AS detail FROM o WHERE f < 7 AND (f <> 2 OR k >= 1000)""",
     "j16_contacts": r"""WITH f AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9]')) AS v FROM documents UNION SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\+[0-9][0-9 ()-]{7,}[0-9]')) FROM documents) SELECT 'contact' AS rule, doc_id::VARCHAR AS key, v AS detail FROM f""",
     "k2_latest": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, md5(event_id::VARCHAR || '|' || event_type) DESC) AS r FROM events) WHERE r = 1",
     "k3_counts": "SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, event_type AS tag, count(*) AS n FROM events GROUP BY ALL",

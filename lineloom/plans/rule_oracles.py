@@ -41,7 +41,7 @@ QUOTE_FORM = r"""(SELECT trim(regexp_replace(CASE WHEN len(list_filter(regexp_sp
   FROM (SELECT trim(regexp_replace(regexp_replace(trim(text), '^[\s•*·▪–—-]+', ''), '^\(?[0-9]{1,2}[.)]\s+', '')) AS t))"""
 QUOTES = rf"""{HITS}, strengths AS (SELECT * FROM (VALUES ('english', 2), ('german', 1), ('french', 3), ('able', 4)) AS v(tag, strength)), best AS (SELECT doc_id, span_no, min(strength) AS strength FROM tf JOIN strengths USING (tag) GROUP BY ALL),
  kept AS (SELECT doc_id, span_no, text, strength, {QUOTE_FORM} AS quote FROM ms JOIN best USING (doc_id, span_no) WHERE len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) >= 4 AND regexp_matches(text, '[.!?]$') AND NOT regexp_matches(text, '[<>{{}}|]')
-   AND NOT regexp_matches(text, '(?i){V.YEARS}') AND NOT regexp_matches(text, '(?i)\b(?:equal opportunit|apply now|click here)') AND NOT regexp_matches(text, '(?i)\b(?:idiot|licensed)\b')),
+   AND NOT list_bool_or(list_transform(list_zip(regexp_extract_all(translate(text, '–—', '--'), '{q.UNIT}', 1), regexp_extract_all(translate(text, '–—', '--'), '{q.UNIT}', 2)), lambda z: coalesce(least(TRY_CAST(z[1] AS INT), coalesce(TRY_CAST(z[2] AS INT), TRY_CAST(z[1] AS INT))) BETWEEN 3 AND 15, false))) IS TRUE AND NOT regexp_matches(text, '(?i)\b(?:equal opportunit|apply now|click here)') AND NOT regexp_matches(text, '(?i)\b(?:idiot|licensed)\b')),
  once AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(quote) ORDER BY strength, span_no) AS o FROM kept), quotes AS (SELECT doc_id, span_no, quote, strength, row_number() OVER (PARTITION BY doc_id ORDER BY strength, span_no) AS rank FROM once WHERE o = 1)"""
 VARIANTS = _values(q.VARIANTS, "group_id, strength, variant_no, variant_id")
 
@@ -73,9 +73,12 @@ SQL = {
       m AS (SELECT DISTINCT doc_id, own, word, term FROM w JOIN a ON w = word OR (word = 'thing*' AND starts_with(w, 'thing'))) SELECT doc_id, word, term FROM m WHERE own EXCEPT SELECT doc_id, word, term FROM m WHERE NOT own""",
     "f16_gaps": "WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS w FROM documents), m AS (SELECT DISTINCT doc_id, CASE WHEN w = 'the' THEN 'A' WHEN w = 'der' THEN 'B' ELSE 'C' END AS label FROM w WHERE w IN ('the', 'der') OR starts_with(w, 'thing')) SELECT doc_id, string_agg(label, ',' ORDER BY label) AS gaps FROM m GROUP BY doc_id",
     "f19_quotes": f"WITH {QUOTES} SELECT doc_id, span_no, quote, strength, rank::INT AS rank FROM quotes",
-    "f20_auto_quote": rf"""WITH {QUOTES}, c AS (SELECT doc_id, span_no, quote, strength * 10 + greatest(n - 12, 0) + CASE WHEN regexp_matches(quote, '(?i)\b(?:you|your|we|our|us)\b') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(quote, '[()/:;]') THEN 3 ELSE 0 END AS cost
-      FROM (SELECT *, len(list_filter(regexp_split_to_array(quote, '\s+'), lambda x: x <> '')) AS n FROM quotes) WHERE n <= 22 AND NOT regexp_matches(quote, '(?i)^(?:we|our|the company|at)\b') AND NOT regexp_matches(quote, '(?i)\b(?:must|required|essential|degree|qualification)\b')),
-      r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cost, span_no) AS r FROM c) SELECT doc_id, quote, cost::INT AS cost FROM r WHERE r = 1""",
+    "f20_auto_quote": rf"""WITH {QUOTES}, d AS (SELECT *, len(list_filter(regexp_split_to_array(quote, '\s+'), lambda x: x <> '')) AS n, lower(regexp_extract(quote, '^[A-Za-z-]+')) AS f FROM quotes), w AS (SELECT *, regexp_replace(f, '(ing|es|s)$', '') AS stem FROM d),
+      k AS (SELECT doc_id, span_no, quote, strength * 10 + CASE WHEN n > 30 THEN 3 WHEN n > 22 OR n < 5 THEN 2 ELSE 0 END + CASE WHEN regexp_matches(quote, '(?i)\b(?:you|your|we|our|us)\b') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(quote, '[<>]') THEN 5 ELSE 0 END AS cost FROM w
+        WHERE n <= 22 AND NOT regexp_matches(quote, '(?i)\b(?:we|our|ours)\b') AND NOT regexp_matches(quote, '\bus\b') AND NOT regexp_matches(quote, '(?i)^(?:you|the successful candidate|the ideal candidate)\b')
+          AND NOT regexp_matches(quote, '(?i)\b(?:essential|required|requirement|must|desirable|preferred|experience (?:in|of|with)|years?|qualified|qualification|degree|ability to|skills?)\b')
+          AND len(list_filter(['to', 'und', 'di', 'plac', 'a'], lambda v: f = v OR stem = v OR stem || 'e' = v OR (starts_with(f, v) AND len(f) - len(v) <= 3))) > 0),
+      r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cost, span_no) AS r FROM k) SELECT doc_id, quote, cost::INT AS cost FROM r WHERE r = 1""",
     "f22_for_profile": "SELECT p_partkey FROM part WHERE p_size > 40 OR p_type = 'SMALL'",
     "f23_eligible": f"WITH {HITS}, r AS (SELECT * FROM (VALUES ('a1', 'german'), ('a2', 'able'), ('a2', 'english')) AS v(variant_id, tag)) SELECT DISTINCT doc_id, variant_id FROM hits JOIN r USING (tag) UNION SELECT DISTINCT doc_id, variant_id FROM hits CROSS JOIN (SELECT variant_id FROM {VARIANTS} WHERE variant_id NOT IN ('a1', 'a2'))",
     "f25_markers": "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p.replace(chr(39), chr(39) * 2)}') THEN '{i}' END" for i, p in enumerate(MARKERS)) + r") AS marks, regexp_matches(text, '(?i)\bproject\b') OR regexp_matches(text, '(?i)\b[0-9]+ (?:days|weeks|months|years)\b') AS shares FROM documents",
@@ -99,16 +102,18 @@ SQL = {
     "g11_experience": "SELECT c_custkey, c_acctbal > 5000 OR c_mktsegment = 'BUILDING' AS skips, c_mktsegment = 'MACHINERY' AND NOT c_acctbal < 0 AS vague FROM customer",
     "g14_keywords": """WITH t AS (SELECT s_nationkey AS doc_id, CASE WHEN s_acctbal > 0 THEN 'building' ELSE 'brass' END AS term, 0 AS src FROM supplier UNION ALL SELECT c_nationkey, lower(c_mktsegment), 1 FROM customer)
       SELECT doc_id, term, min(src)::INT AS src, CASE term WHEN 'building' THEN 'yes' WHEN 'machinery' THEN 'in progress' ELSE 'no' END AS have, term = 'building' AND doc_id IN (SELECT s_nationkey FROM supplier) AS made_it FROM t GROUP BY ALL""",
-    "g16_fit": f"""WITH {FOUND}, r AS (SELECT doc_id, s, greatest(CASE WHEN y <= 15 THEN y END, r + 1) AS required, (y <= 15)::INT + (s IN ('MACHINERY', 'AUTOMOBILE', 'FURNITURE'))::INT AS w, (s IN ('AUTOMOBILE', 'BUILDING'))::INT AS m FROM ads), v AS (SELECT *, greatest(0, required - 3) AS short FROM r)
-      SELECT doc_id, required::INT AS required, short::INT AS years_short, w::BIGINT AS n_warnings, m::INT AS n_missing_tools, CASE WHEN s = 'MACHINERY' THEN 'BLOCKED' WHEN short >= 2 THEN 'STRETCH' ELSE 'GOOD' END AS verdict, CASE WHEN s = 'MACHINERY' OR short < 2 THEN '' WHEN short >= 5 THEN 'years_reach' ELSE 'years_stretch' END AS reasons FROM v""",
+    "g16_fit": f"""WITH {FOUND}, r AS (SELECT doc_id, s, greatest(CASE WHEN y <= 15 THEN y END, r + 1) AS required, (y <= 15)::INT + (s IN ('MACHINERY', 'AUTOMOBILE', 'FURNITURE'))::INT AS w, (s IN ('AUTOMOBILE', 'BUILDING'))::INT AS m FROM ads)
+      SELECT doc_id, required::INT AS required, greatest(0, required - 3)::INT AS years_short, w::BIGINT AS n_warnings, m::INT AS n_missing_tools, false AS skips, CASE WHEN s = 'MACHINERY' THEN 'BLOCKED' WHEN required >= 2 THEN 'STRETCH' ELSE 'GOOD' END AS verdict,
+      CASE WHEN s = 'MACHINERY' OR required < 2 THEN '' WHEN required >= 5 THEN 'years_reach' ELSE 'years_stretch' END AS reasons, false AS ambiguous, false AS discarded FROM r""",
     "g17_verdicts": f"""WITH {FOUND}, e AS (SELECT doc_id, quote, CASE WHEN severity = 'red' THEN 0 ELSE 1 END AS k, 0 AS src, 3 AS "at" FROM needs UNION ALL SELECT doc_id, quote, 1, 1, "at" FROM figures UNION ALL SELECT doc_id, quote, 1, 2, 3 FROM sponsors UNION ALL SELECT doc_id, quote, 1, 3, "at" FROM warned),
       o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, quote ORDER BY k, src, "at") AS r FROM (SELECT doc_id, k, src, "at", quote FROM e)),
       g AS (SELECT doc_id, min(k) AS k, string_agg(quote, '|' ORDER BY k, src, "at") AS reasons FROM o WHERE r = 1 GROUP BY doc_id) SELECT doc_id, CASE k WHEN 0 THEN 'red' WHEN 1 THEN 'amber' ELSE 'green' END AS verdict, coalesce(reasons, '') AS reasons FROM ads LEFT JOIN g USING (doc_id)""",
     "g18_answers": """SELECT c_custkey AS doc_id, 'a month' AS notice, CASE WHEN c_mktsegment = 'BUILDING' OR c_acctbal < 0 THEN 'the advertised range' WHEN n_regionkey > 1 THEN '25' WHEN c_mktsegment = 'MACHINERY' THEN '30' ELSE 'not saved' END AS salary_answer FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "h1_provenance": """SELECT o_orderkey AS doc_id, 0 AS block_no, CASE WHEN o_orderpriority = '5-LOW' THEN 'unknown type' WHEN o_orderpriority = '1-URGENT' THEN 'missing source' ELSE 'text differs' END AS detail FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority IN ('5-LOW', '1-URGENT') OR (o_orderstatus = 'P' AND o_orderpriority <> '2-HIGH')""",
     "h5_quotes": "WITH q AS (SELECT doc_id, text, unnest([0, 1, 2]) AS block_no, unnest([upper(regexp_extract(text, '([A-Za-z]+)', 1)), source, 'the ' || lang]) AS quote FROM documents) SELECT doc_id, block_no::INT AS block_no, quote AS detail FROM q WHERE NOT contains(lower(text), lower(quote))",
-    "h6_grounding": """WITH a AS (SELECT c_custkey AS doc_id, n_nationkey AS y, n_regionkey AS r, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey)
-      SELECT doc_id, 0 AS block_no, y::VARCHAR AS detail FROM a WHERE y NOT IN (r, 10, 12) UNION ALL SELECT doc_id, 0, s FROM a WHERE s <> 'Building'""",
+    "h6_grounding": """WITH a AS (SELECT c_custkey AS doc_id, n_nationkey AS y, n_regionkey AS r, ['two', 'Seven', 'hundred', 'none'][n_nationkey % 4 + 1] AS w, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS s, string_split(n_name, ' ') AS n, regexp_extract(n_name, '[0-9]{2,}') AS d FROM customer JOIN nation ON c_nationkey = n_nationkey)
+      SELECT doc_id, 0 AS block_no, y || '%' AS detail FROM a WHERE y NOT IN (r, 10, 112) UNION ALL SELECT doc_id, 0, d FROM a WHERE d <> '' UNION ALL SELECT doc_id, 0, w FROM a WHERE w IN ('Seven', 'hundred') UNION ALL SELECT doc_id, 0, s FROM a WHERE s <> 'Building'
+      UNION ALL SELECT doc_id, 0, upper(left(x, 1)) || lower(substr(x, 2)) FROM (SELECT doc_id, unnest(n[2:]) AS x FROM a) UNION ALL SELECT doc_id, 0, 'profile opening' FROM a WHERE r < 2 AND NOT (y = 5 AND s = 'Building')""",
     "h8_flat": "SELECT p_partkey AS doc_id, 0 AS block_no, 'line' AS type, 'p_name' AS field, p_name AS text FROM part WHERE p_name <> '' UNION ALL SELECT p_partkey, 0, 'line', 'p_brand', p_brand FROM part WHERE p_size <= 25 AND p_brand <> ''",
     "i7_runs": """WITH a AS (SELECT o_orderkey AS doc_id, o_orderstatus AS v FROM orders WHERE o_orderpriority <> '5-LOW'), b AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus = 'P' THEN 'F' ELSE o_orderstatus END AS v FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED')
       SELECT doc_id, a.v AS before, b.v AS after, coalesce(a.v = b.v, false) AS same FROM a FULL JOIN b USING (doc_id)""",
@@ -118,8 +123,10 @@ SQL = {
     "j7_own_words": "SELECT 'own_word' AS rule, p_partkey::VARCHAR AS key, p_type AS detail FROM part WHERE NOT (p_type = 'SMALL' OR (p_size > 25 AND p_type LIKE 'ECON%') OR (p_size <= 25 AND p_type = 'LARGE'))",
     "j8_highlights": """SELECT 'highlight' AS rule, p_partkey::VARCHAR AS key, 'not in text: widget' AS detail FROM part WHERE NOT contains(p_name, 'widget') UNION ALL SELECT 'highlight', p_partkey::VARCHAR, unnest(['digit: 3 sizes', 'no own tag: sizes']) FROM part""",
     "j9_single_words": "WITH t AS (SELECT CASE WHEN n_regionkey = 0 THEN left(n_name, 4) ELSE n_name END AS t FROM nation) SELECT 'single_word_tag' AS rule, t AS key, t AS detail FROM t WHERE NOT regexp_matches(t, '\\s') AND NOT regexp_matches(t, '^[A-Z]{2,6}$')",
-    "j10_figures": """SELECT 'figure_guard' AS rule, p_partkey::VARCHAR AS key, CASE WHEN contains(p_name, 'ring') THEN 'ring: ' || CASE WHEN contains(p_name, 'small') OR contains(p_name, 'hot') THEN 'forbidden phrase' ELSE 'required phrase missing' END ELSE 'widget: forbidden phrase' END AS detail FROM part
-      WHERE (contains(p_name, 'ring') AND NOT ((contains(p_name, 'small') OR contains(p_name, 'hot')) AND NOT contains(p_name, 'old'))) OR (contains(p_name, 'widget') AND contains(p_name, 'red'))""",
+    "j10_figures": """SELECT 'figure_guard' AS rule, p_partkey::VARCHAR AS key, 'ring: required phrase missing' AS detail FROM part WHERE contains(p_name, 'ring') AND NOT contains(p_name, 'Small') AND NOT contains(p_name, 'hot')
+      UNION ALL SELECT 'figure_guard', p_partkey::VARCHAR, 'ring: forbidden phrase old' FROM part WHERE contains(p_name, 'ring') AND contains(p_name, 'old') UNION ALL SELECT 'figure_guard', p_partkey::VARCHAR, 'widget: forbidden phrase red' FROM part WHERE contains(p_name, 'widget') AND contains(p_name, 'red')""",
+    "j15_keys": "SELECT 'pii_key' AS rule, event_id::VARCHAR AS key, CASE WHEN event_id % 3 = 0 THEN 'salary' ELSE 'certNo' END AS detail FROM events WHERE event_id % 3 < 2",
+    "a3_notes": """SELECT c_custkey, '{"list":[{"a":{"k":' || c_custkey || '},"_kept":{"k":1}}],"name":"' || c_name || '"}' AS s FROM customer""",
     "j11_shorts": "SELECT 'short_adds' AS rule, p_partkey::VARCHAR AS key, 'Deal' AS detail FROM part WHERE p_size BETWEEN 6 AND 25",
     "j13_incomplete": "SELECT 'incomplete' AS rule, o_orderkey::VARCHAR AS key, concat_ws(', ', CASE WHEN o_orderstatus = 'P' THEN 'status' END, CASE WHEN NOT o_totalprice > 100000 THEN 'price' END) AS detail FROM orders WHERE o_orderstatus = 'P' OR NOT o_totalprice > 100000",
     "j17_tokens": "SELECT 'token' AS rule, p_partkey::VARCHAR AS key, 'SMALL' AS detail FROM part WHERE p_size < 10 AND NOT contains(p_type, 'SMALL')",
@@ -129,3 +136,28 @@ SQL = {
 }
 
 SQL["f17_auto_picks"] = BASE["f8_variants"]
+
+# the drops one by one: x(doc_id, no, cost, g, s, type, over) -> done(doc_id, gone, over)
+FOLD = """f AS (SELECT doc_id, list({'no': no, 'g': g, 's': s, 'bullet': type = 'bullet', 'cost': cost} ORDER BY no) AS l, max(over) AS over FROM x GROUP BY doc_id),
+  r AS (SELECT doc_id, l, over::BIGINT AS over, []::INTEGER[] AS gone, 0 AS step FROM f
+    UNION ALL SELECT doc_id, l, (over - list_sum(list_transform(o, lambda y: y.cost)))::BIGINT, list_concat(gone, list_transform(o, lambda y: y.no)), step + 1 FROM (
+      SELECT *, CASE WHEN len(free) > 0 THEN [free[-1]] ELSE list_filter(alive, lambda y: y.g = c[-1].g) END AS o FROM (
+        SELECT *, list_filter(c, lambda y: len(list_filter(alive, lambda z: z.bullet AND z.g = y.g)) > 1) AS free FROM (
+          SELECT *, CASE WHEN len(list_filter(alive, lambda y: y.bullet AND y.s = 'filler')) > 0 THEN list_filter(alive, lambda y: y.bullet AND y.s = 'filler') ELSE list_filter(alive, lambda y: y.bullet AND y.s = 'support') END AS c FROM (
+            SELECT *, list_filter(l, lambda y: NOT list_contains(gone, y.no)) AS alive FROM r WHERE over > 0 AND step < 200))) WHERE len(c) > 0)),
+  done AS (SELECT doc_id, arg_max(gone, step) AS gone, greatest(0, min(over)) AS over FROM r GROUP BY doc_id)"""
+BUDGET = """b AS (SELECT *, CASE WHEN no = 1 THEN 'head' ELSE 'bullet' END AS type, ['required', 'core', 'support', 'filler'][k % 4 + 1] AS s, k % 4 AS rank, CASE WHEN cost > 40 THEN 3 ELSE 0 END AS bold, cost - cost % 7 AS short, sum(cost) OVER (PARTITION BY doc_id) - 80 AS over
+  FROM (SELECT l_orderkey AS doc_id, l_linenumber::INTEGER AS no, sum(l_quantity)::BIGINT AS cost, max(l_suppkey) AS k, max(l_returnflag) AS g FROM lineitem GROUP BY ALL))"""
+
+
+def phase(to: str, of: str, eligible: str, saving: str, order: str, name: str) -> str:
+    """Rows are marked in order while the document is over its budget; what they save is taken off."""
+    return f"""{to}0 AS (SELECT *, CASE WHEN {eligible} THEN {saving} ELSE 0 END AS sv FROM {of}), {to}1 AS (SELECT *, ({eligible}) AND sv > 0 AND coalesce(sum(sv) OVER (PARTITION BY doc_id ORDER BY CASE WHEN {eligible} THEN 0 ELSE 1 END, {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < owed AS {name} FROM {to}0),
+  {to} AS (SELECT * EXCLUDE (sv, owed), greatest(0, owed - sum(CASE WHEN {name} THEN sv ELSE 0 END) OVER (PARTITION BY doc_id)) AS owed FROM {to}1)"""
+
+
+SQL["h12_dropped"] = f"WITH RECURSIVE {BUDGET}, x AS (SELECT * FROM b), {FOLD} SELECT doc_id, no AS block_no, list_contains(gone, no) AS dropped FROM b JOIN done USING (doc_id)"
+SQL["h13_trimmed"] = f"""WITH RECURSIVE {BUDGET}, p AS (SELECT * EXCLUDE (over), greatest(0, over) AS owed FROM b), {phase("p1", "p", "bold > 0", "bold", "no DESC", "unbold")}, {phase("p2", "p1", "cost - short > 0", "cost - short", "rank DESC, cost DESC, no DESC", "shortened")},
+  {phase("p3", "p2", "no = 3", "cost", "no DESC", "para_dropped")}, {phase("p4", "p3", "no = 4", "cost", "no DESC", "term_dropped")}, n AS (SELECT *, cost - CASE WHEN unbold THEN bold ELSE 0 END AS c1 FROM p4),
+  x AS (SELECT doc_id, no, CASE WHEN shortened THEN least(c1, short) ELSE c1 END AS cost, g, s, type, owed AS over FROM n WHERE NOT (para_dropped OR term_dropped)), {FOLD}
+  SELECT n.doc_id, n.no AS block_no, unbold, shortened, para_dropped, term_dropped, coalesce(NOT (para_dropped OR term_dropped) AND list_contains(gone, n.no), false) AS bullet_dropped, coalesce(done.over, owed)::BIGINT AS overflow_left FROM n LEFT JOIN done USING (doc_id)"""

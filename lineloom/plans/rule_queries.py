@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lineloom.functions import text as T
 from lineloom.operators import changes, extract, findings, gates, lines, matching, quality, scoring
-from lineloom.plans.text_queries import PREFERRED, TAGS, VARIANT_TAGS, VARIANTS, docs_of, hits_of, read, rule_rows
+from lineloom.plans.text_queries import PREFERRED, TAGS, UNIT, VARIANT_TAGS, VARIANTS, docs_of, hits_of, read, rule_rows
 from lineloom.sources import documents
 
 #: Documents of a form that each customer gets by its market segment: {n} its name, {p} its nation's place.
@@ -187,7 +187,8 @@ def quotes_of(spark, d):
     s = lines.classify_sentences(docs_of(spark, d))
     hits = matching.match_tags(s, rule_rows(spark, TAGS, "tag string, phrase string"))
     strength = rule_rows(spark, [("english", 2), ("german", 1), ("french", 3), ("able", 4)], "tag string, strength int")
-    return scoring.quote_candidates(s, hits, strength, rule_rows(spark, [("idiot",), ("licensed",)], "term string"))
+    numbers = extract.number_candidates(s, UNIT, "version", 15)
+    return scoring.quote_candidates(s, hits, strength, rule_rows(spark, [("idiot",), ("licensed",)], "term string"), numbers=numbers, held_years=2)
 
 
 def f19_quotes(spark, d):
@@ -195,7 +196,7 @@ def f19_quotes(spark, d):
 
 
 def f20_auto_quote(spark, d):
-    return scoring.auto_quote(quotes_of(spark, d)).select("doc_id", "quote", "cost")
+    return scoring.auto_quote(quotes_of(spark, d), ("to", "und", "di", "plac", "a")).select("doc_id", "quote", "cost")
 
 
 def f22_for_profile(spark, d):
@@ -304,7 +305,7 @@ def g16_fit(spark, d):
     docs, s, _, _, _, warned = found_of(spark, d)
     tools = matching.tools_mentioned(docs, rule_rows(spark, [("degree",)], "term string"), rule_rows(spark, [("licence",), ("audits",)], "term string"))
     out = findings.fit_check(docs, warned, extract.number_required(docs, extract.number_candidates(s)), tools, 3)
-    return out.select("doc_id", "required", "years_short", "n_warnings", "n_missing_tools", "verdict", F.array_join("reasons", ",").alias("reasons"))
+    return out.select("doc_id", "required", "years_short", "n_warnings", "n_missing_tools", "skips", "verdict", F.array_join("reasons", ",").alias("reasons"), "ambiguous", "discarded")
 
 
 def g17_verdicts(spark, d):
@@ -339,9 +340,11 @@ def h5_quotes(spark, d):
 
 def h6_grounding(spark, d):
     c = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    edited = c.select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("block_no"), F.concat(F.lit("It grew by "), "n_nationkey", F.lit(" in "), F.initcap("c_mktsegment"), F.lit(", Rome")).alias("text"))
-    corpus = c.select(F.col("c_custkey").alias("doc_id"), F.concat_ws(" ", F.lit("Rome Building"), "n_regionkey", F.lit("10, 12.")).alias("text"))
-    return gates.grounding_check(edited, corpus).select("doc_id", "block_no", "detail")
+    number = F.element_at(F.array(*map(F.lit, ("two", "Seven", "hundred", "none"))), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    text = F.concat(F.lit("It grew by "), F.col("n_nationkey"), F.lit("% to "), number, F.lit(" in "), F.initcap("c_mktsegment"), F.lit(", Rome. "), F.initcap("n_name"), F.lit(" and I agree"))
+    edited = c.select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("block_no"), text.alias("text"), F.when(F.col("n_regionkey") < 2, "profile").otherwise("line").alias("kind"))
+    corpus = c.select(F.col("c_custkey").alias("doc_id"), F.concat_ws(" ", F.lit("Rome Buildings, twofold"), F.concat("n_regionkey", F.lit("%")), F.lit("10%, 112%.")).alias("text"))
+    return gates.grounding_check(edited, corpus, rule_rows(spark, [("It grew by 5% to Seven in Building, Rome. And so on",), ("Another",)], "text string")).select("doc_id", "block_no", "detail")
 
 
 def h8_flat(spark, d):

@@ -42,9 +42,9 @@ def g15_months(spark, d):
 
 
 def g13_verdicts(spark, d):
-    rows = read(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), (F.col("p_size") > 45).cast("int").alias("n_block"), (F.col("p_size") % 7).alias("years_short"), (F.col("p_size") % 3).alias("n_missing_tools"))
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), (F.col("p_size") > 45).cast("int").alias("n_block"), F.when(F.col("p_size") % 8 < 7, F.col("p_size") % 8).alias("required"), (F.col("p_size") % 3).alias("n_missing_tools"), (F.col("p_size") % 5 == 0).alias("skips"), (F.col("p_size") % 2 == 0).alias("vague"), (F.col("p_size") % 8 == 7).alias("all_discarded"))
     out = findings.fit_verdict(rows)
-    return out.select("doc_id", "verdict", F.array_join("reasons", ",").alias("reasons"))
+    return out.select("doc_id", "verdict", F.array_join("reasons", ",").alias("reasons"), "ambiguous", "discarded")
 
 
 def lines_as_blocks(spark, d):
@@ -135,7 +135,26 @@ def j14_slots(spark, d):
 
 
 def j15_pii(spark, d):
-    return quality.pii_scan(docs_of(spark, d), "doc_id", "text", {"long_number": r"\b[0-9]{9,}\b", "permit": r"\b[A-Z]{3}[0-9]{6,9}\b"})
+    """Order lines as a personnel file would write them, each fourth of them with one of the shapes."""
+    o = read(spark, d, "orders")
+    k, form = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 8
+    shaped = F.when(form == 0, F.concat(F.lit("ref TCS/Trainee/"), k)).when(form == 1, F.concat(F.lit("card gnib-"), F.lpad(k, 5, "0"))).when(form == 2, F.concat(F.lit("OREG "), k)).when(form == 3, F.concat(F.lit("cert Jan/24/"), F.lpad(k, 3, "0")))
+    shaped = shaped.when(form == 4, F.concat(F.lit("pay 45,000 - 5"), F.col("o_orderkey") % 10, F.lit(",500"))).when(form == 5, F.concat(F.lit("EMPLOYEE no. "), F.lpad(k, 7, "0"))).when(form == 6, F.concat(F.lpad(k, 7, "1"), F.lit(" is an employee")))
+    return quality.pii_scan(o.select("o_orderkey", F.concat_ws("; ", shaped.otherwise("nothing here"), "o_orderpriority").alias("t")), "o_orderkey", "t")
+
+
+def j15_keys(spark, d):
+    e = read(spark, d, "events")
+    body = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"salary": 1, "a": '), F.col("event_id"), F.lit("}"))).when(F.col("event_id") % 3 == 1, F.lit('{"a": {"salary": 1, "certNo" : "x"}}')).otherwise(F.lit('{"a": "certNo"}'))
+    return quality.banned_keys(e.select("event_id", body.alias("j")), "event_id", "j")
+
+
+def a3_notes(spark, d):
+    """Structs, arrays and maps with notes in each, as the customers' rows fill them."""
+    c = read(spark, d, "customer")
+    m = F.create_map(F.lit("a"), F.struct(F.col("c_custkey").alias("k"), F.lit("x").alias("_why")), F.lit("_note"), F.struct(F.lit(0).cast("long").alias("k"), F.lit("y").alias("_why")), F.lit("_kept"), F.struct(F.lit(1).cast("long").alias("k"), F.lit("z").alias("_why")))
+    rows = c.select("c_custkey", F.struct(F.array(m).alias("list"), F.lit("gone").alias("_note"), F.col("c_name").alias("name")).alias("s"), F.lit(1).alias("_top"))
+    return documents.strip_notes(rows, ("_kept",)).select("c_custkey", F.to_json("s").alias("s"))
 
 
 def j16_contacts(spark, d):

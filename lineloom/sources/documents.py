@@ -60,7 +60,7 @@ def _pairs(m: Column) -> Column:
 
 
 def strip_notes(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
-    """A3: without any field, at any depth, whose name begins with an underscore, but those of `keep`."""
+    """A3: without any field, or key of a map, at any depth, whose name begins with an underscore, but those of `keep`."""
     keep = set(keep)
 
     def fields(t: T.StructType) -> list[T.StructField]:
@@ -72,6 +72,12 @@ def strip_notes(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
             return F.when(c.isNotNull(), inner)
         if isinstance(t, T.ArrayType):
             return F.transform(c, lambda x: clean(x, t.elementType))
+        if isinstance(t, T.MapType):
+            inside = F.transform_values(c, lambda _, v: clean(v, t.valueType))
+            if not isinstance(t.keyType, T.StringType):
+                return inside
+            kept = lambda k: ~F.startswith(k, F.lit("_")) | F.array_contains(F.array(*map(F.lit, keep)).cast("array<string>"), k)
+            return F.map_filter(inside, lambda k, _: kept(k))
         return c
 
     return df.select(*(clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields(df.schema)))

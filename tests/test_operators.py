@@ -312,3 +312,46 @@ def test_upserts_merge_and_drop_old_versions(spark, tmp_path):
         assert got == want
     left = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "t").glob("version=*"))
     assert left == [5, 6, 7, 8, 9]
+
+
+def test_only_duty_lines_are_quoted(spark):
+    rows = [(1, 0, "The office in Cork has a nice view", 1), (1, 1, "Prepare monthly VAT returns", 2), (1, 2, "Managing our team of ten people", 1), (1, 3, "Preparing reports is required", 1), (2, 0, "You will prepare the accounts", 1), (3, 0, "Reviews the files", 1), (3, 1, "Ensuring that all of it is filed", 1), (4, 0, "Support US and UK clients every day", 1), (4, 1, "Works with us every day", 1)]
+    got = scoring.auto_quote(spark.createDataFrame(rows, "doc_id long, span_no int, quote string, strength int")).collect()
+    assert {r["doc_id"]: (r["quote"], r["cost"]) for r in got} == {1: (rows[1][2], 22), 3: (rows[6][2], 10), 4: (rows[7][2], 12)}
+
+
+def test_verdict_bands_are_on_the_years_required(spark):
+    rows = [(1, 0, 3, 0, False, False, False), (2, 0, 6, 0, True, False, False), (3, 0, None, 0, False, True, True), (4, 1, None, 0, False, True, True), (5, 0, 1, 2, False, True, False)]
+    out = {r["doc_id"]: (r["verdict"], r["reasons"], r["ambiguous"], r["discarded"]) for r in findings.fit_verdict(spark.createDataFrame(rows, "doc_id long, n_block int, required int, n_missing_tools int, skips boolean, vague boolean, all_discarded boolean")).collect()}
+    assert out == {1: ("STRETCH", ["years_stretch"], False, False), 2: ("GOOD", [], False, False), 3: ("GOOD", [], True, True), 4: ("BLOCKED", [], False, False), 5: ("STRETCH", ["tools"], False, False)}
+
+
+def test_grounding_of_number_words_and_names(spark):
+    edited = spark.createDataFrame([(1, 0, "We led seven teams.", "line"), (1, 1, "Acme grew. Bravo and I saw Acme at 45.", "profile"), (2, 0, "Ten of them", "line"), (3, 0, None, "line")], "doc_id long, block_no int, text string, kind string")
+    corpus = spark.createDataFrame([(1, "acme has 1045 people"), (1, "A twofold view")], "doc_id long, text string")
+    openings = spark.createDataFrame([("Acme grew. It did",)], "text string")
+    got = {(r["doc_id"], r["block_no"], r["detail"]) for r in gates.grounding_check(edited, corpus, openings).collect()}
+    assert got == {(1, 0, "seven"), (1, 1, "45"), (2, 0, "Ten")}
+
+
+def test_drops_prefer_groups_that_keep_a_bullet(spark):
+    rows = [(1, 0, "head", "g", "core", 1), (1, 1, "bullet", "g", "filler", 10), (1, 2, "bullet", "g", "core", 10), (1, 3, "head", "h", "core", 1), (1, 4, "bullet", "h", "filler", 10), (2, 0, "bullet", None, "support", 7), (2, 1, "line", None, "core", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, block_no int, type string, group_id string, strength string, cost long")
+    gone = lambda budget: {(r["doc_id"], r["block_no"]) for r in gates.drop_blocks(df, budget).filter("dropped").collect()}
+    assert gone(30) == {(1, 1)}
+    assert gone(12) == {(1, 1), (1, 3), (1, 4), (2, 0)}
+    assert gates.drop_blocks(df.limit(0), 5).count() == 0
+
+
+def test_notes_at_any_depth(spark):
+    row = spark.sql("SELECT 1 AS id, map('a', 1, '_note', 2) AS m, map('k', named_struct('x', 1, '_y', 2)) AS n, map(1, map('_z', 1, 'q', 2)) AS o, CAST(NULL AS map<string,int>) AS p")
+    out = documents.strip_notes(row).first().asDict(recursive=True)
+    assert out == {"id": 1, "m": {"a": 1}, "n": {"k": {"x": 1}}, "o": {1: {"q": 2}}, "p": None}
+    assert documents.strip_notes(row, ("_note", "_y")).first()["m"] == {"a": 1, "_note": 2}
+
+
+def test_figures_in_their_own_case(spark):
+    strings = spark.createDataFrame([("a", "Cut cost 40% Overall"), ("b", "cut 40% overall in Cork"), ("c", "a 40%"), ("d", "x 4 0%"), ("e", None)], "path string, text string")
+    guards = spark.createDataFrame([("40%", ["Overall", "in Cork"], ["Cut", "cost"]), ("nothing", [], ["a"]), ("", ["z"], [])], "figure string, required array<string>, forbidden array<string>")
+    got = {(r["key"], r["detail"]) for r in quality.figure_guards(strings, guards).collect()}
+    assert got == {("a", "40%: forbidden phrase Cut"), ("a", "40%: forbidden phrase cost"), ("c", "40%: required phrase missing")}
