@@ -229,7 +229,7 @@ def _canonical(places: Column, name: Column, field: str = "canonical") -> Column
 def all_places(c: str | Column, places: str | Column = "places", any_case: bool = True, district: str = DISTRICT, stands_for: str = DISTRICT_OF, names: Column | None = None) -> Column:
     """D12 as a column: the different canonical names in order of first mention; a name inside a longer one doesn't count, and
     of names with the same beginning the longest does. A district's mark stands for its city, before all others where nothing
-    else names it."""
+    else names it. names is names_pattern(places), where a row has it as a column already."""
     t, p = col(c), col(places)
     none = F.array().cast("array<string>")
     found = F.when(F.size(p) > 0, F.array_distinct(F.transform(_named(t, any_case, names_pattern(p) if names is None else names), lambda x: _canonical(p, x)))).otherwise(none)
