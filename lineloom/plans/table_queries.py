@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lineloom.operators import changes, findings, gates, quality, scoring
 from lineloom.plans.text_queries import docs_of, hits_of, read, rule_rows
-from lineloom.sources import documents
+from lineloom.sources import documents, publish
 from lineloom.streaming import inbox
 
 
@@ -167,6 +167,57 @@ def k2_latest(spark, d):
     return inbox.latest_per_key(e, "user_id").select("user_id", "event_id", "event_type")
 
 
+def k1_inbox(spark, d):
+    """The pages as they drop in, named by day and host; the last of each host."""
+    at = publish.fresh_folder(spark, "k1")
+    raw = inbox.stream_table(spark, f"{d}/pages.parquet", 4).select(F.format_string("in/2024-05-%02d-%s.txt", F.pmod("page_id", F.lit(40)), F.regexp_extract("url", "^https?://([^/]+)", 1)).alias("path"), F.timestamp_seconds("page_id").alias("ts"), F.col("html").alias("text"))
+    inbox.drain(inbox.inbox_rows(raw).writeStream.foreachBatch(inbox.upsert_latest(f"{at}/rows", "slug")), f"{at}/state")
+    return inbox.read_latest(spark, f"{at}/rows", "slug").select("slug", F.date_format("day", "yyyy-MM-dd").alias("day"), "hash")
+
+
+def k2_upserts(spark, d):
+    """k2_latest, taken in by a stream."""
+    at = publish.fresh_folder(spark, "k2")
+    e = _events(spark, d, 4).select("user_id", "ts", F.md5(F.concat_ws("|", F.col("event_id").cast("string"), "event_type")).alias("hash"), "event_id", "event_type")
+    inbox.drain(e.writeStream.foreachBatch(inbox.upsert_latest(f"{at}/rows", "user_id")), f"{at}/state")
+    return inbox.read_latest(spark, f"{at}/rows", "user_id").select("user_id", "event_id", "event_type")
+
+
+def _events(spark, d, files_a_batch=None):
+    """The events as a stream, their times as moments: watermarks take no times without a zone."""
+    ts = F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z")))
+    return inbox.stream_table(spark, f"{d}/events.parquet", files_a_batch).withColumn("ts", ts)
+
+
+def _appended(spark, stream, at):
+    inbox.drain(stream.writeStream.format("parquet").option("path", f"{at}/rows"), f"{at}/state")
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
+def k2_repeats(spark, d):
+    """The first of the events of a kind with the same properties; the delay spans the table."""
+    e = _events(spark, d).select("ts", "event_type", F.sha2("props", 256).alias("hash"))
+    return _appended(spark, inbox.drop_repeats(e, "event_type", "3650 days"), publish.fresh_folder(spark, "repeats")).select("event_type", "hash")
+
+
+def k3_stream(spark, d):
+    """The days that the watermark has passed, counted by a stream."""
+    e = _events(spark, d).select("ts", F.col("event_type").alias("tag"))
+    return _appended(spark, inbox.stream_hit_counts(e), publish.fresh_folder(spark, "k3")).select(F.date_from_unix_date((F.unix_seconds("day") / 86400).cast("int")).cast("string").alias("day"), "tag", "n")
+
+
+def a7_published(spark, d):
+    """The orders as published: customers that exist are checked, and a second publication, of rows without status F, is refused."""
+    at, o = publish.fresh_folder(spark, "a7"), read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    documents.publish_checked(o, quality.dangling(o, "o_orderkey", "o_custkey", read(spark, d, "customer"), "c_custkey"), at)
+    less = o.filter("o_orderstatus <> 'F'")
+    try:
+        documents.publish_checked(less, quality.domain(less, "o_orderkey", "o_orderstatus", ("F",)), at)
+    except ValueError:
+        pass
+    return publish.read_current(spark, at)
+
+
 def k3_counts(spark, d):
     e = read(spark, d, "events").select("ts", F.col("event_type").alias("tag"))
     return inbox.stream_hit_counts(e).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "tag", "n")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lineloom.functions.text import plain_dashes
+from lineloom.sources import publish
 
 #: The nested rule file.
 RULES = (
@@ -117,14 +118,14 @@ def content_stamp(df: DataFrame, length: int = 10) -> DataFrame:
 
 
 def write_versioned(df: DataFrame, path: str) -> str:
-    """Writes under stamp=<content stamp>; equal content goes to the same place."""
+    """Writes under stamp=<content stamp> and then points at it (publish.read_current); equal content is written once."""
     stamp = content_stamp(df).first()["stamp"]
-    df.write.mode("overwrite").parquet(f"{path}/stamp={stamp}")
+    publish.publish(df, path, f"stamp={stamp}")
     return stamp
 
 
 def publish_checked(df: DataFrame, violations: DataFrame, path: str) -> str:
-    """write_versioned, or an error with the first violations."""
+    """write_versioned, or an error with the first violations, which leaves the version published before."""
     bad = violations.limit(5).collect()
     if bad:
         raise ValueError("not published: " + "; ".join(f"{r['rule']} {r['key']}: {r['detail']}" for r in bad))

@@ -141,6 +141,48 @@ def test_strip_notes_and_publish(spark, tmp_path):
         documents.publish_checked(out, bad, f"file://{tmp_path}/p")
 
 
+def test_readers_see_whole_versions(spark, tmp_path):
+    from lineloom.sources import publish
+
+    at = f"file://{tmp_path}/t"
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "a int")
+    seen = lambda: sorted(r["a"] for r in publish.read_current(spark, at).collect())
+    with pytest.raises(ValueError, match="nothing is published"):
+        publish.read_current(spark, at)
+    first = documents.write_versioned(rows(1, 2), at)
+    old = publish.read_current(spark, at)
+    with pytest.raises(Exception):  # fails while it writes, after some of its rows may be there
+        publish.publish(rows(3, 4).select(F.assert_true(F.col("a") < 4).isNull().cast("int").alias("a")), at, "stamp=broken")
+    assert seen() == [1, 2]
+    documents.write_versioned(rows(3), at)
+    assert seen() == [3] and sorted(r["a"] for r in old.collect()) == [1, 2]
+    assert documents.write_versioned(rows(2, 1), at) == first and seen() == [1, 2]
+    publish.publish(rows(5), at, "stamp=broken")
+    assert seen() == [5]
+
+
+def test_streams_take_late_rows_and_drop_repeats(spark, tmp_path):
+    from lineloom.streaming import inbox
+
+    src, at = f"file://{tmp_path}/src", f"file://{tmp_path}"
+    put = lambda *v: spark.createDataFrame([("k", moment(t), h) for t, h in v], "k string, ts timestamp, hash string").coalesce(1).write.mode("append").parquet(src)
+    counts = lambda: inbox.drain(inbox.stream_hit_counts(inbox.stream_table(spark, src, 1), "k").writeStream.format("parquet").option("path", f"{at}/n"), f"{at}/c1")
+    upserts = lambda: inbox.drain(inbox.stream_table(spark, src, 1).writeStream.foreachBatch(inbox.upsert_latest(f"{at}/u", "k")), f"{at}/c2")
+    firsts = lambda: inbox.drain(inbox.drop_repeats(inbox.stream_table(spark, src, 1), "k").writeStream.format("parquet").option("path", f"{at}/f"), f"{at}/c3")
+    for rows in ((("2024-01-01 10:00:00", "a"), ("2024-01-01 11:00:00", "a")), (("2024-01-03 10:00:00", "b"),), (("2024-01-01 12:00:00", "late"), ("2024-01-05 10:00:00", "a"))):
+        put(*rows)
+        counts(), upserts(), firsts()
+    assert {(str(r["day"])[:10], r["n"]) for r in spark.read.parquet(f"{at}/n").collect()} == {("2024-01-01", 2), ("2024-01-03", 1)}
+    assert [r["hash"] for r in inbox.read_latest(spark, f"{at}/u", "k").collect()] == ["a"]
+    assert sorted(r["hash"] for r in spark.read.parquet(f"{at}/f").collect()) == ["a", "a", "b"]
+
+
+def moment(text):
+    import datetime
+
+    return datetime.datetime.fromisoformat(text).replace(tzinfo=datetime.timezone.utc)
+
+
 def test_evidence_and_why(spark):
     rows = [(1, "a", 0, "f1", "Saved 20% of hours", 2, True), (1, "b", 1, "f2", "Saved 20% again", 3, False), (1, "c", 2, "f3", "Wrote a thesis", 1, False), (1, "d", 3, "f4", "Nothing special", 0, False)]
     c = spark.createDataFrame(rows, "doc_id long, variant_id string, pos int, family string, text string, overlap int, lead boolean")
