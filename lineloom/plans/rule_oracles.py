@@ -66,6 +66,24 @@ SQL = {
     "f9_clean": "WITH v AS (SELECT p_partkey AS variant_id, p_brand AS group_id, (p_type = 'SMALL' OR p_type LIKE 'PROMO%' OR p_type LIKE 'ECON%') AS bad FROM part), w AS (SELECT *, bool_and(bad) OVER (PARTITION BY group_id) AS every FROM v) SELECT variant_id, group_id FROM w WHERE NOT bad OR every",
     "f10_sorted": "SELECT p_partkey, p_size FROM part",
     "f11_in_order": "WITH i AS (SELECT o_orderkey AS owner, unnest([o_custkey, -1, 1]) AS k, unnest([0, 1, 2]) AS pos FROM orders) SELECT owner, pos::INT AS pos, c_name AS fact FROM i JOIN customer ON k = c_custkey",
+    "f13_sections": """WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority < '3' DESC, o_orderdate::DATE DESC, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'O'),
+      entry AS (SELECT o_custkey AS doc_id, o_orderkey, 'experience' AS sec, place AS ip FROM ranked UNION ALL SELECT o_custkey, o_orderkey, 'project', o_orderkey FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_custkey, o_orderkey, 'education', o_orderkey FROM orders WHERE o_orderstatus = 'F'),
+      e AS (SELECT * FROM entry JOIN orders USING (o_orderkey)), items AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) || ' ' || max(l_quantity)::INT AS text FROM lineitem GROUP BY ALL), t AS (SELECT DISTINCT o_custkey AS doc_id, o_orderstatus AS st, o_orderpriority AS pr FROM orders),
+      home AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+      b AS (SELECT c_custkey AS doc_id, 'profile' AS sec, 0 AS ip, 0 AS fp, 'para' AS type, c_mktsegment AS text FROM customer
+      UNION ALL SELECT DISTINCT doc_id, 'skills', ascii(st), 0, 'skill_label', 'Status ' || st FROM t
+      UNION ALL SELECT doc_id, 'skills', ascii(st), 1, 'skill_line', string_agg(pr, ', ' ORDER BY pr = '5-LOW', pr >= '3', ascii(pr) DESC) FROM t GROUP BY doc_id, st
+      UNION ALL SELECT doc_id, sec, ip, 0, 'role', o_orderpriority FROM e
+      UNION ALL SELECT doc_id, sec, ip, CASE sec WHEN 'project' THEN 2 ELSE 1 END, CASE sec WHEN 'project' THEN 'dates' ELSE 'org' END, 'large' FROM e WHERE o_totalprice > 50000
+      UNION ALL SELECT doc_id, sec, ip, CASE sec WHEN 'project' THEN 1 ELSE 2 END, 'aside', 'no ' || o_orderkey FROM e WHERE sec <> 'education'
+      UNION ALL SELECT doc_id, sec, ip, CASE sec WHEN 'education' THEN 2 ELSE 3 END, 'dates', strftime(o_orderdate, '%Y-%m') FROM e WHERE sec <> 'project'
+      UNION ALL SELECT doc_id, sec, ip, 3, 'para', 'Modules: ' || array_to_string(string_split(o_orderpriority, '-'), ', ') FROM e WHERE sec = 'education'
+      UNION ALL SELECT doc_id, sec, ip, 10 + l_linenumber, 'bullet', text FROM e JOIN items ON l_orderkey = o_orderkey WHERE sec <> 'education'
+      UNION ALL SELECT c_custkey, 'certifications', 0, 0, 'para', n_name || ', ' || n_regionkey FROM home UNION ALL SELECT c_custkey, 'certifications', 0, 1, 'para', 'Region ' || n_regionkey FROM home UNION ALL SELECT c_custkey, 'certifications', 1, 2, 'para', r_name FROM home),
+      s AS (SELECT *, CASE sec WHEN 'profile' THEN 1 WHEN 'skills' THEN 2 WHEN 'experience' THEN 3 WHEN 'project' THEN 4 WHEN 'education' THEN CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 5 END ELSE 6 END AS sp FROM b JOIN customer ON c_custkey = doc_id),
+      h AS (SELECT doc_id, sec, sp, ip, fp, type, text FROM s UNION ALL SELECT DISTINCT doc_id, sec, sp, -1, 0, 'head', CASE sec WHEN 'skills' THEN 'SKILLS' WHEN 'experience' THEN 'EXPERIENCE' WHEN 'project' THEN 'PROJECTS' WHEN 'education' THEN 'EDUCATION' ELSE 'MORE' END FROM s WHERE sec <> 'profile')
+      SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sp, ip, fp, text) - 1)::INT AS block_no, sec AS section_type, type, text FROM h""",
+    "h1_sections": "SELECT c_custkey AS doc_id, 'text differs' AS detail FROM customer WHERE c_acctbal < 0",
     "f13_blocks": """WITH b AS (SELECT o_orderkey AS doc_id, 0 AS sp, 'open' AS type, 0 AS ip, o_orderstatus AS text FROM orders UNION ALL SELECT l_orderkey, 1, 'items', l_linenumber, max(l_returnflag) FROM lineitem GROUP BY l_orderkey, l_linenumber UNION ALL SELECT DISTINCT l_orderkey, 1, 'head', -1, 'Items' FROM lineitem
       UNION ALL SELECT o_orderkey, 2, 'extra', 0, 'now' FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT o_orderkey, 2, 'head', -1, 'Extra' FROM orders WHERE o_orderpriority = '1-URGENT') SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sp, ip) - 1)::INT AS block_no, type, text FROM b""",
     "f14_skills": f"WITH {LINE}, h AS (SELECT o_orderkey AS doc_id, o_orderstatus = 'O' AS much FROM orders) SELECT l.doc_id, f AS category, string_agg('t' || no, ', ' ORDER BY no = 1, ((n > 25) = much) DESC, no) AS line FROM l JOIN h USING (doc_id) GROUP BY ALL",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lineloom.functions import text as T
-from lineloom.operators import changes, extract, findings, gates, lines, matching, quality, scoring
+from lineloom.operators import changes, extract, findings, gates, lines, matching, quality, scoring, sections
 from lineloom.plans.text_queries import PREFERRED, TAGS, UNIT, VARIANT_TAGS, VARIANTS, docs_of, hits_of, read, rule_rows
 from lineloom.sources import documents
 
@@ -160,6 +160,58 @@ def f13_blocks(spark, d):
     return scoring.assemble_blocks(sections, [opened, items, extra]).select("doc_id", "block_no", "type", "text")
 
 
+def _facts(spark, d):
+    """Orders as roles, projects and education, nations as certificates, regions as volunteering."""
+    o, n, r = (read(spark, d, t) for t in ("orders", "nation", "region"))
+    text = lambda: F.lit(None).cast("string")
+    kind = F.when(F.col("o_orderstatus") == "O", "role").when(F.col("o_orderstatus") == "P", "project").otherwise("education")
+    of_orders = o.select(F.concat(F.lit("o"), "o_orderkey").alias("fact_id"), kind.alias("kind"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_totalprice") > 50000, "large").alias("org"), F.concat(F.lit("no "), "o_orderkey").alias("aside"), F.date_format("o_orderdate", "yyyy-MM").alias("dates"), text().alias("body"), F.split("o_orderpriority", "-").alias("items"), (F.col("o_orderpriority") < "3").alias("relevant"), F.col("o_orderdate").cast("date").alias("start_date"))
+    rest = lambda df, key, name, kind, body, items: df.select(F.concat(F.lit(key), name).alias("fact_id"), F.lit(kind).alias("kind"), text().alias("title"), text().alias("org"), text().alias("aside"), text().alias("dates"), body.alias("body"), items.alias("items"), F.lit(None).cast("boolean").alias("relevant"), F.lit(None).cast("date").alias("start_date"))
+    certs = rest(n, "n", "n_nationkey", "certification", F.concat(F.lit("Region "), "n_regionkey"), F.array("n_name", F.lit(None), F.col("n_regionkey").cast("string")))
+    return of_orders.unionByName(certs).unionByName(rest(r, "r", "r_regionkey", "volunteering", F.col("r_name"), F.array().cast("array<string>")))
+
+
+def _profile_sections(spark, d):
+    """A customer's sections; builders have education first."""
+    first = F.when(F.col("c_mktsegment") == "BUILDING", 0).otherwise(5)
+    rows = [("profile", F.lit(1), None), ("skills", F.lit(2), "SKILLS"), ("experience", F.lit(3), "EXPERIENCE"), ("project", F.lit(4), "PROJECTS"), ("education", first, "EDUCATION"), ("certifications", F.lit(6), "MORE")]
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.inline(F.array(*(F.struct(at.alias("pos"), F.lit(t).alias("type"), F.lit(h).cast("string").alias("heading"), F.lit("sections").alias("source_id")) for t, at, h in rows))))
+
+
+def _section_parts(spark, d):
+    c, o, n = (read(spark, d, t) for t in ("customer", "orders", "nation"))
+    facts = _facts(spark, d)
+    home = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("doc_id"), F.inline(F.array(F.struct(F.lit(0).cast("long").alias("pos"), F.concat(F.lit("n"), "n_nationkey").alias("fact_id")), F.struct(F.lit(1).cast("long").alias("pos"), F.concat(F.lit("r"), "n_regionkey").alias("fact_id")))))
+    includes = o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("o"), "o_orderkey").alias("fact_id")).unionByName(home)
+    items = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("f"), F.max("l_quantity").cast("int").alias("q"))
+    bullets = items.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("doc_id"), F.concat(F.lit("o"), "o_orderkey").alias("fact_id"), F.col("l_linenumber").alias("bullet_pos"), F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber").alias("variant_id"), F.concat_ws(" ", "f", "q").alias("text"))
+    terms = o.groupBy(F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("category"), F.col("o_orderpriority").alias("term")).agg(F.max("o_orderkey").alias("k"))
+    terms = terms.select("doc_id", "category", F.concat(F.lit("Status "), "category").alias("label"), F.ascii("category").alias("category_pos"), F.concat(F.lit("t"), "term").alias("term_id"), "term", (-F.ascii("term")).alias("term_pos"), (F.col("term") < "3").alias("hit"), (F.col("term") == "5-LOW").alias("added"))
+    chosen = c.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("c"), "c_custkey").alias("variant_id"), F.col("c_mktsegment").alias("text"))
+    parts = [sections.profile_blocks(chosen), sections.skill_blocks(terms), sections.experience_blocks(includes, facts, bullets), sections.project_blocks(includes, facts, bullets), sections.education_blocks(includes, facts), sections.certification_blocks(includes, facts)]
+    own = lambda df, key, field, text: df.select(F.col(key).alias("source_id"), F.lit(field).alias("source_field"), F.col(text).alias("text"))
+    sources = [sections.fact_sources(facts), sections.heading_sources(_profile_sections(spark, d)), own(chosen, "variant_id", "text", "text"), own(bullets, "variant_id", "text", "text"), own(terms, "term_id", "term", "term").distinct(), own(terms, "category", "label", "label").distinct()]
+    every = sources[0]
+    for s in sources[1:]:
+        every = every.unionByName(s)
+    return parts, every
+
+
+def f13_sections(spark, d):
+    """Each customer's document from its orders, their lines, its nation and region."""
+    return sections.assemble_sections(_profile_sections(spark, d), _section_parts(spark, d)[0]).select("doc_id", "block_no", "section_type", "type", "text")
+
+
+def h1_sections(spark, d):
+    """f13_sections checked against the facts it was made of; the profile of a customer in debt was changed since."""
+    parts, sources = _section_parts(spark, d)
+    debt = read(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("doc_id"), F.lit(True).alias("debt"))
+    blocks = sections.assemble_sections(_profile_sections(spark, d), parts).join(debt, "doc_id", "left")
+    blocks = blocks.withColumn("text", F.when(F.col("debt") & (F.col("section_type") == "profile"), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    rows, atoms = sections.provenance(blocks)
+    return gates.check_provenance(rows, atoms, sources, sections.BLOCK_TYPES).select("doc_id", "detail")
+
+
 def f14_skills(spark, d):
     l = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("f"), F.max("l_quantity").alias("q"))  # noqa: E741
     terms = l.select(F.col("l_orderkey").alias("doc_id"), F.col("f").alias("category"), F.concat(F.lit("t"), F.col("l_linenumber")).alias("term"), F.when(F.col("q") > 25, "much").otherwise("little").alias("tag"), F.col("l_linenumber").alias("pos"), (F.col("l_linenumber") == 1).alias("added"))
