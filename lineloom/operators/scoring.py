@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -239,20 +239,21 @@ def rotate(items: str | Column, key: str | Column) -> Column:
 MARKERS = (r"[0-9]+\s?%", r"€\s?[0-9]", r"\b[0-9]+ (?:people|users|customers|clients)\b", r"\b[0-9]+ hours\b", r"\b[0-9]+ (?:days|weeks|months|years)\b", r"\bthesis\b", r"\bmaster'?s\b", r"\bdegree\b", r"\baward\b", r"\bcertif", r"\bvolunteer", r"\binternship\b", r"\bproject\b", r"\bdashboard\b", r"\bautomat")
 
 
-def fact_markers(c: str | Column) -> Column:
-    """the numbers of the markers that a text holds."""
-    return F.filter(F.array(*(F.when(col(c).rlike(f"(?i){p}"), F.lit(i)) for i, p in enumerate(MARKERS))), lambda x: x.isNotNull())
+def fact_markers(c: str | Column, markers: Sequence[str] = MARKERS) -> Column:
+    """the numbers of the markers, patterns of which case is aside, that a text holds; none of a null text."""
+    held = F.filter(F.array(*(F.when(col(c).rlike(f"(?i){p}"), F.lit(i)) for i, p in enumerate(markers))), lambda x: x.isNotNull())
+    return held.cast("array<int>")
 
 
-def shares_fact(a: str | Column, b: str | Column) -> Column:
-    return F.arrays_overlap(fact_markers(a), fact_markers(b))
+def shares_fact(a: str | Column, b: str | Column, markers: Sequence[str] = MARKERS) -> Column:
+    return F.arrays_overlap(fact_markers(a, markers), fact_markers(b, markers))
 
 
-def pick_evidence(candidates: DataFrame) -> DataFrame:
+def pick_evidence(candidates: DataFrame, markers: Sequence[str] = MARKERS) -> DataFrame:
     """up to three of candidates(doc_id, variant_id, pos, family, text, overlap, lead): the lead with the best
     overlap, a partner of another family that shares no fact with it, and a third that also hits a tag; in file order.
     """
-    rows = candidates.withColumn("marks", fact_markers("text"))
+    rows = candidates.withColumn("marks", fact_markers("text", markers))
     first = lambda df, keys: df.withColumn("_r", F.row_number().over(W.partitionBy("doc_id").orderBy(*keys))).filter("_r = 1").drop("_r")
     keys = [F.desc("overlap"), F.col("pos")]
     one = first(rows.filter("lead"), keys).select("doc_id", F.array("family").alias("fams"), F.col("marks").alias("told"), F.array(F.struct("pos", "variant_id")).alias("picked"))
@@ -267,24 +268,29 @@ def pick_evidence(candidates: DataFrame) -> DataFrame:
     return three.select("doc_id", F.transform(F.array_sort("picked"), lambda x: x["variant_id"]).alias("evidence"))
 
 
-def pick_why(candidates: DataFrame, told: DataFrame) -> DataFrame:
+def pick_why(candidates: DataFrame, told: DataFrame, markers: Sequence[str] = MARKERS) -> DataFrame:
     """of candidates(doc_id, variant_id, pos, text, overlap, key) the best by overlap, rotated by the key among
     ties; those that tell a fact of told(doc_id, text) only where nothing else is left."""
-    marks = told.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(fact_markers("text")))).alias("told"))
-    rows = candidates.join(marks, "doc_id", "left").withColumn("again", F.coalesce(F.arrays_overlap(fact_markers("text"), F.col("told")), F.lit(False)).cast("int"))
+    marks = told.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(fact_markers("text", markers)))).alias("told"))
+    rows = candidates.join(marks, "doc_id", "left").withColumn("again", F.coalesce(F.arrays_overlap(fact_markers("text", markers), F.col("told")), F.lit(False)).cast("int"))
     top = W.partitionBy("doc_id")
     rows = rows.withColumn("least", F.min("again").over(top)).filter("again = least").withColumn("most", F.max("overlap").over(top)).filter("overlap = most")
     pool = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "variant_id"))), lambda x: x["variant_id"]).alias("pool"), F.min("key").alias("key"))
     return pool.select("doc_id", rotate("pool", "key").alias("variant_id"))
 
 
-def gap_choice(docs: DataFrame, findings: DataFrame, mapped: dict[str, str]) -> DataFrame:
+def gap_choice(docs: DataFrame, findings: DataFrame, mapped: dict[str, str], named: DataFrame | None = None, told: DataFrame | None = None) -> DataFrame:
     """at most one gap: the manual flag, then years short, then the first finding in rule order that is mapped.
-    docs(doc_id, mismatch, years_short), findings(doc_id, rule_id, rule_no)."""
+    docs(doc_id, mismatch, years_short), findings(doc_id, rule_id, rule_no). A gap of which the document's told(doc_id, text)
+    hold one of named(gap, term) is dropped: nothing else takes its place."""
     first = findings.filter(F.col("rule_id").isin(list(mapped))).groupBy("doc_id").agg(F.min_by("rule_id", "rule_no").alias("rule_id"))
     names = F.create_map(*(F.lit(x) for kv in mapped.items() for x in kv))
     rows = docs.join(first, "doc_id", "left")
-    return rows.select("doc_id", F.when(F.col("mismatch"), "mismatch").when(F.col("years_short") > 0, "years").otherwise(F.element_at(names, F.col("rule_id"))).alias("gap"))
+    out = rows.select("doc_id", F.when(F.col("mismatch"), "mismatch").when(F.col("years_short") > 0, "years").otherwise(F.element_at(names, F.col("rule_id"))).alias("gap"))
+    if named is None or told is None:
+        return out
+    hit = match_terms(told.select("doc_id", "text"), named.select("term").distinct()).join(named, "term").select("doc_id", "gap").distinct()
+    return out.join(hit.withColumn("again", F.lit(True)), ["doc_id", "gap"], "left").select("doc_id", F.when(F.col("again").isNull(), F.col("gap")).alias("gap"))
 
 
 # The parts of a letter in order.
@@ -300,3 +306,17 @@ def assemble_letter(parts: DataFrame, slots: DataFrame, most_gaps: int = 2) -> D
     rows = rows.join(slots, "doc_id").withColumn("text", F.trim(fill_template("template", "slots"))).filter("text <> ''")
     order = W.partitionBy("doc_id").orderBy("part_no", "pos")
     return rows.select("doc_id", (F.row_number().over(order) - 1).alias("paragraph_no"), "part", "text")
+
+
+def compose_letter(docs: DataFrame, evidence: DataFrame, why: DataFrame, findings: DataFrame, mapped: dict[str, str], gaps: DataFrame, named: DataFrame, fixed: DataFrame, slots: DataFrame, markers: Sequence[str] = MARKERS) -> DataFrame:
+    """F26-F29 in a chain: the evidence, a reason that tells none of its facts again if there is one, a gap that neither names
+    already, and the letter of these and the fixed parts. docs as F28's, evidence as F26's candidates, why as F27's,
+    gaps(gap, template), named(gap, term), fixed(doc_id, part, pos, template). Documents without slots get no letter."""
+    texts = lambda df: df.select("doc_id", "variant_id", F.col("text").alias("template"))
+    picked = pick_evidence(evidence, markers).select("doc_id", F.posexplode("evidence").alias("pos", "variant_id"))
+    shown = picked.join(texts(evidence), ["doc_id", "variant_id"]).select("doc_id", F.lit("evidence").alias("part"), "pos", "template")
+    told = shown.select("doc_id", F.col("template").alias("text"))
+    reason = pick_why(why, told, markers).join(texts(why), ["doc_id", "variant_id"]).select("doc_id", F.lit("why").alias("part"), F.lit(0).alias("pos"), "template")
+    gap = gap_choice(docs, findings, mapped, named, told.unionByName(reason.select("doc_id", F.col("template").alias("text"))))
+    missing = gap.join(bounded(gaps), "gap").select("doc_id", F.lit("gap").alias("part"), F.lit(0).alias("pos"), "template")
+    return assemble_letter(fixed.unionByName(reason).unionByName(shown).unionByName(missing), slots)

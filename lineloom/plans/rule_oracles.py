@@ -84,6 +84,18 @@ SQL = {
       h AS (SELECT doc_id, sec, sp, ip, fp, type, text FROM s UNION ALL SELECT DISTINCT doc_id, sec, sp, -1, 0, 'head', CASE sec WHEN 'skills' THEN 'SKILLS' WHEN 'experience' THEN 'EXPERIENCE' WHEN 'project' THEN 'PROJECTS' WHEN 'education' THEN 'EDUCATION' ELSE 'MORE' END FROM s WHERE sec <> 'profile')
       SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sp, ip, fp, text) - 1)::INT AS block_no, sec AS section_type, type, text FROM h""",
     "h1_sections": "SELECT c_custkey AS doc_id, 'text differs' AS detail FROM customer WHERE c_acctbal < 0",
+    "f29_composed": """WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS no, max(l_returnflag) AS f, max(l_quantity)::INT AS n, max(l_linestatus) AS s FROM lineitem GROUP BY ALL),
+      e AS (SELECT doc_id, no, f, n - 20 AS overlap, n <= 30 AS lead, CASE WHEN n > 35 THEN '' WHEN s = 'O' THEN 'project' ELSE 'hours' END AS m, CASE WHEN n > 35 THEN 'plain words' WHEN s = 'O' THEN 'a project' ELSE 'saved 9 hours' END AS text FROM l),
+      one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, no) AS r FROM e WHERE lead) WHERE r = 1),
+      two AS (SELECT * FROM (SELECT e.*, row_number() OVER (PARTITION BY e.doc_id ORDER BY e.overlap DESC, e.no) AS r FROM e JOIN one o USING (doc_id) WHERE e.f <> o.f AND (e.m = '' OR e.m <> o.m)) WHERE r = 1),
+      three AS (SELECT * FROM (SELECT e.*, row_number() OVER (PARTITION BY e.doc_id ORDER BY e.overlap DESC, e.no) AS r FROM e JOIN one o USING (doc_id) LEFT JOIN two t USING (doc_id) WHERE e.overlap > 0 AND e.f <> o.f AND e.f IS DISTINCT FROM t.f AND (e.m = '' OR (e.m <> o.m AND e.m IS DISTINCT FROM t.m))) WHERE r = 1),
+      ev AS (SELECT doc_id, no, m, text FROM one UNION ALL SELECT doc_id, no, m, text FROM two UNION ALL SELECT doc_id, no, m, text FROM three), told AS (SELECT doc_id, list(m) AS ms FROM ev WHERE m <> '' GROUP BY doc_id),
+      p AS (SELECT doc_id, list(no ORDER BY no) AS l FROM (SELECT *, bool_and(again) OVER (PARTITION BY doc_id) AS every FROM (SELECT e.*, coalesce(list_contains(ms, m), false) AS again FROM e LEFT JOIN told USING (doc_id))) WHERE NOT again OR every GROUP BY doc_id),
+      h AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: (a * 31 + x) % 4294967296) AS h FROM p), why AS (SELECT doc_id, l[h % len(l) + 1] AS no FROM h), w AS (SELECT why.doc_id, e.text FROM why JOIN e USING (doc_id, no)),
+      f AS (SELECT l_orderkey AS doc_id, min(l_returnflag) FILTER (WHERE l_returnflag IN ('N', 'R')) AS f FROM lineitem GROUP BY 1), g AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'It is urgent.' WHEN o_orderstatus = 'F' THEN 'Years are short.' WHEN f = 'N' THEN 'Nothing is old.' WHEN f = 'R' THEN 'Some came back.' END AS text FROM orders LEFT JOIN f ON doc_id = o_orderkey),
+      said AS (SELECT doc_id, text FROM ev UNION ALL SELECT doc_id, text FROM w), part AS (SELECT o_orderkey AS doc_id, 4 AS part_no, 0 AS pos, 'opening' AS part, 'For ' || o_orderpriority || ':' AS text FROM orders UNION ALL SELECT doc_id, 5, 0, 'why', text FROM w UNION ALL SELECT doc_id, 7, no, 'evidence', text FROM ev
+      UNION ALL SELECT doc_id, 8, 0, 'gap', text FROM g WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM said WHERE said.doc_id = g.doc_id AND ((g.text = 'Years are short.' AND said.text = 'plain words') OR (g.text = 'Nothing is old.' AND said.text = 'a project') OR (g.text = 'Some came back.' AND said.text = 'saved 9 hours'))) UNION ALL SELECT o_orderkey, 10, 0, 'close', 'Yours' FROM orders)
+      SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part_no, pos) - 1)::INT AS paragraph_no, part, text FROM part""",
     "f13_blocks": """WITH b AS (SELECT o_orderkey AS doc_id, 0 AS sp, 'open' AS type, 0 AS ip, o_orderstatus AS text FROM orders UNION ALL SELECT l_orderkey, 1, 'items', l_linenumber, max(l_returnflag) FROM lineitem GROUP BY l_orderkey, l_linenumber UNION ALL SELECT DISTINCT l_orderkey, 1, 'head', -1, 'Items' FROM lineitem
       UNION ALL SELECT o_orderkey, 2, 'extra', 0, 'now' FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT o_orderkey, 2, 'head', -1, 'Extra' FROM orders WHERE o_orderpriority = '1-URGENT') SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sp, ip) - 1)::INT AS block_no, type, text FROM b""",
     "f14_skills": f"WITH {LINE}, h AS (SELECT o_orderkey AS doc_id, o_orderstatus = 'O' AS much FROM orders) SELECT l.doc_id, f AS category, string_agg('t' || no, ', ' ORDER BY no = 1, ((n > 25) = much) DESC, no) AS line FROM l JOIN h USING (doc_id) GROUP BY ALL",

@@ -296,6 +296,19 @@ def f29_letters(spark, d):
     return scoring.assemble_letter(parts, slots)
 
 
+def f29_composed(spark, d):
+    """Each order's letter from its lines: evidence, a reason, a gap that these don't name, and two fixed parts."""
+    o, e = read(spark, d, "orders"), evidence_rows(spark, d)
+    docs = o.select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderpriority") == "1-URGENT").alias("mismatch"), F.when(F.col("o_orderstatus") == "F", 2).otherwise(0).alias("years_short"))
+    found = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("rule_id"), F.ascii("l_returnflag").alias("rule_no"))
+    why = e.withColumn("overlap", F.lit(1)).withColumn("key", F.col("doc_id").cast("string"))
+    gaps = rule_rows(spark, [("mismatch", "It is urgent."), ("years", "Years are short."), ("new", "Nothing is old."), ("returned", "Some came back.")], "gap string, template string")
+    named = rule_rows(spark, [("new", "project"), ("returned", "hours"), ("years", "plain words")], "gap string, term string")
+    fixed = o.select(F.col("o_orderkey").alias("doc_id"), F.inline(F.array(F.struct(F.lit("close").alias("part"), F.lit(0).alias("pos"), F.lit("Yours").alias("template")), F.struct(F.lit("opening").alias("part"), F.lit(0).alias("pos"), F.lit("For {{PRIORITY}}:").alias("template")))))
+    slots = o.select(F.col("o_orderkey").alias("doc_id"), F.create_map(F.lit("PRIORITY"), "o_orderpriority").alias("slots"))
+    return scoring.compose_letter(docs, e, why, found, {"N": "new", "R": "returned"}, gaps, named, fixed, slots)
+
+
 def g2_sentences(spark, d):
     s = lines.split_spans(docs_of(spark, d)).withColumn("class", findings.sentence_class("text", F.col("text").rlike("^[A-M]")))
     return s.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))

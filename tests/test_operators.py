@@ -397,3 +397,37 @@ def test_figures_in_their_own_case(spark):
     guards = spark.createDataFrame([("40%", ["Overall", "in Cork"], ["Cut", "cost"]), ("nothing", [], ["a"]), ("", ["z"], [])], "figure string, required array<string>, forbidden array<string>")
     got = {(r["key"], r["detail"]) for r in quality.figure_guards(strings, guards).collect()}
     assert got == {("a", "40%: forbidden phrase Cut"), ("a", "40%: forbidden phrase cost"), ("c", "40%: required phrase missing")}
+
+
+def test_sections_carry_where_they_come_from(spark):
+    from lineloom.operators import sections
+
+    fact = "fact_id string, kind string, title string, org string, aside string, dates string, body string, items array<string>, relevant boolean, start_date date"
+    facts = spark.sql("SELECT * FROM VALUES ('r1','role','Clerk',NULL,'','2020',NULL,NULL,true,DATE'2020-01-01'), ('r2','role','Cook','Inn',NULL,NULL,NULL,NULL,false,DATE'2022-01-01'), ('e1','education','BA',NULL,NULL,NULL,NULL,array('x',NULL,'y'),NULL,NULL), ('c1','certification',NULL,NULL,NULL,NULL,'told',array(),NULL,NULL), ('v1','volunteering',NULL,NULL,NULL,NULL,'helped',NULL,NULL,NULL) AS t(fact_id,kind,title,org,aside,dates,body,items,relevant,start_date)")
+    assert [f.name for f in facts.schema] == [c.split()[0] for c in fact.split(", ")]
+    includes = spark.createDataFrame([(1, 0, "r2"), (1, 1, "r1"), (1, 2, "gone"), (1, 3, "e1"), (1, 5, "c1"), (1, 4, "v1"), (2, 0, "e1")], "doc_id long, pos int, fact_id string")
+    bullets = spark.createDataFrame([(1, "r1", 0, "b1", "Filed"), (1, "r1", 1, "b2", None), (1, "zz", 0, "b3", "nobody's")], "doc_id long, fact_id string, bullet_pos int, variant_id string, text string")
+    rows = [(1, 0, "experience", "WORK", "s"), (1, 1, "project", "NONE", "s"), (1, 2, "education", "STUDY", "s"), (1, 3, "certifications", None, "s"), (2, 0, "hobbies", "FUN", "t")]
+    wanted = spark.createDataFrame(rows, "doc_id long, pos int, type string, heading string, source_id string")
+    parts = [sections.experience_blocks(includes, facts, bullets), sections.project_blocks(includes, facts, bullets), sections.education_blocks(includes, facts), sections.certification_blocks(includes, facts)]
+    blocks = sections.assemble_sections(wanted, parts)
+    got = {d: [(r["type"], r["text"]) for r in sorted(blocks.collect(), key=lambda r: r["block_no"]) if r["doc_id"] == d] for d in (1, 2)}
+    assert got[1] == [("head", "WORK"), ("role", "Clerk"), ("dates", "2020"), ("bullet", "Filed"), ("role", "Cook"), ("org", "Inn"), ("head", "STUDY"), ("role", "BA"), ("para", "Modules: x, y"), ("para", "told"), ("para", "helped")]
+    assert got[2] == [("unknown", "hobbies")]
+    sources = sections.fact_sources(facts).unionByName(sections.heading_sources(wanted)).unionByName(bullets.select(F.col("variant_id").alias("source_id"), F.lit("text").alias("source_field"), "text"))
+    check = lambda b, s: {(r["doc_id"], r["block_no"], r["detail"]) for r in gates.check_provenance(*sections.provenance(b), s, sections.BLOCK_TYPES).collect()}
+    assert check(blocks, sources) == {(2, 0, "unknown type")}
+    changed = blocks.withColumn("text", F.when(F.col("text") == "Modules: x, y", "Modules: x").otherwise(F.col("text")))
+    assert check(changed, sources.filter("source_id <> 'b1'")) == {(2, 0, "unknown type"), (1, 8, "text differs"), (1, 3, "missing source")}
+    assert sections.assemble_sections(wanted.limit(0), parts).count() == 0
+
+
+def test_a_gap_that_is_named_is_dropped(spark):
+    docs = spark.createDataFrame([(1, False, 0), (2, False, 0), (3, True, 0), (4, False, 1), (5, None, None)], "doc_id long, mismatch boolean, years_short int")
+    found = spark.createDataFrame([(1, "w", 1), (2, "w", 1), (2, "x", 2), (3, "w", 1)], "doc_id long, rule_id string, rule_no int")
+    named = spark.createDataFrame([("g", "cold calls"), ("years", "young")], "gap string, term string")
+    told = spark.createDataFrame([(2, "I made Cold calls."), (3, "cold calls"), (4, None), (1, "cold callsign")], "doc_id long, text string")
+    out = scoring.gap_choice(docs, found, {"w": "g", "x": "h"}, named, told)
+    assert {r["doc_id"]: r["gap"] for r in out.collect()} == {1: "g", 2: None, 3: "mismatch", 4: "years", 5: None}
+    marks = docs.select(scoring.fact_markers(F.lit("A Kitchen"), ("night", "kitchen")).alias("m")).first()["m"]
+    assert marks == [1]
