@@ -24,9 +24,28 @@ def check_provenance(blocks: DataFrame, atoms: DataFrame, sources: DataFrame, kn
     sources fail; edited blocks and empty texts pass. blocks also have prefix, suffix, joiner, template, slots, edited;
     atoms(doc_id, block_no, atom_no, source_id, source_field)."""
     full = atoms.join(sources.withColumnRenamed("text", "part"), ["source_id", "source_field"], "left")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("atom_no", F.coalesce("part", F.lit("")).alias("part")))), lambda x: x["part"])
-    built = full.groupBy("doc_id", "block_no").agg(parts.alias("parts"), F.count_if(F.col("part").isNull()).alias("n_missing"))
+    built = full.groupBy("doc_id", "block_no").agg(_parts().alias("parts"), F.count_if(F.col("part").isNull()).alias("n_missing"))
     rows = blocks.filter(~F.coalesce("edited", F.lit(False)) & (F.coalesce("text", F.lit("")) != "")).join(built, ["doc_id", "block_no"], "left")
+    return _unlike(rows, known)
+
+
+def check_carried(blocks: DataFrame, sources: DataFrame, known: Iterable[str]) -> DataFrame:
+    """H1 of blocks(doc_id, block_no, type, text, prefix, joiner, atoms) that carry their atoms, as F13's do, in one reading:
+    atoms are (source_id, source_field), and a block without any has a missing source."""
+    rows = blocks.filter(F.coalesce("text", F.lit("")) != "").select("doc_id", "block_no", "type", "text", "prefix", "joiner", F.posexplode_outer("atoms").alias("atom_no", "a"))
+    rows = rows.select("*", "a.source_id", "a.source_field").drop("a").join(sources.withColumnRenamed("text", "part"), ["source_id", "source_field"], "left")
+    same = [F.first(c).alias(c) for c in ("type", "text", "prefix", "joiner")]
+    built = rows.groupBy("doc_id", "block_no").agg(*same, _parts().alias("parts"), F.count_if(F.col("part").isNull()).alias("n_missing"))
+    none = F.lit(None).cast("string")
+    return _unlike(built.withColumn("suffix", none).withColumn("template", none).withColumn("slots", F.lit(None).cast("map<string,string>")), known)
+
+
+def _parts() -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct("atom_no", F.coalesce("part", F.lit("")).alias("part")))), lambda x: x["part"])
+
+
+def _unlike(rows: DataFrame, known: Iterable[str]) -> DataFrame:
+    """Findings of rows whose text isn't what their parts or template make."""
     made = F.concat(F.coalesce("prefix", F.lit("")), F.aggregate("parts", F.struct(F.lit("").alias("t"), F.lit(0).alias("n")), lambda a, x: F.struct(F.concat(a["t"], F.when(a["n"] > 0, F.coalesce("joiner", F.lit(""))).otherwise(""), x).alias("t"), (a["n"] + 1).alias("n")))["t"], F.coalesce("suffix", F.lit("")))
     made = F.when(F.col("template").isNotNull(), fill_template("template", "slots")).otherwise(made)
     why = F.when(~F.col("type").isin(*known), "unknown type").when(F.coalesce("n_missing", F.lit(0)) > 0, "missing source").when(~made.eqNullSafe(F.col("text")), "text differs")

@@ -106,16 +106,22 @@ def assemble_sections(sections: DataFrame, parts: list[DataFrame]) -> DataFrame:
         p = p if "last" in p.columns else p.withColumn("last", F.lit(0))
         every = p if every is None else every.unionByName(p)
     s = sections.withColumnRenamed("type", "section_type")
-    rows = every.join(s, ["doc_id", "section_type"])
-    own = atom("source_id", F.concat(F.lit("heading:"), F.col("pos").cast("string")))
-    none = F.lit(-1).cast("long")
-    heads = rows.filter(F.length("heading") > 0).select("doc_id", "section_type", "pos", "heading", "source_id").distinct()
-    heads = heads.select("doc_id", "section_type", "pos", F.lit(-1).alias("last"), none.alias("item_pos"), F.lit(0).alias("field_pos"), F.lit("head").alias("type"), F.col("heading").alias("text"), F.lit("").alias("prefix"), F.lit("").alias("joiner"), F.array(own).alias("atoms"))
     odd = s.filter(~F.coalesce(F.col("section_type").isin(*SECTION_TYPES), F.lit(False)))
-    odd = odd.select("doc_id", "section_type", "pos", F.lit(-1).alias("last"), none.alias("item_pos"), F.lit(0).alias("field_pos"), F.lit("unknown").alias("type"), F.coalesce("section_type", F.lit("null")).alias("text"), F.lit("").alias("prefix"), F.lit("").alias("joiner"), F.array(own).alias("atoms"))
-    blocks = rows.drop("heading", "source_id").unionByName(heads).unionByName(odd)
+    odd = odd.select("doc_id", "section_type", F.lit(0).cast("long").alias("item_pos"), F.lit(0).alias("field_pos"), F.lit("unknown").alias("type"), F.coalesce("section_type", F.lit("null")).alias("text"), F.lit("").alias("prefix"), F.lit("").alias("joiner"), F.array(atom("source_id", _heading_field())).alias("atoms"), F.lit(0).alias("last"), "pos", F.lit(None).cast("string").alias("heading"), "source_id")
+    rows = every.join(s, ["doc_id", "section_type"]).unionByName(odd)
+    # one order of a document's blocks says where its sections begin, so that headings need no second reading of the parts
     order = W.partitionBy("doc_id").orderBy("pos", "last", "item_pos", "field_pos", "text")
-    return blocks.select("doc_id", (F.row_number().over(order) - 1).alias("block_no"), "section_type", "type", "text", "prefix", "joiner", "atoms")
+    rows = rows.withColumn("n", F.row_number().over(order)).withColumn("before", F.lag("pos").over(order))
+    rows = rows.withColumn("begins", (F.length("heading") > 0) & ~F.col("before").eqNullSafe(F.col("pos")))
+    rows = rows.withColumn("n", F.col("n") - 1 + F.count_if("begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    block = lambda back, *values: F.struct((F.col("n") - back).cast("int").alias("block_no"), *(v.alias(c) for c, v in zip(("type", "text", "prefix", "joiner", "atoms"), values, strict=True)))
+    own = block(0, *(F.col(c) for c in ("type", "text", "prefix", "joiner", "atoms")))
+    head = block(1, F.lit("head"), F.col("heading"), F.lit(""), F.lit(""), F.array(atom("source_id", _heading_field())))
+    return rows.select("doc_id", "section_type", F.inline(F.when(F.col("begins"), F.array(head, own)).otherwise(F.array(own)))).select("doc_id", "block_no", "section_type", "type", "text", "prefix", "joiner", "atoms")
+
+
+def _heading_field() -> Column:
+    return F.concat(F.lit("heading:"), F.col("pos").cast("string"))
 
 
 def fact_sources(facts: DataFrame) -> DataFrame:
@@ -126,12 +132,4 @@ def fact_sources(facts: DataFrame) -> DataFrame:
 
 
 def heading_sources(sections: DataFrame) -> DataFrame:
-    return sections.select(F.col("source_id").cast("string").alias("source_id"), F.concat(F.lit("heading:"), F.col("pos").cast("string")).alias("source_field"), F.col("heading").alias("text")).filter("text IS NOT NULL").distinct()
-
-
-def provenance(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks and atoms in the form that gates.check_provenance takes."""
-    text = F.lit(None).cast("string")
-    rows = blocks.select("doc_id", "block_no", "type", "text", "prefix", text.alias("suffix"), "joiner", text.alias("template"), F.lit(None).cast("map<string,string>").alias("slots"), F.lit(False).alias("edited"))
-    atoms = blocks.select("doc_id", "block_no", F.posexplode("atoms").alias("atom_no", "a")).select("doc_id", "block_no", "atom_no", "a.source_id", "a.source_field")
-    return rows, atoms
+    return sections.select(F.col("source_id").cast("string").alias("source_id"), _heading_field().alias("source_field"), F.col("heading").alias("text")).filter("text IS NOT NULL").distinct()

@@ -208,8 +208,7 @@ def h1_sections(spark, d):
     debt = read(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("doc_id"), F.lit(True).alias("debt"))
     blocks = sections.assemble_sections(_profile_sections(spark, d), parts).join(debt, "doc_id", "left")
     blocks = blocks.withColumn("text", F.when(F.col("debt") & (F.col("section_type") == "profile"), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
-    rows, atoms = sections.provenance(blocks)
-    return gates.check_provenance(rows, atoms, sources, sections.BLOCK_TYPES).select("doc_id", "detail")
+    return gates.check_carried(blocks, sources, sections.BLOCK_TYPES).select("doc_id", "detail")
 
 
 def f14_skills(spark, d):

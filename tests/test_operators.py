@@ -415,7 +415,7 @@ def test_sections_carry_where_they_come_from(spark):
     assert got[1] == [("head", "WORK"), ("role", "Clerk"), ("dates", "2020"), ("bullet", "Filed"), ("role", "Cook"), ("org", "Inn"), ("head", "STUDY"), ("role", "BA"), ("para", "Modules: x, y"), ("para", "told"), ("para", "helped")]
     assert got[2] == [("unknown", "hobbies")]
     sources = sections.fact_sources(facts).unionByName(sections.heading_sources(wanted)).unionByName(bullets.select(F.col("variant_id").alias("source_id"), F.lit("text").alias("source_field"), "text"))
-    check = lambda b, s: {(r["doc_id"], r["block_no"], r["detail"]) for r in gates.check_provenance(*sections.provenance(b), s, sections.BLOCK_TYPES).collect()}
+    check = lambda b, s: {(r["doc_id"], r["block_no"], r["detail"]) for r in gates.check_carried(b, s, sections.BLOCK_TYPES).collect()}
     assert check(blocks, sources) == {(2, 0, "unknown type")}
     changed = blocks.withColumn("text", F.when(F.col("text") == "Modules: x, y", "Modules: x").otherwise(F.col("text")))
     assert check(changed, sources.filter("source_id <> 'b1'")) == {(2, 0, "unknown type"), (1, 8, "text differs"), (1, 3, "missing source")}
