@@ -189,7 +189,7 @@ SQL = {
       WHEN 4 THEN 'salary_band: 45,000 - 5' || k % 10 || ',500' WHEN 5 THEN 'employee_before: EMPLOYEE no. ' || lpad(k::VARCHAR, 7, '0') ELSE 'employee_after: ' || lpad(k::VARCHAR, 7, '1') || ' is an employee' END AS detail FROM o WHERE f < 7 AND (f <> 2 OR k >= 1000)""",
     "j16_contacts": r"""WITH f AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9]')) AS v FROM documents UNION SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\+[0-9][0-9 ()-]{7,}[0-9]')) FROM documents) SELECT 'contact' AS rule, doc_id::VARCHAR AS key, v AS detail FROM f""",
     "k1_inbox": r"""SELECT slug, strftime(try_strptime('2024-05-' || lpad((page_id % 40)::VARCHAR, 2, '0'), '%Y-%m-%d'), '%Y-%m-%d') AS day, sha256(replace(replace(html, '–', '-'), '—', '-')) AS hash
-      FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY page_id DESC, sha256(replace(replace(html, '–', '-'), '—', '-')) DESC) AS r FROM (SELECT *, regexp_extract(url, '^https?://([^/]+)', 1) AS slug FROM pages)) WHERE r = 1""",
+      FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY page_id DESC, sha256(replace(replace(html, '–', '-'), '—', '-')) DESC) AS r FROM (SELECT *, replace(regexp_extract(url, '^https?://([^?#]+)', 1), '/', '-') AS slug FROM pages)) WHERE r = 1""",
     "k2_upserts": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, md5(event_id::VARCHAR || '|' || event_type) DESC) AS r FROM events) WHERE r = 1",
     "k2_repeats": "SELECT DISTINCT event_type, sha256(props) AS hash FROM events",
     "k3_stream": "SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, event_type AS tag, count(*) AS n FROM events WHERE ts::DATE + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL",

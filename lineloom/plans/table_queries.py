@@ -168,9 +168,9 @@ def k2_latest(spark, d):
 
 
 def k1_inbox(spark, d):
-    """The pages as they drop in, named by day and host; the last of each host."""
+    """The pages as they drop in, named by day and address; the last of each address."""
     at = publish.fresh_folder(spark, "k1")
-    raw = inbox.stream_table(spark, f"{d}/pages.parquet", 4).select(F.format_string("in/2024-05-%02d-%s.txt", F.pmod("page_id", F.lit(40)), F.regexp_extract("url", "^https?://([^/]+)", 1)).alias("path"), F.timestamp_seconds("page_id").alias("ts"), F.col("html").alias("text"))
+    raw = inbox.stream_table(spark, f"{d}/pages.parquet", 4).select(F.format_string("in/2024-05-%02d-%s.txt", F.pmod("page_id", F.lit(40)), F.replace(F.regexp_extract("url", "^https?://([^?#]+)", 1), F.lit("/"), F.lit("-"))).alias("path"), F.timestamp_seconds("page_id").alias("ts"), F.col("html").alias("text"))
     inbox.drain(inbox.inbox_rows(raw).writeStream.foreachBatch(inbox.upsert_latest(f"{at}/rows", "slug")), f"{at}/state")
     return inbox.read_latest(spark, f"{at}/rows", "slug").select("slug", F.date_format("day", "yyyy-MM-dd").alias("day"), "hash")
 
