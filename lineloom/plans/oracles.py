@@ -90,7 +90,7 @@ STRENGTHS = "['required', 'core', 'support', 'filler']"
 ITEM = "SELECT doc_id, block_no, c AS cost, c - c % 7 AS short_cost, s % 4 + 1 AS strength_no FROM (SELECT l_orderkey AS doc_id, l_linenumber AS block_no, sum(l_quantity)::BIGINT AS c, max(l_suppkey) AS s FROM lineitem GROUP BY ALL)"
 
 SQL = {
-    "a5_audit": "SELECT 'v1' AS data_version, to_json({'doc_id': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey, 'n': n})::VARCHAR AS value FROM nation JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey",
+    "a5_audit": "SELECT c_mktsegment || '-v1' AS data_version, to_json({'doc_id': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey, 'n': n})::VARCHAR AS value FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey",
     "a6_stamp": """WITH h AS (SELECT sha256(to_json({'doc_id': doc_id, 'text': text})::VARCHAR) AS h FROM documents), p AS (SELECT count(*) AS n, """ + ", ".join(f"sum(('0x' || substr(h, {15 * k + 1}, 15))::BIGINT::HUGEINT) AS p{k}" for k in range(4)) + """ FROM h) SELECT left(sha256(concat_ws(':', n, p0, p1, p2, p3)), 10) AS stamp FROM p""",
     "i3_versions": """WITH v AS (SELECT conv_id AS key, turn AS version, text AS b, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM conversations), h AS (SELECT *, len(list_filter(range(1, least(length(a), length(b)) + 1), lambda k: left(a, k::BIGINT) = left(b, k::BIGINT))) AS head FROM v),
       t AS (SELECT *, substr(a, head + 1) AS ra, substr(b, head + 1) AS rb, greatest(length(a), length(b)) AS longer FROM h), u AS (SELECT *, len(list_filter(range(1, least(length(ra), length(rb)) + 1), lambda k: right(ra, k::BIGINT) = right(rb, k::BIGINT))) AS tail FROM t)

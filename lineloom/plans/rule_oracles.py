@@ -4,8 +4,9 @@ the rules, and not derived from the operators."""
 from __future__ import annotations
 
 from lineloom.operators.scoring import MARKERS
+from lineloom.plans import rule_queries as q_rules
 from lineloom.plans import text_queries as q
-from lineloom.plans.oracles import HITS, SENTENCES, SPANS, V, _values
+from lineloom.plans.oracles import HITS, SENTENCES, SPANS, STEM, V, WORDS, _values
 from lineloom.plans.oracles import SQL as BASE
 
 ADS = "ads AS (SELECT c_custkey AS doc_id, replace(c_name, '#', '') AS n, 'Town' || chr(65 + n_nationkey) AS p, 'Town' || chr(65 + n_nationkey) || '/' || n_regionkey AS c, n_regionkey AS r, n_nationkey AS y, c_mktsegment AS s FROM customer JOIN nation ON c_nationkey = n_nationkey)"
@@ -25,15 +26,29 @@ NOTE = by_form("NULL", "NULL", "NULL", "'remote'", "CASE WHEN p <> 'TownD' THEN
 TEAM = by_form("'Credit Risk team'", "NULL", "NULL", "NULL", "NULL")
 RECIPIENT = by_form("'Mary Byrne'", "'Tom Smith'", "'Ann Lee'", "NULL", "NULL")
 
-# findings: the sentences of each form
-FIGURE = "'At least ' || y || ' years experience is needed here.'"
-RANGE = "'Bring ' || (r + 1) || '-9 years in sales.'"
-FOUND = f"""{ADS}, needs AS (SELECT doc_id, {by_form("'degree'", "'licence'", "'degree'", "NULL", "NULL")} AS id, {by_form("'required'", "'preferred'", "'required'", "NULL", "NULL")} AS class, s IN ('AUTOMOBILE', 'BUILDING') AS explicit,
-  CASE WHEN s = 'BUILDING' THEN 'amber' ELSE 'red' END AS severity, {by_form("'An accounting degree is required'", "'A driving licence is preferred.'", "'Accounting degree holders welcome.'", "NULL", "NULL")} AS quote FROM ads WHERE s NOT IN ('MACHINERY', 'HOUSEHOLD')),
-figures AS (SELECT doc_id, 'amber' AS severity, {FIGURE} AS quote, y AS value, 1 AS "at" FROM ads WHERE y BETWEEN 2 AND 15 UNION ALL SELECT doc_id, 'amber', {RANGE}, r + 1, 2 FROM ads WHERE r + 1 > 1),
-sponsors AS (SELECT doc_id, 'amber' AS severity, 'Do you need sponsorship now or in the future?' AS quote FROM ads WHERE s = 'MACHINERY'),
-warned AS (SELECT doc_id, 'w1' AS rule_id, 'stretch' AS severity, {FIGURE} AS quote, 1 AS "at" FROM ads WHERE y <= 15 UNION ALL SELECT doc_id, 'w2', 'block', quote, 3 FROM sponsors
-  UNION ALL SELECT doc_id, 'w3', 'note', {by_form("'An accounting degree is required, with audits.'", "NULL", "'Accounting degree holders welcome.'", "NULL", "NULL")}, 3 FROM ads WHERE s IN ('AUTOMOBILE', 'FURNITURE'))"""
+# findings: the rules over the clauses and sentences of the documents with their demands
+_chosen = " || ' ' || ".join(f"{[*x]}[doc_id % {len(x)} + 1]" for x in q_rules.DEMANDS)
+DEMANDS = rf"""demands AS (SELECT doc_id, text || chr(10) || replace(replace(replace({_chosen}, '{{y}}', (doc_id % 23)::VARCHAR), '{{a}}', (doc_id % 19 + 1)::VARCHAR), '{{b}}', (doc_id % 13 + 5)::VARCHAR) AS text FROM documents)"""
+_unit, _item = f"(?i){V.YEARS}", _values([(i, p) for i, p, held, _ in q_rules.ITEMS if held != "held"], "id, p")
+FOUND = rf"""{DEMANDS}, {SENTENCES.replace("FROM documents", "FROM demands")}, placed AS (SELECT s.*, p."start" FROM sentences s JOIN spans p USING (doc_id, span_no)),
+upgraded AS (SELECT doc_id, coalesce(regexp_matches(text, '(?i){V.REGULATORY}'), false) AS up FROM demands),
+c AS (SELECT doc_id, span_no, CASE WHEN len(l) > 0 THEN l ELSE [text] END AS l FROM (SELECT *, list_filter(list_transform(regexp_split_to_array(text, '[,;]'), lambda x: trim(x)), lambda x: x <> '') AS l FROM spans)),
+ce AS (SELECT doc_id, span_no, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM c), ck AS (SELECT *, regexp_matches(t, '(?i){'|'.join(V.PREFERRED)}') AS p, regexp_matches(t, '(?i){'|'.join(V.REQUIRED)}') AS r FROM ce),
+cx AS (SELECT *, coalesce(lead(p) OVER (PARTITION BY doc_id, span_no ORDER BY i), false) AS nx FROM ck), clauses AS (SELECT doc_id, span_no, i, t, CASE WHEN p THEN 'preferred' WHEN r THEN 'required' WHEN nx THEN 'preferred' ELSE 'ambiguous' END AS class, p OR r OR nx AS explicit FROM cx),
+iw AS (SELECT DISTINCT id, unnest(string_split(p, ' ')) AS w FROM {_item}), ib AS (SELECT DISTINCT id, {STEM} AS b FROM iw), ibn AS (SELECT id, count(*) AS n FROM ib GROUP BY id),
+cw AS (SELECT DISTINCT doc_id, span_no, i, unnest(regexp_split_to_array(lower(t), '[^a-z0-9+%]+')) AS w FROM clauses), cb AS (SELECT DISTINCT doc_id, span_no, i, {STEM} AS a FROM cw WHERE w <> ''),
+met AS (SELECT doc_id, span_no, i, id, count(DISTINCT b) AS n FROM cb JOIN ib ON a = b OR (least(length(a), length(b)) >= 5 AND abs(length(a) - length(b)) <= 2 AND (starts_with(a, b) OR starts_with(b, a))) GROUP BY ALL),
+read AS (SELECT doc_id, span_no, i, id, t, explicit, CASE WHEN up AND id = 'degree' AND class = 'ambiguous' THEN 'required' ELSE class END AS class FROM met JOIN ibn USING (id, n) JOIN clauses USING (doc_id, span_no, i) JOIN upgraded USING (doc_id)),
+needs AS (SELECT doc_id, id, class, explicit, CASE WHEN id = 'degree' AND class = 'required' THEN 'red' ELSE 'amber' END AS severity, t AS quote, span_no AS "at"
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY explicit DESC, CASE class WHEN 'required' THEN 0 WHEN 'preferred' THEN 1 ELSE 2 END, span_no, i) AS k FROM read) WHERE k = 1),
+n1 AS (SELECT doc_id, span_no, matchable, text, regexp_extract_all(translate(text, '–—', '--'), '{_unit}', 1) AS a, regexp_extract_all(translate(text, '–—', '--'), '{_unit}', 2) AS b FROM sentences),
+n2 AS (SELECT doc_id, span_no, matchable, text, generate_subscripts(a, 1) AS no, try_cast(unnest(a) AS INT) AS a, try_cast(unnest(b) AS INT) AS b FROM n1),
+years AS (SELECT doc_id, span_no, no, text AS quote, least(a, coalesce(b, a)) AS value, coalesce((matchable OR regexp_matches(text, '(?i){V.YEARS_CONTEXT}')) AND least(a, coalesce(b, a)) <= {V.MOST_YEARS}, false) AS valid FROM n2),
+figures AS (SELECT doc_id, 'amber' AS severity, quote, value, span_no AS "at" FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, quote ORDER BY span_no, no) AS k FROM years WHERE valid AND value > 1) WHERE k = 1),
+sponsors AS (SELECT doc_id, 'amber' AS severity, text AS quote, span_no AS "at" FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY span_no) AS k FROM sentences WHERE regexp_matches(text, '(?i)\bsponsorship\b.{{0,60}}\bnow or in the future\b') OR regexp_matches(text, '(?i)\bnow or in the future\b.{{0,60}}\bsponsorship\b')) WHERE k = 1),
+rules AS (SELECT * FROM {_values([(w["id"], w["severity"], w["pattern"], bool(w.get("needs_years"))) for w in q_rules.WARNINGS], "rule_id, severity, p, strict")}),
+warned AS (SELECT doc_id, rule_id, severity, text AS quote, "start" AS "at" FROM (SELECT s.doc_id, rule_id, severity, text, "start", row_number() OVER (PARTITION BY s.doc_id, rule_id ORDER BY "start") AS k FROM placed s JOIN rules ON regexp_matches(lower(text), p)
+  WHERE matchable AND (NOT strict OR EXISTS (SELECT 1 FROM years y WHERE y.valid AND y.doc_id = s.doc_id AND y.quote = s.text))) WHERE k = 1)"""
 
 LINE = "l AS (SELECT l_orderkey AS doc_id, l_linenumber AS no, max(l_returnflag) AS f, max(l_quantity)::INT AS n, max(l_linestatus) AS s FROM lineitem GROUP BY ALL)"
 EVIDENCE = f"{LINE}, e AS (SELECT doc_id, no, f, n - 20 AS overlap, n <= 30 AS lead, CASE WHEN n > 35 THEN '' WHEN s = 'O' THEN 'project' ELSE 'hours' END AS m FROM l)"
@@ -121,23 +136,24 @@ SQL = {
     "f28_gaps": """WITH f AS (SELECT l_orderkey AS doc_id, min(l_returnflag) FILTER (WHERE l_returnflag IN ('N', 'R')) AS f FROM lineitem GROUP BY 1) SELECT o_orderkey AS doc_id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'mismatch' WHEN o_orderstatus = 'F' THEN 'years' WHEN f = 'N' THEN 'new' WHEN f = 'R' THEN 'returned' END AS gap FROM orders LEFT JOIN f ON doc_id = o_orderkey""",
     "f29_letters": "SELECT c_custkey AS doc_id, unnest([0, 1, 2, 3])::INT AS paragraph_no, unnest(['opening', 'requirement_gap', 'requirement_gap', 'close']) AS part, unnest(['Dear ' || c_name || ',', 'g1 ' || lower(c_mktsegment), 'g2', 'Yours']) AS text FROM customer",
     "g2_sentences": rf"""WITH {SPANS}, k AS (SELECT doc_id, CASE WHEN regexp_matches(text, '(?i){'|'.join(V.PREFERRED)}') THEN 'preferred' WHEN regexp_matches(text, '(?i){'|'.join(V.REQUIRED)}') OR regexp_matches(text, '^[A-M]') THEN 'required' ELSE 'ambiguous' END AS class FROM spans) SELECT class, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM k GROUP BY class""",
-    "g3_upgrades": f"WITH {ADS} SELECT doc_id, s = 'FURNITURE' AS upgraded FROM ads",
-    "g4_requirements": f"WITH {FOUND} SELECT * FROM needs",
+    "g3_upgrades": f"WITH {FOUND} SELECT doc_id, up AS upgraded FROM upgraded",
+    "g4_requirements": f"WITH {FOUND} SELECT doc_id, id, class, explicit, severity, quote FROM needs",
     "g5_figures": f"WITH {FOUND} SELECT doc_id, severity, quote, value::INT AS value FROM figures",
-    "g6_sponsorship": f"WITH {FOUND} SELECT * FROM sponsors",
+    "g6_sponsorship": f"WITH {FOUND} SELECT doc_id, severity, quote FROM sponsors",
     "g7_eligibility": f"""WITH {FOUND}, e AS (SELECT doc_id, severity FROM needs UNION ALL SELECT doc_id, severity FROM figures UNION ALL SELECT doc_id, severity FROM sponsors)
-      SELECT doc_id, CASE WHEN bool_or(severity = 'red') THEN 'RED' WHEN count(severity) > 0 THEN 'AMBER' ELSE 'GREEN' END AS verdict, count(severity) AS n_findings FROM ads LEFT JOIN e USING (doc_id) GROUP BY doc_id""",
+      SELECT doc_id, CASE WHEN bool_or(severity = 'red') THEN 'RED' WHEN count(severity) > 0 THEN 'AMBER' ELSE 'GREEN' END AS verdict, count(severity) AS n_findings FROM demands LEFT JOIN e USING (doc_id) GROUP BY doc_id""",
     "g8_warnings": f"WITH {FOUND} SELECT doc_id, rule_id, severity, quote FROM warned",
-    "g9_wording": f"WITH {FOUND} SELECT doc_id, rule_id, CASE WHEN rule_id = 'w3' THEN 'low' ELSE severity END AS severity FROM warned JOIN ads USING (doc_id) WHERE NOT (rule_id = 'w3' AND s = 'AUTOMOBILE')",
+    "g9_wording": f"WITH {FOUND} SELECT w.doc_id, rule_id, CASE WHEN rule_id = 'w3' AND contains(lower(quote), 'welcome') THEN 'low' ELSE severity END AS severity FROM warned w JOIN demands d USING (doc_id) WHERE NOT (rule_id = 'w3' AND contains(lower(d.text), 'audits'))",
     "g11_experience": "SELECT c_custkey, c_acctbal > 5000 OR c_mktsegment = 'BUILDING' AS skips, c_mktsegment = 'MACHINERY' AND NOT c_acctbal < 0 AS vague FROM customer",
-    "g14_keywords": """WITH t AS (SELECT s_nationkey AS doc_id, CASE WHEN s_acctbal > 0 THEN 'building' ELSE 'brass' END AS term, 0 AS src FROM supplier UNION ALL SELECT c_nationkey, lower(c_mktsegment), 1 FROM customer)
-      SELECT doc_id, term, min(src)::INT AS src, CASE term WHEN 'building' THEN 'yes' WHEN 'machinery' THEN 'in progress' ELSE 'no' END AS have, term = 'building' AND doc_id IN (SELECT s_nationkey FROM supplier) AS made_it FROM t GROUP BY ALL""",
-    "g16_fit": f"""WITH {FOUND}, r AS (SELECT doc_id, s, greatest(CASE WHEN y <= 15 THEN y END, r + 1) AS required, (y <= 15)::INT + (s IN ('MACHINERY', 'AUTOMOBILE', 'FURNITURE'))::INT AS w, (s IN ('AUTOMOBILE', 'BUILDING'))::INT AS m FROM ads)
-      SELECT doc_id, required::INT AS required, greatest(0, required - 3)::INT AS years_short, w::BIGINT AS n_warnings, m::INT AS n_missing_tools, false AS skips, CASE WHEN s = 'MACHINERY' THEN 'BLOCKED' WHEN required >= 2 THEN 'STRETCH' ELSE 'GOOD' END AS verdict,
-      CASE WHEN s = 'MACHINERY' OR required < 2 THEN '' WHEN required >= 5 THEN 'years_reach' ELSE 'years_stretch' END AS reasons, false AS ambiguous, false AS discarded FROM r""",
-    "g17_verdicts": f"""WITH {FOUND}, e AS (SELECT doc_id, quote, CASE WHEN severity = 'red' THEN 0 ELSE 1 END AS k, 0 AS src, 3 AS "at" FROM needs UNION ALL SELECT doc_id, quote, 1, 1, "at" FROM figures UNION ALL SELECT doc_id, quote, 1, 2, 3 FROM sponsors UNION ALL SELECT doc_id, quote, 1, 3, "at" FROM warned),
-      o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, quote ORDER BY k, src, "at") AS r FROM (SELECT doc_id, k, src, "at", quote FROM e)),
-      g AS (SELECT doc_id, min(k) AS k, string_agg(quote, '|' ORDER BY k, src, "at") AS reasons FROM o WHERE r = 1 GROUP BY doc_id) SELECT doc_id, CASE k WHEN 0 THEN 'red' WHEN 1 THEN 'amber' ELSE 'green' END AS verdict, coalesce(reasons, '') AS reasons FROM ads LEFT JOIN g USING (doc_id)""",
+    "g14_keywords": """WITH t AS (SELECT conv_id AS doc_id, turn, role, lower(regexp_extract(text, '([A-Za-z]+)', 1)) AS term FROM conversations), m AS (SELECT DISTINCT doc_id, term FROM t WHERE turn >= 2)
+      SELECT doc_id, t.term, min(CASE WHEN role = 'user' THEN 0 ELSE 1 END)::INT AS src, CASE WHEN t.term IN ('the', 'and') THEN 'yes' WHEN t.term IN ('of', 'der') THEN 'in progress' ELSE 'no' END AS have, bool_or(m.term IS NOT NULL) AS made_it FROM t LEFT JOIN m USING (doc_id, term) WHERE t.term <> '' GROUP BY ALL""",
+    "g16_fit": rf"""WITH {FOUND}, y AS (SELECT doc_id, max(value) FILTER (WHERE valid) AS required, NOT bool_or(valid) AS none_valid FROM years GROUP BY doc_id), w AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE severity = 'block') AS blocks FROM warned GROUP BY doc_id),
+      f AS (SELECT doc_id, required, coalesce(none_valid, false) AS none_valid, coalesce(n, 0) AS n, coalesce(blocks, 0) > 0 AS blocked, regexp_matches(text, '(?i)\blicence\b')::INT + regexp_matches(text, '(?i)\baudits\b')::INT AS m, regexp_matches(text, '(?i)no (prior )?experience (is )?(required|needed)') AS skips, regexp_matches(text, '(?i)\b(some|relevant|previous|proven|significant|solid|strong) experience\b') AS vague FROM demands LEFT JOIN y USING (doc_id) LEFT JOIN w USING (doc_id)),
+      v AS (SELECT *, CASE WHEN blocked OR skips OR required IS NULL OR required < 2 THEN NULL WHEN required >= 5 THEN 'years_reach' ELSE 'years_stretch' END AS a, CASE WHEN NOT blocked AND m >= 2 THEN 'tools' END AS b FROM f)
+      SELECT doc_id, required, greatest(0, coalesce(required, 0) - 3)::INT AS years_short, n AS n_warnings, m::INT AS n_missing_tools, skips, CASE WHEN blocked THEN 'BLOCKED' WHEN a IS NOT NULL OR b IS NOT NULL THEN 'STRETCH' ELSE 'GOOD' END AS verdict, concat_ws(',', a, b) AS reasons, NOT blocked AND NOT skips AND required IS NULL AND vague AS ambiguous, NOT blocked AND none_valid AS discarded FROM v""",
+    "g17_verdicts": rf"""WITH {FOUND}, e AS (SELECT doc_id, quote, CASE WHEN severity = 'red' THEN 0 ELSE 1 END AS k, 0 AS src, "at" FROM needs UNION ALL SELECT doc_id, quote, 1, 1, "at" FROM figures UNION ALL SELECT doc_id, quote, 1, 2, "at" FROM sponsors UNION ALL SELECT doc_id, quote, 1, 3, "at" FROM warned),
+      o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, trim(regexp_replace(lower(quote), '[^a-z0-9+%]+', ' ', 'g')) ORDER BY k, src, "at") AS r FROM e),
+      g AS (SELECT doc_id, min(k) AS k, string_agg(quote, '|' ORDER BY k, src, "at", quote) AS reasons FROM o WHERE r = 1 GROUP BY doc_id) SELECT doc_id, CASE k WHEN 0 THEN 'red' WHEN 1 THEN 'amber' ELSE 'green' END AS verdict, coalesce(reasons, '') AS reasons FROM demands LEFT JOIN g USING (doc_id)""",
     "g18_answers": """SELECT c_custkey AS doc_id, 'a month' AS notice, CASE WHEN c_mktsegment = 'BUILDING' OR c_acctbal < 0 THEN 'the advertised range' WHEN n_regionkey > 1 THEN '25' WHEN c_mktsegment = 'MACHINERY' THEN '30' ELSE 'not saved' END AS salary_answer FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "h1_provenance": """SELECT o_orderkey AS doc_id, 0 AS block_no, CASE WHEN o_orderpriority = '5-LOW' THEN 'unknown type' WHEN o_orderpriority = '1-URGENT' THEN 'missing source' ELSE 'text differs' END AS detail FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority IN ('5-LOW', '1-URGENT') OR (o_orderstatus = 'P' AND o_orderpriority <> '2-HIGH')""",
     "h5_quotes": "WITH q AS (SELECT doc_id, text, unnest([0, 1, 2]) AS block_no, unnest([upper(regexp_extract(text, '([A-Za-z]+)', 1)), source, 'the ' || lang]) AS quote FROM documents) SELECT doc_id, block_no::INT AS block_no, quote AS detail FROM q WHERE NOT contains(lower(text), lower(quote))",
@@ -149,10 +165,10 @@ SQL = {
       SELECT doc_id, a.v AS before, b.v AS after, coalesce(a.v = b.v, false) AS same FROM a FULL JOIN b USING (doc_id)""",
     "i9_collisions": """WITH s AS (SELECT 'type.' || p_partkey AS path, lower(p_type) AS t FROM part UNION ALL SELECT 'name.' || p_partkey, p_name FROM part) SELECT path, 'small' AS term FROM s WHERE regexp_matches(t, '\\bsmall\\b') UNION SELECT path, 'red widget' FROM s WHERE t = 'red widget' UNION SELECT path, 'promo*' FROM s WHERE regexp_matches(t, '\\bpromo')""",
     "j4_first_sentences": r"SELECT 'first_sentence' AS rule, doc_id::VARCHAR AS key, length(regexp_extract(text, '^\s*([^.!?]+[.!?]?)', 1)) AS n FROM documents WHERE NOT regexp_matches(regexp_extract(text, '^\s*([^.!?]+[.!?]?)', 1), '^[A-M]')",
-    "j6_wildcards": "SELECT 'short_wildcard' AS rule, left(lower(n_name), n_regionkey::INT + 4) || '*' AS key, (n_regionkey + 4)::VARCHAR AS detail FROM nation WHERE n_regionkey < 2",
+    "j6_wildcards": f"WITH {WORDS}, v AS (SELECT DISTINCT w FROM words) SELECT 'short_wildcard' AS rule, w || '*' AS key, length(w)::VARCHAR AS detail FROM v WHERE length(w) % 2 = 1 AND length(w) < 6",
     "j7_own_words": "SELECT 'own_word' AS rule, p_partkey::VARCHAR AS key, p_type AS detail FROM part WHERE NOT (p_type = 'SMALL' OR (p_size > 25 AND p_type LIKE 'ECON%') OR (p_size <= 25 AND p_type = 'LARGE'))",
     "j8_highlights": """SELECT 'highlight' AS rule, p_partkey::VARCHAR AS key, 'not in text: widget' AS detail FROM part WHERE NOT contains(p_name, 'widget') UNION ALL SELECT 'highlight', p_partkey::VARCHAR, unnest(['digit: 3 sizes', 'no own tag: sizes']) FROM part""",
-    "j9_single_words": "WITH t AS (SELECT CASE WHEN n_regionkey = 0 THEN left(n_name, 4) ELSE n_name END AS t FROM nation) SELECT 'single_word_tag' AS rule, t AS key, t AS detail FROM t WHERE NOT regexp_matches(t, '\\s') AND NOT regexp_matches(t, '^[A-Z]{2,6}$')",
+    "j9_single_words": r"""WITH t AS (SELECT DISTINCT CASE turn % 3 WHEN 0 THEN upper(regexp_extract(text, '([A-Za-z]+)', 1)) WHEN 1 THEN regexp_extract(text, '([A-Za-z]+)', 1) ELSE regexp_extract(text, '([A-Za-z]+ [A-Za-z]+)', 1) END AS t FROM conversations) SELECT 'single_word_tag' AS rule, t AS key, t AS detail FROM t WHERE t <> '' AND NOT regexp_matches(t, '\s') AND NOT regexp_matches(t, '^[A-Z]{2,6}$')""",
     "j10_figures": """SELECT 'figure_guard' AS rule, p_partkey::VARCHAR AS key, 'ring: required phrase missing' AS detail FROM part WHERE contains(p_name, 'ring') AND NOT contains(p_name, 'Small') AND NOT contains(p_name, 'hot')
       UNION ALL SELECT 'figure_guard', p_partkey::VARCHAR, 'ring: forbidden phrase old' FROM part WHERE contains(p_name, 'ring') AND contains(p_name, 'old') UNION ALL SELECT 'figure_guard', p_partkey::VARCHAR, 'widget: forbidden phrase red' FROM part WHERE contains(p_name, 'widget') AND contains(p_name, 'red')""",
     "j15_keys": "SELECT 'pii_key' AS rule, event_id::VARCHAR AS key, CASE WHEN event_id % 3 = 0 THEN 'salary' ELSE 'certNo' END AS detail FROM events WHERE event_id % 3 < 2",

@@ -17,15 +17,15 @@ ADS = {
     "MACHINERY": "Machine Operator, {p}\nremote\n\nThe role\nThe firm is headquartered in {p}. Work is quiet.\nLocation: remote",
     "HOUSEHOLD": "About the shop\n\nDescription\nWe sell in {p} and in TownD.\nWe thank the Shop Floor team lead. Just call Monday Morning.",
 }
-#: The same with demands; {y} is the nation's number and {r} the region's, one more.
-DEMANDS = {
-    "AUTOMOBILE": "An accounting degree is required, with audits.",
-    "BUILDING": "A driving licence is preferred.",
-    "FURNITURE": "Accounting degree holders welcome. We follow the minimum competency code.",
-    "MACHINERY": "Do you need sponsorship now or in the future?",
-    "HOUSEHOLD": "Come along.",
-}
-YEARS_TEXT = "Many years experience helps. At least {y} years experience is needed here. Bring {r}-9 years in sales. "
+#: Sentences that follow each document's own text, one of every list by the document's number; {y}, {a} and {b} are numbers. The
+#: lists' lengths have no common factor, so that all their combinations come up.
+DEMANDS = (
+    ("An accounting degree is required, with audits.", "Accounting degree holders welcome.", "A degree in accounting is preferred, and must be recent.", "Bring an accounting degree, desirable but late.", "Degrees and accounts matter.", "", "Accounting is a plus."),
+    ("A driving licence is preferred.", "You must hold a driving licence; a car is a plus.", "Accounting degrees are essential.", "", "Driving licences, nice to have."),
+    ("Do you need sponsorship now or in the future?", "Now or in the future, will you want sponsorship?", "Sponsorship is offered."),
+    ("We follow the minimum competency code.", "It is a controlled function.", "Come along.", "", "No experience is needed.", "Some experience helps.", "Audits come twice.", "Solid experience counts, degree or none."),
+    ("At least {y} years experience is needed here.", "Bring {a}-{b} years in sales.", "The firm is {y} years old.", "{y}+ yrs PQE; {a} years experience of audits.", "Many years experience helps.", "", "Work {a} years. Work {a} years.", "{b} years experience, {a} years in sales.", "The years go by.", "{a} to {b} years.", "No years experience."),
+)
 ITEMS = (("degree", "accounting degree", "not_held", True), ("licence", "driving licence", "unknown", False), ("along", "come along", "held", False))
 WARNINGS = [
     {"id": "w1", "pattern": "years experience", "severity": "stretch", "needs_years": True},
@@ -40,10 +40,10 @@ def place():
     return F.concat(F.lit("Town"), F.char(F.col("n_nationkey") + 65))
 
 
-def _shaped(spark, d, forms: dict[str, str], head: str = ""):
+def _shaped(spark, d, forms: dict[str, str]):
     c = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    form = F.coalesce(*(F.when(F.col("c_mktsegment") == k, F.lit(head + v)) for k, v in forms.items()))
-    for slot, value in (("{n}", F.replace("c_name", F.lit("#"), F.lit(""))), ("{p}", place()), ("{y}", F.col("n_nationkey").cast("string")), ("{r}", (F.col("n_regionkey") + 1).cast("string"))):
+    form = F.coalesce(*(F.when(F.col("c_mktsegment") == k, F.lit(v)) for k, v in forms.items()))
+    for slot, value in (("{n}", F.replace("c_name", F.lit("#"), F.lit(""))), ("{p}", place())):
         form = F.replace(form, F.lit(slot), value)
     return c.select(F.col("c_custkey").alias("doc_id"), form.alias("text"))
 
@@ -53,7 +53,11 @@ def ads_of(spark, d):
 
 
 def demands_of(spark, d):
-    return _shaped(spark, d, DEMANDS, YEARS_TEXT)
+    """The documents' whole texts, each followed by demands of its own."""
+    chosen = F.array_join(F.array(*(F.element_at(F.array(*map(F.lit, x)), (F.pmod("doc_id", F.lit(len(x))) + 1).cast("int")) for x in DEMANDS)), " ")
+    for slot, value in (("{y}", F.pmod("doc_id", F.lit(23))), ("{a}", F.pmod("doc_id", F.lit(19)) + 1), ("{b}", F.pmod("doc_id", F.lit(13)) + 5)):
+        chosen = F.replace(chosen, F.lit(slot), value.cast("string"))
+    return read(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\n"), chosen).alias("text"))
 
 
 def gazetteer_of(spark, d):
@@ -359,10 +363,10 @@ def g11_experience(spark, d):
 
 
 def g14_keywords(spark, d):
-    c = read(spark, d, "customer").select(F.col("c_nationkey").alias("doc_id"), F.col("c_mktsegment").alias("term"))
-    s = read(spark, d, "supplier").select(F.col("s_nationkey").alias("doc_id"), F.when(F.col("s_acctbal") > 0, "building").otherwise("brass").alias("term"))
-    made = read(spark, d, "supplier").select(F.col("s_nationkey").alias("doc_id"), F.lit("Building").alias("term"))
-    return findings.keyword_table([s, c], rule_rows(spark, [("Building", "yes"), ("machinery", "in progress")], "term string, have string"), made)
+    """The first word of each turn: users' words, then the others'; turns from the third on count as made."""
+    t = read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role", F.regexp_extract("text", "([A-Za-z]+)", 1).alias("term")).filter("term <> ''")
+    held = rule_rows(spark, [("The", "yes"), ("of", "in progress"), ("and", "yes"), ("DER", "in progress")], "term string, have string")
+    return findings.keyword_table([t.filter("role = 'user'").select("doc_id", "term"), t.filter("role <> 'user'").select("doc_id", "term")], held, t.filter("turn >= 2").select("doc_id", "term"))
 
 
 def g16_fit(spark, d):
@@ -449,7 +453,9 @@ def j4_first_sentences(spark, d):
 
 
 def j6_wildcards(spark, d):
-    return quality.short_wildcards(read(spark, d, "nation").select(F.when(F.col("n_regionkey") < 4, F.concat(F.left(F.lower("n_name"), F.col("n_regionkey") + 4), F.lit("*"))).otherwise(F.lit("abc")).alias("term")))
+    """The words of the documents as a vocabulary, those of odd length with a mark."""
+    words = docs_of(spark, d).select(F.explode(F.array_distinct(matching.words_of("text"))).alias("w")).distinct()
+    return quality.short_wildcards(words.select(F.when(F.length("w") % 2 == 1, F.concat("w", F.lit("*"))).otherwise(F.col("w")).alias("term")))
 
 
 def j7_own_words(spark, d):
@@ -464,7 +470,10 @@ def j8_highlights(spark, d):
 
 
 def j9_single_words(spark, d):
-    return quality.single_word_tags(read(spark, d, "nation").select(F.when(F.col("n_regionkey") == 0, F.left("n_name", F.lit(4))).otherwise(F.col("n_name")).alias("tag")))
+    """The beginnings of the turns as tags: one word, one in capitals, or two."""
+    first, two = F.regexp_extract("text", "([A-Za-z]+)", 1), F.regexp_extract("text", "([A-Za-z]+ [A-Za-z]+)", 1)
+    tag = F.when(F.col("turn") % 3 == 0, F.upper(first)).when(F.col("turn") % 3 == 1, first).otherwise(two)
+    return quality.single_word_tags(read(spark, d, "conversations").select(tag.alias("tag")).filter("tag <> ''").distinct())
 
 
 def j10_figures(spark, d):

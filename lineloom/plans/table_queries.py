@@ -17,8 +17,9 @@ def a4_overlay(spark, d):
 
 
 def a5_audit(spark, d):
-    rows = read(spark, d, "nation").select(F.lit("v1").alias("data_version"), F.col("n_nationkey").alias("doc_id"), "n_name", "n_regionkey")
-    return documents.audit(rows.join(read(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")), "doc_id"), ("n_name", "n_regionkey", "n"))
+    rows = read(spark, d, "customer").select(F.concat("c_mktsegment", F.lit("-v1")).alias("data_version"), F.col("c_custkey").alias("doc_id"), "c_name", "c_nationkey")
+    placed = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    return documents.audit(rows.join(placed, "doc_id"), ("c_name", "c_nationkey", "n"))
 
 
 def a6_stamp(spark, d):
