@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lineloom.functions import text as T
 from lineloom.operators import changes, extract, findings, gates, lines, matching, quality, scoring, sections
 from lineloom.plans.text_queries import PREFERRED, TAGS, UNIT, VARIANT_TAGS, VARIANTS, docs_of, hits_of, read, rule_rows
-from lineloom.sources import documents
+from lineloom.sources import documents, publish
 
 #: Documents of a form that each customer gets by its market segment: {n} its name, {p} its nation's place.
 ADS = {
@@ -322,10 +322,13 @@ def g3_upgrades(spark, d):
 
 
 def found_of(spark, d):
-    docs = demands_of(spark, d)
-    s = lines.classify_sentences(docs)
+    """Documents, sentences and the four kinds of findings. The sentences are written once: every finding reads them."""
+    docs, at = demands_of(spark, d), publish.fresh_folder(spark, "sentences")
+    made = lines.classify_sentences(docs).select("doc_id", "span_no", "start", "text", "matchable")
+    made.write.parquet(at)
+    s = spark.read.schema(made.schema).parquet(at)
     items = rule_rows(spark, ITEMS, "item_id string, phrase string, held string, qualification boolean")
-    needs = findings.requirement_findings(docs, lines.split_spans(docs).withColumn("requirement", F.lit(False)), items)
+    needs = findings.requirement_findings(docs, s.withColumn("requirement", F.lit(False)), items)
     return docs, s, needs, findings.number_findings(s), findings.future_sponsorship(s), findings.warning_findings(s, WARNINGS, extract.number_candidates(s))
 
 
