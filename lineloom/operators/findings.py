@@ -10,7 +10,7 @@ from lineloom import vocab
 from lineloom.functions.text import col, normalize
 from lineloom.operators.extract import number_candidates, outside_region, states_salary
 from lineloom.operators.lines import split_clauses
-from lineloom.operators.matching import bounded, first_accepted_match, match_tags
+from lineloom.operators.matching import bounded, first_accepted_match, match_tags, may_hold
 
 CLASS_RANK = {"ambiguous": 0, "preferred": 1, "required": 2}
 
@@ -49,8 +49,8 @@ def requirement_findings(docs: DataFrame, spans: DataFrame, items: DataFrame) ->
     """Per document and item that isn't held, its best reading: explicit before implied, then required, preferred,
     ambiguous, then the first; red where required and not held, else amber. spans(doc_id, span_no, text, requirement),
     items(item_id, phrase, held, qualification)."""
-    clauses = clause_class(split_clauses(spans))
     wanted = items.filter("held <> 'held'")
+    clauses = clause_class(split_clauses(may_hold(spans, wanted.select("phrase"))))
     keyed = clauses.select(F.struct("doc_id", "span_no", "clause_no").alias("doc_id"), F.lit(0).alias("span_no"), F.col("clause").alias("text"))
     hits = match_tags(keyed, wanted.select(F.col("item_id").alias("tag"), "phrase")).select("doc_id.*", F.col("tag").alias("item_id"))
     rows = hits.join(clauses, ["doc_id", "span_no", "clause_no"]).join(bounded(wanted.select("item_id", "held", "qualification").distinct()), "item_id")

@@ -139,6 +139,16 @@ def match_tags(sentences: DataFrame, tags: DataFrame) -> DataFrame:
     return found.unionByName(here.join(literal, F.col("term") == F.col("shown")).select("doc_id.doc_id", "doc_id.span_no", "tag")).distinct()
 
 
+def may_hold(sentences: DataFrame, phrases: DataFrame) -> DataFrame:
+    """The sentences that match_tags could find one of phrases(phrase) in: those with a digit, if a phrase has one, or with a
+    word that begins like a phrase's. Every sentence that is left out, and each of its parts, matches none of them."""
+    begins = lambda words: F.transform(words, lambda x: F.left(x, F.lit(3)))
+    rules = phrases.select(F.explode(F.concat(F.array(F.lit("")), begins(remove_stopwords(tokenize("phrase"))))).alias("h"), F.col("phrase").rlike("[0-9]").alias("literal"))
+    rules = rules.agg(F.collect_set("h").alias("_heads"), F.coalesce(F.max("literal"), F.lit(False)).alias("_literal"))  # one row, as large as the rule table
+    rows = sentences.crossJoin(F.broadcast(rules))
+    return rows.filter(F.arrays_overlap(begins(tokenize("text")), "_heads") | (F.col("_literal") & F.col("text").rlike("[0-9]"))).drop("_heads", "_literal")
+
+
 def keyword_hits(sentences: DataFrame, tags: DataFrame) -> DataFrame:
     """(doc_id, tag) hit by a matchable sentence; presence, not counts."""
     return match_tags(sentences.filter("matchable"), tags).select("doc_id", "tag").distinct()

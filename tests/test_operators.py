@@ -431,3 +431,14 @@ def test_a_gap_that_is_named_is_dropped(spark):
     assert {r["doc_id"]: r["gap"] for r in out.collect()} == {1: "g", 2: None, 3: "mismatch", 4: "years", 5: None}
     marks = docs.select(scoring.fact_markers(F.lit("A Kitchen"), ("night", "kitchen")).alias("m")).first()["m"]
     assert marks == [1]
+
+
+def test_may_hold(spark):
+    """Left out is only what match_tags finds nothing in."""
+    texts = ["An accounting degree.", "Accounts; degrees", "A driving licence", "nothing here", "", "of the", "Version 2 0 now", "3 men", None]
+    s = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, span_no int, text string")
+    for phrases, left in ((["accounting degree"], {0, 1}), (["driving licence", "version 2 0"], {2, 6, 7}), (["of the"], set()), ([], set())):
+        tags = spark.createDataFrame([(p, p) for p in phrases], "tag string, phrase string")
+        kept = matching.may_hold(s, tags.select("phrase"))
+        assert {r["doc_id"] for r in kept.collect()} == left
+        assert sorted(matching.match_tags(s, tags).collect()) == sorted(matching.match_tags(kept, tags).collect())
