@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lineloom import vocab
-from lineloom.functions.text import col, normalize
+from lineloom.functions.text import ascii_words, col, normalize
 from lineloom.operators.extract import number_candidates, outside_region, states_salary
 from lineloom.operators.lines import split_clauses
 from lineloom.operators.matching import bounded, first_accepted_match, match_tags, may_hold
@@ -16,7 +16,7 @@ CLASS_RANK = {"ambiguous": 0, "preferred": 1, "required": 2}
 
 
 def holds(c: str | Column, patterns) -> Column:
-    return col(c).rlike(f"(?i){'|'.join(patterns)}")
+    return col(c).rlike(ascii_words(f"(?i){'|'.join(patterns)}"))
 
 
 def _ranked(c: str) -> Column:
@@ -42,7 +42,7 @@ def sentence_class(text: str | Column, requirement: Column) -> Column:
 
 def regulatory_upgrade(docs: DataFrame, pattern: str = vocab.REGULATORY) -> DataFrame:
     """(doc_id, upgraded)."""
-    return docs.select("doc_id", F.coalesce(F.col("text").rlike(f"(?i){pattern}"), F.lit(False)).alias("upgraded"))
+    return docs.select("doc_id", F.coalesce(F.col("text").rlike(ascii_words(f"(?i){pattern}")), F.lit(False)).alias("upgraded"))
 
 
 def requirement_findings(docs: DataFrame, spans: DataFrame, items: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def number_findings(sentences: DataFrame, most: int = 1) -> DataFrame:
 def future_sponsorship(sentences: DataFrame) -> DataFrame:
     """The first sentence with sponsorship near 'now or in the future'."""
     pattern = r"(?i)\bsponsorship\b.{0,60}\bnow or in the future\b|\bnow or in the future\b.{0,60}\bsponsorship\b"
-    rows = sentences.filter(F.col("text").rlike(pattern))
+    rows = sentences.filter(F.col("text").rlike(ascii_words(pattern)))
     return rows.groupBy("doc_id").agg(F.min_by("text", "span_no").alias("quote"), F.min("span_no").alias("span_no")).select("doc_id", F.lit("sponsorship").alias("id"), F.lit("amber").alias("severity"), "quote", "span_no")
 
 
@@ -122,12 +122,12 @@ def outcome_summary(log: DataFrame) -> DataFrame:
 
 def skip_experience(profile: str | Column, text: str | Column, profiles=("graduate",), pattern: str = r"no (?:prior )?experience (?:is )?(?:required|needed)|graduate (?:programme|program|scheme)") -> Column:
     """By profile or by language."""
-    return F.coalesce(col(profile).isin(*profiles), F.lit(False)) | col(text).rlike(f"(?i){pattern}")
+    return F.coalesce(col(profile).isin(*profiles), F.lit(False)) | col(text).rlike(ascii_words(f"(?i){pattern}"))
 
 
 def ambiguous_experience(text: str | Column, required: str | Column, pattern: str = r"\b(?:some|relevant|previous|proven|significant|solid|strong) experience\b") -> Column:
     """Vague wording and no figure."""
-    return col(text).rlike(f"(?i){pattern}") & col(required).isNull()
+    return col(text).rlike(ascii_words(f"(?i){pattern}")) & col(required).isNull()
 
 
 def fit_verdict(docs: DataFrame, stretch: int = 2, reach: int = 5, missing_tools: int = 2) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lineloom.functions.text import col, escaped, let, normalize, remove_stopwords, stem, tokenize, unhyphenate, word_count
+from lineloom.functions.text import ascii_words, col, escaped, let, normalize, remove_stopwords, stem, tokenize, unhyphenate, word_count
 
 PREFIX, OVERHANG = 5, 2
 
@@ -300,7 +300,7 @@ def first_accepted_match(sentences: DataFrame, rules: list[tuple[str, str]], acc
     all, if it is empty) the first for which `accepted` holds too."""
     ok = F.coalesce(accepted, F.lit(False)) if accepted is not None else F.lit(True)
     may = lambda r: ok if accepted is not None and (not strict or r in strict) else F.lit(True)
-    flags = F.filter(F.array(*(F.when(F.col("text").rlike(f"(?i){p}") & may(r), F.lit(r)) for r, p in rules)), lambda x: x.isNotNull())
+    flags = F.filter(F.array(*(F.when(F.col("text").rlike(ascii_words(f"(?i){p}")) & may(r), F.lit(r)) for r, p in rules)), lambda x: x.isNotNull())
     rows = sentences.filter("matchable").select("doc_id", "start", F.col("text").alias("quote"), F.explode(flags).alias("rule_id"))
     first = W.partitionBy("doc_id", "rule_id").orderBy("start")
     return rows.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")

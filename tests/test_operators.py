@@ -442,3 +442,11 @@ def test_may_hold(spark):
         kept = matching.may_hold(s, tags.select("phrase"))
         assert {r["doc_id"] for r in kept.collect()} == left
         assert sorted(matching.match_tags(s, tags).collect()) == sorted(matching.match_tags(kept, tags).collect())
+
+
+def test_word_boundaries_are_ascii(spark):
+    # "our" stands before a letter with an accent: a word by the rules, which know letters of ASCII only
+    rows = [(1, 0, "Au ouré mentç des les", 3), (2, 0, "Au pouré mentç des les", 3)]
+    got = scoring.auto_quote(spark.createDataFrame(rows, "doc_id long, span_no int, quote string, strength int"), ("a",)).collect()
+    assert [(r["doc_id"], r["cost"]) for r in got] == [(2, 30)]
+    assert one(spark.createDataFrame([("éus",), ("éu s",)], "t string").select(F.col("t").rlike(T.ascii_words(r"\bus\b")).alias("x")), "x") == [True, False]
