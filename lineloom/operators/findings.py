@@ -95,7 +95,11 @@ def warning_findings(sentences: DataFrame, rules: list[dict], years_ok: DataFram
     accepted = None
     if years_ok is not None and strict:
         ok = years_ok.filter("valid").select("doc_id", F.col("quote").alias("text"), F.lit(True).alias("_figure")).distinct()
-        sentences, accepted = sentences.join(ok, ["doc_id", "text"], "left"), F.col("_figure")
+        # only sentences that a rule finds are joined
+        any_rule = F.lit(False)
+        for r in rules:
+            any_rule = any_rule | F.col("text").rlike(ascii_words(f"(?i){r['pattern']}"))
+        sentences, accepted = sentences.filter(F.col("matchable") & any_rule).join(ok, ["doc_id", "text"], "left"), F.col("_figure")
     found = first_accepted_match(sentences, [(r["id"], r["pattern"]) for r in rules], accepted, strict)
     severity = F.create_map(*(F.lit(x) for r in rules for x in (r["id"], r["severity"])))
     return found.withColumn("severity", F.element_at(severity, F.col("rule_id")))

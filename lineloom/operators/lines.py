@@ -81,6 +81,10 @@ def heading_shaped(stripped: Column, most: int = 10) -> Column:
     return (stripped != "") & ~stripped.rlike("[.!?]$") & word_count(stripped).between(1, most)
 
 
+#: A text of twelve words or fewer: no other can be shaped like a heading.
+FEW_WORDS = r"^\s*+(?:\S++\s++){0,11}+\S*+$"
+
+
 def heading_kind(c: str | Column, responsibility=vocab.RESPONSIBILITY_HEADINGS, requirement=vocab.REQUIREMENT_HEADINGS, other=vocab.OTHER_HEADINGS, ignored=vocab.IGNORED_HEADINGS, safe=vocab.ABOUT_SAFE_WORDS) -> Column:
     """C1 as a column: null, responsibility, requirement, other, ignored or unknown; the first class that fits."""
 
@@ -89,7 +93,7 @@ def heading_kind(c: str | Column, responsibility=vocab.RESPONSIBILITY_HEADINGS,
         known = F.when(t.rlike(any_of(responsibility)), "responsibility").when(t.rlike(any_of(requirement)), "requirement").when(t.rlike(any_of(other)), "other")
         return F.when(heading_shaped(t), known.when(t.rlike(any_of(ignored)) | about, "ignored").otherwise("unknown"))
 
-    return let(F.lower(heading_text(c)), kind)
+    return F.when(col(c).rlike(FEW_WORDS), let(F.lower(heading_text(c)), kind))
 
 
 def classify_headings(lines: DataFrame, **vocabularies) -> DataFrame:
@@ -97,6 +101,10 @@ def classify_headings(lines: DataFrame, **vocabularies) -> DataFrame:
     return lines.withColumn("heading", heading_kind("text", **vocabularies))
 
 
+#: A span with what lies before it in its line: blanks and marks alone.
+PIECE = r"[.!?\s]*+[^.!?\s](?:[^.!?\n]*+[.!?]|[^.!?\n]*[^.!?\s])?"
+
+
 #: A run up to an end mark, never over a line end; or a mark alone.
 TILE = r"[^.!?\n]+[.!?]?|[.!?\n]"
 
@@ -153,13 +161,25 @@ def section_state(lines: DataFrame) -> DataFrame:
 
 
 def classify_sentences(docs: DataFrame, excludes: Iterable[str] = vocab.ABSOLUTE_EXCLUDES) -> DataFrame:
-    """Spans with `matchable` and `sub_type`; a document without known headings is all responsibility."""
-    states = section_state(classify_headings(explode_lines(docs)))
-    states = states.withColumn("any_known", F.max("known_heading").over(doc())).select("doc_id", "line_no", "state", "sub_type", "any_known", "heading")
-    rows = split_spans(docs).join(states, ["doc_id", "line_no"])
+    """Spans with `matchable` and `sub_type`; a document without known headings is all responsibility.
+
+    The spans are B5's. Only lines are shuffled and ordered: each takes its spans along, and sums over the lines before say at
+    which number and place they begin."""
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
+    rows = rows.withColumn("text", F.when(F.col("raw").rlike(FEW_WORDS), F.trim(F.regexp_replace("raw", r"^\s+|\s+$", ""))))
+    rows = classify_headings(rows).select("doc_id", "line_no", "heading", F.length("raw").alias("n"), F.regexp_extract_all("raw", F.lit(PIECE), F.lit(0)).alias("pieces"))
+    before = so_far().rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("first", F.coalesce(F.sum(F.size("pieces")).over(before), F.lit(0))).withColumn("begin", F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)))
+    rows = section_state(rows).withColumn("any_known", F.max("known_heading").over(doc()))
+    rows = rows.select("doc_id", "line_no", "heading", "state", "sub_type", "any_known", "first", "begin", F.posexplode("pieces").alias("pos", "piece"))
+    rows = rows.withColumn("text", F.regexp_replace("piece", r"^[.!?\s]+", ""))
+    inside = W.partitionBy("doc_id", "line_no").orderBy("pos")
+    end = (F.col("begin") + F.sum(F.length("piece")).over(inside.rowsBetween(W.unboundedPreceding, 0))).cast("int")
+    rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("text"))
     never = F.col("text").rlike(f"(?i){any_of(excludes)}")
-    rows = rows.withColumn("matchable", (~F.col("any_known") | (F.col("state") == "matchable")) & ~never)
-    return rows.withColumn("sub_type", F.when(F.col("any_known"), F.col("sub_type")).otherwise("responsibility")).drop("state", "any_known")
+    matchable = (~F.col("any_known") | (F.col("state") == "matchable")) & ~never
+    sub_type = F.when(F.col("any_known"), F.col("sub_type")).otherwise("responsibility")
+    return rows.select("doc_id", "line_no", (F.col("first") + F.col("pos")).cast("int").alias("span_no"), "start", "end", "text", sub_type.alias("sub_type"), "heading", matchable.alias("matchable"))
 
 
 def matchable_text(sentences: DataFrame) -> DataFrame:

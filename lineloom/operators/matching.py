@@ -115,38 +115,48 @@ def stems_overlap(a: str | Column, b: str | Column) -> Column:
     return (a == b) | ((short >= PREFIX) & (F.abs(F.length(a) - F.length(b)) <= OVERHANG) & (F.startswith(a, b) | F.startswith(b, a)))
 
 
+def _led_by(rules: DataFrame) -> DataFrame:
+    """One row, to be broadcast: `_led`, a pattern of the words that begin with one of rules(h), grouped by first characters so
+    that it stays short; null where there are none."""
+    plain = lambda c: F.replace(c, F.lit("+"), F.lit("\\+"))
+    by = rules.filter("h <> ''").groupBy(F.left("h", F.lit(1)).alias("c")).agg(F.array_join(F.collect_set(plain(F.substring("h", 2, 10))), "|").alias("more"))
+    every = F.array_join(F.collect_list(F.concat(plain(F.col("c")), F.lit("(?:"), "more", F.lit(")"))), "|")
+    return F.broadcast(by.agg(F.when(F.count("c") > 0, F.concat(F.lit("(?<![a-z0-9+%])(?:"), every, F.lit(")[a-z0-9+%]*"))).alias("_led")))
+
+
 def match_tags(sentences: DataFrame, tags: DataFrame) -> DataFrame:
     """(doc_id, span_no, tag) where every content stem of one of a tag's phrases overlaps some stem there, in any
     order. tags(tag, phrase) has a row an alternative; phrases with a digit are matched literally instead.
 
-    Stems that overlap share their first three letters, and so do a word and its stem: only words that share them with a
-    stem of the tags are stemmed and exploded.
+    Stems that overlap share their first three letters, and so do a word and its stem: only words that share them with
+    a stem of the tags are taken out of a sentence and stemmed. Words also meet the first words of literal phrases, which the sentence's normal
+    form must hold as whole words then. The sentences are read once.
     """
     tags = tags.select("tag", "phrase", F.xxhash64("tag", "phrase").alias("alt"))
-    worded = tags.filter(~F.col("phrase").rlike("[0-9]"))
-    head = lambda c: F.left(F.col(c) if isinstance(c, str) else c, F.lit(3))
-    need = worded.select("tag", "alt", F.explode(F.array_distinct(F.transform(remove_stopwords(tokenize("phrase")), stem))).alias("b")).withColumn("h", head("b"))
-    size = need.groupBy("alt").agg(F.count(F.lit(1)).alias("size"))
-    heads = need.agg(F.collect_set("h").alias("_heads"))
-    words = sentences.select("doc_id", "span_no", F.array_distinct(tokenize("text")).alias("_w")).crossJoin(F.broadcast(heads))  # one row, as large as the rule table
-    have = words.select("doc_id", "span_no", F.explode(F.filter("_w", lambda x: F.array_contains("_heads", head(x)))).alias("w"))
-    have = have.select("doc_id", "span_no", stem("w").alias("a")).withColumn("h", head("a"))
-    met = have.join(bounded(need), "h").filter(stems_overlap("a", "b")).groupBy("doc_id", "span_no", "tag", "alt").agg(F.count_distinct("b").alias("met"))
-    found = met.join(bounded(size), "alt").filter("met = size").select("doc_id", "span_no", "tag")
-    literal = tags.filter(F.col("phrase").rlike("[0-9]")).select("tag", normalize("phrase").alias("term")).distinct()
-    here = match_terms(sentences.filter(F.col("text").rlike("[0-9]")).select(F.struct("doc_id", "span_no").alias("doc_id"), F.translate(normalize("text"), "%+", "__").alias("text")), literal.select(F.translate("term", "%+", "__").alias("term")).distinct())
-    literal = literal.withColumn("shown", F.translate("term", "%+", "__")).select("tag", "shown")
-    return found.unionByName(here.join(literal, F.col("term") == F.col("shown")).select("doc_id.doc_id", "doc_id.span_no", "tag")).distinct()
+    head = lambda c: F.left(F.col(c), F.lit(3))
+    need = tags.filter(~F.col("phrase").rlike("[0-9]")).select("tag", "alt", F.array_distinct(F.transform(remove_stopwords(tokenize("phrase")), stem)).alias("bs"))
+    need = need.select("tag", "alt", F.size("bs").alias("size"), F.explode("bs").alias("b"), F.lit(None).cast("string").alias("shown"))
+    literal = tags.filter(F.col("phrase").rlike("[0-9]")).select("tag", "alt", F.lit(1).alias("size"), normalize("phrase").alias("shown"))
+    rules = need.unionByName(literal.withColumn("b", F.substring_index("shown", " ", 1))).distinct().withColumn("h", head("b"))
+    # only sentences with a digit can hold a literal phrase; both columns are made before the words part
+    words = sentences.crossJoin(_led_by(rules)).select("doc_id", "span_no", F.when(F.col("text").rlike("[0-9]"), F.concat(F.lit(" "), normalize("text"), F.lit(" "))).alias("norm"), F.regexp_extract_all(F.lower("text"), "_led", F.lit(0)).alias("ws"))
+    # explode_outer, as the optimizer would have the words taken out twice more before an explode
+    words = words.select("doc_id", "span_no", "norm", F.explode_outer("ws").alias("w"))
+    met = words.filter("w <> ''").withColumn("h", head("w")).join(bounded(rules), "h")
+    held = (F.col("w") == F.col("b")) & F.contains("norm", F.concat(F.lit(" "), F.col("shown"), F.lit(" ")))
+    met = met.filter(F.when(F.col("shown").isNull(), let(stem("w"), lambda a: stems_overlap(a, "b"))).otherwise(held))
+    found = met.groupBy("doc_id", "span_no", "tag", "alt", "size").agg(F.count_distinct("b").alias("met"))
+    return found.filter("met = size").select("doc_id", "span_no", "tag").distinct()
 
 
 def may_hold(sentences: DataFrame, phrases: DataFrame) -> DataFrame:
     """The sentences that match_tags could find one of phrases(phrase) in: those with a digit, if a phrase has one, or with a
     word that begins like a phrase's. Every sentence that is left out, and each of its parts, matches none of them."""
-    begins = lambda words: F.transform(words, lambda x: F.left(x, F.lit(3)))
-    rules = phrases.select(F.explode(F.concat(F.array(F.lit("")), begins(remove_stopwords(tokenize("phrase"))))).alias("h"), F.col("phrase").rlike("[0-9]").alias("literal"))
-    rules = rules.agg(F.collect_set("h").alias("_heads"), F.coalesce(F.max("literal"), F.lit(False)).alias("_literal"))  # one row, as large as the rule table
-    rows = sentences.crossJoin(F.broadcast(rules))
-    return rows.filter(F.arrays_overlap(begins(tokenize("text")), "_heads") | (F.col("_literal") & F.col("text").rlike("[0-9]"))).drop("_heads", "_literal")
+    words = F.transform(remove_stopwords(tokenize("phrase")), lambda x: F.left(x, F.lit(3)))
+    literal = phrases.agg(F.coalesce(F.max(F.col("phrase").rlike("[0-9]")), F.lit(False)).alias("_literal"))  # one row
+    rows = sentences.crossJoin(_led_by(phrases.select(F.explode(words).alias("h")))).crossJoin(F.broadcast(literal))
+    led = F.coalesce(F.regexp_instr(F.lower("text"), F.col("_led")) > 0, F.lit(False))
+    return rows.filter(led | (F.col("_literal") & F.col("text").rlike("[0-9]"))).drop("_led", "_literal")
 
 
 def keyword_hits(sentences: DataFrame, tags: DataFrame) -> DataFrame:

@@ -450,3 +450,20 @@ def test_word_boundaries_are_ascii(spark):
     got = scoring.auto_quote(spark.createDataFrame(rows, "doc_id long, span_no int, quote string, strength int"), ("a",)).collect()
     assert [(r["doc_id"], r["cost"]) for r in got] == [(2, 30)]
     assert one(spark.createDataFrame([("éus",), ("éu s",)], "t string").select(F.col("t").rlike(T.ascii_words(r"\bus\b")).alias("x")), "x") == [True, False]
+
+
+def test_sentences_begin_where_spans_do(spark):
+    texts = ["A b. C!\n\n  . ? d e ...f\r\nThe role\nlast", "...", " x\t\n", "About us\nWe pay. Much!\nRequirements:\n9. go", "One. Two.\n" * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    place = lambda df: sorted(tuple(r) for r in df.select("doc_id", "line_no", "span_no", "start", "end", "text").collect())
+    assert place(lines.classify_sentences(docs)) == place(lines.split_spans(docs))
+
+
+def test_tags_read_sentences_once(spark):
+    rows = [(1, 0, "It held 2 0 of c++ and works"), (1, 1, "12 0 is 2 and 0"), (2, 0, "go, Working on C++: 2+0"), (3, 0, None)]
+    s = spark.createDataFrame(rows, "doc_id long, span_no int, text string")
+    tags = spark.createDataFrame([("n", "2 0"), ("w", "working c++"), ("g", "go"), ("none", "the of")], "tag string, phrase string")
+    assert sorted(tuple(r) for r in matching.match_tags(s, tags).collect()) == [(1, 0, "n"), (1, 0, "w"), (2, 0, "g"), (2, 0, "w")]
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    plan = matching.keyword_hits(lines.classify_sentences(docs), tags)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 2  # lines and their sentences; four times as long as words and literals each read them
