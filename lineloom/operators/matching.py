@@ -40,7 +40,7 @@ def whole(term: Column, wild: Column) -> Column:
     return F.concat(left, escaped(term), F.when(wild, F.lit(rf"(?:{WORD_CHAR}+(?!{WORD_CHAR})|)")).otherwise(F.lit("")), F.when(wild & term.rlike(f"{WORD_CHAR}$"), F.lit("")).otherwise(right))
 
 
-def _vocabulary(terms: DataFrame) -> DataFrame:
+def vocabulary(terms: DataFrame) -> DataFrame:
     """(term, first, prefix, plain, pattern) of terms: the first word of each, whether words need only begin with it,
     and whether finding that word is all there is to do."""
     v = terms.select("term", F.regexp_replace(F.lower("term"), r"\*$", "").alias("base"), F.col("term").endswith("*").alias("wild"))
@@ -62,7 +62,7 @@ def match_terms(texts: DataFrame, terms: DataFrame, joined: bool = False) -> Dat
     if joined:
         opened = texts.filter(F.col("text").rlike("[A-Za-z0-9]-[A-Za-z0-9]"))
         form = form.unionByName(opened.select("doc_id", F.lower(unhyphenate("text")).alias("t")))
-    v = _vocabulary(terms)
+    v = vocabulary(terms)
     if v.limit(MOST_RULES + 1).count() > MOST_RULES:
         return _match_many(form, v)
     keys = v.agg(F.collect_set(F.when(~F.col("prefix"), F.col("first"))).alias("_words"), F.collect_set(F.when(F.col("prefix"), F.col("first"))).alias("_stems"), F.collect_set(F.when(F.col("prefix"), F.length("first"))).alias("_lengths"))

@@ -270,7 +270,8 @@ def f25_markers(spark, d):
 
 
 def evidence_rows(spark, d):
-    l = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("family"), F.max("l_quantity").cast("int").alias("q"), F.max("l_linestatus").alias("s"))  # noqa: E741
+    # lines are dealt out by order once, for their numbers and for all that is done by order
+    l = read(spark, d, "lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("family"), F.max("l_quantity").cast("int").alias("q"), F.max("l_linestatus").alias("s"))  # noqa: E741
     text = F.when(F.col("q") > 35, "plain words").when(F.col("s") == "O", "a project").otherwise("saved 9 hours")
     return l.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("string").alias("variant_id"), F.col("l_linenumber").alias("pos"), "family", text.alias("text"), (F.col("q") - 20).alias("overlap"), (F.col("q") <= 30).alias("lead"))
 

@@ -467,3 +467,25 @@ def test_tags_read_sentences_once(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = matching.keyword_hits(lines.classify_sentences(docs), tags)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate posexplode") == 2  # lines and their sentences; four times as long as words and literals each read them
+
+
+def test_letters_are_made_in_one_row_a_document(spark):
+    e = [(d, f"v{i}", i, "AB"[i % 2], t, 3 - i, i == 0) for d in (1, 2) for i, t in enumerate(("a project", "a Project again", "saved 9 hours"))]
+    evidence = spark.createDataFrame(e, "doc_id long, variant_id string, pos int, family string, text string, overlap int, lead boolean")
+    why = spark.createDataFrame([(1, "w0", 0, "my thesis project", 1, "k"), (1, "w1", 1, "plain words", 1, "k"), (3, "w0", 0, "in 9 hours", 1, "k")], "doc_id long, variant_id string, pos int, text string, overlap int, key string")
+    docs = spark.createDataFrame([(1, True, 0), (2, False, 2), (3, False, 0), (4, True, 0)], "doc_id long, mismatch boolean, years_short int")
+    found = spark.createDataFrame([(3, "R", 0)], "doc_id long, rule_id string, rule_no int")
+    gaps = spark.createDataFrame([("mismatch", "Off."), ("years", "Short of {{N}}."), ("r", "Back.")], "gap string, template string")
+    named = spark.createDataFrame([("mismatch", "plain word"), ("years", "proj*"), ("r", "9 hour*")], "gap string, term string")
+    fixed = spark.createDataFrame([(d, "close", 0, "Yours") for d in (1, 2, 3, 4)], "doc_id long, part string, pos long, template string")
+    slots = spark.createDataFrame([(d, {"N": "2"}) for d in (1, 2, 3)], "doc_id long, slots map<string,string>")
+    out = scoring.compose_letter(docs, evidence, why, found, {"R": "r"}, gaps, named, fixed, slots)
+    assert sorted(out.collect()) == [(1, 0, "why", "plain words"), (1, 1, "evidence", "a project"), (1, 2, "gap", "Off."), (1, 3, "close", "Yours"), (2, 0, "evidence", "a project"), (2, 1, "close", "Yours"), (3, 0, "why", "in 9 hours"), (3, 1, "close", "Yours")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join FullOuter" not in plan
+
+
+def test_word_boundaries_of_ascii(spark):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(("xthesis", "éthesis x", "thesis1", "my 3 days", "13 days", "bx"))], "i int, t string")
+    for pattern, held in ((r"\bthesis\b", {1}), (r"\b3 days\b", {3}), (r"\b[0-9]+ days", {3, 4}), (r"\ba?b?x", {0, 1, 5})):
+        assert set(one(texts.filter(F.col("t").rlike(T.ascii_words(pattern))), "i")) == held
