@@ -425,7 +425,7 @@ def h8_flat(spark, d):
 
 
 def budget_blocks(spark, d):
-    l = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("block_no")).agg(F.sum("l_quantity").cast("long").alias("cost"), F.max("l_suppkey").alias("s"), F.max("l_returnflag").alias("group_id"))  # noqa: E741
+    l = read(spark, d, "lineitem").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("block_no")).agg(F.sum("l_quantity").cast("long").alias("cost"), F.max("l_suppkey").alias("s"), F.max("l_returnflag").alias("group_id"))  # noqa: E741
     strength = F.element_at(F.array(*map(F.lit, scoring.STRENGTHS)), (F.col("s") % 4 + 1).cast("int"))
     kind = F.when(F.col("block_no") == 1, "head").otherwise("bullet")
     return l.select("doc_id", "block_no", "cost", "group_id", kind.alias("type"), strength.alias("strength"), F.when(F.col("cost") > 40, 3).otherwise(0).alias("bold_cost"), (F.col("cost") - F.col("cost") % 7).alias("short_cost"), (F.col("block_no") == 3).alias("droppable"), (F.col("block_no") == 4).alias("added"), F.lit(False).alias("soft"))

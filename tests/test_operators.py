@@ -489,3 +489,13 @@ def test_word_boundaries_of_ascii(spark):
     texts = spark.createDataFrame([(i, t) for i, t in enumerate(("xthesis", "éthesis x", "thesis1", "my 3 days", "13 days", "bx"))], "i int, t string")
     for pattern, held in ((r"\bthesis\b", {1}), (r"\b3 days\b", {3}), (r"\b[0-9]+ days", {3, 4}), (r"\ba?b?x", {0, 1, 5})):
         assert set(one(texts.filter(F.col("t").rlike(T.ascii_words(pattern))), "i")) == held
+
+
+def test_a_document_is_trimmed_in_one_row(spark):
+    shape = "doc_id long, block_no int, type string, group_id string, strength string, cost int, bold_cost int, short_cost int, droppable boolean, added boolean, soft boolean"
+    rows = [(1, 0, "head", "g", None, 5, None, None, None, None, None), (1, 1, "bullet", "g", "filler", 10, 3, 6, False, False, False), (1, 2, "bullet", "g", "core", 10, 3, None, False, False, False), (1, 3, "para", None, None, 8, 0, 8, True, False, None), (1, 4, "term", None, None, 4, None, 1, None, True, True), (2, 0, "para", None, None, 9, 1, 2, True, True, True)]
+    out = gates.trim_to_budget(spark.createDataFrame(rows, shape), 9)
+    got = {(r[0], r[1]): tuple(r)[2:] for r in out.collect()}
+    assert got == {(1, 0): (False, False, False, False, False, 0), (1, 1): (True, True, False, False, True, 0), (1, 2): (True, False, False, False, False, 0), (1, 3): (False, False, True, False, False, 0), (1, 4): (False, True, False, True, False, 0), (2, 0): (False, False, False, False, False, 0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
