@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lineloom.functions.text import ascii_words, col, escaped, let, normalize, remove_stopwords, stem, tokenize, unhyphenate, word_count
+from lineloom.functions.text import ascii_words, col, escaped, let, normalize, once, remove_stopwords, stem, tokenize, unhyphenate, word_count
 
 PREFIX, OVERHANG = 5, 2
 
@@ -210,23 +210,32 @@ def gazetteer_names(gazetteer: DataFrame) -> DataFrame:
     return rows.withColumn("_c", chosen).select("name", "_c.canonical", "_c.area").distinct()
 
 
+#: Names that are looked for one by one in every text; more meet the texts through their words.
+FEW_NAMES = 50
+
+
 def with_places(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """texts(doc_id, text, ...) with `places`: the names of the gazetteer that the text holds, the longest first.
 
-    A dictionary join for gazetteers of any size: a name waits under its first word, a text's different words meet the names
+    A dictionary join for gazetteers of any size above FEW_NAMES: a name waits under its first word, a text's different words meet the names
     by equality, and names that the text holds as a string stay. The columns functions below then look for these names only,
     so their patterns are as small as the text is. Rows that share an id each get their own names."""
     names = gazetteer_names(gazetteer)
+    text = F.lower("text")
+    one = F.struct((-F.length("name")).alias("length"), "name", "canonical", "area")
+    if names.limit(FEW_NAMES + 1).count() <= FEW_NAMES:
+        # names so few are looked for in each text where it is: one row of them, nothing is shuffled and no text is cut up
+        every = F.broadcast(names.agg(F.sort_array(F.collect_set(one)).alias("_every")))
+        held = let(text, lambda t: F.filter("_every", lambda p: F.contains(t, F.lower(p["name"]))))
+        return texts.crossJoin(every).withColumn("places", F.coalesce(held, F.array().cast(PLACES))).drop("_every")
     # a name without any letter or digit of ASCII waits under its first character
     words = words_of("name")
     names = names.withColumn("_key", F.when(F.size(words) > 0, F.get(words, F.lit(0))).otherwise(F.left(F.lower(F.trim("name")), F.lit(1))))
     others = F.split(F.regexp_replace("text", r"[A-Za-z0-9_\s]+", ""), "")
     keys = F.array_distinct(F.concat(words_of("text"), F.transform(others, lambda x: F.lower(x))))
     met = texts.select(F.col("doc_id").alias("_d"), F.explode(keys).alias("_key")).join(bounded(names), "_key")
-    one = F.struct((-F.length("name")).alias("length"), "name", "canonical", "area")
     own = met.groupBy("_d").agg(F.sort_array(F.collect_set(one)).alias("_met"))
     out = texts.join(own, F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d")
-    text = F.lower("text")
     held = let(text, lambda t: F.filter(F.coalesce("_met", F.array().cast(PLACES)), lambda p: F.contains(t, F.lower(p["name"]))))
     return out.withColumn("places", F.coalesce(held, F.array().cast(PLACES))).drop("_met")
 
@@ -252,7 +261,7 @@ def all_places(c: str | Column, places: str | Column = "places", any_case: bool
     else names it. names is names_pattern(places), where a row has it as a column already."""
     t, p = col(c), col(places)
     none = F.array().cast("array<string>")
-    found = F.when(F.size(p) > 0, F.array_distinct(F.transform(_named(t, any_case, names_pattern(p) if names is None else names), lambda x: _canonical(p, x)))).otherwise(none)
+    found = F.when(F.size(p) > 0, F.array_distinct(F.transform(F.array_distinct(_named(t, any_case, names_pattern(p) if names is None else names)), lambda x: _canonical(p, x)))).otherwise(none)
     marked = lambda named: F.when(t.rlike(district) & ~F.array_contains(named, stands_for), F.array_prepend(named, F.lit(stands_for))).otherwise(named)
     return let(found, marked)
 
@@ -289,20 +298,37 @@ def pick_place(found: str | Column, places: str | Column = "places", first: tupl
 def place_mentions(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """(doc_id, no, start, end, name, canonical) of every mention in order, the longest names first, none inside another.
     start and end are places in the text."""
-    rows = with_places(texts.select("doc_id", "text"), gazetteer).filter(F.size("places") > 0)
+    rows = with_places(texts.select("doc_id", "text"), gazetteer)
     pattern = F.concat(F.lit(f"(?i)(?<!{WORD_CHAR})(?:"), names_pattern("places"), F.lit(f")(?!{WORD_CHAR})"))
-    rows = rows.select("doc_id", "places", F.regexp_extract_all("text", pattern, F.lit(0)).alias("_n"), F.transform(F.split(F.col("text"), pattern, -1), lambda x: F.length(x)).alias("_gap"))
-    rows = rows.select("doc_id", "places", "_gap", F.col("_n").alias("_all"), F.posexplode("_n").alias("no", "name"))
-    total = lambda c, k: F.aggregate(F.slice(c, 1, k), F.lit(0), lambda a, x: a + x)
-    start = total(F.col("_gap"), F.col("no") + 1) + total(F.transform("_all", lambda x: F.length(x)), F.col("no"))
-    return rows.select("doc_id", "no", start.alias("start"), (start + F.length("name")).alias("end"), "name", _canonical(F.col("places"), F.col("name")).alias("canonical"))
+    some = F.size("places") > 0
+    rows = rows.select("doc_id", "places", F.when(some, F.regexp_extract_all("text", pattern, F.lit(0))).alias("_n"), F.when(some, F.transform(F.split(F.col("text"), pattern, -1), lambda x: F.length(x))).alias("_gap"))
+    # what a mention and the text before it take, summed up to each; mentions leave the row without the arrays
+    taken = F.transform("_n", lambda x, i: F.get("_gap", i) + F.length(x))
+    rows = rows.select("doc_id", "places", "_n", once(running(taken)).alias("_end"))
+    mention = lambda x, i: F.struct(i.cast("int").alias("no"), (F.get("_end", i) - F.length(x)).alias("start"), F.get("_end", i).alias("end"), x.alias("name"), _canonical(F.col("places"), x).alias("canonical"))
+    # an outer explode, as once() says why
+    return rows.select("doc_id", F.explode_outer(F.transform("_n", mention)).alias("m")).filter("m IS NOT NULL").select("doc_id", "m.*")
+
+
+def running(sizes: Column) -> Column:
+    """Sums of an array of integers up to each element, in about the power 1.5 of its length: within blocks of the root of it,
+    and over the blocks before."""
+
+    def sums(xs: Column) -> Column:
+        add = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
+        k = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        blocks = lambda k: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / k).cast("int")), lambda b: add(F.slice(xs, b * k + 1, k)))
+        before = lambda k, totals: let(F.transform(totals, lambda _, b: add(F.slice(totals, 1, b))), lambda sofar: F.transform(xs, lambda _, i: let(F.floor(i / k).cast("int"), lambda b: F.get(sofar, b) + add(F.slice(xs, b * k + 1, i - b * k + 1)))))
+        return F.when(F.size(xs) > 0, let(k, lambda k: let(blocks(k), lambda totals: before(k, totals)))).otherwise(F.array().cast("array<int>"))
+
+    return let(sizes, sums)
 
 
 def places_in(texts: DataFrame, gazetteer: DataFrame, district: str = DISTRICT, stands_for: str = DISTRICT_OF) -> DataFrame:
     """(doc_id, places) of the texts that name any, as all_places finds them. gazetteer(name, canonical[, area]) may have
     any size."""
     out = with_places(texts.select("doc_id", "text"), gazetteer)
-    return out.select("doc_id", all_places("text", "places", True, district, stands_for).alias("places")).filter(F.size("places") > 0)
+    return out.select("doc_id", once(all_places("text", "places", True, district, stands_for)).alias("places")).filter(F.size("places") > 0)
 
 
 def first_accepted_match(sentences: DataFrame, rules: list[tuple[str, str]], accepted: Column | None = None, strict: tuple[str, ...] = ()) -> DataFrame:

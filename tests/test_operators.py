@@ -499,3 +499,18 @@ def test_a_document_is_trimmed_in_one_row(spark):
     assert got == {(1, 0): (False, False, False, False, False, 0), (1, 1): (True, True, False, False, True, 0), (1, 2): (True, False, False, False, False, 0), (1, 3): (False, False, True, False, False, 0), (1, 4): (False, True, False, True, False, 0), (2, 0): (False, False, False, False, False, 0)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Join" not in plan
+
+
+def test_few_names_are_found_without_a_shuffle(spark):
+    text = " ".join(f"w{i} Of the OF x" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (1, "the end"), (2, None), (None, "of")], "doc_id long, text string")
+    gazetteer = spark.createDataFrame([("of the", "B"), ("of", "A"), ("none", "C")], "name string, canonical string")
+    out = matching.place_mentions(docs, gazetteer)
+    got = [r for r in sorted(map(tuple, out.filter("doc_id = 1").collect()))]
+    assert len(got) == 80 and [r[1] for r in got] == list(range(80))
+    assert all(text[s:e] == name and c == ("B" if " " in name else "A") for _, _, s, e, name, c in got)
+    assert one(out.filter("doc_id IS NULL"), "canonical") == ["A"]
+    plan = matching.places_in(docs, gazetteer)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan
+    sizes = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 2, 5, 9, 10, 50)], "xs array<int>")
+    assert all(r["s"] == [sum(r["xs"][: i + 1]) for i in range(len(r["xs"]))] for r in sizes.select("xs", matching.running(F.col("xs")).alias("s")).collect())
