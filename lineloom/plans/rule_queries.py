@@ -41,7 +41,8 @@ def place():
 
 
 def _shaped(spark, d, forms: dict[str, str]):
-    c = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    # customers are few bytes and much work each: by their files they would be few tasks
+    c = read(spark, d, "customer").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     form = F.coalesce(*(F.when(F.col("c_mktsegment") == k, F.lit(v)) for k, v in forms.items()))
     for slot, value in (("{n}", F.replace("c_name", F.lit("#"), F.lit(""))), ("{p}", place())):
         form = F.replace(form, F.lit(slot), value)

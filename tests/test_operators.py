@@ -522,3 +522,9 @@ def test_fields_are_read_once(spark, ads):
         before = plan[: plan.index("Generate")]
         assert pattern not in before and "Generate explode" in plan
         assert [x for x in plan.splitlines() if "Filter" in x and pattern in x] == []
+
+
+def test_customers_texts_are_dealt_out(spark):
+    from lineloom.plans import rule_queries
+
+    assert rule_queries.ads_of(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
