@@ -369,13 +369,17 @@ def find_quotes(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     """D14 over all texts: (quote_id, doc_id, at) of every text(doc_id, text) that holds a quote(quote_id, quote) word for
     word, case aside; at is the first place, from 0. Null quotes are in no text, empty ones in every text.
 
-    Texts are indexed by winnowed word shingles. A quote's first and last word may be parts of words, so its inner words are
+    Quotes that may be broadcast are looked for in each text where it is, nothing is shuffled (_find_few_quotes). With more,
+    texts are indexed by winnowed word shingles. A quote's first and last word may be parts of words, so its inner words are
     looked up: by the smallest of their shingles where there are enough for a window, which every text that holds the quote
     has in its index; by one inner word where there are fewer; a quote of two words by the first one as a word's ending, a
     quote of one word as a part of a word. What is met is then searched for the quote itself, so each key only has to be
     necessary. Quotes without any word are compared with all texts, up to a bound on their number."""
     split = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
     q = quotes.select("quote_id", F.lower("quote").alias("q")).filter("q IS NOT NULL").distinct().withColumn("w", split(F.col("q")))
+    n_quotes = q.limit(MOST_RULES + 1).count()
+    if n_quotes <= MOST_RULES:
+        return _find_few_quotes(texts, q)
     inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
     q = q.withColumn("inner", inner).withColumn("kind", F.when(F.size("w") == 0, 4).when(F.size("inner") >= SHINGLE + WINDOW - 1, 0).when(F.size("inner") > 0, 1).when(F.size("w") == 2, 2).otherwise(3))
     longest = F.array_max(F.transform("inner", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
@@ -400,3 +404,33 @@ def find_quotes(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     if n_bare:
         found = found.unionByName(plain.crossJoin(F.broadcast(bare)))
     return found.filter(F.contains("t", F.col("q"))).select("quote_id", "doc_id", (F.instr("t", F.col("q")) - 1).alias("at"))
+
+
+#: Letters of a word that a quote without an inner word is met by; of quotes with no word so long, up to FEW_SHORT different ones
+#: are looked for one by one in every text.
+GRAM, FEW_SHORT = 4, 200
+
+
+def _find_few_quotes(texts: DataFrame, q: DataFrame) -> DataFrame:
+    """find_quotes for q(quote_id, q, w), the lower-cased quotes with their words, of MOST_RULES rows at most. The result is the
+    same: a text's different words meet the quotes' longest inner words, the runs of GRAM letters in its words meet the
+    beginnings of the longest words of quotes without an inner one, and what is met is searched for. Few quotes of shorter
+    words, and those without any word, are searched for in every text."""
+    most = lambda xs: F.array_max(F.transform(xs, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    # quotes that are alike are searched for once
+    alike = q.groupBy("q").agg(most(F.slice(F.first("w"), 2, F.greatest(F.size(F.first("w")) - 2, F.lit(0)))).alias("_whole"), most(F.first("w")).alias("_part"), F.collect_list("quote_id").alias("_ids"))
+    n_short = alike.filter(F.col("_whole").isNull() & (F.length("_part") < GRAM)).limit(FEW_SHORT + 1).count()
+    by_part = F.col("_whole").isNull() & (F.length("_part") >= (GRAM if n_short <= FEW_SHORT else 1))
+    kind = F.when(F.col("_whole").isNotNull(), 0).when(by_part, 1).otherwise(2)
+    alike = alike.select("q", "_ids", kind.alias("_kind"), F.when(kind == 0, F.col("_whole")).when(kind == 1, F.left("_part", F.lit(GRAM))).alias("_on"))
+    of = lambda k, c: F.when(F.col("_kind") == k, c)
+    keys = alike.agg(F.collect_set(of(0, F.col("_on"))).alias("_words"), F.collect_set(of(1, F.col("_on"))).alias("_parts"), F.collect_set(of(1, F.length("_on"))).alias("_sizes"), F.collect_list(of(2, F.struct("q", "_ids"))).alias("_every"))
+    t = texts.select("doc_id", F.lower("text").alias("t")).filter("t IS NOT NULL").crossJoin(F.broadcast(keys))  # one row, of MOST_RULES quotes at most
+    runs = lambda x: F.flatten(F.transform(F.filter("_sizes", lambda n: n <= F.length(x)), lambda n: F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substring(x, i, n))))
+    met = lambda found, k: F.transform(found, lambda x: F.struct(F.lit(k).alias("_kind"), x.alias("_on")))
+    found = let(F.array_distinct(F.split(F.col("t"), r"\s+")), lambda w: F.concat(met(F.array_intersect(w, F.col("_words")), 0), met(F.array_intersect(F.flatten(F.transform(w, runs)), F.col("_parts")), 1)))
+    rows = t.select("doc_id", "t", F.explode(found).alias("f")).select("doc_id", "t", "f.*")
+    rows = rows.join(F.broadcast(alike), ["_kind", "_on"]).select("doc_id", "t", "q", "_ids").unionByName(t.select("doc_id", "t", F.inline("_every")))
+    # whether a text holds a string costs less than where
+    at = F.when(F.col("q") == "", 0).otherwise(F.instr("t", F.col("q")) - 1)
+    return rows.filter(F.contains("t", F.col("q"))).select(F.explode("_ids").alias("quote_id"), "doc_id", at.alias("at"))

@@ -282,6 +282,25 @@ def test_quotes_in_all_texts(spark):
     assert sorted(map(str, ((r["quote_id"], r["doc_id"], r["at"]) for r in got))) == sorted(map(str, want))
 
 
+def test_few_quotes_are_found_where_the_text_is(spark):
+    docs = spark.createDataFrame([(1, "The theorems of  Thales\nwere old"), (1, "of"), (2, None), (None, "THE end, the ending"), (3, "")], "doc_id long, text string")
+    texts = ["the", "heor", "he", "ms of", "of  thales", "Thales\nwere o", "e theorems of  th", "end, the end", "ending", "", " ", None, "zz", "orems", "the", "d, t"]
+    quotes = spark.createDataFrame(list(enumerate(texts)), "quote_id long, quote string")
+    rows = [(1, "The theorems of  Thales\nwere old"), (1, "of"), (None, "THE end, the ending"), (3, "")]
+    want = sorted(str((q, i, t.lower().index(x.lower()))) for q, x in enumerate(texts) if x is not None for i, t in rows if x.lower() in t.lower())
+    got = lambda: sorted(str((r["quote_id"], r["doc_id"], r["at"])) for r in matching.find_quotes(docs, quotes).collect())
+    assert got() == want
+    # the texts aren't shuffled
+    plan = matching.find_quotes(docs, quotes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_d" not in plan and "Distinct" not in plan
+    assert not any("_d#" in line for line in plan.splitlines())
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(matching, "FEW_SHORT", 0)
+        assert got() == want
+        patch.setattr(matching, "MOST_RULES", 5)
+        assert got() == want
+
+
 def test_fields_within_rows_are_those_of_the_line_operators(spark):
     rows = [(1, "Title: x\n\nAbout the role\nWe build. We sell!\n\nBenefits\nFree lunch.\nRequirements\nYou know SQL."), (2, None), (3, ""), (4, "One line\n" * 60), (5, "x" * 200 + "\nhead\n" + "y" * 170 + "\nmore")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
