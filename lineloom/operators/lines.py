@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lineloom import vocab
-from lineloom.functions.text import any_of, col, let, word_count
+from lineloom.functions.text import any_of, col, let, once, word_count
 
 
 def doc():
@@ -151,6 +151,14 @@ def matchable_in(lines: Column, excludes: Iterable[str] = vocab.ABSOLUTE_EXCLUDE
     return F.filter(F.flatten(F.transform(kept, spans_in)), lambda s: ~s.rlike(f"(?i){any_of(excludes)}"))
 
 
+def matchable_sentences(docs: DataFrame) -> DataFrame:
+    """C3's matchable sentences, (doc_id, span_no, text, matchable), for what needs no offsets and no sections: made within the
+    document's row, so that no line is shuffled or sorted. span_no counts the matchable ones."""
+    # an outer explode of the array, as once() says why
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", once(lines_in("text")).alias("l")).select("doc_id", F.posexplode_outer(matchable_in(F.col("l"))).alias("span_no", "text"))
+    return rows.filter("text IS NOT NULL").withColumn("matchable", F.lit(True))
+
+
 def section_state(lines: DataFrame) -> DataFrame:
     """`state` and `sub_type` of every line: those of the last known heading above it; unknown headings inherit."""
     known = F.when(F.col("heading").isin("responsibility", "requirement", "other", "ignored"), F.col("heading"))

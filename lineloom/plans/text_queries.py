@@ -153,7 +153,7 @@ def d5_tags(spark, d):
 
 def hits_of(spark, d) -> DataFrame:
     """D8 for the scoring queries: tags hit by a matchable sentence."""
-    return matching.keyword_hits(lines.classify_sentences(docs_of(spark, d)), rule_rows(spark, TAGS, "tag string, phrase string"))
+    return matching.keyword_hits(lines.matchable_sentences(docs_of(spark, d)), rule_rows(spark, TAGS, "tag string, phrase string"))
 
 
 def d9_tag_universe(spark, d):

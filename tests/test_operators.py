@@ -282,6 +282,18 @@ def test_quotes_in_all_texts(spark):
     assert sorted(map(str, ((r["quote_id"], r["doc_id"], r["at"]) for r in got))) == sorted(map(str, want))
 
 
+def test_hits_need_no_order_of_lines(spark):
+    from lineloom.plans import text_queries
+
+    from .conftest import SF
+
+    plan = text_queries.hits_of(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    docs = spark.createDataFrame([(1, "We build. We sell!\n\nBenefits\nFree lunch.\nRequirements\nYou know SQL."), (2, None), (3, ""), (None, "a b.")], "doc_id long, text string")
+    kept = lambda df: sorted((r["doc_id"], r["text"]) for r in df.filter("matchable").collect())
+    assert kept(lines.matchable_sentences(docs)) == kept(lines.classify_sentences(docs)) != []
+
+
 def test_few_quotes_are_found_where_the_text_is(spark):
     docs = spark.createDataFrame([(1, "The theorems of  Thales\nwere old"), (1, "of"), (2, None), (None, "THE end, the ending"), (3, "")], "doc_id long, text string")
     texts = ["the", "heor", "he", "ms of", "of  thales", "Thales\nwere o", "e theorems of  th", "end, the end", "ending", "", " ", None, "zz", "orems", "the", "d, t"]
