@@ -188,12 +188,13 @@ def _section_parts(spark, d):
     facts = _facts(spark, d)
     home = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("doc_id"), F.inline(F.array(F.struct(F.lit(0).cast("long").alias("pos"), F.concat(F.lit("n"), "n_nationkey").alias("fact_id")), F.struct(F.lit(1).cast("long").alias("pos"), F.concat(F.lit("r"), "n_regionkey").alias("fact_id")))))
     includes = o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("o"), "o_orderkey").alias("fact_id")).unionByName(home)
-    items = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("f"), F.max("l_quantity").cast("int").alias("q"))
+    # by the order, as the join with the orders needs them
+    items = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("f"), F.max("l_quantity").cast("int").alias("q"))
     bullets = items.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("doc_id"), F.concat(F.lit("o"), "o_orderkey").alias("fact_id"), F.col("l_linenumber").alias("bullet_pos"), F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber").alias("variant_id"), F.concat_ws(" ", "f", "q").alias("text"))
     terms = o.groupBy(F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("category"), F.col("o_orderpriority").alias("term")).agg(F.max("o_orderkey").alias("k"))
     terms = terms.select("doc_id", "category", F.concat(F.lit("Status "), "category").alias("label"), F.ascii("category").alias("category_pos"), F.concat(F.lit("t"), "term").alias("term_id"), "term", (-F.ascii("term")).alias("term_pos"), (F.col("term") < "3").alias("hit"), (F.col("term") == "5-LOW").alias("added"))
     chosen = c.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("c"), "c_custkey").alias("variant_id"), F.col("c_mktsegment").alias("text"))
-    parts = [sections.profile_blocks(chosen), sections.skill_blocks(terms), sections.experience_blocks(includes, facts, bullets), sections.project_blocks(includes, facts, bullets), sections.education_blocks(includes, facts), sections.certification_blocks(includes, facts)]
+    parts = [sections.profile_blocks(chosen), sections.skill_blocks(terms), sections.fact_blocks(includes, facts, bullets)]
     own = lambda df, key, field, text: df.select(F.col(key).alias("source_id"), F.lit(field).alias("source_field"), F.col(text).alias("text"))
     sources = [sections.fact_sources(facts), sections.heading_sources(_profile_sections(spark, d)), own(chosen, "variant_id", "text", "text"), own(bullets, "variant_id", "text", "text"), own(terms, "term_id", "term", "term").distinct(), own(terms, "category", "label", "label").distinct()]
     every = sources[0]

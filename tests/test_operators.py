@@ -453,6 +453,23 @@ def test_sections_carry_where_they_come_from(spark):
     assert sections.assemble_sections(wanted.limit(0), parts).count() == 0
 
 
+def test_blocks_of_all_facts_are_those_of_their_builders(spark):
+    from lineloom.operators import sections
+
+    facts = spark.sql("SELECT * FROM VALUES ('r1','role','Clerk',NULL,'','2020',NULL,NULL,true,DATE'2020-01-01'), ('r2','role','Cook','Inn',NULL,NULL,NULL,NULL,false,DATE'2022-01-01'), ('p1','project','Hall','City','by hand',NULL,NULL,NULL,NULL,NULL), ('e1','education','BA',NULL,NULL,NULL,NULL,array('x',NULL,'y'),NULL,NULL), ('c1','certification',NULL,NULL,NULL,NULL,'told',array('q'),NULL,NULL), ('v1','volunteering',NULL,NULL,NULL,NULL,'helped',NULL,NULL,NULL), ('o1','other','no',NULL,NULL,NULL,NULL,NULL,NULL,NULL) AS t(fact_id,kind,title,org,aside,dates,body,items,relevant,start_date)")
+    # a project comes twice, and with it its bullets; a degree's and nobody's bullets make none
+    rows = [(1, 0, "r2"), (1, 1, "r1"), (1, 2, "gone"), (1, 3, "e1"), (1, 5, "c1"), (1, 4, "v1"), (1, 6, "p1"), (1, 7, "p1"), (1, 8, "o1"), (2, 0, "e1"), (2, 1, "p1"), (None, 0, "r1")]
+    includes = spark.createDataFrame(rows, "doc_id long, pos int, fact_id string")
+    told = [(1, "r1", 0, "b1", "Filed"), (1, "r1", 1, "b2", None), (1, "zz", 0, "b3", "nobody's"), (1, "p1", 0, "b4", "Built"), (1, "e1", 0, "b5", "Read"), (3, "p1", 0, "b6", "Else"), (None, "r1", 0, "b7", "None")]
+    bullets = spark.createDataFrame(told, "doc_id long, fact_id string, bullet_pos int, variant_id string, text string")
+    wanted = [sections.experience_blocks(includes, facts, bullets), sections.project_blocks(includes, facts, bullets), sections.education_blocks(includes, facts), sections.certification_blocks(includes, facts)]
+    listed = lambda df: sorted(str(r.asDict(recursive=True)) for r in (df if "last" in df.columns else df.withColumn("last", F.lit(0))).select(*sections.BLOCK, "last").collect())
+    made = sections.fact_blocks(includes, facts, bullets)
+    assert listed(made) == sorted(r for w in wanted for r in listed(w))
+    # the includes and the facts meet in one join
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_a_gap_that_is_named_is_dropped(spark):
     docs = spark.createDataFrame([(1, False, 0), (2, False, 0), (3, True, 0), (4, False, 1), (5, None, None)], "doc_id long, mismatch boolean, years_short int")
     found = spark.createDataFrame([(1, "w", 1), (2, "w", 1), (2, "x", 2), (3, "w", 1)], "doc_id long, rule_id string, rule_no int")
