@@ -470,6 +470,19 @@ def test_blocks_of_all_facts_are_those_of_their_builders(spark):
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
 
 
+def test_right_blocks_of_one_atom_are_not_grouped(spark):
+    from lineloom.operators import gates
+
+    one = lambda *a: [{"source_id": x, "source_field": "f"} for x in a]
+    rows = [(1, 0, "para", "A", "", "", one("a")), (1, 1, "para", "p: A", "p: ", "", one("a")), (1, 2, "para", "A!", "", "", one("a")), (1, 3, "odd", "A", "", "", one("a")), (1, 4, "para", "A", "", "", one("z")), (1, 5, "para", "A, B", "", ", ", one("a", "b")), (1, 6, "para", "A", "", ", ", one("a", "b")), (1, 7, "para", "A", None, None, []), (1, 8, "", "", "", "", [])]
+    blocks = spark.createDataFrame(rows, "doc_id long, block_no int, type string, text string, prefix string, joiner string, atoms array<struct<source_id:string,source_field:string>>")
+    sources = spark.createDataFrame([("a", "f", "A"), ("b", "f", "B")], "source_id string, source_field string, text string")
+    out = gates.check_carried(blocks, sources, ("para",))
+    assert {(r["block_no"], r["detail"]) for r in out.collect()} == {(2, "text differs"), (3, "unknown type"), (4, "missing source"), (6, "text differs"), (7, "missing source")}
+    grouped = out._jdf.queryExecution().optimizedPlan().toString().split("Aggregate", 1)[1]
+    assert "Filter" in grouped.split("Join", 1)[0]
+
+
 def test_a_gap_that_is_named_is_dropped(spark):
     docs = spark.createDataFrame([(1, False, 0), (2, False, 0), (3, True, 0), (4, False, 1), (5, None, None)], "doc_id long, mismatch boolean, years_short int")
     found = spark.createDataFrame([(1, "w", 1), (2, "w", 1), (2, "x", 2), (3, "w", 1)], "doc_id long, rule_id string, rule_no int")
