@@ -5,15 +5,16 @@ prefix of a set is its first tokens in that order, just long enough that two set
 tokens that are neighbours in both prefixes (see prefix_length). These neighbour pairs are the join keys; unlike single
 tokens they hardly ever meet in unrelated texts, so no count of all shingles is needed for a rarest-first order.
 
-1. Documents with the same set form a class, classes with the same size and prefix a group; one row of each goes on.
-2. Groups with a common key, in order of size in a window over the key, each meet the first of them, or the one before
-   where the first is out of reach of the threshold: a key with k groups gives k-1 rows at most, not k squared; where
-   the one before is out of reach too, the row is left out.
-3. Chains, and members of a group, connect to candidate clusters. Every link lies inside one cluster.
-4. Clusters are dealt in blocks of bounded size, and every pair of blocks of a cluster meets in one task, which filters
-   the pairs by parities of the sets, about a bit a token: they differ in no more bits than the sets in tokens, so no
-   link is lost. What passes splits the clusters further.
-5. The rest is dealt in smaller blocks with the whole sets and verified exactly; links connect to components.
+1. Documents with the same set form a class; one row of each goes on.
+2. Classes with a common key, in order of size in a window over the key, each meet the first and the one before: a key
+   with k classes gives 2k rows at most, not k squared.
+3. A pair goes on if sizes and parities of its sets allow a link. Parities have about a bit a token: they differ in no more
+   bits than the sets in tokens, so no link is lost. What passes connects to parts.
+4. A key of three classes or more that lie in several parts, such as one of a passage that unrelated texts quote, is dealt in
+   blocks of bounded size, and every pair of its blocks meets in one task, which filters the pairs of different parts alike,
+   except those that have met under the key that both have before it.
+   So texts that only share keys never gather in a cluster, and every link lies inside one of those that 3 and 4 connect.
+5. These are dealt in smaller blocks with the whole sets and verified exactly; links connect to components.
 Tasks of 4 and 5 return only a spanning forest of the pairs that pass.
 
 Defined results: null text is an empty set, which links with nothing; texts with fewer words than a shingle have the
@@ -39,6 +40,8 @@ from .common import batch_rows, parallelism, saved, table, text_or_empty
 #: Classes and tokens in a block of whole sets; classes in a block of parities, which are bounded.
 BLOCK, BLOCK_TOKENS = 500, 1 << 19
 FILTER_BLOCK = 1000
+#: Sets that are compared one by one, as whole numbers; rows of a tile of comparisons otherwise.
+FEW, TILE = 12, 64
 MOST_PARITY_BITS = 1 << 16
 #: Edges in a file of a round of connected().
 EDGES_IN_FILE = 200_000
@@ -109,27 +112,40 @@ def parities(tokens: np.ndarray) -> bytes:
     return np.packbits(np.bincount(bit, minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-def folded(parity: bytes, words: int) -> np.ndarray:
-    """A parity in fewer bits, as 64-bit words: bits that are equal modulo the new size meet."""
-    return np.bitwise_xor.reduce(np.frombuffer(parity, np.uint64).reshape(-1, words), axis=0)
+def folded(parity: np.ndarray, words: int) -> np.ndarray:
+    """Parities, a row each, in fewer 64-bit words: bits that are equal modulo the new size meet."""
+    return np.bitwise_xor.reduce(parity.reshape(len(parity), -1, words), axis=1)
+
+
+def may_link(a: bytes, n: int, b: bytes, m: int, percent: int) -> bool:
+    """Whether the sizes and parities of two sets allow a link. Parities are compared in the smaller of their two sizes."""
+    if n > m:
+        a, n, b, m = b, m, a, n
+    if 100 * n < percent * m:
+        return False
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    size, large = 8 * len(a), 8 * len(b)
+    while large > size:
+        large //= 2
+        y = (y >> large) ^ (y & ((1 << large) - 1))
+    return (100 + percent) * (x ^ y).bit_count() <= (100 - percent) * (n + m)
 
 
 def _signer(width: int, percent: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            n, set_key, prefix_key, keys, parity = [], [], [], [], []
+            n, set_key, keys, parity = [], [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingles(text, width, words)
                 k = prefix_keys(tokens, percent)
                 n.append(len(tokens))
                 set_key.append(hashlib.md5(tokens.tobytes()).digest())
-                prefix_key.append(hashlib.md5(k.tobytes()).digest() if len(k) else set_key[-1])
                 keys.append(k.view(np.int64))
                 parity.append(parities(tokens))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             at = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(set_key, pa.binary()), pa.array(prefix_key, pa.binary()), pa.ListArray.from_arrays(at, flat), pa.array(parity, pa.binary())], ["id", "n", "set_key", "prefix_key", "keys", "parity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(set_key, pa.binary()), pa.ListArray.from_arrays(at, flat), pa.array(parity, pa.binary())], ["id", "n", "set_key", "keys", "parity"])
 
     return sign
 
@@ -162,7 +178,7 @@ def links(sets: list[np.ndarray], percent: int, left: np.ndarray) -> list[tuple[
         return []
     column = np.unique(column, return_inverse=True)[1]
     common = np.zeros((m, m), dtype=np.float32)
-    step = max(1, (1 << 22) // m)
+    step = min(int(column[-1]) + 1, max(1, (1 << 22) // m))
     cuts = np.searchsorted(column, np.arange(0, column[-1] + 1 + step, step))
     for k in range(len(cuts) - 1):
         part = np.zeros((m, step), dtype=np.float32)
@@ -186,43 +202,103 @@ def forest(ok: np.ndarray, left: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def likely(parity: list[bytes], n: np.ndarray, left: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose sizes and parities don't rule out a link."""
-    total = n[:, None] + n[None, :]
-    most = total - 2 * (-(-percent * total // (100 + percent)))  # tokens in which linked sets may differ
-    ok = abs(n[:, None] - n[None, :]) <= most
-    words = np.array([len(p) // 8 for p in parity])
-    for w in np.unique(words):  # a pair is compared in the smaller of its two sizes
-        own, large = np.flatnonzero(words == w), np.flatnonzero(words >= w)
-        bits = np.array([folded(parity[k], int(w)) for k in large])
-        mine = bits[np.searchsorted(large, own)]
-        for at, row in zip(own, mine):
-            near = np.flatnonzero(ok[at, large])
-            differ = np.bitwise_count(bits[near] ^ row).sum(axis=1, dtype=np.int64)
-            ok[at, large[near]] = ok[large[near], at] = differ <= most[at, large[near]]
-    return forest(ok, left)
+class _BySize:
+    """Sets in order of size, with their parities as rows of 64-bit words."""
+
+    def __init__(self, at: np.ndarray, parity: list[bytes], n: np.ndarray, part: np.ndarray, before: np.ndarray) -> None:
+        self.at = at[np.argsort(n[at], kind="stable")]
+        self.sizes, self.parts, self.before, self.fewer = n[self.at], part[self.at], before[self.at], {}
+        # longer sets have as many words or more, so those with the same number of words stand together
+        words = np.array([len(parity[k]) // 8 for k in self.at], dtype=np.int64)
+        self.runs = [(int(w), *(int(x) for x in np.searchsorted(words, [w, w + 1]))) for w in np.unique(words)]
+        for w, start, end in self.runs:
+            self.fewer[w, w] = np.frombuffer(b"".join(parity[k] for k in self.at[start:end]), np.uint64).reshape(-1, w)
+
+    def words(self, run: tuple[int, int, int], least: int, start: int, end: int) -> np.ndarray:
+        """A column for each of the sets from start to end of a run, folded to so many words."""
+        if (run[0], least) not in self.fewer:
+            self.fewer[run[0], least] = folded(self.fewer[run[0], run[0]], least)
+        return np.ascontiguousarray(self.fewer[run[0], least][start - run[1] : end - run[1]].T)
+
+    def near(self, others: _BySize, percent: int) -> Iterator[tuple[int, int]]:
+        """The pairs that likely() compares and whose sizes and parities allow a link; each once if the others are the same."""
+        for own in self.runs if len(others.at) else ():
+            for x in range(own[1], own[2], TILE):
+                y = min(x + TILE, own[2])
+                lo = x if others is self else int(np.searchsorted(others.sizes, -(-self.sizes[x] * percent // 100)))
+                hi = int(np.searchsorted(others.sizes, self.sizes[y - 1] * 100 // percent, side="right"))
+                for run in others.runs:
+                    start, end = max(run[1], lo), min(run[2], hi)
+                    if start >= end:
+                        continue
+                    least = (100 - percent) * (self.sizes[x:y, None] + others.sizes[start:end])  # over 100 + percent: the most in which they may differ
+                    ok = (self.parts[x:y, None] != others.parts[start:end]) & (self.before[x:y, None] != others.before[start:end])
+                    ok &= abs(self.sizes[x:y, None] - others.sizes[start:end]) * (100 + percent) <= least
+                    if not ok.any():
+                        continue
+                    width = min(own[0], run[0])
+                    differ = np.zeros(ok.shape, dtype=np.int32)
+                    for one, other in zip(self.words(own, width, x, y), others.words(run, width, start, end)):
+                        differ += np.bitwise_count(one[:, None] ^ other)
+                    for i, j in zip(*np.nonzero(ok & ((100 + percent) * differ.astype(np.int64) <= least))):
+                        yield int(self.at[x + i]), int(others.at[start + j])
+
+
+def likely(parity: list[bytes], n: np.ndarray, left: np.ndarray, part: np.ndarray, before: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """The pairs of different parts whose sizes and parities allow a link, as few as connect them all. left: which sets are of
+    the first block; pairs are between blocks, or all if there is only one block. before: two sets with the same number have
+    met elsewhere and aren't compared."""
+    whole = bool(left.all())
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    def joined(i: int, j: int) -> bool:
+        x, y = find(int(part[i])), find(int(part[j]))
+        root[max(x, y)] = min(x, y)
+        return x != y
+
+    if len(parity) <= FEW:
+        a, b = np.flatnonzero(left).tolist(), np.flatnonzero(left if whole else ~left).tolist()
+        pairs = ((i, j) for i in a for j in b if (i < j or not whole) and before[i] != before[j] and find(int(part[i])) != find(int(part[j])))
+        return [(i, j) for i, j in pairs if may_link(parity[i], int(n[i]), parity[j], int(n[j]), percent) and joined(i, j)]
+    # each pair has a set that isn't of the largest part, and one that isn't of those with the commonest number
+    alike = [x == found[times.argmax()] for x in (part, before) for found, times in (np.unique(x, return_counts=True),)]
+    rest = ~max(alike, key=np.count_nonzero)
+    a, a_most, b, b_most = (_BySize(np.flatnonzero(x), parity, n, part, before) for x in (left & rest, left & ~rest, ~left & rest, ~left & ~rest))
+    met = ((a, a), (a, a_most)) if whole else ((a, b), (a, b_most), (b, a_most))
+    return [(i, j) for x, y in met for i, j in x.near(y, percent) if joined(i, j)]
+
+
+def numbers(keys: list[int | None]) -> np.ndarray:
+    """A number for each key; one of its own where there is none."""
+    known: dict[int, int] = {}
+    return np.array([~k if x is None else known.setdefault(x, k) for k, x in enumerate(keys)])
 
 
 def _closer(percent: int, whole: bool):
-    """Runs over rows (root, i, j, id, n, data, own), sorted by the first three: each group is a pair of blocks."""
+    """Runs over rows (root, i, j, id, n, data, part, before, own), sorted by the first three: each group is a pair of blocks."""
 
     def close(group: list) -> list[tuple[int, int]]:
         left = np.array([g[3] for g in group])
         if whole:
             found = links([np.frombuffer(g[2], np.uint64) for g in group], percent, left)
         else:
-            found = likely([g[2] for g in group], np.array([g[1] for g in group]), left, percent)
+            found = likely([g[2] for g in group], np.array([g[1] for g in group]), left, np.array([g[4] for g in group]), numbers([g[5] for g in group]), percent)
         return [(group[a][0], group[b][0]) for a, b in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group, found = None, [], []
         for batch in batches:
-            for root, i, j, ident, n, data, own in zip(*(batch.column(k).to_pylist() for k in range(7))):
+            for root, i, j, ident, n, data, part, before, own in zip(*(batch.column(k).to_pylist() for k in range(9))):
                 if (root, i, j) != now:
                     if len(group) > 1:
                         found += close(group)
                     now, group = (root, i, j), []
-                group.append((ident, n, data, i == j or own == i))
+                group.append((ident, n, data, i == j or own == i, part, before))
         if len(group) > 1:
             found += close(group)
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
@@ -231,26 +307,66 @@ def _closer(percent: int, whole: bool):
 
 
 def _in_blocks(members: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """members(root, id, n, data, blocks) -> pairs that pass, from all pairs of blocks of each root. Members are dealt by
-    a hash, so a block holds about its share of the classes and tokens."""
+    """members(root, id, n, data, part, before, blocks) -> pairs that pass, from all pairs of blocks of each root. Members are
+    dealt by a hash, so a block holds about its share of the classes and tokens. part and before are for parities only."""
     dealt = members.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "data", "own")
+    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "data", "part", "before", "own")
     dealt = dealt.repartition(parallelism(members.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j")
     return dealt.mapInArrow(_closer(percent, whole), "a long, b long")
 
 
-def _clusters(edges: DataFrame, classes: DataFrame, block: int, block_tokens: int | None = None) -> DataFrame:
-    """(id, root, blocks, n, parity) of all nodes of the edges; blocks: how many a cluster needs for its classes and tokens."""
+def _may_link(percent: int):
+    """Runs over rows (a, n, parity, b, m, parity of b) and keeps the pairs that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, n, x, b, m, y = (batch.column(k).to_pylist() for k in range(6))
+            keep = pa.array([k for k in range(len(a)) if may_link(x[k], n[k], y[k], m[k], percent)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(3).take(keep)], ["a", "b"])
+
+    return run
+
+
+def _likely_edges(keys: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """keys(id, n, key) of the classes -> pairs (a, b) that connect all classes whose key, sizes and parities allow a link."""
+    chain = W.partitionBy("key").orderBy("n", "id")
+    every = chain.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    met = keys.select("id", "n", "key", *(f(c).over(w).alias(c + k) for k, f, w in (("0", F.lag, chain), ("1", F.first, every)) for c in ("id", "n")), F.count(F.lit(1)).over(every).alias("count"))
+    # of two that meet alone one row is enough, and their key is of no use beyond it
+    met = met.filter("count > 2 OR id0 IS NOT NULL").selectExpr(
+        "id", "CASE WHEN count > 2 THEN key END AS key", f"CASE WHEN 100 * n0 >= {percent} * n AND id0 <> id THEN id0 END AS id0", f"CASE WHEN count > 2 AND 100 * n1 >= {percent} * n AND id1 <> id THEN id1 END AS id1"
+    )
+    met = saved(met.filter("key IS NOT NULL OR id0 IS NOT NULL"), "met")
+    pairs = met.select("id", F.explode(F.array("id0", "id1")).alias("other")).filter("other IS NOT NULL")
+    pairs = pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
+    first, second = (classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}")).hint("merge") for c in ("a", "b"))
+    pairs = pairs.join(first, "a").join(second, "b").select("a", "n_a", "parity_a", "b", "n_b", "parity_b")
+    passed = saved(pairs.mapInArrow(_may_link(percent), "a long, b long"), "passed")
+    parts = connected(passed)
+    # what meets under a key without being in one part yet
+    rows = met.filter("key IS NOT NULL").select("key", "id").distinct()
+    rows = rows.join(parts.hint("merge"), F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("part"))
+    rows = saved(rows, "meeting")
+    open_keys = rows.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.ceil(F.count(F.lit(1)) / FILTER_BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(open_keys.filter("least <> most").select("key", "blocks").hint("merge"), "key")
+    of_class = classes.select(F.col("class").alias("id"), "n", F.col("parity").alias("data")).hint("merge")
+    # a pair shares many keys; where both have the same one before it, the pair meets there already
+    rows = rows.withColumn("before", F.lag("key").over(W.partitionBy("id").orderBy("key")))
+    rows = rows.join(of_class, "id").select(F.col("key").alias("root"), "id", "n", "data", "part", "before", "blocks")
+    more = saved(_in_blocks(rows, percent, False), "more")
+    return parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+
+
+def _clusters(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, root, blocks) of all nodes of the edges; blocks: how many a cluster needs for its classes and tokens."""
     stars = connected(edges)
     nodes = stars.select(F.col("node").alias("id"), "root").unionByName(stars.select(F.col("root").alias("id"), "root").distinct())
-    nodes = saved(nodes.join(classes.select(F.col("class").alias("id"), "n", "parity"), "id"), "clusters")
-    needed = F.ceil(F.count(F.lit(1)) / block)
-    if block_tokens:
-        needed = F.greatest(needed, F.ceil(F.sum("n") / block_tokens))
+    nodes = saved(nodes.join(classes.select(F.col("class").alias("id"), "n"), "id"), "clusters")
+    needed = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS))
     sizes = saved(nodes.groupBy(F.col("root").alias("r")).agg(needed.cast("int").alias("blocks")), "cluster-sizes")
     # a root may have a large share of the nodes: merged, so that Spark can split it
-    return nodes.join(sizes.hint("merge"), F.col("root") == F.col("r")).drop("r")
+    return nodes.join(sizes.hint("merge"), F.col("root") == F.col("r")).select("id", "root", "blocks")
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -284,23 +400,16 @@ def components(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str =
     spark = docs.sparkSession
     batch_rows(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    signed = saved(rows.mapInArrow(_signer(width, percent), "id long, n long, set_key binary, prefix_key binary, keys array<long>, parity binary"), "signed")
+    signed = saved(rows.mapInArrow(_signer(width, percent), "id long, n long, set_key binary, keys array<long>, parity binary"), "signed")
     own = signed.filter("id IS NOT NULL AND n > 0")
-    classes = saved(own.groupBy("set_key").agg(F.min("id").alias("class"), F.min("n").alias("n"), F.min("prefix_key").alias("prefix_key"), F.min("parity").alias("parity")), "classes")
-    groups = saved(classes.groupBy("n", "prefix_key").agg(F.min("class").alias("grp")), "groups")
-    grouped = classes.join(groups, ["n", "prefix_key"]).select("class", "grp")
-    # ids of groups are ids of rows; a repeated id would only add keys
-    keys = own.filter(F.size("keys") > 0).join(groups.select(F.col("grp").alias("id")), "id").select("id", "n", F.explode("keys").alias("key"))
-    chain = W.partitionBy("key").orderBy("n", "id")
-    pairs = keys.select("id", "n", *(f(c).over(chain).alias(c + k) for k, f in (("0", F.lag), ("1", F.first)) for c in ("id", "n")))
-    first = f"100 * n1 >= {percent} * n"
-    pairs = pairs.filter(f"id0 IS NOT NULL AND id1 <> id AND 100 * n0 >= {percent} * n").select("id", F.expr(f"CASE WHEN {first} THEN id1 ELSE id0 END").alias("id0")).filter("id0 <> id")
-    edges = pairs.select(F.col("id").alias("a"), F.col("id0").alias("b")).unionByName(grouped.filter("class <> grp").select(F.col("class").alias("a"), F.col("grp").alias("b"))).distinct()
-    light = _clusters(edges, classes, FILTER_BLOCK).withColumnRenamed("parity", "data")
-    likely_ones = _clusters(_in_blocks(light, percent, False), classes, BLOCK, BLOCK_TOKENS)
+    classes = saved(own.groupBy("set_key").agg(F.min("id").alias("class"), F.min("n").alias("n"), F.min("parity").alias("parity")), "classes")
+    # ids of classes are ids of rows; a repeated id would only add keys
+    keys = own.filter(F.size("keys") > 0).join(classes.select(F.col("class").alias("id")).distinct(), "id").select("id", "n", F.explode("keys").alias("key"))
+    likely_ones = _clusters(_likely_edges(keys, classes, percent), classes)
     # whole sets, from the whole texts, of one row a class; the ids have no size bound, so they are never broadcast
-    chosen = likely_ones.select("id", "root", "blocks").hint("merge")
+    chosen = likely_ones.hint("merge")
     sets = rows.join(chosen, "id").select("id", "text", "root", "blocks").mapInArrow(_set_maker(width), "id long, n long, data binary, root long, blocks int")
+    sets = sets.withColumns({c: F.lit(None).cast("long") for c in ("part", "before")})
     linked = connected(_in_blocks(sets, percent, True))
     # class -> component, then document -> class; both sides are plain tables, so Spark can split a class with many rows
     of_class = classes.select("set_key", "class").join(linked, F.col("class") == F.col("node"), "left").select("set_key", F.coalesce("root", "class").alias("component"))
